@@ -23,6 +23,7 @@ SLOTS = 1 << 20
 #: At most so many labelled rows of each class are fitted, those whose ids' hashes are least, and none whose text has more characters.
 SAMPLE = 8000
 SAMPLE_CHARS = 1 << 15
+STEMS = (5, 7)
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -35,12 +36,19 @@ class Model:
 
 
 def features(words: WordHash, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, slot) of every word, of each pair of neighbours, and of pairs with one or two words between."""
+    """(document, slot) of every word, of its stems, of each pair of neighbours, and of pairs with one or two words between.
+
+    A stem is a word's first STEMS letters, so that inflected forms share a slot.
+    """
     tokens = [_WORD.findall(t.lower()) for t in docs]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    h = words.of([w for t in tokens for w in t])
+    flat = [w for t in tokens for w in t]
+    h = words.of(flat)
     doc = np.repeat(np.arange(len(docs)), sizes)
     at, slot = [doc], [h]
+    for n in STEMS:
+        at.append(doc)
+        slot.append(mix(words.of([w[:n] for w in flat]) + U64(100 + n)))
     for gap in (1, 2, 3):
         same = doc[gap:] == doc[:-gap]
         at.append(doc[gap:][same])
@@ -51,7 +59,7 @@ def features(words: WordHash, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal, one example at a time."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)  # the last slot is the bias, which isn't penalised
 
