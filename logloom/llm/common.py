@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +127,13 @@ class Bloom:
 
     def may_have(self, df: DataFrame, col: str) -> DataFrame:
         """The rows of df whose `col` may be in the set."""
+        return self._split(df, col, True)
+
+    def cannot_have(self, df: DataFrame, col: str) -> DataFrame:
+        """The other rows: their `col` isn't in the set."""
+        return self._split(df, col, False)
+
+    def _split(self, df: DataFrame, col: str, having: bool) -> DataFrame:
         names, bits = df.columns, self._bits
 
         def keep(batches):
@@ -135,9 +143,8 @@ class Bloom:
                 for c in ("_b0", "_b1"):
                     at = b.column(c).to_numpy()
                     ok &= (have[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                ok = ok if having else ~ok
                 if ok.any():
-                    import pyarrow as pa
-
                     yield b.filter(pa.array(ok)).select(names)
 
         marked = df.withColumns(dict(zip(("_b0", "_b1"), self._marks(F.col(col)), strict=True)))
@@ -166,3 +173,15 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
         labels = new.select("node", "component")
         if not moved:
             return labels
+
+
+# ---------------------------------------------------------------- rows by id
+
+#: Lists of ids are broadcast up to this many (16 MB); longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, col: str, ids: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined with ids (its column has the same name); how: left_semi or left_anti."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, col, how)

@@ -2,7 +2,7 @@
 
 Each task walks its own documents once: it encodes them, cuts off whole sequences, and gathers what is left of the documents into blocks. A block is packed by differencing: at first each piece is a partition of its own, with one full window and k-1 empty ones; the two partitions of largest spread are merged, the fullest window of one with the emptiest of the other, until one partition is left. If a window exceeds the capacity, k rises by one and the block is packed anew. Nothing is shuffled and no group grows with the data; a block is bounded by a number of pieces.
 
-Null texts count as empty; an empty document is the end id alone. Rows that repeat an id or a text are packed row by row. Other columns are ignored. Windows of a block have near-equal lengths, and k starts at the least number that can hold them; where differencing misses the capacity, a document's rest is cut finer first.
+Null texts count as empty; an empty document is the end id alone. Rows that repeat an id or a text are packed row by row. Other columns are ignored. Windows of a block have near-equal lengths, and k starts at the least number that can hold them; the rest of a document is cut into small pieces, so that differencing has enough of them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from logloom.llm.common import texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces in a block.
-BLOCK = 4096
+BLOCK = 2048
 #: A rest is cut into pieces of at most this share of a window: the finer, the nearer to equal the windows become.
 FINE = 8
 
@@ -29,19 +29,40 @@ _PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]*")
 
 
 class WordTokenizer:
-    """ids of a text by a tokenizers file whose pre-tokenizer drops white space: each distinct word is encoded once."""
+    """ids of a text by a tokenizers file whose pre-tokenizer drops white space: each distinct word is encoded once, many in one call."""
 
-    MOST = 1 << 19
+    MOST = 1_000_000
+    #: A character that no plain text has; its bytes' ids part the words of one call.
+    MARK = "\ue000"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import os
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        import tokenizers
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        # a worker process serves many tasks: what it has learnt stays with the library it came from
+        self.known: dict[str, bytes] = tokenizers.__dict__.setdefault("_words_of", {}).setdefault(path, {})
+        self.mark = np.array(self.ids(self.MARK), np.uint32)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that aren't known yet. Letters and a mark after them never share a token."""
+        ends = [w[-1] in ".,;:!?" and w[:-1].isalpha() for w in words]
+        new = [w for w in {w[:-1] if e else w for w, e in zip(words, ends, strict=True)} | {w[-1] for w, e in zip(words, ends, strict=True) if e} if w not in self.known]
+        if new:
+            got = np.array(self.ids(f" {self.MARK} ".join(new)), np.uint32)
+            n = len(self.mark)
+            at = np.flatnonzero(got == self.mark[0])
+            for w, x, y in zip(new, [0, *(at + n).tolist()], [*at.tolist(), len(got)], strict=True):
+                self.known[w] = got[x:y].tobytes()
+        for w, e in zip(words, ends, strict=True):
+            if e:
+                self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
     def batch(self, texts_: list[str]) -> list[np.ndarray]:
         """One array for each text."""
@@ -49,38 +70,48 @@ class WordTokenizer:
 
         if len(self.known) > self.MOST:
             self.known.clear()
-        known, plain, new = self.known, [], {}
-        for t in texts_:
-            words = t.lower().split() if _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) else None
-            plain.append(words)
-            if words:
-                new.update(dict.fromkeys(w for w in words if w not in known))
-        fresh = list(new)
-        for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-        return [self.whole(t) if w is None else np.frombuffer(b"".join(map(known.__getitem__, w)), np.uint32) for t, w in zip(texts_, plain, strict=True)]
+        words = [t.lower().split() if _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) else None for t in texts_]
+        seen: set[str] = set()
+        for w in words:
+            seen.update(w or ())
+        self.learn([w for w in seen if w not in self.known])
+        return [np.array(self.ids(t), np.uint32) if w is None else np.frombuffer(b"".join(map(self.known.__getitem__, w)), np.uint32) for t, w in zip(texts_, words, strict=True)]
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """Indexes of sizes in k windows with near-equal sums, by Karmarkar-Karp multiway differencing; ties go to the earlier piece."""
-    # a partition: (-spread, order, windows that aren't empty as (sum, pieces), fullest first)
-    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
+    """Indexes of sizes in k windows with near-equal sums, by Karmarkar-Karp multiway differencing; ties go to the earlier piece.
+
+    A partition holds its windows that aren't empty, the fullest first, each as (-sum, node); a node beyond the pieces joins two others.
+    """
+    nodes: list[tuple[int, int]] = []
+    heap = [(-s, i, [(-s, i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    order = len(sizes)
+    n = order = len(sizes)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
         over = len(a) + len(b) - k  # so many windows of each meet one of the other that isn't empty
         if over > 0:
             both = a[: len(a) - over] + b[: len(b) - over]
-            both += [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[len(a) - over :], reversed(b[len(b) - over :]), strict=True)]
+            for (s, x), (t, y) in zip(a[len(a) - over :], reversed(b[len(b) - over :]), strict=True):
+                both.append((s + t, n + len(nodes)))
+                nodes.append((x, y))
         else:
             both = a + b
-        both.sort(key=lambda w: -w[0])
-        spread = both[0][0] - (both[-1][0] if len(both) == k else 0)
-        heapq.heappush(heap, (-spread, order, both))
+        both.sort()
+        heapq.heappush(heap, (both[0][0] - (both[-1][0] if len(both) == k else 0), order, both))
         order += 1
-    return [w[1] for w in heap[0][2]] if heap else []
+    windows = []
+    for _, node in heap[0][2] if heap else []:
+        todo, pieces = [node], []
+        while todo:
+            x = todo.pop()
+            if x < n:
+                pieces.append(x)
+            else:
+                todo += nodes[x - n]
+        windows.append(pieces)
+    return windows
 
 
 def pack(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
@@ -88,12 +119,10 @@ def pack(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[i
     if not pieces:
         return []
     k = max(1, -(-sum(p[2] for p in pieces) // capacity))
-    finer = [(d, s, n) for d, start, length in pieces for s, n in _cut(start, length, max(1, capacity // (2 * FINE)))]
     while True:
-        for some in (pieces, finer):
-            windows = difference([p[2] for p in some], k)
-            if all(sum(some[i][2] for i in w) <= capacity for w in windows):
-                return [[some[i] for i in sorted(w)] for w in windows]
+        windows = difference([p[2] for p in pieces], k)
+        if all(sum(pieces[i][2] for i in w) <= capacity for w in windows):
+            return [[pieces[i] for i in sorted(w)] for w in windows]
         k += 1
 
 
@@ -132,8 +161,8 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
         count = 0
         for b in batches:
-            for x in range(0, b.num_rows, 256):
-                some = b.slice(x, 256)
+            for x in range(0, b.num_rows, 1000):
+                some = b.slice(x, 1000)
                 for i, ids in zip(some.column(0).to_pylist(), tokenizer.batch(some.column(1).to_pylist()), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     count += 1
