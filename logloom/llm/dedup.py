@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import by_ids, new_path, texts, written
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STORE = "spark.sql.streaming.stateStore"
+#: State on disk, in files that aren't allocated ahead: a state of many partitions would take megabytes for each otherwise.
+_SETTINGS = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -28,8 +33,9 @@ def keyed_state(rows: DataFrame, batch_bytes: int = 2 << 30) -> DataFrame:
     at = {f.rsplit("/", 1)[0] for f in rows.inputFiles()}
     if not at:
         return spark.createDataFrame([], "digest binary, keep_id long, locator string, n long")
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes).parquet(*at)
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator"))
@@ -41,7 +47,8 @@ def keyed_state(rows: DataFrame, batch_bytes: int = 2 << 30) -> DataFrame:
         query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changes = spark.read.schema("digest binary, keep_id long, locator string, n long, batch long").parquet(out)
     last = F.max_by(F.struct("keep_id", "locator", "n"), F.col("batch")).alias("last")  # a later state of a digest replaces an earlier one
     return changes.groupBy("digest").agg(last).select("digest", "last.*")
