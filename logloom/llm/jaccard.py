@@ -26,11 +26,12 @@ WORDS = 5
 #: A shingle in this many prefixes is frequent; at most so many frequent ones are put last, those of the highest counts (16 bytes each).
 OFTEN = 16
 FREQUENT = 1 << 20
+#: Bits of the smallest bitmap; a set of n has at least 2n.
 BITMAP = 1024
 #: A list of more classes is dealt out as pairs of blocks of half as many.
 LIST = 4096
 
-_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
+_ODD = 0x9E3779B97F4A7C15
 
 
 def shingle_sets(words: WordHash, docs: list[bytes], k: int = WORDS) -> list[np.ndarray]:
@@ -43,14 +44,15 @@ def shingle_sets(words: WordHash, docs: list[bytes], k: int = WORDS) -> list[np.
     n = max(len(h) - k + 1, 0)
     whole = np.zeros(n, U64)
     for j in range(k):
-        whole = mix(whole + h[j : j + n] * _K[j % 5])
+        whole += h[j : j + n] * U64(pow(_ODD, j + 1, 1 << 64))
+    whole = mix(whole)
     for size in sizes:
         if size >= k:
             out.append(np.unique(whole[at : at + size - k + 1]))
         elif size:
             one = np.zeros(1, U64) + U64(size)
             for j in range(size):
-                one = mix(one + h[at + j : at + j + 1] * _K[j % 5 : j % 5 + 1] + U64(j + 1))
+                one = mix(one + h[at + j : at + j + 1] + U64(j + 1))
             out.append(one)
         else:
             out.append(np.zeros(0, U64))
@@ -89,8 +91,9 @@ class Order:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One parity bit for each of BITMAP classes of shingles."""
-    odd = np.bincount((s >> U64(20)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1
+    """A parity bit for each class of shingles; folding one of twice the size gives the next smaller one."""
+    size = max(BITMAP, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s >> U64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -154,37 +157,35 @@ def frequent(rows: DataFrame, buckets: int, k: int = WORDS, percent: int = 75, o
 
 
 def signatures(rows: DataFrame, order, k: int = WORDS, percent: int = 75) -> DataFrame:
-    """(doc_id, n, sig, gkey, bits): the class, the group, and the bitmap of each document with a set."""
+    """(doc_id, n, sig, gkey, bits, prefix): the class, the group, the bitmap and the prefix of each document's set."""
 
     def made(batches):
         o = Order(*order.value)
         for ids, sets in _sets(batches, k):
             n = [len(s) for s in sets]
             sig = [xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63) for s in sets]
-            group = [xxhash.xxh3_64_intdigest(o.prefix(s, percent).tobytes(), len(s)) - (1 << 63) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(group, pa.int64()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary())], names=["doc_id", "n", "sig", "gkey", "bits"])
+            prefix = [o.prefix(s, percent).tobytes() if len(s) else b"" for s in sets]
+            group = [xxhash.xxh3_64_intdigest(p, len(s)) - (1 << 63) for p, s in zip(prefix, sets, strict=True)]
+            blobs = [pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.array(prefix, pa.binary())]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(group, pa.int64()), *blobs], names=["doc_id", "n", "sig", "gkey", "bits", "prefix"])
 
-    return rows.mapInArrow(made, "doc_id long, n long, sig long, gkey long, bits binary")
+    return rows.mapInArrow(made, "doc_id long, n long, sig long, gkey long, bits binary, prefix binary")
 
 
-def lists(rows: DataFrame, order, buckets: int, k: int = WORDS, percent: int = 75) -> DataFrame:
+def lists(signed: DataFrame, buckets: int, percent: int = 75) -> DataFrame:
     """(lid, gkey): the groups that share a prefix shingle, two or more of near enough sizes; lists with the same groups are one."""
 
     def posted(batches):
-        o = Order(*order.value)
         tokens, groups, sizes = [], [], []
-        for _, sets in _sets(batches, k):
-            for s in sets:
-                if len(s):
-                    p = o.prefix(s, percent)
-                    tokens.append(p)
-                    groups.append(xxhash.xxh3_64_intdigest(p.tobytes(), len(s)))
-                    sizes.append(len(s))
+        for b in batches:
+            groups.append(b.column("gkey").to_numpy())
+            sizes.append(b.column("n").to_numpy())
+            tokens += [np.frombuffer(p, U64) for p in b.column("prefix").to_pylist()]
         if not tokens:
             return
         t = np.concatenate(tokens)
         own = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(x) for x in tokens])
-        groups, sizes = np.array(groups, U64), np.array(sizes, np.uint32)
+        groups, sizes = np.concatenate(groups), np.concatenate(sizes).astype(np.uint32)
         by = np.argsort(t, kind="stable")
         t, own = t[by], own[by]
         cut = np.searchsorted(_by_bucket(t, buckets), np.arange(buckets + 1))
@@ -198,7 +199,7 @@ def lists(rows: DataFrame, order, buckets: int, k: int = WORDS, percent: int = 7
     def listed(key, t):
         unpack = zstandard.ZstdDecompressor().decompress
         tok = np.frombuffer(b"".join(t.column("tokens").to_pylist()), np.uint32)
-        grp = np.frombuffer(b"".join(t.column("groups").to_pylist()), U64)
+        grp = np.frombuffer(b"".join(t.column("groups").to_pylist()), np.int64)
         size = np.frombuffer(b"".join(map(unpack, t.column("sizes").to_pylist())), np.uint32).astype(np.int64)
         by = np.argsort(tok, kind="stable")
         run = boundaries(tok[by])
@@ -220,34 +221,60 @@ def lists(rows: DataFrame, order, buckets: int, k: int = WORDS, percent: int = 7
             seen.setdefault(xxhash.xxh3_64_intdigest(grp[x : x + n].tobytes()), (x, n))
         lid = np.repeat(np.array(list(seen), U64), [n for _, n in seen.values()]).view(np.int64)
         at = ranges(np.array([x for x, _ in seen.values()], np.int64), np.array([n for _, n in seen.values()], np.int64))
-        return pa.table({"lid": pa.array(lid, pa.int64()), "gkey": pa.array((grp[at] - U64(1 << 63)).view(np.int64), pa.int64())})
+        return pa.table({"lid": pa.array(lid, pa.int64()), "gkey": pa.array(grp[at], pa.int64())})
 
-    found = rows.mapInArrow(posted, "bucket int, tokens binary, groups binary, sizes binary").groupBy("bucket").applyInArrow(listed, "lid long, gkey long")
+    found = signed.where("n > 0").select("gkey", "n", "prefix").mapInArrow(posted, "bucket int, tokens binary, groups binary, sizes binary").groupBy("bucket").applyInArrow(listed, "lid long, gkey long")
     return found.distinct()
 
 
-def _passing(n: np.ndarray, bits: np.ndarray, i: int, percent: int) -> np.ndarray:
-    """Whether class i may be linked with each class of a list."""
-    near = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])).nonzero()[0]
-    apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1)
-    ok = np.zeros(len(n), bool)
-    ok[near] = apart <= n[near] + n[i] - 2 * least_overlap(n[near], n[i], percent)
-    return ok
+class _List:
+    """The classes of a list, by id."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        by = np.argsort(t.column("rep").to_numpy())
+        self.rep, self.n, self.percent = t.column("rep").to_numpy()[by], t.column("n").to_numpy()[by], percent
+        blobs = t.column("bits").to_pylist()
+        maps = [np.frombuffer(blobs[i], U64) for i in by.tolist()]
+        self.words = np.array([len(m) for m in maps])
+        self.place = np.zeros(len(maps), np.int64)
+        self.own, self.half = {}, {}  # by their sizes: the bitmaps, and those folded once
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.place[at] = np.arange(len(at))
+            self.own[w] = np.stack([maps[i] for i in at.tolist()])
+            self.half[w] = self.own[w][:, : w // 2] ^ self.own[w][:, w // 2 :]
+
+    def passing(self, i: int) -> np.ndarray:
+        """Whether class i may be linked with each class."""
+        n, words, at = self.n, int(self.words[i]), int(self.place[i])
+        near = np.flatnonzero(100 * np.minimum(n, n[i]) >= self.percent * np.maximum(n, n[i]))
+        ok = np.zeros(len(n), bool)
+        for other in np.unique(self.words[near]).tolist():
+            j = near[self.words[near] == other]
+            if other == words:
+                apart = self.own[other][self.place[j]] ^ self.own[words][at]
+            elif other == 2 * words:
+                apart = self.half[other][self.place[j]] ^ self.own[words][at]
+            elif words == 2 * other:
+                apart = self.own[other][self.place[j]] ^ self.half[words][at]
+            else:  # sizes this far apart with other thresholds: no bound
+                ok[j] = True
+                continue
+            ok[j] = np.bitwise_count(apart).sum(axis=1) <= n[j] + n[i] - 2 * least_overlap(n[j], n[i], self.percent)
+        return ok
 
 
 def _candidates(across: bool, percent: int):
     """A list's classes to pairs (a, b): a spanning forest of the pairs that pass, or all those between different components."""
 
     def pairs(key, t):
-        by = np.argsort(t.column("rep").to_numpy())
-        rep, n = t.column("rep").to_numpy()[by], t.column("n").to_numpy()[by]
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(len(rep), -1)[by]
-        a, b = [], []
+        classes = _List(t, percent)
+        rep, a, b = classes.rep, [], []
         if across:
-            comp = t.column("component").to_numpy()[by]
+            comp = t.column("component").to_numpy()[np.argsort(t.column("rep").to_numpy())]
             if (comp != comp[0]).any():
                 for i in range(len(rep) - 1):
-                    j = np.flatnonzero(_passing(n, bits, i, percent) & (comp != comp[i]))
+                    j = np.flatnonzero(classes.passing(i) & (comp != comp[i]))
                     j = j[j > i]
                     a.append(np.full(len(j), rep[i]))
                     b.append(rep[j])
@@ -256,7 +283,7 @@ def _candidates(across: bool, percent: int):
             while free.any():  # each class joins the first star that it passes for
                 i = int(free.argmax())
                 free[i] = False
-                j = np.flatnonzero(_passing(n, bits, i, percent) & free)
+                j = np.flatnonzero(classes.passing(i) & free)
                 free[j] = False
                 a.append(np.full(len(j), rep[i]))
                 b.append(rep[j])
@@ -306,7 +333,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
     groups = classes.groupBy("gkey").agg(F.count("*").alias("classes"))
     within = groups.where("classes > 1").select(F.col("gkey").alias("lid"), "gkey")
-    found = written(lists(rows, order, buckets, k, percent).union(within), "jaccard-lists")
+    found = written(lists(signed, buckets, percent).union(within), "jaccard-lists")
     sizes = found.join(groups, "gkey").groupBy("lid").agg(F.sum("classes").alias("total"))
     blocks = F.ceil(F.col("total") / (block // 2)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
