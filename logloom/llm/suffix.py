@@ -109,9 +109,10 @@ class Shard:
             step = min(done, depth - done)
             inside = left > step
             second = np.where(inside, np.concatenate((rank[step:], np.zeros(step, np.int64)))[:n], -1 - np.arange(n))
-            order = np.lexsort((second, rank))
+            key = rank * (2 * n + 1) + second + n
+            order = np.argsort(key)
             new = np.ones(n, bool)
-            new[1:] = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
+            new[1:] = key[order][1:] != key[order][:-1]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new) - 1
             done += step
@@ -128,33 +129,46 @@ class Shard:
         self.last_to_first = np.where(at_start, -1, row[before])
 
 
+def _strides(shards: list[Shard], depth: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(k, the k symbols before each entry as one number below 2^16, the entry k symbols before it or -1): several refinements in one."""
+    offset = np.cumsum([0, *(len(s.text) for s in shards)])
+    one = np.concatenate([np.where(s.last_to_first < 0, -1, s.last_to_first + o) for s, o in zip(shards, offset[:-1], strict=True)])
+    single = np.unique(np.concatenate([s.bwt for s in shards]), return_inverse=True)[1].astype(np.int64)
+    k, symbol, before = 1, single, one
+    while k < min(8, depth - 1):
+        far = np.where(before < 0, -1, one[before])
+        wider = np.unique(symbol * (single.max() + 1) + np.where(before < 0, 0, single[before]), return_inverse=True)[1]
+        if wider.max(initial=0) >= 1 << 16:
+            break
+        k, symbol, before = k + 1, wider, far
+    return k, symbol.astype(np.uint16 if symbol.max(initial=0) < 1 << 16 else np.int64), before  # numpy deals 16-bit keys by radix
+
+
 def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries (numbered through the shards) and their blocks: the suffixes that share their first `depth` symbols with another one."""
-    offset = np.concatenate(([0], np.cumsum([len(s.text) for s in shards])))
-    bwt = np.concatenate([s.bwt for s in shards])
-    lf = np.concatenate([np.where(s.last_to_first < 0, -1, s.last_to_first + o) for s, o in zip(shards, offset[:-1], strict=True)])
-    symbols, dense = np.unique(bwt, return_inverse=True)
-    kind = np.uint16 if len(symbols) < 1 << 16 else np.int64  # numpy deals 16-bit keys by radix
-    dense = dense.astype(kind)
-    # the first round: all suffixes, in the shards' order, dealt by their first symbol
+    """Entries (numbered through the shards) and their blocks: the suffixes that share their first `depth` symbols with another one.
+
+    The entries start in the shards' order, dealt by their first symbol. A round deals them by the k symbols before each.
+    """
+    k, symbols, lf = _strides(shards, depth)
     head = np.concatenate([s.text[s.suffixes] for s in shards])
-    entry = np.argsort(np.unique(head, return_inverse=True)[1].astype(kind), kind="stable")
-    block = np.cumsum(np.concatenate(([0], head[entry][1:] != head[entry][:-1]))) if len(entry) else np.zeros(0, np.int64)
-    for _ in range(depth):
-        start = boundaries(block)
-        size = np.diff(np.append(start, len(block)))
-        keep = np.repeat(size > 1, size)
-        entry, block = entry[keep], block[keep]
-        if _ == depth - 1 or not len(entry):
-            break
-        inside = lf[entry] >= 0
-        entry, block = entry[inside], block[inside]
-        symbol = dense[entry]
+    done, entry, block = 0, np.arange(len(head)), np.zeros(len(head), np.int64)
+    for symbol, step in [(head, 1)] + [(None, 1)] * ((depth - 1) % k) + [(None, k)] * ((depth - 1) // k):
+        if symbol is None:
+            key, before = (symbols, lf) if step == k else _strides(shards, 2)[1:]
+            inside = before[entry] >= 0
+            entry, block = entry[inside], block[inside]
+            symbol, to = key[entry], before[entry]
+        else:
+            to = entry
         order = np.argsort(symbol, kind="stable")
-        symbol, source = symbol[order], block[order]
-        new = np.zeros(len(order), bool)
+        symbol, source, entry = symbol[order], block[order], to[order]
+        new = np.ones(len(order), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (source[1:] != source[:-1])
-        entry, block = lf[entry[order]], np.cumsum(new)
+        lone = new.copy()
+        lone[:-1] &= new[1:]
+        block = np.cumsum(new)[~lone]
+        entry = entry[~lone]
+        done += step
     return entry, block
 
 
@@ -283,7 +297,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = written(asked, "suffix-asked")
     some = Bloom(asked.select("doc_id"), "doc_id").may_have(rows, "doc_id")
     strings = some.join(asked, "doc_id").select("text", "asked").mapInArrow(_asked(length, anchor, crowd, split), _ASKED_TYPES)
-    answers = strings.repartition("depth", "key").sortWithinPartitions("depth", "key").mapInArrow(_answered, "h long, seg long, from int, windows int")
+    answers = strings.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "depth", "key").sortWithinPartitions("depth", "key").mapInArrow(_answered, "h long, seg long, from int, windows int")
     verdicts = written(answers.union(company.where("copies > 1").select("h", "seg", F.lit(0).alias("from"), F.col("count").alias("windows"))), "suffix-verdicts")
 
     spans = found.join(verdicts, ["h", "seg"]).select("doc_id", (F.col("first") + F.col("from")).alias("first"), F.col("windows").cast("long").alias("windows"))
