@@ -2,10 +2,497 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.functions import text as T
+from logloom.operators import correlate, inventory, player, records, redact, report, rules, timeline
+from logloom.plans.views import CLASS, COARSE, LOG, ORDERED, PEAK, RULES, SIG, SIGS, events, parsed, signatures, table
+from logloom.sources import bundle
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_reduce(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- records
+
+
+@query(f"SELECT event_id, thread, ts, level, component, address, message FROM ({LOG})")
+def log_header_parse(spark, d):
+    return parsed(spark, d).select("event_id", "thread", "ts", "level", "component", "address", "message")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS x FROM documents)),
+h AS (SELECT *, regexp_matches(line, '^[A-M]') AS head FROM l),
+r AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS rec FROM h)
+SELECT doc_id AS file, CAST(rec AS BIGINT) AS rec_ord, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5
+FROM r WHERE rec > 0 AND (head OR trim(line, ' ' || chr(9) || chr(13)) <> '') GROUP BY 1, 2""")
+def record_stitching(spark, d):
+    lines = bundle.text_lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    out = records.stitched(lines, F.col("line").rlike(r"\A[A-M]"), ["file"], "pos")
+    return out.select("file", "rec_ord", "n_lines", F.md5("text").alias("text_md5"))
+
+
+@query(r"""
+WITH f AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents),
+x AS (SELECT doc_id, line, instr(line, ': ') AS p, regexp_extract(line, '^\[([^\]]+)\]', 1) AS b FROM f)
+SELECT doc_id, CASE WHEN b <> '' THEN b WHEN p > 0 AND p <= 81 THEN nullif(trim(substr(line, 1, p - 1)), '') END AS component,
+  CASE WHEN b <> '' THEN regexp_replace(line, '^\[[^\]]+\]\s*', '') WHEN p > 0 AND p <= 81 THEN substr(line, p + 2) ELSE line END AS message FROM x""")
+def component_split(spark, d):
+    line = T.first_line(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", T.component(line).alias("component"), T.message(line).alias("message"))
+
+
+@query(f"SELECT 'e' AS kind, event_id AS id, level || '|' || component || '|' || {SIG.format(x='message')} AS signature FROM ({LOG}) UNION ALL SELECT 'd', doc_id, 'null||' || {SIG.format(x='split_part(text, chr(10), 1)')} FROM documents")
+def signature_normalize(spark, d):
+    e = parsed(spark, d).select(F.lit("e").alias("kind"), F.col("event_id").alias("id"), T.signature(F.col("level"), F.col("component"), F.col("message")).alias("signature"))
+    none = F.lit(None).cast("string")
+    return e.union(table(spark, d, "documents").select(F.lit("d"), "doc_id", T.signature(none, none, F.col("text"))))
+
+
+@query(f"SELECT doc_id, {COARSE.format(x='text')} AS coarse, substr(regexp_replace(text, '\\d+', '#', 'g'), 1, 100) AS error_key FROM documents")
+def coarse_signature(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.coarse_signature(F.col("text")).alias("coarse"), T.error_key(F.col("text")).alias("error_key"))
+
+
+_LISTS = f"""
+  SELECT signature, string_agg(v, ';' ORDER BY o) FILTER (k = 'f') AS files, string_agg(v, ';' ORDER BY o) FILTER (k = 'e') AS entities FROM (
+    SELECT signature, k, v, min(o) AS o FROM (
+      SELECT signature, 'f' AS k, file AS v, (file, event_id, 0) AS o FROM x
+      UNION ALL SELECT signature, 'e', unnest(e), (file, event_id, generate_subscripts(e, 1)) FROM (SELECT *, ['address:' || address, 'object:DeviceIpint.' || (user_id % 20), 'thread:' || thread] AS e FROM x)
+    ) GROUP BY ALL) GROUP BY signature"""
+
+
+@query(f"""
+WITH x AS (SELECT *, level || '|' || component || '|' || {SIG.format(x="message")} AS signature FROM ({LOG}) WHERE {CLASS} < 2)
+SELECT s.signature, s.level, s.component, s.sample, s.count, s.first_ts, s.last_ts, p.peak, p.peak >= 3 AS storm, l.files, l.entities
+FROM ({SIGS}) s JOIN ({PEAK}) p USING (signature) JOIN ({_LISTS.replace("(k = ", "(WHERE k = ")}) l USING (signature)""")
+def signature_reduce(spark, d):
+    s = signatures(spark, d)
+    return s.select("signature", "level", "component", "sample", "count", "first_ts", "last_ts", "peak", "storm", F.array_join("files", ";").alias("files"), F.array_join("entities", ";").alias("entities"))
+
+
+@query("""SELECT event_type, max(n) AS peak, max(n) >= 8 AS storm FROM (SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
+def storm_peaks(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
+    return records.peaks(e, "event_type", chars=13, storm=8)
+
+
+@query(f"SELECT count(*) FILTER (WHERE c = 0) AS errors, count(*) FILTER (WHERE c = 1) AS warnings, count(*) AS records, count(DISTINCT file) AS files FROM (SELECT *, {CLASS} AS c FROM ({LOG}))")
+def level_counters(spark, d):
+    return records.counters(parsed(spark, d))
+
+
+@query(f"SELECT event_id, 'address:' || address || ';object:DeviceIpint.' || (user_id % 20) || ';thread:' || thread AS entities FROM ({LOG})")
+def entity_extract(spark, d):
+    return parsed(spark, d).select("event_id", F.array_join(T.entities(F.col("address"), F.col("message"), F.col("thread")), ";").alias("entities"))
+
+
+@query(r"""
+WITH x AS (SELECT doc_id, list_slice(list_distinct_ordered, 1, 6) AS e FROM (
+  SELECT doc_id, list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN list_position(a, a[i]) = i THEN a[i] END), lambda v: v IS NOT NULL) AS list_distinct_ordered FROM (
+    SELECT doc_id, list_transform(regexp_extract_all(text, '\b([A-Za-z]{3,}(?:\.\d+){1,4})\b', 1), lambda v: 'object:' || v) || list_transform(regexp_extract_all(text, '(?i)(?:камер[а-я]*|canal|канал[а-я]*|camera|channel|device|устройств[а-я]*)\s*[#№:]?\s*(\d[A-Za-z0-9_.\-]*)', 1), lambda v: 'camera:' || v) AS a FROM documents)))
+SELECT kind, value, count(*) AS n FROM (SELECT split_part(v, ':', 1) AS kind, substr(v, instr(v, ':') + 1) AS value FROM (SELECT unnest(e) AS v FROM x)) GROUP BY 1, 2""")
+def entity_counts(spark, d):
+    none = F.lit(None).cast("string")
+    e = table(spark, d, "documents").select(F.explode(T.entities(none, F.col("text"), none)).alias("v"))
+    return e.groupBy(T.entity_kind(F.col("v")).alias("kind"), T.entity_value(F.col("v")).alias("value")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- rules
+
+_RULE = """
+  SELECT s.*, p.peak, p.peak >= 3 AS storm,
+    CASE WHEN component = 'Svc.1' AND level = 'ERROR' THEN 2 WHEN component = 'Svc.2' AND level = 'ERROR' THEN 3
+         WHEN level = 'WARN' AND p.peak >= 12 THEN 4 WHEN component = 'Svc.1' AND level = 'WARN' THEN 5 WHEN level = 'FATAL' THEN 6 END AS rule_ord
+  FROM (%s) s JOIN (%s) p USING (signature)""" % (SIGS, PEAK)
+_IDS = "CASE rule_ord WHEN 2 THEN 'svc-one' WHEN 3 THEN 'svc-two' WHEN 4 THEN 'busy' WHEN 5 THEN 'svc-one' WHEN 6 THEN 'signups' END"
+_META = f"SELECT *, {_IDS} AS rule_id, CASE rule_ord WHEN 2 THEN 'warning' WHEN 3 THEN 'critical' WHEN 4 THEN 'info' WHEN 5 THEN 'info' WHEN 6 THEN 'noise' END AS sev, CASE rule_ord WHEN 2 THEN 'cameras' WHEN 3 THEN 'network' WHEN 4 THEN 'license' ELSE 'other' END AS sub FROM ({_RULE})"
+_PROBLEMS = f"""
+  SELECT rule_id, arg_min(sev, (-count, first_seen)) AS severity, arg_min(sub, (-count, first_seen)) AS subsystem, CAST(sum(count) AS BIGINT) AS count, bool_or(storm) AS storm, least(count(*), 5) AS n_evidence FROM ({_META}) WHERE rule_id IS NOT NULL GROUP BY rule_id
+  UNION ALL SELECT NULL, severity, 'other', count, storm, 1 FROM (SELECT CASE level WHEN 'ERROR' THEN 'warning' ELSE 'info' END AS severity, count, storm FROM ({_RULE}) WHERE rule_ord IS NULL AND level IN ('ERROR', 'WARN') AND count >= 20 ORDER BY count DESC, first_seen LIMIT 8)"""
+
+
+def _matched(spark, d):
+    return rules.first_match(signatures(spark, d), rules.rule_base(RULES), "current")
+
+
+def _problems(spark, d):
+    return rules.problems(_matched(spark, d))
+
+
+@query(f"SELECT signature, rule_ord, {_IDS} AS rule_id FROM ({_RULE})")
+def rule_first_match(spark, d):
+    return _matched(spark, d).select("signature", F.col("rule.rule_ord").alias("rule_ord"), F.col("rule.id").alias("rule_id"))
+
+
+@query(f"SELECT rule_id, severity, subsystem, count, storm, n_evidence FROM ({_PROBLEMS})")
+def rule_problems(spark, d):
+    return _problems(spark, d).select("rule_id", "severity", "subsystem", "count", "storm", F.size("evidence").cast("long").alias("n_evidence"))
+
+
+@query(f"SELECT signature, count, CASE level WHEN 'ERROR' THEN 'warning' ELSE 'info' END AS severity, substr(sample, 1, 100) AS title FROM ({_RULE}) WHERE rule_ord IS NULL AND level IN ('ERROR', 'WARN') AND count >= 20 ORDER BY count DESC, first_seen LIMIT 8")
+def unknown_candidates(spark, d):
+    return rules.unknowns(_matched(spark, d)).select("signature", "count", "severity", "title")
+
+
+@query(f"SELECT CAST(coalesce(sum(count) FILTER (WHERE rule_ord = 6), 0) AS BIGINT) AS noise_lines FROM ({_RULE})")
+def noise_lines(spark, d):
+    return rules.noise_lines(_matched(spark, d))
+
+
+@query(f"SELECT CAST(greatest(5, least(100, 100 - coalesce(sum(CASE WHEN severity = 'critical' THEN 25 WHEN severity = 'warning' AND storm THEN 12 WHEN severity = 'warning' THEN 7 WHEN severity = 'info' THEN 2 ELSE 0 END), 0))) AS BIGINT) AS health, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM ({_PROBLEMS}) WHERE severity <> 'noise'")
+def health_score(spark, d):
+    return rules.health(_problems(spark, d))
+
+
+@query(f"SELECT subsystem, CAST(sum(n) AS BIGINT) AS count, CASE min(r) WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS worst FROM (SELECT subsystem, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS r, 1 AS n FROM ({_PROBLEMS}) WHERE severity <> 'noise' UNION ALL SELECT 'license', 0, 0) GROUP BY 1")
+def subsystem_tiles(spark, d):
+    return rules.tiles(_problems(spark, d), dongle_found=False)
+
+
+@query(f"SELECT severity, subsystem, count, storm, CASE WHEN rule_id IS NULL THEN 0.4 ELSE 0.8 END AS confidence FROM ({_PROBLEMS}) WHERE severity <> 'noise'")
+def report_findings(spark, d):
+    return report.findings(_problems(spark, d)).select("severity", "subsystem", "count", "storm", "confidence")
+
+
+# ---------------------------------------------------------------- correlations and equipment
+
+_CORR = """
+WITH i AS (SELECT event_type || '-' || (user_id % 50) AS id, (user_id % 50) * 10 + length(event_type) AS ord0, event_type AS subsystem, CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS rank, strftime(min(ts) OVER (PARTITION BY event_type, user_id % 50), '%Y-%m-%d %H:%M:%S') AS first_ts,
+  unnest(['thread:' || (user_id % 50), 'object:Dev.' || user_id, 'address:10.0.0.' || (user_id % 25)]) AS entity FROM events),
+o AS (SELECT id, dense_rank() OVER (ORDER BY id) AS ord, subsystem, rank, first_ts, entity FROM (SELECT DISTINCT id, subsystem, rank, first_ts, entity FROM i)),
+g AS (SELECT entity, split_part(entity, ':', 1) AS kind, count(*) AS n, count(DISTINCT subsystem) AS subs, min(rank) AS rank, min(first_ts) AS first_ts, max(first_ts) AS last_ts, string_agg(id, '>' ORDER BY first_ts, ord) AS chain, string_agg(id, '|' ORDER BY id) AS members, min((ord, entity)) AS seen FROM o GROUP BY entity HAVING count(*) BETWEEN 2 AND 8),
+b AS (SELECT members, arg_min(entity, (p, seen)) AS entity, min(seen) AS met FROM (SELECT *, CASE kind WHEN 'object' THEN 1 WHEN 'address' THEN 2 ELSE 3 END AS p FROM g WHERE kind <> 'thread' OR subs >= 2) GROUP BY members)
+SELECT g.entity, g.kind, CASE g.rank WHEN 1 THEN 'warning' WHEN 2 THEN 'info' ELSE 'noise' END AS severity, g.first_ts, g.last_ts, g.n AS n_steps, g.chain FROM b JOIN g ON g.entity = b.entity AND g.members = b.members ORDER BY g.rank, g.n DESC, g.first_ts, b.met LIMIT 8"""
+
+
+@query(_CORR)
+def problem_correlations(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    own = F.col("user_id") % 50
+    severity = F.when(F.col("event_type") == "error", "warning").when(F.col("event_type") == "purchase", "info").otherwise("noise")
+    entities = F.array(F.concat(F.lit("thread:"), own.cast("string")), F.concat(F.lit("object:Dev."), F.col("user_id").cast("string")), F.concat(F.lit("address:10.0.0."), (F.col("user_id") % 25).cast("string")))
+    items = e.select(F.concat("event_type", F.lit("-"), own.cast("string")).alias("id"), F.col("event_type").alias("subsystem"), severity.alias("severity"), "ts", entities.alias("e"))
+    by_id = items.groupBy("id", "subsystem", "severity").agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_ts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("e")))).alias("entities"))
+    # the ids stand for an order of problems
+    return correlate.correlations(by_id.withColumns({"ord": F.col("id"), "title": F.col("id")}))
+
+
+def _graph(spark, d):
+    """Orders refer to their customers, customers to the first of their household of three."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    order, cust = F.concat(F.lit("Order."), F.col("o_orderkey").cast("string")), lambda k: F.concat(F.lit("Cust."), k.cast("string"))
+    nodes = c.select(cust(F.col("c_custkey")).alias("key"), (F.col("c_custkey") * 2).alias("ord"), F.lit("Cust").alias("cls"), F.length("c_mktsegment").cast("long").alias("n_offers")).union(o.select(order, F.col("o_orderkey") * 2 + 1, F.lit("Order"), F.lit(1).cast("long")))
+    home = F.col("c_custkey") - F.col("c_custkey") % 3
+    links = o.select(order.alias("src"), cust(F.col("o_custkey")).alias("dst")).union(c.where(home != F.col("c_custkey")).select(cust(F.col("c_custkey")), cust(home)))
+    known = nodes.select(F.col("key").alias("dst"))
+    return nodes, links.join(known, "dst", "left_semi").select("src", "dst").distinct()
+
+
+_GRAPH = """
+WITH n AS (SELECT 'Cust.' || c_custkey AS key, c_custkey * 2 AS ord, 'Cust' AS cls, length(c_mktsegment) AS n_offers FROM customer UNION ALL SELECT 'Order.' || o_orderkey, o_orderkey * 2 + 1, 'Order', 1 FROM orders),
+l AS (SELECT DISTINCT src, dst FROM (SELECT 'Order.' || o_orderkey AS src, 'Cust.' || o_custkey AS dst FROM orders UNION ALL SELECT 'Cust.' || c_custkey, 'Cust.' || (c_custkey - c_custkey % 3) FROM customer WHERE c_custkey % 3 <> 0) WHERE dst IN (SELECT key FROM n)),
+home AS (SELECT key, CASE cls WHEN 'Cust' THEN CAST(substr(key, 6) AS BIGINT) END AS c FROM n WHERE cls = 'Cust'),
+own AS (SELECT n.key, n.ord, n.n_offers, n.cls, coalesce(h.c, hc.c) AS c FROM n LEFT JOIN home h ON h.key = n.key LEFT JOIN l ON l.src = n.key AND n.cls = 'Order' LEFT JOIN home hc ON hc.key = l.dst),
+g AS (SELECT *, CASE WHEN c IS NULL THEN key WHEN ('Cust.' || (c - c % 3)) IN (SELECT key FROM n) THEN 'h' || (c - c % 3) ELSE 'c' || c END AS grp FROM own),
+f AS (SELECT *, min(ord) OVER (PARTITION BY grp) AS first FROM g),
+k AS (SELECT *, dense_rank() OVER (ORDER BY first) - 1 AS component_id FROM f)"""
+
+
+@query(_GRAPH + " SELECT key, ord, component_id FROM k")
+def equipment_components(spark, d):
+    nodes, links = _graph(spark, d)
+    return inventory.components(nodes, links)
+
+
+@query(_GRAPH + ", deg AS (SELECT dst AS key, count(*) AS degree FROM l GROUP BY 1) SELECT component_id, arg_min(key, (-coalesce(degree, 0), -n_offers, ord)) AS hub, max(coalesce(degree, 0)) AS degree, count(*) AS size FROM k LEFT JOIN deg USING (key) GROUP BY component_id")
+def hub_objects(spark, d):
+    nodes, links = _graph(spark, d)
+    members = inventory.components(nodes, links).join(nodes.select("key", "n_offers"), "key")
+    return inventory.hubs(members, links)
+
+
+@query("SELECT p_type AS cls, count(*) AS count FROM part GROUP BY 1")
+def class_counts(spark, d):
+    return inventory.classes(table(spark, d, "part").withColumn("cls", F.col("p_type")))
+
+
+@query(f"SELECT e.event_id, e.entity, 'equipment:' || (u - u % 3) AS owner FROM (SELECT event_id, 'object:DeviceIpint.' || (user_id % 20) AS entity, user_id % 20 AS u FROM ({LOG})) e WHERE u % 4 <> 3")
+def entity_resolution(spark, d):
+    seen = parsed(spark, d).select("event_id", F.explode(T.entities(F.col("address"), F.col("message"), F.col("thread"))).alias("entity"))
+    n = spark.range(20).where("id % 4 <> 3")
+    alias = lambda owner, at: n.select(F.concat(F.lit("DEVICEIPINT."), F.col("id").cast("string")).alias("alias"), owner.alias("owner"), at.alias("ord"))
+    first = alias(F.concat(F.lit("equipment:"), (F.col("id") - F.col("id") % 3).cast("string")), F.col("id"))
+    later = alias(F.lit("equipment:late"), F.col("id") + 100)
+    return correlate.resolved(seen, first.union(later))
+
+
+# ---------------------------------------------------------------- timeline
+
+
+@query(f"SELECT seq, ts_ms, event_id, service, level FROM ({ORDERED})")
+def timeline_order(spark, d):
+    return events(spark, d).select("seq", "ts_ms", "event_id", "service", "level")
+
+
+_SPAN = f"(SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM ({LOG}))"
+
+
+@query(f"SELECT CAST(least(239, floor((ts_ms - lo) / CAST(greatest(1, hi - lo) AS DOUBLE) * 240)) AS INTEGER) AS bucket, service, count(*) FILTER (WHERE cls = 0) AS err, count(*) FILTER (WHERE cls = 1) AS warn, count(*) FILTER (WHERE cls = 2) AS other FROM ({ORDERED}), {_SPAN} GROUP BY 1, 2")
+def overview_histogram(spark, d):
+    e = events(spark, d)
+    return timeline.histogram(e, *timeline.bounds(e))
+
+
+@query(f"SELECT CAST(least(59, floor((ts_ms - a) / CAST(b - a AS DOUBLE) * 60)) AS INTEGER) AS bucket, service, count(*) FILTER (WHERE cls = 0) AS err, count(*) FILTER (WHERE cls = 1) AS warn, count(*) FILTER (WHERE cls = 2) AS other FROM ({ORDERED}), (SELECT lo + (hi - lo) // 4 AS a, lo + (hi - lo) // 2 AS b FROM {_SPAN}) WHERE ts_ms BETWEEN a AND b GROUP BY 1, 2")
+def overview_zoom(spark, d):
+    e = events(spark, d)
+    lo, hi = timeline.bounds(e)
+    return timeline.histogram(e, lo + (hi - lo) // 4, lo + (hi - lo) // 2, timeline.zoom_buckets(60))
+
+
+@query(f"SELECT service, count(*) AS events, row_number() OVER (ORDER BY count(*) DESC, min(seq)) - 1 AS lane FROM ({ORDERED}) GROUP BY service")
+def service_lanes(spark, d):
+    return timeline.lanes(events(spark, d))
+
+
+_HIST = f"SELECT CAST(least(239, floor((ts_ms - lo) / CAST(greatest(1, hi - lo) AS DOUBLE) * 240)) AS INTEGER) AS bucket, any_value(lo) AS lo, any_value(hi) AS hi, count(*) FILTER (WHERE event_type IN ('error', 'signup')) AS errors, count(*) FILTER (WHERE event_type = 'purchase') AS warn FROM (SELECT epoch_us(ts) // 1000 - (epoch_us(ts) // 1000) % 86400000 * (CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 0 END) AS ts_ms, event_type FROM events), (SELECT min(t) AS lo, max(t) AS hi FROM (SELECT epoch_us(ts) // 1000 - (epoch_us(ts) // 1000) % 86400000 * (CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 0 END) AS t FROM events)) GROUP BY 1"
+
+
+def _daily(spark, d):
+    """Events whose errors are moved to the start of their day, so that some buckets are storms."""
+    e = events(spark, d)
+    return e.withColumn("ts_ms", F.when(T.level_class(F.col("level")) == 0, F.col("ts_ms") - F.col("ts_ms") % 86400000).otherwise(F.col("ts_ms")))
+
+
+@query(f"SELECT bucket, errors, lo + CAST(floor((bucket + 0.5) / 240 * (hi - lo) + 0.5) AS BIGINT) AS ts_ms FROM ({_HIST}) WHERE errors >= greatest((SELECT sum(errors) FROM ({_HIST})) / 240.0 * 4, 20) ORDER BY errors DESC, bucket LIMIT 4")
+def bucket_storm_chapters(spark, d):
+    e = _daily(spark, d)
+    lo, hi = timeline.bounds(e)
+    return timeline.storm_chapters(timeline.histogram(e, lo, hi), lo, hi)
+
+
+@query(f"SELECT seq, ts_ms FROM (SELECT *, lag(ts_ms) OVER (ORDER BY ts_ms, seq) AS p FROM ({ORDERED}) WHERE cls = 0) WHERE p IS NULL OR ts_ms - p > 900000 ORDER BY seq LIMIT 10")
+def chapter_thinning(spark, d):
+    errors = events(spark, d).where(T.level_class(F.col("level")) == 0)
+    return timeline.thinned(errors, ["seq"], gap=900_000).select("seq", "ts_ms")
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY seq) AS i, seq, ts_ms FROM ({ORDERED}) WHERE level = 'FATAL'),
+w AS (SELECT i, seq, ts_ms, ts_ms AS last, true AS kept FROM c WHERE i = 1
+  UNION ALL SELECT c.i, c.seq, c.ts_ms, CASE WHEN c.ts_ms - w.last > 3600000 THEN c.ts_ms ELSE w.last END, c.ts_ms - w.last > 3600000 FROM w JOIN c ON c.i = w.i + 1)
+SELECT seq, ts_ms FROM w WHERE kept""")
+def restart_debounce(spark, d):
+    banners = events(spark, d).where("level = 'FATAL'")
+    return timeline.debounced(banners, gap=3_600_000, width=86_400_000).select("seq", "ts_ms")
+
+
+_MARKS = f"SELECT seq, ts_ms, lo, hi, CASE WHEN seq % 2 = 0 THEN 'restart' ELSE 'storm' END AS kind, (ts_ms - lo) / CAST(hi - lo AS DOUBLE) * 100 AS pct FROM ({ORDERED}), {_SPAN} WHERE level = 'FATAL' AND component = 'Svc.3'"
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY pct, seq) AS i FROM ({_MARKS})),
+w AS (SELECT i, pct, pct AS anchor, 1 AS k FROM c WHERE i = 1
+  UNION ALL SELECT c.i, c.pct, CASE WHEN c.pct - w.anchor < 2.5 THEN w.anchor ELSE c.pct END, CASE WHEN c.pct - w.anchor < 2.5 THEN w.k ELSE w.k + 1 END FROM w JOIN c ON c.i = w.i + 1)
+SELECT round(w.anchor, 6) AS pct, count(*) AS count, CASE WHEN bool_or(kind = 'storm') THEN 'storm' ELSE 'restart' END AS kind FROM w JOIN c ON c.i = w.i GROUP BY w.anchor""")
+def chapter_clusters(spark, d):
+    e = events(spark, d)
+    lo, hi = timeline.bounds(e)
+    marks = e.where("level = 'FATAL' and component = 'Svc.3'").select("ts_ms", F.when(F.col("seq") % 2 == 0, "restart").otherwise("storm").alias("kind"), F.col("seq").alias("ord"))
+    return player.clusters(marks, lo, hi).withColumn("pct", F.round("pct", 6))
+
+
+@query(f"""
+WITH h AS (SELECT CAST(least(239, floor((ts_ms - lo) / CAST(greatest(1, hi - lo) AS DOUBLE) * 240)) AS INTEGER) AS b, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM ({ORDERED}), {_SPAN} GROUP BY 1),
+g AS (SELECT r.b, coalesce(h.n, 0) AS n FROM (SELECT unnest(range(0, 240)) AS b) r LEFT JOIN h USING (b)),
+c AS (SELECT b, n, sum(n) OVER (ORDER BY b) AS upto FROM g),
+p AS (SELECT i.b AS i, j.b AS j FROM c i JOIN c j ON i.b <= j.b WHERE j.upto - i.upto + i.n >= 0.9 * (SELECT sum(n) FROM g)),
+s AS (SELECT i, j FROM p ORDER BY j - i, j LIMIT 1), x AS (SELECT i, j, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM s, {_SPAN})
+SELECT CAST(i AS INTEGER) AS first_bucket, CAST(j AS INTEGER) AS last_bucket, round(greatest(lo, lo + i / 240.0 * (hi - lo) - (j - i + 1) * (hi - lo) / 240.0 * 0.15), 1) AS start_ms, round(least(hi, lo + (j + 1) / 240.0 * (hi - lo) + (j - i + 1) * (hi - lo) / 240.0 * 0.15), 1) AS end_ms FROM x""")
+def focus_window(spark, d):
+    e = events(spark, d)
+    lo, hi = timeline.bounds(e)
+    out = player.focus(timeline.histogram(e, lo, hi), lo, hi)
+    return out.withColumns({"start_ms": F.round("start_ms", 1), "end_ms": F.round("end_ms", 1)})
+
+
+@query(f"SELECT seq, ts_ms, service, level FROM ({ORDERED}), {_SPAN} WHERE ts_ms BETWEEN lo + (hi - lo) // 3 AND lo + (hi - lo) // 2 AND service IN ('svc1', 'svc2') AND cls IN (0, 2)")
+def window_events(spark, d):
+    e = events(spark, d)
+    lo, hi = timeline.bounds(e)
+    return player.window(e, lo + (hi - lo) // 3, lo + (hi - lo) // 2, ["svc1", "svc2"], ["ERROR", "INFO"]).select("seq", "ts_ms", "service", "level")
+
+
+@query(f"SELECT seq, ts_ms FROM ({ORDERED}), (SELECT (SELECT count(*) FROM events) AS total, (SELECT count(*) FROM ({ORDERED}), {_SPAN} WHERE ts_ms < lo + (hi - lo) // 2) AS before) WHERE total <= 6000 OR (seq >= greatest(0, least(before - 3000, total - 6000)) AND seq < greatest(0, least(before - 3000, total - 6000)) + 6000)")
+def window_centered_cap(spark, d):
+    e = events(spark, d)
+    lo, hi = timeline.bounds(e)
+    return player.centered(e, lo + (hi - lo) // 2).select("seq", "ts_ms")
+
+
+@query(f"SELECT seq, event_id FROM ({ORDERED}) WHERE contains(lower(message), 'deviceipint.7') OR contains(lower(service), 'deviceipint.7') ORDER BY seq LIMIT 500")
+def search_keyword(spark, d):
+    return player.search(events(spark, d), "DeviceIpint.7").select("seq", "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)token\\s*=|license') ORDER BY doc_id LIMIT 500")
+def search_regex(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("seq"), F.col("text").alias("message"), F.lit("").alias("service"))
+    return player.search(docs, r"token\s*=|license", "regex").select("doc_id")
+
+
+_QUERY_VECTOR = "list_transform((SELECT embedding FROM embeddings WHERE vec_id = 0), lambda x: CAST(x AS DOUBLE))"
+
+
+@query(f"SELECT vec_id, round(s, 2) AS score FROM (SELECT vec_id, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_QUERY_VECTOR}) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 60) WHERE s > 0.2")
+def search_semantic(spark, d):
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id = 0").first()["embedding"]
+    return player.semantic(v, asked, "embedding", "vec_id").select("vec_id", "score")
+
+
+@query(f"SELECT service, coarse, min(ts_ms) AS ts_ms, min(seq) AS seq FROM (SELECT *, {COARSE.format(x='message')} AS coarse FROM ({ORDERED}) WHERE cls < 2) GROUP BY 1, 2 ORDER BY seq LIMIT 300")
+def significant_dedup(spark, d):
+    return timeline.significant(events(spark, d)).select("service", "coarse", "ts_ms", "seq")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE cls = 0) AS errors, count(*) FILTER (WHERE cls = 1) AS warns FROM ({ORDERED})")
+def explain_stats(spark, d):
+    return player.stats(events(spark, d))
+
+
+@query(f"SELECT text, count(*) AS count FROM (SELECT seq, substr(regexp_replace(message, '\\d+', '#', 'g'), 1, 100) AS text FROM ({ORDERED}) WHERE cls = 0) GROUP BY 1 ORDER BY count(*) DESC, min(seq) LIMIT 4")
+def top_error_texts(spark, d):
+    return player.top_errors(events(spark, d))
+
+
+@query(f"SELECT service, count(*) FILTER (WHERE cls = 0) AS errors, count(*) AS total FROM ({ORDERED}) GROUP BY 1 ORDER BY 2 DESC, 3 DESC, min(seq) LIMIT 5")
+def busiest_services(spark, d):
+    return player.busiest(events(spark, d))
+
+
+@query(f"SELECT a.event_id AS id, b.seq FROM (SELECT event_id, ts_ms + 137 AS t FROM ({ORDERED})) a ASOF JOIN (SELECT max(seq) AS seq, ts_ms FROM ({ORDERED}) WHERE cls = 0 GROUP BY ts_ms) b ON a.t >= b.ts_ms")
+def asof_current_line(spark, d):
+    e = events(spark, d)
+    heads = e.select(F.col("event_id").alias("id"), (F.col("ts_ms") + 137).alias("at"))
+    return player.as_of(heads, e.where(T.level_class(F.col("level")) == 0), ["seq"]).where("seq is not null")
+
+
+@query(f"SELECT p.event_id AS id, n.t AS next_ms, q.t AS prev_ms FROM (SELECT event_id, ts_ms, ts_ms + 1 AS up, ts_ms - 1 AS down FROM ({ORDERED})) p ASOF LEFT JOIN (SELECT DISTINCT ts_ms AS t FROM ({ORDERED}) WHERE cls = 0) n ON p.up < n.t ASOF LEFT JOIN (SELECT DISTINCT ts_ms AS t FROM ({ORDERED}) WHERE cls = 0) q ON p.down > q.t")
+def next_prev_error(spark, d):
+    e = events(spark, d)
+    heads = e.select(F.col("event_id").alias("id"), F.col("ts_ms").alias("at"))
+    errors = e.where(T.level_class(F.col("level")) == 0).select("ts_ms", "seq", F.col("ts_ms").alias("t"))
+    ahead = player.as_of(heads, errors, ["t"], ahead=True, dead_zone=player.DEAD_ZONE).withColumnRenamed("t", "next_ms")
+    behind = player.as_of(heads, errors, ["t"], dead_zone=player.DEAD_ZONE + 1).withColumnRenamed("t", "prev_ms")
+    return ahead.join(behind, "id")
+
+
+@query(f"SELECT seq, ts_ms, next_ts_ms FROM (SELECT seq, ts_ms, lead(ts_ms) OVER (ORDER BY seq) AS next_ts_ms FROM ({ORDERED})) WHERE next_ts_ms - ts_ms > 600000")
+def silence_gaps(spark, d):
+    e = events(spark, d).select("seq", "ts_ms")
+    return timeline.with_previous(e, ["seq"], ["ts_ms"], ahead=True).where(F.col("next_ts_ms") - F.col("ts_ms") > 600_000)
+
+
+@query(f"SELECT bucket, service, n, round(CASE WHEN n > 0 THEN greatest(14.0, ln(1 + n) / ln(1 + m) * 100) ELSE 0 END, 6) AS height FROM (SELECT *, max(n) OVER (PARTITION BY service) AS m FROM (SELECT CAST(least(239, floor((ts_ms - lo) / CAST(greatest(1, hi - lo) AS DOUBLE) * 240)) AS INTEGER) AS bucket, service, count(*) AS n FROM ({ORDERED}), {_SPAN} GROUP BY 1, 2))")
+def lane_heights(spark, d):
+    e = events(spark, d)
+    h = timeline.histogram(e, *timeline.bounds(e)).select("bucket", "service", (F.col("err") + F.col("warn") + F.col("other")).alias("n"))
+    most = h.groupBy("service").agg(F.max("n").alias("m"))
+    return h.join(most, "service").select("bucket", "service", "n", F.round(T.lane_height(F.col("n"), F.col("m")), 6).alias("height"))
+
+
+# ---------------------------------------------------------------- texts, metadata, reports
+
+
+@query(r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') AS v FROM documents),
+p AS (SELECT doc_id, generate_subscripts(v, 1) AS i, unnest(v) AS v FROM m),
+t AS (SELECT v, '<ip-' || row_number() OVER (ORDER BY min((doc_id, i))) || '>' AS token FROM p GROUP BY v)
+SELECT doc_id, string_agg(token, ';' ORDER BY i) AS tokens FROM p JOIN t USING (v) GROUP BY doc_id""")
+def redact_tokens(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out, _ = redact.redacted(docs, "doc_id", "text", ("ip",))
+    return out.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"<ip-\d+>"), F.lit(0)), ";").alias("tokens")).where("tokens <> ''")
+
+
+@query(r"""
+WITH a AS (SELECT doc_id, regexp_replace(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', '<ip-0>', 'g') AS t, regexp_extract_all(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') AS ip FROM documents),
+b AS (SELECT doc_id, ip, t, regexp_extract_all(t, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b') AS email FROM a)
+SELECT 'ip' AS kind, count(DISTINCT v) AS n FROM (SELECT unnest(ip) AS v FROM b) UNION ALL SELECT 'email', count(DISTINCT v) FROM (SELECT unnest(email) AS v FROM b)""")
+def redact_counts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    _, mapping = redact.redacted(docs, "doc_id", "text", ("ip", "email"))
+    return mapping.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('O', 'P') AND contains(lower(o_orderpriority), 'urgent') ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 10")
+def history_page(spark, d):
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("product"))
+    return player.history(jobs, ["O", "P"], "URGENT", page=2, columns=("product",)).select("id", "status")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size >= 5 THEN 'current' WHEN p_size IN (3, 4) THEN 'legacy' ELSE 'unknown' END AS family FROM part")
+def version_family(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), T.family(F.concat(F.col("p_size").cast("string"), F.lit(".1.x"))).alias("family"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'One' WHEN p_size BETWEEN 40 AND 49 OR p_size = 4 THEN 'Four' WHEN p_size % 5 = 1 THEN p_brand ELSE 'Unknown product' END AS product FROM part")
+def product_resolution(spark, d):
+    p = table(spark, d, "part")
+    logs = F.when(F.col("p_size") % 5 == 0, F.array(F.lit("Zed.log"), F.lit("ONE.log"))).when(F.col("p_size") % 5 == 1, F.array(F.concat("p_brand", F.lit("-long.log")), F.concat("p_brand", F.lit(".LOG")))).otherwise(F.array().cast("array<string>"))
+    bundles = p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("version"), logs.alias("head_logs"))
+    schema = "entry_ord int, product string, brand_key string, head_log string, version_prefix string, family string"
+    defaults = spark.createDataFrame([(0, "Old", "one", "one.log", None, None)], schema)
+    active = spark.createDataFrame([(0, "One", "ONE", "One.log", None, None), (1, "Four", None, None, "4", None)], schema)
+    return report.product(bundles, report.registry(defaults, active)).select("id", "product")
+
+
+@query("SELECT s_suppkey AS id, 'C: ' || s_name AS name, floor(abs(s_acctbal)) + 0.5 AS total_mb, CAST(s_suppkey % 90 AS DOUBLE) AS free_mb, (s_suppkey % 90) / (floor(abs(s_acctbal)) + 0.5) < 0.05 AS low FROM supplier")
+def facts_disks(spark, d):
+    s = table(spark, d, "supplier")
+    total = F.concat(F.floor(F.abs("s_acctbal")).cast("string"), F.lit(",5"))
+    text = F.concat(F.lit("head\nName - C: "), "s_name", F.lit("\nTotal size - "), total, F.lit(" Mb\nTotal free space - "), (F.col("s_suppkey") % 90).cast("string"), F.lit(" Mb\n"))
+    return report.disks(s.select(F.col("s_suppkey").alias("id"), text.alias("text")), "id", "text").select("id", "name", "total_mb", "free_mb", "low")
+
+
+@query("SELECT 'Device.Ipint.' || s_suppkey AS key, 'Device.Ipint' AS cls, CAST(s_suppkey AS VARCHAR) AS instance, s_name AS name, '10.0.0.' || (s_suppkey % 250) AS ip, 'device.ipint.' || s_suppkey || ';10.0.0.' || (s_suppkey % 250) || ';10.0.0.' || (s_suppkey % 250) || ':80' AS aliases, 'Archive.' || s_nationkey AS refs FROM supplier")
+def config_object_parse(spark, d):
+    s = table(spark, d, "supplier")
+    c = lambda x: F.col(x).cast("string")
+    main = F.concat(F.lit("<ipAddress>10.0.0."), (F.col("s_suppkey") % 250).cast("string"), F.lit("</ipAddress><port> 80 </port><value>Archive."), c("s_nationkey"), F.lit("/Source.video:0:0</value><value>Bus.1/EventChannel</value>"))
+    offers = F.concat(F.lit("<type>A</type> <interface>x</interface><name>friendly_name</name><value> </value><name>friendly_name</name><value>"), "s_name", F.lit("</value>"))
+    confs = s.select(F.concat(F.lit("Device.Ipint."), c("s_suppkey")).alias("key"), main.alias("main"), F.lit(None).cast("string").alias("meta"), offers.alias("offers"))
+    return inventory.objects(confs).select("key", "cls", "instance", "name", "ip", F.array_join("aliases", ";").alias("aliases"), F.array_join("raw_refs", ";").alias("refs"))
+
+
+@query("SELECT grp, title, url, place FROM (SELECT grp, title, url, row_number() OVER (PARTITION BY grp ORDER BY page_id) AS place FROM (SELECT page_id % 7 AS grp, arg_min(CAST(page_id AS VARCHAR), page_id) AS title, split_part(url, '/', 3) AS url, min(page_id) AS page_id FROM pages GROUP BY 1, 3)) WHERE place <= 6")
+def source_dedup(spark, d):
+    p = table(spark, d, "pages").select((F.col("page_id") % 7).alias("grp"), F.col("page_id").cast("string").alias("title"), F.element_at(F.split("url", "/"), 3).alias("url"), F.col("page_id").alias("ord"))
+    return report.sources(p, "grp", "ord")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
