@@ -75,13 +75,15 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
     tree = turns.join(before, ["conv_id", "turn"], "left").join(replies, ["conv_id", "turn"], "left")
     up = F.coalesce("quoted_turn", "previous")
-    tree = written(tree.select("conv_id", "turn", up.alias("reply_to"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), F.coalesce(up, F.col("turn")).alias("top"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth")), "quotes-tree")
-    while True:  # each round a message jumps to where its ancestor has got
-        above = tree.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        new = written(tree.join(above, ["conv_id", "top"]).select("conv_id", "turn", "reply_to", "n_linked", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("next") != F.col("top")).alias("moved")), "quotes-tree")
-        tree = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            break
+    start = [up.alias("reply_to"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), F.coalesce(up, F.col("turn")).alias("top"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth"), up.isNull().alias("done")]
+    tree = written(tree.select("conv_id", "turn", *start), "quotes-tree")
+    settled, active = tree.where("done"), tree.where("not done")
+    while active.limit(1).count():  # a message jumps to where its ancestor has got, and is done when that one is
+        above = settled.union(active).select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        jumped = active.join(above, ["conv_id", "top"]).select("conv_id", "turn", "reply_to", "n_linked", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        new = written(jumped, "quotes-tree")
+        settled, active = settled.union(new.where("done")), new.where("not done")
+    tree = settled.drop("done")
 
     out = rows.join(tree, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "reply_to", F.coalesce("top", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), F.size("quotes").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "clean_text")
