@@ -20,7 +20,7 @@ from logloom.llm.common import texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces in a block.
-BLOCK = 2048
+BLOCK = 512
 #: A rest is cut into pieces of at most this share of a window: the finer, the nearer to equal the windows become.
 FINE = 8
 
@@ -31,9 +31,9 @@ _PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]*")
 class WordTokenizer:
     """ids of a text by a tokenizers file whose pre-tokenizer drops white space: each distinct word is encoded once, many in one call."""
 
-    MOST = 1_000_000
-    #: A character that no plain text has; its bytes' ids part the words of one call.
-    MARK = "\ue000"
+    MOST = 1_500_000
+    #: A character that no plain text has; its id parts the words of one call.
+    MARK = "\x01"
 
     def __init__(self, path: str):
         import os
