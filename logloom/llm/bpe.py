@@ -25,9 +25,11 @@ from logloom.llm.common import texts
 #: The code points of Unicode's White_Space, which the pattern's \s means.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run of documents that becomes one row ends after so many characters.
-RUN_CHARS = 24 << 20
+RUN_CHARS = 12 << 20
 #: Longer pieces would cost the fold the square of their length; a heap merges those.
-LONG_PIECE = 400
+LONG_PIECE = 250
+#: More than the places in such a piece.
+SPOTS = 256
 BUCKETS = 1 << 14
 NO_RANK = 2147483647
 
@@ -59,43 +61,42 @@ def bind(x: Column, then) -> Column:
 def folded(word: Column, maps: Column) -> Column:
     """The ids of one piece (binary): its bytes, then again and again the leftmost pair of least rank merged.
 
-    The fold's state: c, where each part of the piece begins (1-based, and one past the end); r, the rank of each pair of neighbours; m, the least of those.
+    The fold's state is one array<long>: for each part the rank of its pair with the next part, times SPOTS, plus where the part begins. So its least element is the pair to merge. One element before the first part and two after the last have no pair.
     """
+    none = NO_RANK * SPOTS
 
     def rank(x: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(maps, (F.crc32(x) % BUCKETS).cast("int")), F.hex(x)), F.lit(NO_RANK))
+        return F.coalesce(F.try_element_at(F.get(maps, (F.crc32(x) % BUCKETS).cast("int")), F.hex(x)), F.lit(NO_RANK)).cast("long")
 
-    def between(c: Column, i: Column, j: Column) -> Column:
-        return F.substring(word, F.get(c, i), F.get(c, j) - F.get(c, i))
+    def spot(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(SPOTS - 1)).cast("int")
 
-    def pair(c: Column, i: Column) -> Column:
-        return F.array(rank(between(c, i, i + 2)))
+    n = F.octet_length(word)
 
-    def state(c: Column, r: Column) -> Column:
-        return bind(r, lambda r: F.struct(c.alias("c"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(NO_RANK)).alias("m")))
+    def pair(start: Column, end: Column) -> Column:
+        """The element of a part that begins at start, whose pair ends before end."""
+        return rank(F.substring(word, start + 1, end - start)) * SPOTS + start
 
-    def merge_at(s: Column, i: Column) -> Column:  # the i-th pair, 1-based
-        c, r = s["c"], s["r"]
-        n = F.size(r)
-        cuts = F.concat(F.slice(c, F.lit(1), i), F.slice(c, i + 2, n + 2))
+    def merge_at(a: Column, i: Column) -> Column:  # the i-th element, 1-based, and the one after it
+        def put(p: Column) -> Column:  # where the parts around begin: before, here, after both, after that
+            left = F.when(i > 2, pair(p[0], p[2])).otherwise(F.lit(none))
+            here = F.when(p[2] < n, pair(p[1], p[3])).otherwise(none + p[1])
+            return F.concat(F.slice(a, F.lit(1), i - 2), F.array(left, here), F.slice(a, i + 2, n + 3))
 
-        def pairs(c: Column) -> Column:
-            left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), pair(c, i - 2))).otherwise(none)
-            right = F.when(i < n, F.concat(pair(c, i - 1), F.slice(r, i + 2, n))).otherwise(none)
-            return F.concat(left, right)
+        return bind(F.array(spot(F.get(a, i - 2)), spot(F.get(a, i - 1)), spot(F.get(a, i + 1)), spot(F.get(a, i + 2))), put)
 
-        return bind(cuts, lambda c: state(c, pairs(c)))
+    def step(a: Column, _: Column) -> Column:
+        least = F.array_min(a)
+        return F.when(least < none, bind(F.array_position(a, least).cast("int"), lambda i: merge_at(a, i))).otherwise(a)
 
-    def step(s: Column, _: Column) -> Column:
-        return F.when(s["m"] < NO_RANK, bind(F.array_position(s["r"], s["m"]).cast("int"), lambda i: merge_at(s, i))).otherwise(s)
+    def parts(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(a) - 3), lambda i: rank(F.substring(word, spot(F.get(a, i)) + 1, spot(F.get(a, i + 1)) - spot(F.get(a, i)))).cast("int"))
 
-    def parts(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(s["r"])), lambda i: rank(between(s["c"], i, i + 1)))
-
-    n, none = F.octet_length(word), F.array().cast("array<int>")
-    start = state(F.sequence(F.lit(1), n + 1), F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, F.lit(2)))))
-    merged = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, parts)
-    return F.when(n == 0, none).otherwise(bind(rank(word), lambda r: F.when((r < NO_RANK) | (n == 1), F.array(r)).otherwise(merged)))
+    ends = [F.array(F.lit(none)), F.array(none + n, none + n)]
+    bytes_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i + 1 < n, pair(i, i + 2)).otherwise(none + i))
+    merged = F.aggregate(F.sequence(F.lit(1), n - 1), F.concat(ends[0], bytes_, ends[1]), step, parts)
+    empty = F.array().cast("array<int>")
+    return F.when(n == 0, empty).otherwise(bind(rank(word).cast("int"), lambda r: F.when((r < NO_RANK) | (n == 1), F.array(r)).otherwise(merged)))
 
 
 def joined(ids: Column, by_id: Column) -> Column:
