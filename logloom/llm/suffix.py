@@ -26,8 +26,8 @@ ANCHOR = 256
 #: Windows looked at together; positions among them take 22 bits.
 SPAN = 1 << 21
 #: Symbols in a shard, and in what a task merges at once unless one anchor alone has more.
-SHARD = 1 << 18
-MERGE = 1 << 20
+SHARD = 1 << 16
+MERGE = 1 << 18
 #: From so many different segments on, an anchor is split by blocks of SPLIT windows, then by single windows.
 CROWD = (256, 1 << 16)
 SPLIT = 16
