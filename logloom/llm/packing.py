@@ -31,7 +31,7 @@ _PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]*")
 class WordTokenizer:
     """ids of a text by a tokenizers file whose pre-tokenizer drops white space: each distinct word is encoded once, many in one call."""
 
-    MOST = 1_500_000
+    MOST = 500_000
     #: A character that no plain text has; its id parts the words of one call.
     MARK = "\x01"
 
@@ -43,8 +43,7 @@ class WordTokenizer:
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # a worker process serves many tasks: what it has learnt stays with the library it came from
-        self.known: dict[str, bytes] = tokenizers.__dict__.setdefault("_words_of", {}).setdefault(path, {})
+        self.known: dict[str, bytes] = {}
         self.mark = np.array(self.ids(self.MARK), np.uint32)
 
     def ids(self, text: str) -> list[int]:
