@@ -24,7 +24,11 @@ def quoted(name: str) -> Column:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string), whatever else the input has; a null text counts as empty."""
+    """(doc_id long, text string), whatever else the input has; a null text counts as empty.
+
+    Texts are long rows: the session's Arrow batches are made smaller, so that a worker holds few megabytes at once.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
 
 
@@ -69,7 +73,7 @@ def dropped(df: DataFrame) -> None:
 class WordHash(dict):
     """word (bytes) -> 64-bit hash, remembered while there are few enough words."""
 
-    MOST = 1 << 20
+    MOST = 1 << 18
 
     def __missing__(self, word):
         if len(self) >= self.MOST:
