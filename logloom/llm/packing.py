@@ -31,7 +31,8 @@ _PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]*")
 class WordTokenizer:
     """ids of a text by a tokenizers file whose pre-tokenizer drops white space: each distinct word is encoded once, many in one call."""
 
-    MOST = 500_000
+    #: Words of the younger of two generations; the older one goes when the younger is full.
+    MOST = 400_000
     #: A character that no plain text has; its id parts the words of one call.
     MARK = "\x01"
 
@@ -43,7 +44,9 @@ class WordTokenizer:
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        # a worker process serves many tasks: what it has learnt stays with the library it came from
+        self.store: dict[str, dict[str, bytes]] = tokenizers.__dict__.setdefault("_words_of", {}).setdefault(path, {"young": {}, "old": {}})
+        self.known = self.store["young"]
         self.mark = np.array(self.ids(self.MARK), np.uint32)
 
     def ids(self, text: str) -> list[int]:
@@ -68,12 +71,16 @@ class WordTokenizer:
         import unicodedata
 
         if len(self.known) > self.MOST:
-            self.known.clear()
+            self.store["old"], self.store["young"] = self.known, {}
+            self.known = self.store["young"]
         words = [t.lower().split() if _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) else None for t in texts_]
         seen: set[str] = set()
         for w in words:
             seen.update(w or ())
-        self.learn([w for w in seen if w not in self.known])
+        old = self.store["old"]
+        new = seen - self.known.keys()
+        self.known.update((w, old[w]) for w in new & old.keys())
+        self.learn([w for w in new if w not in old])
         return [np.array(self.ids(t), np.uint32) if w is None else np.frombuffer(b"".join(map(self.known.__getitem__, w)), np.uint32) for t, w in zip(texts_, words, strict=True)]
 
 
