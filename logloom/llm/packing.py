@@ -32,7 +32,7 @@ class WordTokenizer:
     """ids of a text by a tokenizers file whose pre-tokenizer drops white space: each distinct word is encoded once, many in one call."""
 
     #: Words of the younger of two generations; the older one goes when the younger is full.
-    MOST = 400_000
+    MOST = 700_000
     #: A character that no plain text has; its id parts the words of one call.
     MARK = "\x01"
 
