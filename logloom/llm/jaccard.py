@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, WordHash, boundaries, by_ids, components, mix, ranges, texts, written
+from logloom.llm.common import U64, WordHash, boundaries, by_ids, components, lean, mix, ranges, texts, written
 
 WORDS = 5
 #: A shingle in this many prefixes is frequent; at most so many frequent ones are put last, those of the highest counts (16 bytes each).
@@ -146,7 +146,7 @@ def frequent(rows: DataFrame, buckets: int, k: int = WORDS, percent: int = 75, o
         keep = n >= often
         return pa.table({"token": pa.array(v[keep].view(np.int64)), "n": pa.array(n[keep])})
 
-    got = rows.mapInArrow(counted, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(summed, "token long, n long")
+    got = rows.mapInArrow(lean(counted), "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(summed, "token long, n long")
     top = got.orderBy(F.desc("n"), "token").limit(most).toArrow()
     token, n = top.column("token").to_numpy().view(U64), top.column("n").to_numpy()
     by_hash = np.argsort(token)
@@ -169,7 +169,7 @@ def signatures(rows: DataFrame, order, k: int = WORDS, percent: int = 75) -> Dat
             blobs = [pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.array(prefix, pa.binary())]
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(group, pa.int64()), *blobs], names=["doc_id", "n", "sig", "gkey", "bits", "prefix"])
 
-    return rows.mapInArrow(made, "doc_id long, n long, sig long, gkey long, bits binary, prefix binary")
+    return rows.mapInArrow(lean(made), "doc_id long, n long, sig long, gkey long, bits binary, prefix binary")
 
 
 def lists(signed: DataFrame, buckets: int, percent: int = 75) -> DataFrame:
@@ -223,7 +223,7 @@ def lists(signed: DataFrame, buckets: int, percent: int = 75) -> DataFrame:
         at = ranges(np.array([x for x, _ in seen.values()], np.int64), np.array([n for _, n in seen.values()], np.int64))
         return pa.table({"lid": pa.array(lid, pa.int64()), "gkey": pa.array(grp[at], pa.int64())})
 
-    found = signed.where("n > 0").select("gkey", "n", "prefix").mapInArrow(posted, "bucket int, tokens binary, groups binary, sizes binary").groupBy("bucket").applyInArrow(listed, "lid long, gkey long")
+    found = signed.where("n > 0").select("gkey", "n", "prefix").mapInArrow(lean(posted), "bucket int, tokens binary, groups binary, sizes binary").groupBy("bucket").applyInArrow(listed, "lid long, gkey long")
     return found.distinct()
 
 
@@ -316,9 +316,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int = WORDS, percent: int = 7
             ok = 100 * both >= percent * union
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok)), pa.array(both[ok], pa.int64())], names=["a", "b", "shared"])
 
-    blobs = by_ids(docs, "doc_id", wanted, "left_semi").mapInArrow(packed, "doc_id long, z binary").groupBy("doc_id").agg(F.min("z").alias("z"))
+    blobs = by_ids(docs, "doc_id", wanted, "left_semi").mapInArrow(lean(packed), "doc_id long, z binary").groupBy("doc_id").agg(F.min("z").alias("z"))
     left, right = blobs.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), blobs.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb").mapInArrow(shared, "a long, b long, shared long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb").mapInArrow(lean(shared), "a long, b long, shared long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = 75, often: int = OFTEN, buckets: int | None = None, block: int = LIST) -> tuple[DataFrame, DataFrame]:

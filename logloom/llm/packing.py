@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from logloom.llm.common import texts
+from logloom.llm.common import lean, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces in a block.
@@ -185,4 +185,4 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         put(pack(rest, capacity), held)
         yield flush()
 
-    return texts(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), PIECES)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, WordHash, mix, quoted, texts
+from logloom.llm.common import U64, WordHash, lean, mix, quoted, texts
 
 #: Features are hashed to so many slots; a dense array of weights takes 4 bytes a slot.
 SLOTS = 1 << 20
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         m = learner.model()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.slots, SLOTS)), pa.array(np.append(m.weights.astype(float), m.bias))], names=["slot", "weight"])
 
-    got = rows.mapInArrow(featured, "doc_id long, y int, slots binary").repartition(1).mapInArrow(trained, "slot long, weight double").collect()
+    got = rows.mapInArrow(lean(featured), "doc_id long, y int, slots binary").repartition(1).mapInArrow(lean(trained), "slot long, weight double").collect()
     weights = sorted((r["slot"], r["weight"]) for r in got)
     if not weights:
         return Model(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32))
@@ -144,4 +144,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kept = [f"_k{i}" for i in range(len(keep))]
     given = docs.select(quoted(id_col).cast("long").alias("_id"), F.coalesce(quoted(text_col), F.lit("")).alias("_text"), *(quoted(c).alias(k) for c, k in zip(keep, kept, strict=True)))
     schema = given.drop("_text").schema.add("_score", "double")
-    return given.mapInArrow(scored, schema).select(F.col("_id").alias("doc_id"), *(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True) if c != "doc_id"), F.col("_score").alias("score"))
+    return given.mapInArrow(lean(scored), schema).select(F.col("_id").alias("doc_id"), *(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True) if c != "doc_id"), F.col("_score").alias("score"))
