@@ -61,7 +61,10 @@ def exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     digest = F.unhex(hexed if digest_chars == 64 else F.substring(hexed, 1, digest_chars))
     landed = written(rows.select("doc_id", digest.alias("digest"), F.unhex(hexed).alias("sha"), F.input_file_name().alias("locator")), "dedup-rows")
     state = keyed_state(landed.select("digest", "doc_id", "locator", "sha"), batch_bytes)
-    found = written(landed.select("doc_id", "digest", "sha").join(state.drop("locator"), "digest", "left"), "dedup-found")
+    # only digests of several rows are joined; as a table of their own, so that a skewed join can be split
+    several = written(state.where("n > 1").drop("locator"), "dedup-several")
+    joined = landed.select("doc_id", "digest", "sha").join(several, "digest", "left")
+    found = written(joined.select("doc_id", "digest", "sha", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n")), "dedup-found")
 
     hits = found.where("n > 1 and not doc_id <=> keep_id").select("doc_id", "digest", "keep_id").where("doc_id is not null").distinct()
     wanted = hits.select("doc_id").union(hits.select("keep_id")).distinct()
