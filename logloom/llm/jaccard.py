@@ -334,10 +334,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     groups = classes.groupBy("gkey").agg(F.count("*").alias("classes"))
     within = groups.where("classes > 1").select(F.col("gkey").alias("lid"), "gkey")
     found = written(lists(signed, buckets, percent).union(within), "jaccard-lists")
-    sizes = found.join(groups, "gkey").groupBy("lid").agg(F.sum("classes").alias("total"))
+    # a table of its own, so that the join of a list of many groups can be split
+    sizes = written(found.join(groups, "gkey").groupBy("lid").agg(F.sum("classes").alias("total")).where("total > 1"), "jaccard-sizes")
     blocks = F.ceil(F.col("total") / (block // 2)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = found.join(sizes, "lid").where("total > 1").join(classes.select("gkey", "rep", "n", "bits"), "gkey").withColumn("blocks", F.when(F.col("total") > block, blocks).otherwise(1)).withColumn("own", own)
+    dealt = found.join(sizes, "lid").join(classes.select("gkey", "rep", "n", "bits"), "gkey").withColumn("blocks", F.when(F.col("total") > block, blocks).otherwise(1)).withColumn("own", own)
     members = written(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "n", "bits"), "jaccard-members")
 
     forest = members.groupBy("lid", "x", "y").applyInArrow(_candidates(False, percent), "a long, b long").distinct()
