@@ -1,6 +1,6 @@
 """Conversations by quotation links. DataFrame functions only.
 
-Every line of a message has a quote level, the number of its leading `>` marks. A quoted passage is a run of lines of one level. Passages are normalised (lower case, runs of white space as one space) and hashed; a message offers the hashes of its whole own text, of its paragraphs and of its lines, and a passage is linked to the latest earlier message of the conversation that offers its hash. A message replies to the message that its shallowest linked passage comes from, without one to the message before it (turn - 1), if there is one. Replies give a tree; its roots and depths come from pointer doubling, so a long chain takes a logarithmic number of rounds. The order key (root, depth, turn) sorts each conversation so that a reply follows what it replies to; the texts are those without quotes.
+Every line of a message has a quote level, the number of its leading `>` marks. A quoted passage is a run of lines of one level. Passages are normalised (lower case, runs of white space as one space) and hashed; a message offers the hashes of its whole own text, of its paragraphs and of its lines, and of the runs of two or more consecutive lines or paragraphs that are as long as a passage of the conversation; blank lines don't count. A passage is linked to the latest earlier message of the conversation that offers it as a whole, as its lines or as its paragraphs; a part of a line isn't offered. A message replies to the message that its shallowest linked passage comes from, without one to the message before it (turn - 1), if there is one. Replies give a tree; its roots and depths come from pointer doubling, so a long chain takes a logarithmic number of rounds. The order key (root, depth, turn) sorts each conversation so that a reply follows what it replies to; the texts are those without quotes.
 
 Joins are on conversation and hash, or conversation and turn, so one huge conversation is spread over all tasks.
 
@@ -49,6 +49,28 @@ def _offered(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(units, normalised), lambda u: u != ""))
 
 
+def _units(text: Column) -> list[tuple[str, Column]]:
+    """Normalised lines and paragraphs, none empty, each with what joins a run of them: normalised texts hold no line break."""
+    split = lambda at: F.filter(F.transform(F.split(text, at, -1), normalised), lambda u: u != "")
+    return [("\n", split(r"\r?\n")), ("\n\n", split(r"\r?\n[\x20\t]*\r?\n"))]
+
+
+def _asked(text: Column) -> Column:
+    """A passage as a whole, and as runs of its lines and paragraphs if there are several; with the number of units of a run."""
+    runs = [F.struct(F.when(F.size(u) > 1, F.array_join(u, by)).alias("u"), F.size(u).alias("n"), F.lit(by).alias("by")) for by, u in _units(text)]
+    return F.filter(F.array(F.struct(normalised(text).alias("u"), F.lit(1).alias("n"), F.lit("").alias("by")), *runs), lambda x: x["u"].isNotNull())
+
+
+def _runs(units: Column, by: str, lengths: Column) -> Column:
+    """The runs of consecutive units of each of the lengths."""
+
+    def of(n: Column) -> Column:
+        starts = F.when(F.size(units) >= n, F.sequence(F.lit(1), F.size(units) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(units, i, n), by))
+
+    return F.flatten(F.transform(lengths, of))
+
+
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """For each message: conv_id, turn, role, reply_to (a turn), root (a turn), depth, n_quoted (passages), n_linked, clean_text."""
     text = F.coalesce(quoted(text_col), F.lit(""))
@@ -56,16 +78,23 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     lines = F.when(F.col("text").contains(">"), parsed(F.col("text")))
     rows = rows.withColumn("_lines", lines)
     clean = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(own_text(F.col("_lines")))
-    quoted_ = F.filter(F.transform(F.filter(passages(F.col("_lines")), lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), normalised(p["t"]).alias("t"))), lambda p: p["t"] != "")
+    quoted_ = F.filter(F.transform(F.filter(passages(F.col("_lines")), lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), p["t"].alias("t"))), lambda p: normalised(p["t"]) != "")
     none = F.array().cast("array<struct<level:int,t:string>>")
     rows = written(rows.select("conv_id", "turn", "role", clean.alias("clean_text"), F.coalesce(quoted_, none).alias("quotes")), "quotes-messages")
 
-    asked = rows.where("size(quotes) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("quotes").alias("i", "q")).select("conv_id", "turn", "i", F.col("q.level").alias("level"), F.sha2("q.t", 256).alias("hash")).distinct()
+    asked = rows.where("size(quotes) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("quotes").alias("i", "q"))
+    asked = asked.select("conv_id", "turn", "i", F.col("q.level").alias("level"), F.explode(_asked(F.col("q.t"))).alias("x")).select("conv_id", "turn", "i", "level", "x.n", "x.by", F.sha2("x.u", 256).alias("hash")).distinct()
     asked = written(asked, "quotes-asked")
     wanted = asked.select("conv_id", "hash").distinct()
-    offers = rows.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("source"), F.explode(_offered(F.col("clean_text"))).alias("u")).select("conv_id", "source", F.sha2("u", 256).alias("hash"))
+    own = rows.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("source"), "clean_text")
     if asked.limit(1).count():
-        offers = offers.join(wanted, ["conv_id", "hash"], "left_semi").distinct()
+        offers = own.select("conv_id", "source", F.explode(_offered(F.col("clean_text"))).alias("u"))
+        # a table of its own, so that the join of a huge conversation can be split
+        units = _units(F.col("clean_text"))
+        lengths = written(asked.where("n > 1").groupBy("conv_id").agg(*(F.collect_set(F.when(F.col("by") == by, F.col("n"))).alias(f"n{len(by)}") for by, _ in units)), "quotes-lengths")
+        runs = F.concat(*(_runs(u, by, F.col(f"n{len(by)}")) for by, u in units))
+        offers = offers.union(own.join(lengths, "conv_id").select("conv_id", "source", F.explode(F.array_distinct(runs)).alias("u")))
+        offers = offers.select("conv_id", "source", F.sha2("u", 256).alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi").distinct()
         linked = asked.join(offers, ["conv_id", "hash"]).where("source < turn").groupBy("conv_id", "turn", "i", "level").agg(F.max("source").alias("source"))
     else:  # nothing is quoted: no message needs to be taken apart
         linked = asked.select("conv_id", "turn", "i", "level", F.col("turn").alias("source"))

@@ -147,6 +147,15 @@ def test_quotes(spark):
     assert all(found[9, t][:3] == (t - 1 if t else None, 0, t) for t in range(40))
 
 
+def test_quotes_of_several_lines(spark):
+    texts = [(1, 0, "l1\nl2\nl3"), (1, 1, "other"), (1, 2, "> l1\n> l2\nyes"), (1, 3, "> l1\n> l3\nno run"), (2, 0, "para1 a\nb\n\npara2\n\npara3 c\nd"), (2, 1, "x"), (2, 2, "> para1  A b\n>\n> para2\nok"), (2, 3, "> b\n>\n> para2\n>\n> para3 c"), (2, 4, "> para2\n> para1 a"), (3, 0, "a\nb\nc"), (3, 1, "b\nc\nd"), (3, 2, "-"), (3, 3, "> b\n> c\n-\n> a\n> b")]
+    got = quotes.conversations(spark.createDataFrame([(c, t, "u", x) for c, t, x in texts], "conv_id long, turn long, role string, text string"))
+    found = {(r["conv_id"], r["turn"]): (r["reply_to"], r["root"], r["depth"], r["n_quoted"], r["n_linked"]) for r in got.collect()}
+    assert found[1, 2] == (0, 0, 1, 1, 1) and found[1, 3] == (2, 0, 2, 1, 0)
+    assert found[2, 2] == (0, 0, 1, 1, 1) and found[2, 3] == (0, 0, 1, 1, 1) and found[2, 4] == (3, 0, 2, 1, 0)
+    assert found[3, 3] == (1, 0, 2, 2, 2)
+
+
 def test_media(docs, empty):
     got = media.media(docs).collect()
     assert len(got) == len(ROWS)
