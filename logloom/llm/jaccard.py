@@ -5,6 +5,7 @@
 3. Two linked sets share a shingle of their prefixes. Classes with the same size and prefix are one group; the groups that share a shingle form a list, and equal lists are one.
 4. A list's groups are expanded to their classes. Pairs are filtered by size and by the distance of their parity bitmaps, which bounds the symmetric difference from below. A first round verifies a spanning forest of each list's remaining pairs; a second one the remaining pairs between classes that no verified link has joined yet. So no link between classes that are still apart is lost, and the pairs of a large group of copies are never all made. A list of many classes is dealt out as pairs of blocks.
 5. Verification counts the shingles two texts share. Links become components by label propagation.
+6. All links, where they are asked for: they lie within components, so a component's classes are dealt out as pairs of blocks, and each pair of classes that passes the filters of 4 is verified in the one pair of blocks that has it. Numbers of links are summed there, without a row for each link.
 
 The postings travel as packed blobs, a row for each task and bucket of shingles. Sets are of 64-bit hashes of the words' bytes.
 
@@ -30,6 +31,8 @@ FREQUENT = 1 << 20
 BITMAP = 1024
 #: A list of more classes is dealt out as pairs of blocks of half as many.
 LIST = 4096
+#: All links of a component are verified by pairs of blocks of about this many classes; their sets are held at once.
+PART = 256
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -321,8 +324,104 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int = WORDS, percent: int = 7
     return pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb").mapInArrow(lean(shared), "a long, b long, shared long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = 75, often: int = OFTEN, buckets: int | None = None, block: int = LIST) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has doc_id, n_shingles, class_id (the least id with the same set) and component_id for every row; links the verified pairs of class ids."""
+def _linked(percent: int, k: int, counted: bool):
+    """The classes of a pair of blocks, with their texts, to their links (a, b, shared); or counted: the number of documents that each class is linked with here."""
+
+    def links(key, t):
+        t = t.take(pa.array(np.argsort(t.column("rep").to_numpy())))
+        classes, own, unpack = _List(t, percent), t.column("own").to_numpy(), zstandard.ZstdDecompressor().decompress
+        rep, n, weight = classes.rep, classes.n, t.column("docs").to_numpy()
+        sets = shingle_sets(WordHash(), list(map(unpack, t.column("z").to_pylist())), k)
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(s) for s in sets])
+        start = np.cumsum(size) - size
+        here = np.zeros(len(token), np.int32)
+        a, b, shared, total = [], [], [], np.zeros(len(rep), np.int64)
+        one = int(key[1].as_py()) == int(key[2].as_py())
+        for i in range(len(rep)):
+            ok = classes.passing(i) if one else classes.passing(i) & (own != own[i])
+            found = np.flatnonzero(ok[i + 1 :]) + i + 1
+            mine = token[start[i] : start[i] + size[i]]
+            here[mine] = 1
+            for j in (found[x : x + 64] for x in range(0, len(found), 64)):
+                both = np.add.reduceat(here[token[ranges(start[j], size[j])]], np.cumsum(size[j]) - size[j])
+                good = 100 * both >= percent * (size[i] + size[j] - both)
+                j, both = j[good], both[good]
+                if counted:
+                    total[i] += weight[j].sum()
+                    total[j] += weight[i]
+                else:
+                    a.append(np.full(len(j), rep[i]))
+                    b.append(rep[j])
+                    shared.append(both)
+            here[mine] = 0
+        if counted:
+            return pa.table({"rep": pa.array(rep, pa.int64()), "links": pa.array(total)})
+        cat = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))
+        return pa.table({"a": cat(a), "b": cat(b), "shared": cat(shared)})
+
+    return links
+
+
+class _Joined:
+    """What a join has found: the rows (doc_id, text), the signatures, the classes and their components."""
+
+    def __init__(self, rows: DataFrame, signed: DataFrame, classes: DataFrame, label: DataFrame, k: int, percent: int):
+        self.rows, self.signed, self.classes, self.label, self.k, self.percent = rows, signed, classes, label, k, percent
+
+    def members(self) -> DataFrame:
+        label, signed = self.label, self.signed
+        named = self.classes.join(label, self.classes.rep == label.node, "left").select("sig", F.col("n").alias("n_"), "rep", F.coalesce("component", "rep").alias("component"))
+        out = signed.select("doc_id", "n", "sig").join(named, (signed.sig == named.sig) & (signed.n == named.n_), "left")
+        own_id = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id"))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own_id, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).alias("class_id"), F.coalesce(own_id, F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id"))
+
+    def _blocks(self, part: int) -> DataFrame:
+        """(component, x, y, own, rep, n, bits, docs, z): the classes of each pair of blocks, with the text of each."""
+        placed = self.classes.join(self.label.withColumnRenamed("node", "rep"), "rep")
+        docs = self.signed.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.count_distinct("doc_id").alias("docs"))
+        placed = written(placed.join(docs, ["sig", "n"]).select("component", "rep", "n", "sig", "bits", "docs"), "jaccard-placed")
+        k = self.k
+
+        def packed(batches):
+            press = zstandard.ZstdCompressor(level=3).compress
+            for batch in batches:
+                for x in range(0, batch.num_rows, 500):
+                    b = batch.slice(x, 500)
+                    texts_ = b.column("text").cast(pa.binary()).to_pylist()
+                    sig = [xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63) for s in shingle_sets(WordHash(), texts_, k)]
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.int64()), pa.array(map(press, texts_), pa.binary())], names=["rep", "sig", "z"])
+
+        # an id that repeats has a row for each of its texts: the signature tells them apart
+        blobs = by_ids(self.rows, "doc_id", placed.select(F.col("rep").alias("doc_id")).distinct(), "left_semi").mapInArrow(lean(packed), "rep long, sig long, z binary").groupBy("rep", "sig").agg(F.min("z").alias("z"))
+        sizes = written(placed.groupBy("component").agg(F.ceil(F.count("*") / part).cast("int").alias("blocks")), "jaccard-parts")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        dealt = placed.join(blobs, ["rep", "sig"]).join(sizes, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return dealt.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "n", "bits", "docs", "z")
+
+    def links(self, part: int = PART) -> DataFrame:
+        """All pairs (a, b), a < b, of class ids that are linked, with the number of shingles they share."""
+        return self._blocks(part).groupBy("component", "x", "y").applyInArrow(_linked(self.percent, self.k, False), "a long, b long, shared long")
+
+    def counted(self, part: int = PART) -> DataFrame:
+        """The members with n_links: how many other documents have the same set or one that is linked. An id that repeats with different texts counts with each of them."""
+        near = self._blocks(part).groupBy("component", "x", "y").applyInArrow(_linked(self.percent, self.k, True), "rep long, links long").groupBy(F.col("rep").alias("class_id")).agg(F.sum("links").alias("links"))
+        members = self.members()
+        same = members.where("n_shingles > 0 and doc_id is not null").groupBy("class_id").agg((F.count_distinct("doc_id") - 1).alias("same"))
+        # a table of its own, so that the join of a class of many documents can be split
+        links = written(same.join(near, "class_id", "left").select("class_id", (F.col("same") + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-counts")
+        own = F.when(F.col("n_shingles") > 0, F.col("n_links"))
+        return members.join(links, "class_id", "left").select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce(own, F.lit(0)).alias("n_links"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = 75, often: int = OFTEN, buckets: int | None = None, block: int = LIST, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members has doc_id, n_shingles, class_id (the least id with the same set) and component_id for every row; links all linked pairs of class ids, with the number of shingles they share."""
+    found = joined(docs, id_col, text_col, k, percent, often, buckets, block)
+    return found.members(), found.links(part)
+
+
+def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = 75, often: int = OFTEN, buckets: int | None = None, block: int = LIST) -> _Joined:
+    """The search for components, which verifies only the links that they need."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -351,14 +450,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     links = first.union(second)
     label = components(links) if second.limit(1).count() else label
 
-    named = classes.join(label, classes.rep == label.node, "left").select("sig", F.col("n").alias("n_"), "rep", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "sig").join(named, (signed.sig == named.sig) & (signed.n == named.n_), "left")
-    own_id = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own_id, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).alias("class_id"), F.coalesce(own_id, F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id")), links
+    return _Joined(rows, signed, classes, label, k, percent)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all columns, of each component the document of the least id."""
-    members, _ = join(docs, id_col, text_col)
+    members = joined(docs, id_col, text_col).members()
     gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return by_ids(docs, id_col, gone, "left_anti").select(docs.columns)

@@ -15,8 +15,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = jaccard.join(table(spark, sf_dir, "documents"))
-    return members.select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard.joined(table(spark, sf_dir, "documents")).members().select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents")).counted()
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,27 @@ def test_jaccard(docs, empty, options):
     assert jaccard.join(empty)[0].count() == 0
 
 
+@pytest.mark.parametrize("part", [256, 3])
+def test_jaccard_has_all_links(spark, empty, part):
+    rows = [*ROWS, (200, " ".join(NEAR) + " tail"), (201, " ".join(NEAR) + " tail"), (202, " ".join(NEAR[5:])), (None, " ".join(NEAR))]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        if i is not None and w:
+            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    least = {}
+    for i, s in sets.items():
+        least[s] = min(i, least.get(s, i))
+    want = sorted((least[s], least[r], len(s & r)) for s in least for r in least if least[s] < least[r] and near(s, r))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, links = jaccard.join(docs, part=part)
+    assert sorted(tuple(r) for r in links.collect()) == want and len(want) >= 28
+    counted = {r["doc_id"]: r["n_links"] for r in jaccard.joined(docs).counted(part).collect()}
+    assert counted == {i: sum(j != i and near(sets[i], s) for j, s in sets.items()) if i in sets else 0 for i, _ in rows}
+    assert jaccard.joined(empty).counted().count() == 0
+
+
 @pytest.mark.parametrize("options", [{}, {"crowd": (2, 1 << 16), "split": 4}, {"crowd": (2, 4), "split": 4}])
 def test_suffix(spark, empty, options):
     ab = lambda n: "".join(R.choice("abc") for _ in range(n))
