@@ -190,6 +190,21 @@ def test_media(docs, empty):
     assert media.media(empty).count() == 0
 
 
+def test_media_is_rebuilt_from_the_stored_chunks(docs):
+    known, payloads, shared = media.store(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    lists = payloads.collect()
+    store = [r["digest"] for r in shared.collect()] + [c["digest"] for r in lists for c in r["chunks"] if c["bytes"] is not None]
+    assert len(store) == len(set(store)) and set(store) == {c["digest"] for r in lists for c in r["chunks"]}
+    want = {media.payload((t or "").encode()) for _, t in ROWS}
+    assert len(lists) == len(want) and known.count() == len(ROWS)
+    assert {r["payload_sha256"] for r in media.read(payloads, shared).collect()} == {hashlib.sha256(p).hexdigest() for p in want}
+    shared_one = shared.first()["digest"]
+    with pytest.raises(Exception, match="a chunk is missing"):
+        media.read(payloads, shared.where(F.col("digest") != F.lit(shared_one))).collect()
+    with pytest.raises(Exception, match="doesn't have its digest"):
+        media.read(payloads, shared.withColumn("bytes", F.concat("bytes", F.lit(b"x")))).collect()
+
+
 @pytest.mark.parametrize("options", [{}, {"buckets": 3, "hot_share": 0.01}])
 def test_katz(docs, empty, options):
     train = F.col("doc_id") % 5 != 1
