@@ -58,6 +58,17 @@ def component_split(spark, d):
     return table(spark, d, "documents").select("doc_id", T.component(line).alias("component"), T.message(line).alias("message"))
 
 
+@query(r"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS x FROM documents)),
+x AS (SELECT doc_id, pos, line, instr(line, ': ') AS p, regexp_extract(line, '^\[([^\]]+)\]', 1) AS b FROM l)
+SELECT doc_id AS file, pos, CASE WHEN b <> '' THEN b WHEN p > 0 AND p <= 81 THEN nullif(trim(substr(line, 1, p - 1)), '') END AS component,
+  CASE WHEN b <> '' THEN regexp_replace(line, '^\[[^\]]+\]\s*', '') WHEN p > 0 AND p <= 81 THEN substr(line, p + 2) ELSE line END AS message FROM x""")
+def component_split_lines(spark, d):
+    """component_split for every line of a text."""
+    lines = bundle.text_lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return lines.select("file", "pos", T.component(F.col("line")).alias("component"), T.message(F.col("line")).alias("message"))
+
+
 @query(f"SELECT 'e' AS kind, event_id AS id, level || '|' || component || '|' || {SIG.format(x='message')} AS signature FROM ({LOG}) UNION ALL SELECT 'd', doc_id, 'null||' || {SIG.format(x='split_part(text, chr(10), 1)')} FROM documents")
 def signature_normalize(spark, d):
     e = parsed(spark, d).select(F.lit("e").alias("kind"), F.col("event_id").alias("id"), T.signature(F.col("level"), F.col("component"), F.col("message")).alias("signature"))
