@@ -106,24 +106,23 @@ def focus(hist: DataFrame, start: int, end: int, buckets: int = 240) -> DataFram
 
 
 def clusters(chapters: DataFrame, start: int, end: int) -> DataFrame:
-    """Markers nearer than the gap, in percent, to the first of their cluster become one: pct, count, kind. chapters: (ts_ms, kind, ord), a short list."""
+    """Markers nearer than the gap, in percent, to the first of their cluster become one: pct, count, kind. chapters: (ts_ms, kind, ord).
+
+    The first markers are found from the ends of slices of the span, at most a few hundred rows; there are at most 42, and each marker belongs to the last one before it.
+    """
     pct = (F.col("ts_ms") - start) / float(max(1, end - start)) * 100
-    own = chapters.select(pct.alias("pct"), "ord", "kind").where(F.col("pct").between(-2, 102))
-    order = F.array_sort(F.collect_list(F.struct("pct", "ord", "kind")))
-
-    def rank(kind):
-        return F.coalesce(*(F.when(kind == k, v) for k, v in CLUSTER_ORDER.items()), F.lit(9))
-
-    def add(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        better = F.when(rank(x["kind"]) < rank(last["kind"]), x["kind"]).otherwise(last["kind"])
-        more = F.struct(last["pct"].alias("pct"), (last["count"] + 1).alias("count"), better.alias("kind"))
-        fresh = F.struct(x["pct"].alias("pct"), F.lit(1).cast("long").alias("count"), x["kind"].alias("kind"))
-        near = (F.size(acc) > 0) & (x["pct"] - last["pct"] < CLUSTER_GAP)
-        return F.when(near, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(acc, F.array(fresh)))
-
-    none = F.array().cast("array<struct<pct:double,count:bigint,kind:string>>")
-    return own.agg(order.alias("c")).select(F.explode(F.aggregate("c", none, add)).alias("k")).select("k.*")
+    own = chapters.select(pct.alias("pct"), "ord", "kind").where(F.col("pct").between(-2, 102)).withColumn("_slice", F.floor(F.col("pct") * 16 / CLUSTER_GAP))
+    ends = sorted(own.groupBy("_slice").agg(F.min("pct").alias("lo"), F.max("pct").alias("hi")).collect(), key=lambda r: r["_slice"])
+    anchors: list[float] = []
+    for r in ends:
+        if not anchors or r["lo"] - anchors[-1] >= CLUSTER_GAP:
+            anchors.append(r["lo"])
+        elif r["hi"] - anchors[-1] >= CLUSTER_GAP:  # the cluster ends within the slice
+            anchors.append(own.where((F.col("_slice") == r["_slice"]) & (F.col("pct") - anchors[-1] >= CLUSTER_GAP)).agg(F.min("pct")).first()[0])
+    rank = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in CLUSTER_ORDER.items()), F.lit(9))
+    anchor = F.array_max(F.filter(F.array(*map(F.lit, anchors)).cast("array<double>"), lambda a: a <= F.col("pct")))
+    found = own.groupBy(anchor.alias("_anchor")).agg(F.count("*").alias("count"), F.min_by("kind", F.struct(rank, "pct", "ord", "kind")).alias("kind"))
+    return found.select(F.col("_anchor").alias("pct"), "count", "kind")
 
 
 def as_of(playheads: DataFrame, df: DataFrame, values: list[str], width: int = SLICE, ahead: bool = False, dead_zone: int = 0, order: str = "seq") -> DataFrame:

@@ -330,6 +330,22 @@ def chapter_clusters(spark, d):
     return player.clusters(marks, lo, hi).withColumn("pct", F.round("pct", 6))
 
 
+_ALL_MARKS = _MARKS.removesuffix(" AND component = 'Svc.3'")
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY pct, seq) AS i FROM ({_ALL_MARKS})),
+w AS (SELECT i, pct, pct AS anchor, 1 AS k FROM c WHERE i = 1
+  UNION ALL SELECT c.i, c.pct, CASE WHEN c.pct - w.anchor < 2.5 THEN w.anchor ELSE c.pct END, CASE WHEN c.pct - w.anchor < 2.5 THEN w.k ELSE w.k + 1 END FROM w JOIN c ON c.i = w.i + 1)
+SELECT round(w.anchor, 6) AS pct, count(*) AS count, CASE WHEN bool_or(kind = 'storm') THEN 'storm' ELSE 'restart' END AS kind FROM w JOIN c ON c.i = w.i GROUP BY w.anchor""")
+def chapter_clusters_all(spark, d):
+    """chapter_clusters over the events of all components."""
+    e = events(spark, d)
+    lo, hi = timeline.bounds(e)
+    marks = e.where("level = 'FATAL'").select("ts_ms", F.when(F.col("seq") % 2 == 0, "restart").otherwise("storm").alias("kind"), F.col("seq").alias("ord"))
+    return player.clusters(marks, lo, hi).withColumn("pct", F.round("pct", 6))
+
+
 @query(f"""
 WITH h AS (SELECT CAST(least(239, floor((ts_ms - lo) / CAST(greatest(1, hi - lo) AS DOUBLE) * 240)) AS INTEGER) AS b, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM ({ORDERED}), {_SPAN} GROUP BY 1),
 g AS (SELECT r.b, coalesce(h.n, 0) AS n FROM (SELECT unnest(range(0, 240)) AS b) r LEFT JOIN h USING (b)),
