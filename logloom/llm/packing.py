@@ -43,7 +43,8 @@ class WordTokenizer:
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that contain one of these, in any case, are encoded whole.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a worker process serves many tasks: what it has learnt stays with the library it came from
         self.store: dict[str, dict[str, bytes]] = tokenizers.__dict__.setdefault("_words_of", {}).setdefault(path, {"young": {}, "old": {}})
         self.known = self.store["young"]
@@ -73,7 +74,8 @@ class WordTokenizer:
         if len(self.known) > self.MOST:
             self.store["old"], self.store["young"] = self.known, {}
             self.known = self.store["young"]
-        words = [t.lower().split() if _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) else None for t in texts_]
+        plain = lambda t, low: _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) and not any(a in low for a in self.added)
+        words = [low.split() if plain(t, low) else None for t in texts_ for low in [t.lower()]]
         seen: set[str] = set()
         for w in words:
             seen.update(w or ())

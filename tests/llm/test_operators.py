@@ -306,6 +306,17 @@ def test_packing(docs, empty):
     assert packing.packed(empty, path).count() == 0
 
 
+def test_packing_keeps_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y, z.", "<|ENDOFTEXT|> Q", "a < | endoftext |> b", "plain words, twice words.", "", "é <|endoftext|>"]
+    got = packing.WordTokenizer(path).batch(texts)
+    assert [g.tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0].tolist().count(49407) == 1 and len(got[0]) == 3
+
+
 def test_differencing():
     windows = packing.difference([8, 7, 6, 5, 4], 2)
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in windows) == [14, 16]
