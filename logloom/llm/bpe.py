@@ -1,8 +1,8 @@
-"""Byte-level BPE encoding and decoding: the ranked merges are folded by Spark's higher-order functions over the bytes of distinct words.
+"""Byte-level BPE encoding and decoding: the ranked merges are folded by Spark's higher-order functions over the byte arrays of distinct words.
 
-One row stands for a run of documents: their texts are cut by the tokenizer's pattern, the run's distinct pieces become an array of byte strings, and Spark folds the merges over each of them, with the ranks as a constant of the plan: an array of small maps, dealt by crc32, since Spark searches a map one key after another. Decoding looks up each id's bytes and concatenates them. No shuffle and no broadcast that grows: the rank file is the only shared data.
+Each distinct word of the corpus is folded once. A run of documents becomes a row: its distinct words, and its documents as numbers of those. The words go, packed, to buckets by their hash; a bucket keeps one of each, Spark folds the merges over its bytes, and every run gets the ids of its words back. The ranks are a constant of the plan: the rank of two neighbouring tokens' join lies in one array at a place that a second array shifts, so that no two pairs share one. Decoding looks up each id's bytes and concatenates them.
 
-Null texts count as empty; an empty text has no ids. Repeated rows and ids are encoded one by one; other columns are ignored.
+Null texts count as empty; an empty text has no ids. Repeated rows and ids are encoded one by one, a null id stays null; other columns are ignored, whatever their names. An empty table gives no rows. A word of more than LONG_PIECE bytes is merged by a heap instead, since the fold takes the square of a word's length.
 """
 
 from __future__ import annotations
@@ -10,30 +10,31 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+
 import json
-import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import texts
-
-#: The code points of Unicode's White_Space, which the pattern's \s means.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A run of documents that becomes one row ends after so many characters.
-RUN_CHARS = 12 << 20
-#: Longer pieces would cost the fold the square of their length; a heap merges those.
-LONG_PIECE = 250
-#: More than the places in such a piece.
-SPOTS = 256
-BUCKETS = 1 << 14
-NO_RANK = 2147483647
+from logloom.llm.common import U64, lean, packed, ranges, texts, unpacked, written
+from logloom.llm.packing import chunked
+from logloom.llm.pieces import slice_hashes, sliced, starts
+
+#: A run of documents ends after so many characters.
+RUN_CHARS = 10 << 20
+#: Words of runs in a bucket; MOST_WORDS where that would make more than MANY buckets.
+WORDS, MOST_WORDS, MANY = 60_000, 1_000_000, 4096
+LONG_PIECE = 4096
+#: Bits of a token's id, of a pair's rank, and the id and rank that none has.
+BITS = 17
+NONE = (1 << BITS) - 1
+#: Bits below a rank in an element of the fold's state: the id, and above it where the token begins.
+LOW = 41
 
-RUN = "doc_ids array<long>, n_units binary, unit_of binary, first binary, piece_of binary, words array<binary>, long_at binary, long_words array<binary>"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded binary"
 
 
@@ -43,14 +44,56 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_literals(ranks: dict[bytes, int]) -> tuple[Column, Column]:
-    """The ranks as array<map<string,int>> by crc32 of a token, keyed by its hexadecimal form, and the tokens as array<binary> by id. Both are JSON that the optimizer parses once."""
-    maps: list[dict] = [{} for _ in range(BUCKETS)]
-    by_id: list = [None] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        maps[zlib.crc32(token) % BUCKETS][token.hex().upper()] = rank
-        by_id[rank] = base64.b64encode(token).decode()
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>"), F.from_json(F.lit(json.dumps(by_id)), "array<binary>")
+# ---------------------------------------------------------------- the ranks as constants of the plan
+
+
+def shifted_places(keys: list[int], room: int) -> tuple[list[int], int]:
+    """(shifts, number of shifts): key % room + shift[key % number], modulo room, is another place for each key. room is a prime."""
+    number = len(keys) // 3 | 1
+    while True:
+        groups: dict[int, list[int]] = {}
+        for k in keys:
+            groups.setdefault(k % number, []).append(k % room)
+        if all(len(set(g)) == len(g) for g in groups.values()):
+            break
+        number += 2
+    taken, shifts = bytearray(room), [0] * number
+    for g, own in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+        d = 0
+        while any(taken[(x + d) % room] for x in own):
+            d += 1
+        shifts[g] = d
+        for x in own:
+            taken[(x + d) % room] = 1
+    return shifts, number
+
+
+def _prime(n: int) -> int:
+    n |= 1
+    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
+class Ranks:
+    """The ranks of all pairs of tokens whose join is a token, as two arrays, and the ids of single bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {(ranks[t[:i]] << BITS) + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.room = _prime(2 * len(pairs) + 64)
+        shifts, self.number = shifted_places(list(pairs), self.room)
+        places = [0] * self.room
+        for k, r in pairs.items():
+            places[(k % self.room + shifts[k % self.number]) % self.room] = (k + 1 << BITS) + r
+        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")  # noqa: E731  the optimizer parses it once
+        self.literals = [literal(places, "bigint"), literal(shifts, "int"), literal([ranks.get(bytes([b]), NONE - 1) for b in range(256)], "int")]
+
+    def of(self, left: Column, right: Column, places: Column, shifts: Column) -> Column:
+        """The rank of two tokens' join; NONE or more without one."""
+        key = left * (1 << BITS) + right
+        place = (key % self.room + F.get(shifts, (key % self.number).cast("int"))) % self.room
+        # an entry holds the key plus one above the rank: what differs from this key is too large for a rank
+        return F.least(F.get(places, place.cast("int")).bitwiseXOR(F.shiftleft(key + 1, BITS)), F.lit(NONE))
 
 
 def bind(x: Column, then) -> Column:
@@ -58,50 +101,55 @@ def bind(x: Column, then) -> Column:
     return F.get(F.transform(F.array(x), then), F.lit(0))
 
 
-def folded(word: Column, maps: Column) -> Column:
-    """The ids of one piece (binary): its bytes, then again and again the leftmost pair of least rank merged.
+def folded(word: Column, ranks: Ranks, places: Column, shifts: Column, bytes_: Column) -> Column:
+    """The ids of one word, an array of its bytes: again and again the leftmost pair of least rank is merged.
 
-    The fold's state is one array<long>: for each part the rank of its pair with the next part, times SPOTS, plus where the part begins. So its least element is the pair to merge. One element before the first part and two after the last have no pair.
+    The fold's state has an element for each token: the rank of its pair with the next one, where it begins, and its id. So the least element is the pair to merge. One element before the first token and two after the last have no pair.
     """
-    none = NO_RANK * SPOTS
-
-    def rank(x: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(maps, (F.crc32(x) % BUCKETS).cast("int")), F.hex(x)), F.lit(NO_RANK)).cast("long")
-
-    def spot(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(SPOTS - 1)).cast("int")
+    low, own, none = (1 << LOW) - 1, (1 << BITS) - 1, NONE << LOW
+    n = F.size(word)
+    edge = F.lit(none + NONE)
 
-    n = F.octet_length(word)
+    def start(ids: Column) -> Column:
+        pair = lambda i: F.shiftleft(ranks.of(F.get(ids, i), F.coalesce(F.get(ids, i + 1), F.lit(NONE).cast("long")), places, shifts), LOW)
+        tokens = F.transform(F.sequence(F.lit(0), n - 1), lambda i: pair(i) + F.shiftleft(i.cast("long"), BITS) + F.get(ids, i))
+        return F.concat(F.array(edge), tokens, F.array(edge, edge))
 
-    def pair(start: Column, end: Column) -> Column:
-        """The element of a part that begins at start, whose pair ends before end."""
-        return rank(F.substring(word, start + 1, end - start)) * SPOTS + start
+    def merge_at(a: Column, m: Column, i: Column) -> Column:  # m is the i-th element, 1-based
+        new = F.shiftright(m, LOW)
 
-    def merge_at(a: Column, i: Column) -> Column:  # the i-th element, 1-based, and the one after it
-        def put(p: Column) -> Column:  # where the parts around begin: before, here, after both, after that
-            left = F.when(i > 2, pair(p[0], p[2])).otherwise(F.lit(none))
-            here = F.when(p[2] < n, pair(p[1], p[3])).otherwise(none + p[1])
+        def put(p: Column) -> Column:  # the element before without its rank, and the id after the pair
+            left = F.shiftleft(ranks.of(p[0].bitwiseAND(F.lit(own)), new, places, shifts), LOW) + p[0]
+            here = F.shiftleft(ranks.of(new, p[1], places, shifts), LOW) + m.bitwiseAND(F.lit(low - own)) + new
             return F.concat(F.slice(a, F.lit(1), i - 2), F.array(left, here), F.slice(a, i + 2, n + 3))
 
-        return bind(F.array(spot(F.get(a, i - 2)), spot(F.get(a, i - 1)), spot(F.get(a, i + 1)), spot(F.get(a, i + 2))), put)
+        return bind(F.array(F.get(a, i - 2).bitwiseAND(F.lit(low)), F.get(a, i + 1).bitwiseAND(F.lit(own))), put)
 
     def step(a: Column, _: Column) -> Column:
-        least = F.array_min(a)
-        return F.when(least < none, bind(F.array_position(a, least).cast("int"), lambda i: merge_at(a, i))).otherwise(a)
+        return bind(F.array_min(a), lambda m: F.when(m >= none, a).otherwise(bind(F.array_position(a, m).cast("int"), lambda i: merge_at(a, m, i))))
 
-    def parts(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(a) - 3), lambda i: rank(F.substring(word, spot(F.get(a, i)) + 1, spot(F.get(a, i + 1)) - spot(F.get(a, i)))).cast("int"))
+    def ids_of(a: Column) -> Column:
+        return F.transform(F.slice(a, F.lit(2), F.size(a) - 3), lambda x: x.bitwiseAND(F.lit(own)).cast("int"))
 
-    ends = [F.array(F.lit(none)), F.array(none + n, none + n)]
-    bytes_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i + 1 < n, pair(i, i + 2)).otherwise(none + i))
-    merged = F.aggregate(F.sequence(F.lit(1), n - 1), F.concat(ends[0], bytes_, ends[1]), step, parts)
-    empty = F.array().cast("array<int>")
-    return F.when(n == 0, empty).otherwise(bind(rank(word).cast("int"), lambda r: F.when((r < NO_RANK) | (n == 1), F.array(r)).otherwise(merged)))
+    first = bind(F.transform(word, lambda b: F.get(bytes_, b.cast("int")).cast("long")), start)
+    none_at_all = F.array().cast("array<int>")
+    return F.when(n == 0, none_at_all).otherwise(F.aggregate(F.sequence(F.lit(1), n), first, step, ids_of))
 
 
-def joined(ids: Column, by_id: Column) -> Column:
-    """The bytes that ids stand for."""
-    return F.aggregate(ids, F.lit(b"").cast("binary"), lambda acc, i: F.concat(acc, F.get(by_id, i)))
+def encoded(words: Column, whole: Column, ranks: Ranks) -> Column:
+    """The ids of each of the words, arrays of bytes; whole: the id of each word that is a token itself, -1 for others."""
+    places, shifts, bytes_ = ranks.literals
+    own = lambda w, i: F.when(F.get(whole, i) >= 0, F.array(F.get(whole, i)))
+    return bind(places, lambda p: bind(shifts, lambda s: bind(bytes_, lambda b: F.transform(words, lambda w, i: F.coalesce(own(w, i), folded(w, ranks, p, s, b))))))
+
+
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes that an array of ids stands for, their pieces concatenated."""
+    by_id: list = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        by_id[rank] = base64.b64encode(token).decode()
+    tokens = F.from_json(F.lit(json.dumps(by_id)), "array<binary>")
+    return bind(tokens, lambda t: F.aggregate(ids, F.lit(b"").cast("binary"), lambda acc, i: F.concat(acc, F.get(t, i))))
 
 
 def heap_merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -128,90 +176,168 @@ def heap_merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-class _Numbered(dict):
-    """Each new key gets the next number."""
+# ---------------------------------------------------------------- runs of documents, buckets of words
+
+RUNS = "run long, doc_ids array<long>, sizes binary, numbers binary, places binary, words binary, lengths binary, n_words long"
+DEALT = "bucket long, run long, words binary, lengths binary"
+FOUND = "bucket long, words array<array<smallint>>, whole array<int>, long_at array<int>, long_words array<binary>, runs array<long>, members array<binary>"
+ANSWERS = "run long, bucket long, doc_ids array<long>, sizes binary, numbers binary, places binary"
 
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _pressed(data) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(memoryview(data))
+
+
+def _unpressed(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+
+def _strings(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of a large binary array."""
+    _, bounds, data = a.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds
+
+
+def _taken(data: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of some of the strings."""
+    lengths = np.diff(bounds)[order]
+    return data[ranges(bounds[:-1][order], lengths)], lengths
+
+
+def _places(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each string."""
+    return slice_hashes(data.astype(U64), bounds[:-1], bounds[1:])
 
 
 def _runs(pattern: str):
-    """Arrow batches of (doc_id, text) to one row for each run of documents."""
-    space = pattern.replace("[^\\s", "[^" + SPACE).replace("\\S", f"[^{SPACE}]").replace("\\s", f"[{SPACE}]")
+    """(doc_id, text) to runs: distinct words by hash, and the documents' words as numbers, frequent ones low, with the place of each number."""
 
     def cut(batches):
-        pieces = regex.compile(space)
-        units = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-
-        def row(ids, counts, of, number):
-            words = _Numbered()
-            parts = [[words[p] for p in pieces.findall(u)] for u in number]
-            encoded = [w.encode() for w in words]
-            long = [i for i, w in enumerate(encoded) if len(w) > LONG_PIECE]
-            far = [encoded[i] for i in long]
-            for i in long:
-                encoded[i] = b""
-            first = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            flat = np.fromiter((p for x in parts for p in x), np.int32, int(first[-1]))
-            cols = [[ids], [np.array(counts, np.int32).tobytes()], [np.concatenate(of).tobytes() if of else b""], [first.tobytes()], [flat.tobytes()], [encoded], [np.array(long, np.int32).tobytes()], [far]]
-            kinds = [pa.list_(pa.int64()), *[pa.binary()] * 4, pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
-
-        ids, counts, of, number, size = [], [], [], _Numbered(), 0
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = units.findall(t)
-                ids.append(i)
-                counts.append(len(found))
-                of.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
-                size += len(t)
-                if size >= RUN_CHARS:
-                    yield row(ids, counts, of, number)
-                    ids, counts, of, number, size = [], [], [], _Numbered(), 0
-        if ids:
-            yield row(ids, counts, of, number)
+        part = TaskContext.get().partitionId()
+        for number, (ids, own) in enumerate(chunked(batches, RUN_CHARS)):
+            bounds, sizes = starts(own, pattern)
+            words = sliced("".join(own).encode(), bounds).dictionary_encode()
+            at = words.indices.to_numpy() if len(words) else np.zeros(0, np.int32)
+            data, ends = _strings(words.dictionary)
+            n = len(ends) - 1
+            by_hash = np.argsort(_places(data, ends))
+            place = np.empty(n, np.int64)
+            place[by_hash] = np.arange(n)
+            often = np.argsort(-np.bincount(at, minlength=n), kind="stable")
+            rank = np.empty(n, np.int64)
+            rank[often] = np.arange(n)
+            text, lengths = _taken(data, ends, by_hash)
+            cols = [[part << 32 | number], [ids], [packed(sizes)], [packed(rank[at])], [packed(place[often])], [_pressed(text)], [packed(lengths)], [n]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_names(RUNS))
 
     return cut
 
 
-def _assembled(ranks, names: list[str]):
-    """Encoded runs back to one row for each document, with the columns of RESULT that are named."""
+def _dealt(buckets: int):
+    """Runs' words to buckets, ranges of their hashes, in the runs' order."""
 
-    def put(batches):
+    def deal(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                data, lengths = _unpressed(r["words"]), unpacked(r["lengths"])
+                bounds = np.concatenate(([0], np.cumsum(lengths)))
+                own = (_places(data, bounds) >> U64(32)).astype(np.int64) * buckets >> 32
+                cut = np.searchsorted(own, np.arange(buckets + 1)).tolist()
+                rows = [(i, r["run"], _pressed(data[bounds[x] : bounds[y]]), packed(lengths[x:y])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=_names(DEALT))
+
+    return deal
+
+
+def _gathered(ranks):
+    """A bucket's words from all runs: one of each, and each run's as numbers of those."""
+
+    def gather(key, t):
+        runs = t.column("run").to_pylist()
+        data = [_unpressed(w) for w in t.column("words").to_pylist()]
+        lengths = [unpacked(x) for x in t.column("lengths").to_pylist()]
+        every = sliced(np.concatenate(data), np.concatenate(([0], np.cumsum(np.concatenate(lengths))))).dictionary_encode()
+        at = np.split(every.indices.to_numpy(), np.cumsum([len(x) for x in lengths])[:-1])
+        words = every.dictionary.to_pylist()
+        whole = [ranks.value[0].get(w, -1) for w in words]
+        long = [i for i, w in enumerate(words) if len(w) > LONG_PIECE]
+        far = [words[i] for i in long]
+        bytes_, bounds = _strings(every.dictionary)
+        short = np.diff(bounds)
+        short[long] = 0
+        flat = pa.array(bytes_[ranges(bounds[:-1], short)].astype(np.int16))
+        arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(short))).astype(np.int32)), flat)
+        listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), arrays)
+        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), listed, one(whole, pa.int32()), one(long, pa.int32()), one(far, pa.binary()), one(runs, pa.int64()), one([packed(x) for x in at], pa.binary())], names=_names(FOUND))
+
+    return gather
+
+
+def _answered(ranks):
+    """Buckets whose words are encoded to each run's ids: (run, bucket, nothing, numbers of ids, ids, nothing), in the columns of ANSWERS."""
+
+    def answer(batches):
         for b in batches:
             for k in range(b.num_rows):
-                get = lambda c: np.frombuffer(b.column(c)[k].as_py(), np.int32)  # noqa: B023, E731
-                enc, dec = b.column("enc")[k].values, b.column("dec")[k].as_py()
-                at, flat = enc.offsets.to_numpy(), enc.values.to_pylist()
-                text = list(map(str, flat))
-                strings = [" ".join(text[x:y]).encode() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                sizes = np.diff(at)
-                for i, w in zip(get("long_at").tolist(), b.column("long_words")[k].as_py(), strict=True):
+                enc = b.column("enc")[k].values
+                flat, bounds = enc.values.to_numpy(zero_copy_only=False), enc.offsets.to_numpy().astype(np.int64)
+                counts = np.diff(bounds)
+                for i, w in zip(b.column("long_at")[k].as_py(), b.column("long_words")[k].as_py(), strict=True):
                     own = heap_merged(w, ranks.value[0])
-                    strings[i], sizes[i], dec[i] = " ".join(map(str, own)).encode(), len(own), b"".join(map(ranks.value[1].__getitem__, own))
-                first, piece_of = get("first"), get("piece_of").tolist()
-                bounds = first.tolist()
-                unit_ids = [b" ".join([strings[p] for p in piece_of[x:y]]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                unit_bytes = [b"".join([dec[p] for p in piece_of[x:y]]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                total = np.concatenate(([0], np.cumsum(sizes[piece_of]))) if piece_of else np.zeros(1, np.int64)
-                unit_n = total[first[1:]] - total[first[:-1]]
-                unit_of, counts = get("unit_of"), get("n_units")
-                rows: dict[str, list] = {n: [] for n in names}
-                start = 0
-                for i, c in zip(b.column("doc_ids")[k].as_py(), counts.tolist(), strict=True):
-                    own = unit_of[start : start + c]
-                    start += c
-                    own_list = own.tolist()
-                    ids = b" ".join([unit_ids[u] for u in own_list])
-                    back = b"".join([unit_bytes[u] for u in own_list])
-                    got = {"doc_id": i, "n_tokens": int(unit_n[own].sum()), "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(back).hexdigest()}
-                    if "ids" in rows:
-                        got |= {"ids": ids.decode(), "decoded": back}
-                    for n in names:
-                        rows[n].append(got[n])
-                kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "decoded": pa.binary()}
-                yield pa.RecordBatch.from_arrays([pa.array(rows[n], kinds.get(n, pa.string())) for n in names], names=names)
+                    bounds[i], counts[i] = len(flat), len(own)
+                    flat = np.concatenate((flat, np.array(own, flat.dtype)))
+                rows = []
+                for run, m in zip(b.column("runs")[k].as_py(), b.column("members")[k].as_py(), strict=True):
+                    at = unpacked(m)
+                    rows.append((run, packed(counts[at]), packed(flat[ranges(bounds[:-1][at], counts[at])])))
+                n = len(rows)
+                run, counted, ids = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array([b.column("bucket")[k].as_py()] * n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(counted, pa.binary()), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], names=_names(ANSWERS))
+
+    return answer
+
+
+def _assembled(ranks, names: list[str], most: int = 1 << 20):
+    """A run's documents and its words' ids to the columns of RESULT that are named."""
+
+    def put(key, t):
+        rows = sorted(t.to_pylist(), key=lambda r: r["bucket"])
+        top, answers = rows[0], rows[1:]
+        numbers = unpacked(top["places"])[unpacked(top["numbers"])]
+        sizes = unpacked(top["sizes"])
+        counts = np.concatenate([unpacked(a["sizes"]) for a in answers]) if answers else np.zeros(0, np.int64)
+        ids = np.concatenate([unpacked(a["numbers"]) for a in answers]).astype(np.int32) if answers else np.zeros(0, np.int32)
+        first = np.cumsum(counts) - counts
+        tokens = np.concatenate(([0], np.cumsum(counts[numbers])))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        written_, bytes_ = ranks.value[1]
+        out: dict[str, list] = {n: [] for n in names}
+        n_docs, x = len(sizes), 0
+        while x < n_docs:  # documents of at most so many tokens together
+            y = max(x + 1, int(np.searchsorted(tokens[ends], tokens[ends[x]] + most, side="right")) - 1)
+            own = numbers[ends[x] : ends[y]]
+            flat = pa.array(ids[ranges(first[own], counts[own])])
+            text, text_at = _strings(written_.take(flat))
+            data, data_at = _strings(bytes_.take(flat))
+            cut = (tokens[ends[x : y + 1]] - tokens[ends[x]]).tolist()
+            for i, a, b in zip(top["doc_ids"][x:y], cut[:-1], cut[1:], strict=True):
+                listed, back = text[text_at[a] + 1 : text_at[b]] if b > a else text[:0], data[data_at[a] : data_at[b]]
+                got = {"doc_id": i, "n_tokens": b - a, "ids_sha256": hashlib.sha256(listed).hexdigest(), "decoded_sha256": hashlib.sha256(back).hexdigest()}
+                if "ids" in out:
+                    got |= {"ids": listed.tobytes().decode(), "decoded": back.tobytes()}
+                for n in names:
+                    out[n].append(got[n])
+            x = y
+        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "decoded": pa.binary()}
+        return pa.table({n: pa.array(out[n], kinds.get(n, pa.string())) for n in names})
 
     return put
 
@@ -219,13 +345,21 @@ def _assembled(ranks, names: list[str]):
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", contents: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256 and, with contents, ids as text and the decoded bytes) for each row.
 
-    pattern: the expression that cuts a text into pieces, none of which crosses from non-space to space.
+    pattern: the expression that cuts a text into words and leaves nothing out.
     """
     spark = docs.sparkSession
-    maps, by_id = rank_literals(ranks)
-    shared = spark.sparkContext.broadcast((ranks, {r: t for t, r in ranks.items()}))
-    runs = texts(docs, id_col, text_col).mapInArrow(_runs(pattern), RUN)
-    enc = runs.withColumn("enc", bind(maps, lambda m: F.transform("words", lambda w: folded(w, m))))
-    dec = enc.withColumn("dec", bind(by_id, lambda t: F.transform("enc", lambda ids: joined(ids, t)))).drop("words")
+    by_id = sorted((r, t) for t, r in ranks.items())
+    tokens = [b""] * (by_id[-1][0] + 1 if by_id else 0)
+    for r, t in by_id:
+        tokens[r] = t
+    shared = spark.sparkContext.broadcast((ranks, (pa.array([f" {i}".encode() for i in range(len(tokens))], pa.large_binary()), pa.array(tokens, pa.large_binary()))))
+    runs = written(texts(docs, id_col, text_col).mapInArrow(lean(_runs(pattern)), RUNS), "bpe-runs")
+    n = runs.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(1, -(-n // MOST_WORDS), min(MANY, -(-n // WORDS)))
+    dealt = runs.select("run", "words", "lengths").mapInArrow(lean(_dealt(buckets)), DEALT)
+    found = dealt.groupBy("bucket").applyInArrow(_gathered(shared), FOUND)
+    enc = found.withColumn("enc", encoded(F.col("words"), F.col("whole"), Ranks(ranks))).drop("words", "whole")
+    answers = enc.mapInArrow(lean(_answered(shared)), ANSWERS)
+    tops = runs.select("run", F.lit(-1).cast("long").alias("bucket"), "doc_ids", "sizes", "numbers", "places")
     schema = RESULT if contents else RESULT.split(", ids ")[0]
-    return dec.mapInArrow(_assembled(shared, [x.split()[0] for x in schema.split(", ")]), schema)
+    return tops.union(answers).groupBy("run").applyInArrow(_assembled(shared, _names(schema)), schema)

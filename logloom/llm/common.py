@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,22 @@ def boundaries(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
 
 
+# ---------------------------------------------------------------- packed integers
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers, least bytes first in planes, compressed."""
+    x = np.ascontiguousarray(x).astype(np.uint64)
+    w = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
+    planes = x.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes()
+    return bytes([w]) + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").reshape(-1).astype(np.int64)
+
+
 # ---------------------------------------------------------------- Bloom filter
 
 

@@ -11,12 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, WordHash, boundaries, quoted, written
+from logloom.llm.common import U64, WordHash, boundaries, packed, quoted, unpacked, written
 
 #: A run of documents ends after so many tokens.
 RUN_TOKENS = 3_000_000
@@ -25,19 +24,6 @@ K = 5
 END = b""
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Integers, least bytes first in planes, compressed."""
-    x = np.ascontiguousarray(x).astype(np.uint64)
-    w = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
-    planes = x.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes()
-    return bytes([w]) + zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").reshape(-1).astype(np.int64)
-
-
 def _row(names, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in values], names=names)
 

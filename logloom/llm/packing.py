@@ -2,13 +2,16 @@
 
 Each task walks its own documents once: it encodes them, cuts off whole sequences, and gathers what is left of the documents into blocks. A block is packed by differencing: at first each piece is a partition of its own, with one full window and k-1 empty ones; the two partitions of largest spread are merged, the fullest window of one with the emptiest of the other, until one partition is left. If a window exceeds the capacity, k rises by one and the block is packed anew. Nothing is shuffled and no group grows with the data; a block is bounded by a number of pieces.
 
-Null texts count as empty; an empty document is the end id alone. Rows that repeat an id or a text are packed row by row. Other columns are ignored. Windows of a block have near-equal lengths, and k starts at the least number that can hold them; the rest of a document is cut into small pieces, so that differencing has enough of them.
+Null texts count as empty; an empty document is the end id alone. Rows that repeat an id or a text are packed row by row. Other columns are ignored. Windows of a block have near-equal lengths, and k starts at the least number that can hold them; a rest of more than half a window is cut in two, so that differencing has enough pieces.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -16,74 +19,86 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from logloom.llm.common import texts
+from logloom.llm.common import lean, ranges, texts
+from logloom.llm.pieces import SPACE, Points, WordEndBpe, bare_starts, sliced
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces in a block.
 BLOCK = 512
-#: A rest is cut into pieces of at most this share of a window: the finer, the nearer to equal the windows become.
-FINE = 8
+#: A rest is cut into pieces of at most this share of a window: the finer, the nearer to equal the windows become, and the more documents are cut.
+FINE = 2
 
-#: The letters and digits below U+0250, as the tokenizer's own pattern sees them; texts of these, ASCII's marks and ASCII's white space are encoded word by word.
+#: Characters that are encoded together.
+CHARS = 6 << 20
+
+#: The characters below U+0250 whose small letter is one character in every library; texts of these and ASCII's white space are plain.
 _PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]*")
 
 
-class WordTokenizer:
-    """ids of a text by a tokenizers file whose pre-tokenizer drops white space: each distinct word is encoded once, many in one call."""
+@functools.lru_cache(maxsize=2)
+def _loaded(path: str):
+    """A tokenizers file: the library's object and its merges as arrays, some megabytes, the same for every text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+    import tokenizers
 
-    #: Words of the younger of two generations; the older one goes when the younger is full.
-    MOST = 700_000
-    #: A character that no plain text has; its id parts the words of one call.
-    MARK = "\x01"
+    return tokenizers.Tokenizer.from_file(path), WordEndBpe(path)
 
-    def __init__(self, path: str):
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-        import tokenizers
+class WordTokenizer:
+    """ids of texts by a tokenizers file that lowers letters and drops white space. Plain texts are cut and merged together, each distinct piece of a call once; others go through the library. Nothing is kept between calls."""
 
-        self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        #: Texts that contain one of these, in any case, are encoded whole.
+    def __init__(self, path: str):
+        self.tokenizer, self.words = _loaded(path)
+        #: Texts that contain one of these, in any case, are encoded by the library.
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # a worker process serves many tasks: what it has learnt stays with the library it came from
-        self.store: dict[str, dict[str, bytes]] = tokenizers.__dict__.setdefault("_words_of", {}).setdefault(path, {"young": {}, "old": {}})
-        self.known = self.store["young"]
-        self.mark = np.array(self.ids(self.MARK), np.uint32)
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words that aren't known yet. Letters and a mark after them never share a token."""
-        ends = [w[-1] in ".,;:!?" and w[:-1].isalpha() for w in words]
-        new = [w for w in {w[:-1] if e else w for w, e in zip(words, ends, strict=True)} | {w[-1] for w, e in zip(words, ends, strict=True) if e} if w not in self.known]
-        if new:
-            got = np.array(self.ids(f" {self.MARK} ".join(new)), np.uint32)
-            n = len(self.mark)
-            at = np.flatnonzero(got == self.mark[0])
-            for w, x, y in zip(new, [0, *(at + n).tolist()], [*at.tolist(), len(got)], strict=True):
-                self.known[w] = got[x:y].tobytes()
-        for w, e in zip(words, ends, strict=True):
-            if e:
-                self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+
+    def plain(self, text: str, low: str) -> bool:
+        return bool(_PLAIN.fullmatch(text)) and unicodedata.is_normalized("NFC", text) and not any(a in low for a in self.added)
+
+    def _joined(self, low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        points = Points(low)
+        if not len(points.cp):
+            return np.zeros(0, np.int32), np.zeros(len(low), np.int64)
+        at = np.flatnonzero(bare_starts(points))
+        text = np.frombuffer("".join(low).encode(), np.uint8)
+        bounds = np.append(np.concatenate(([0], np.cumsum(points.byte_sizes(), dtype=np.int64)))[at], len(text))
+        known = sliced(text, bounds).dictionary_encode()
+        place, distinct = known.indices.to_numpy(), known.dictionary
+        white = np.zeros(len(distinct), bool)
+        white[place] = points.kind[at] == SPACE
+        _, offsets, data = distinct.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+        counts = np.zeros(len(distinct), np.int64)
+        ids, counts[~white] = self.words.encode(np.frombuffer(data, np.uint8), offsets[:-1][~white], offsets[1:][~white])
+        own = counts[place]
+        document = np.searchsorted(points.ends, at, side="right")
+        return ids[ranges((np.cumsum(counts) - counts)[place], own)], np.bincount(document, own, len(low)).astype(np.int64)
 
     def batch(self, texts_: list[str]) -> list[np.ndarray]:
         """One array for each text."""
-        import unicodedata
-
-        if len(self.known) > self.MOST:
-            self.store["old"], self.store["young"] = self.known, {}
-            self.known = self.store["young"]
-        plain = lambda t, low: _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) and not any(a in low for a in self.added)
-        words = [low.split() if plain(t, low) else None for t in texts_ for low in [t.lower()]]
-        seen: set[str] = set()
-        for w in words:
-            seen.update(w or ())
-        old = self.store["old"]
-        new = seen - self.known.keys()
-        self.known.update((w, old[w]) for w in new & old.keys())
-        self.learn([w for w in new if w not in old])
-        return [np.array(self.ids(t), np.uint32) if w is None else np.frombuffer(b"".join(map(self.known.__getitem__, w)), np.uint32) for t, w in zip(texts_, words, strict=True)]
+        low = [t.lower() for t in texts_]
+        plain = [self.plain(t, x) for t, x in zip(texts_, low, strict=True)]
+        ids, counts = self._joined([x for x, ok in zip(low, plain, strict=True) if ok])
+        own = iter(np.split(ids.astype(np.uint32), np.cumsum(counts)))
+        return [next(own) if ok else np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t, ok in zip(texts_, plain, strict=True)]
+
+
+def chunked(batches, most: int = CHARS):
+    """(ids, texts) of documents, of `most` characters together unless one alone has more."""
+    ids: list = []
+    texts_: list[str] = []
+    size = 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if size + len(t) > most and ids:
+                yield ids, texts_
+                ids, texts_, size = [], [], 0
+            ids.append(i)
+            texts_.append(t)
+            size += len(t)
+    if ids:
+        yield ids, texts_
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -168,23 +183,21 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         count = 0
-        for b in batches:
-            for x in range(0, b.num_rows, 1000):
-                some = b.slice(x, 1000)
-                for i, ids in zip(some.column(0).to_pylist(), tokenizer.batch(some.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    count += 1
-                    full = len(ids) // capacity * capacity
-                    put([[(count, s, capacity)] for s in range(0, full, capacity)], {count: (i, ids)})
-                    if full < len(ids):
-                        held[count] = (i, ids)
-                        rest += [(count, s, n) for s, n in _cut(full, len(ids) - full, max(1, capacity // FINE))]
-                    if len(rest) >= block:
-                        put(pack(rest, capacity), held)
-                        rest, held = [], {}
+        for own, texts_ in chunked(batches):
+            for i, ids in zip(own, tokenizer.batch(texts_), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
+                count += 1
+                full = len(ids) // capacity * capacity
+                put([[(count, s, capacity)] for s in range(0, full, capacity)], {count: (i, ids)})
+                if full < len(ids):
+                    held[count] = (i, ids)
+                    rest += [(count, s, n) for s, n in _cut(full, len(ids) - full, max(1, capacity // FINE))]
+                if len(rest) >= block:
+                    put(pack(rest, capacity), held)
+                    rest, held = [], {}
                 if len(out) > 4096:
                     yield flush()
         put(pack(rest, capacity), held)
         yield flush()
 
-    return texts(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), PIECES)
