@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-
 import json
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, lean, packed, ranges, texts, unpacked, written
+from logloom.llm.common import U64, bucketed, lean, lean_group, packed, ranges, released, texts, unpacked
 from logloom.llm.packing import chunked
 from logloom.llm.pieces import slice_hashes, sliced, starts
 
@@ -181,7 +180,7 @@ def heap_merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 RUNS = "run long, doc_ids array<long>, sizes binary, numbers binary, places binary, words binary, lengths binary, n_words long"
 DEALT = "bucket long, run long, words binary, lengths binary"
 FOUND = "bucket long, words array<array<smallint>>, whole array<int>, long_at array<int>, long_words array<binary>, runs array<long>, members array<binary>"
-ANSWERS = "run long, bucket long, doc_ids array<long>, sizes binary, numbers binary, places binary"
+ANSWERS = "run long, bucket long, counts binary, ids binary"
 
 
 def _names(schema: str) -> list[str]:
@@ -282,7 +281,7 @@ def _gathered(ranks):
 
 
 def _answered(ranks):
-    """Buckets whose words are encoded to each run's ids: (run, bucket, nothing, numbers of ids, ids, nothing), in the columns of ANSWERS."""
+    """Buckets whose words are encoded to each run's ids, in the run's order of words."""
 
     def answer(batches):
         for b in batches:
@@ -300,7 +299,7 @@ def _answered(ranks):
                     rows.append((run, packed(counts[at]), packed(flat[ranges(bounds[:-1][at], counts[at])])))
                 n = len(rows)
                 run, counted, ids = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array([b.column("bucket")[k].as_py()] * n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(counted, pa.binary()), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())], names=_names(ANSWERS))
+                yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array([b.column("bucket")[k].as_py()] * n, pa.int64()), pa.array(counted, pa.binary()), pa.array(ids, pa.binary())], names=_names(ANSWERS))
 
     return answer
 
@@ -308,13 +307,13 @@ def _answered(ranks):
 def _assembled(ranks, names: list[str], most: int = 1 << 20):
     """A run's documents and its words' ids to the columns of RESULT that are named."""
 
-    def put(key, t):
-        rows = sorted(t.to_pylist(), key=lambda r: r["bucket"])
-        top, answers = rows[0], rows[1:]
-        numbers = unpacked(top["places"])[unpacked(top["numbers"])]
+    def put(key, runs, t):
+        top = runs.to_pylist()[0]
+        order = np.argsort(t.column("bucket").to_numpy()).tolist()
+        numbers = unpacked(top["places"]).astype(np.int32)[unpacked(top["numbers"]).astype(np.int32)]
         sizes = unpacked(top["sizes"])
-        counts = np.concatenate([unpacked(a["sizes"]) for a in answers]) if answers else np.zeros(0, np.int64)
-        ids = np.concatenate([unpacked(a["numbers"]) for a in answers]).astype(np.int32) if answers else np.zeros(0, np.int32)
+        joined = lambda c: np.concatenate([np.zeros(0, np.int32), *(unpacked(t.column(c)[i].as_py()).astype(np.int32) for i in order)])
+        counts, ids = joined("counts"), joined("ids")
         first = np.cumsum(counts) - counts
         tokens = np.concatenate(([0], np.cumsum(counts[numbers])))
         ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -336,6 +335,7 @@ def _assembled(ranks, names: list[str], most: int = 1 << 20):
                 for n in names:
                     out[n].append(got[n])
             x = y
+        released()
         kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "decoded": pa.binary()}
         return pa.table({n: pa.array(out[n], kinds.get(n, pa.string())) for n in names})
 
@@ -353,13 +353,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     for r, t in by_id:
         tokens[r] = t
     shared = spark.sparkContext.broadcast((ranks, (pa.array([f" {i}".encode() for i in range(len(tokens))], pa.large_binary()), pa.array(tokens, pa.large_binary()))))
-    runs = written(texts(docs, id_col, text_col).mapInArrow(lean(_runs(pattern)), RUNS), "bpe-runs")
+    runs = bucketed(texts(docs, id_col, text_col).mapInArrow(lean(_runs(pattern)), RUNS), "bpe-runs", "run")
     n = runs.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, -(-n // MOST_WORDS), min(MANY, -(-n // WORDS)))
     dealt = runs.select("run", "words", "lengths").mapInArrow(lean(_dealt(buckets)), DEALT)
-    found = dealt.groupBy("bucket").applyInArrow(_gathered(shared), FOUND)
+    found = dealt.groupBy("bucket").applyInArrow(lean_group(_gathered(shared)), FOUND)
     enc = found.withColumn("enc", encoded(F.col("words"), F.col("whole"), Ranks(ranks))).drop("words", "whole")
     answers = enc.mapInArrow(lean(_answered(shared)), ANSWERS)
-    tops = runs.select("run", F.lit(-1).cast("long").alias("bucket"), "doc_ids", "sizes", "numbers", "places")
+    tops = runs.select("run", "doc_ids", "sizes", "numbers", "places")
     schema = RESULT if contents else RESULT.split(", ids ")[0]
-    return tops.union(answers).groupBy("run").applyInArrow(_assembled(shared, _names(schema)), schema)
+    return tops.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_assembled(shared, _names(schema)), schema)

@@ -41,15 +41,30 @@ def lean(task):
     @functools.wraps(task)
     def run(batches):
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # the C library isn't glibc
-            pass
+        released()
 
     return run
 
 
+def lean_group(task):
+    """The same for a function of a key and its rows as an Arrow table."""
+
+    def run(key, t):
+        out = task(key, t)
+        released()
+        return out
+
+    return run
+
+
+def released() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # the C library isn't glibc
+        pass
+
+
 # ---------------------------------------------------------------- scratch tables
 
 
@@ -75,6 +90,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the shared folder whose files are dealt by key as a shuffle would deal it: joins on the key move the other side only."""
+    spark = df.sparkSession
+    table_name = f"logloom_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", new_path(spark, name)).option("compression", "zstd").bucketBy(parts, key).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a scratch table that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -88,16 +88,34 @@ def spaced_starts(p: Points) -> np.ndarray:
     return start
 
 
+def portions(texts: list[str], most: int = 1 << 20):
+    """The texts by lists of `most` characters together, unless one alone has more."""
+    own, size = [], 0
+    for t in texts:
+        if size + len(t) > most and own:
+            yield own
+            own, size = [], 0
+        own.append(t)
+        size += len(t)
+    if own:
+        yield own
+
+
 def starts(texts: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """(where pieces begin, number of pieces of each text), in bytes of the joined texts; a last element has their length. The pieces are the matches of the pattern, which must leave nothing out."""
     if pattern == SPACED:
-        points = Points(texts)
-        if not len(points.cp):
-            return np.zeros(1, np.int64), np.zeros(len(texts), np.int64)
-        at = np.flatnonzero(spaced_starts(points))
-        ends = np.concatenate(([0], np.cumsum(points.byte_sizes(), dtype=np.int64)))
-        of = np.searchsorted(points.ends, at, side="right")
-        return np.append(ends[at], ends[-1]), np.bincount(of, minlength=len(texts))
+        found, sizes, done = [np.zeros(0, np.int64)], [], 0
+        for some in portions(texts):
+            points = Points(some)
+            if len(points.cp):
+                at = np.flatnonzero(spaced_starts(points))
+                ends = np.concatenate(([0], np.cumsum(points.byte_sizes(), dtype=np.int64)))
+                found.append(ends[at] + done)
+                done += int(ends[-1])
+                sizes.append(np.bincount(np.searchsorted(points.ends, at, side="right"), minlength=len(some)))
+            else:
+                sizes.append(np.zeros(len(some), np.int64))
+        return np.append(np.concatenate(found), done), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
     white = pattern.replace("[^\\s", "[^" + WHITE).replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]")
     found = [regex.findall(white, t) for t in texts]
     if any(len("".join(f)) != len(t) for f, t in zip(found, texts, strict=True)):
