@@ -24,9 +24,9 @@ from logloom.llm.packing import chunked
 from logloom.llm.pieces import slice_hashes, sliced, starts
 
 #: A run of documents ends after so many characters.
-RUN_CHARS = 10 << 20
+RUN_CHARS = 6 << 20
 #: Words of runs in a bucket; MOST_WORDS where that would make more than MANY buckets.
-WORDS, MOST_WORDS, MANY = 60_000, 1_000_000, 4096
+WORDS, MOST_WORDS, MANY = 20_000, 1_000_000, 4096
 LONG_PIECE = 4096
 #: Bits of a token's id, of a pair's rank, and the id and rank that none has.
 BITS = 17
@@ -221,6 +221,7 @@ def _runs(pattern: str):
         for number, (ids, own) in enumerate(chunked(batches, RUN_CHARS)):
             bounds, sizes = starts(own, pattern)
             words = sliced("".join(own).encode(), bounds).dictionary_encode()
+            del own, bounds
             at = words.indices.to_numpy() if len(words) else np.zeros(0, np.int32)
             data, ends = _strings(words.dictionary)
             n = len(ends) - 1
@@ -228,12 +229,15 @@ def _runs(pattern: str):
             place = np.empty(n, np.int64)
             place[by_hash] = np.arange(n)
             often = np.argsort(-np.bincount(at, minlength=n), kind="stable")
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[often] = np.arange(n)
             text, lengths = _taken(data, ends, by_hash)
             cols = [[part << 32 | number], [ids], [packed(sizes)], [packed(rank[at])], [packed(place[often])], [_pressed(text)], [packed(lengths)], [n]]
             kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_names(RUNS))
+            row = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_names(RUNS))
+            del cols, words, at, data, ends, text, lengths
+            released()
+            yield row
 
     return cut
 

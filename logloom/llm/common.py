@@ -168,20 +168,23 @@ def unpacked(b: bytes) -> np.ndarray:
 
 
 class Bloom:
-    """A broadcast set of longs in `bits` bits, however many longs there are: it lets pass all of them and, when crowded, others too.
+    """A broadcast set of longs: it lets pass all of them and few others. It only thins the rows that a shuffled join gets; the join decides.
 
-    It only thins the rows that a shuffled join gets; the join decides.
+    It has 8 to 16 bits for each long, up to `most` bits (16 MB); a set of more than a sixth as many longs isn't sent at all, and every row passes.
     """
 
-    def __init__(self, ids: DataFrame, col: str, bits: int = 1 << 24):
+    def __init__(self, ids: DataFrame, col: str, most: int = 1 << 27):
         spark = ids.sparkSession
-        self.bits = bits
+        n = ids.count()
+        self.empty, self.open = n == 0, 6 * n > most
+        if self.open:
+            return
+        self.bits = bits = max(1 << 18, 1 << (8 * n).bit_length())
         marks = ids.select(F.explode(F.array(*self._marks(F.col(col)))).alias("bit"))
         blocks = marks.groupBy(F.floor(F.col("bit") / 32768).alias("k")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("m")).collect()
         got = np.zeros(bits // 8, np.uint8)
         for r in blocks:
             got[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-        self.empty = not blocks
         self._bits = spark.sparkContext.broadcast(got)
 
     def _marks(self, x: Column) -> list[Column]:
@@ -189,11 +192,11 @@ class Bloom:
 
     def may_have(self, df: DataFrame, col: str) -> DataFrame:
         """The rows of df whose `col` may be in the set."""
-        return self._split(df, col, True)
+        return df if self.open else self._split(df, col, True)
 
     def cannot_have(self, df: DataFrame, col: str) -> DataFrame:
         """The other rows: their `col` isn't in the set."""
-        return self._split(df, col, False)
+        return df.where(F.lit(False)) if self.open else self._split(df, col, False)
 
     def _split(self, df: DataFrame, col: str, having: bool) -> DataFrame:
         names, bits = df.columns, self._bits

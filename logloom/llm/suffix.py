@@ -2,11 +2,13 @@
 
 A byte goes when a string of `length` bytes that covers it also starts anywhere else. Where such strings can lie is found first, without loss: every window of `length` bytes has an anchor, the `anchor`-byte string in it with the least hash, and equal windows have equal anchors at the same place. The windows that share one occurrence of an anchor make a segment, known by the anchor's and its own hash, 64 bits each.
 
-- A segment that occurs twice is repeated as a whole; one whose anchor occurs nowhere else isn't at all.
+- A segment that occurs twice is repeated as a whole: equal hashes decide that, its bytes aren't compared. One whose anchor occurs nowhere else isn't repeated at all.
 - The segments in question have an anchor with company but differ from it. Their bytes go to the tasks by anchor, one copy of each, with the anchor itself as a single symbol. Each task cuts them into shards, sorts each shard's suffixes into a Burrows-Wheeler transform, and merges all shards by refining their interleave: a round takes every entry to the suffix that begins one symbol earlier (last-to-first mapping) and deals the entries stably by that symbol. After r rounds entries lie in the order of their first r symbols, and the places where neighbours part in round r are those where the common prefix has r-1 symbols. Entries alone in their block are settled and leave. The blocks left after `length` bytes are the repeated intervals.
 - An anchor with many segments is split further, by the bytes that all of a few neighbouring windows share, at last by the windows themselves.
 
-A null text counts as empty; a text shorter than `length` loses nothing. Rows that repeat an id are rows of their own only if their texts are equal; a repeated id with several texts is an error. Extra columns are ignored; an empty table gives no rows.
+The same search runs over words (runs without ASCII white space) for passages of PASSAGE words that another document has too: nothing is removed for them, their words are counted. A passage can have many words and fewer than `length` bytes.
+
+A null text counts as empty; a text shorter than `length` loses nothing. Rows are known by id and text: a null id, or an id that repeats with several texts, has its own result for each row, and rows that repeat both have the same. For passages, rows of one id and text are one document. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,12 +21,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, Bloom, boundaries, mix, ranges, texts, written
+from logloom.llm.common import U64, Bloom, boundaries, lean, mix, ranges, texts, written
+from logloom.llm.pieces import slice_hashes
 
 LENGTH = 400
 ANCHOR = 256
-#: Windows looked at together; positions among them take 22 bits.
-SPAN = 1 << 21
+#: Words of a passage, and of its anchor.
+PASSAGE = 51
+WORD_ANCHOR = 8
+BYTES, WORDS = 0, 1
+#: Symbols looked at together; positions among them take 22 bits. A longer text is cut into overlapping spans.
+SPAN = 1 << 20
 #: Symbols in a shard, and in what a task merges at once unless one anchor alone has more.
 SHARD = 1 << 16
 MERGE = 1 << 18
@@ -35,27 +42,73 @@ SPLIT = 16
 _GEAR = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 _LOW = U64((1 << 22) - 1)
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word of a text."""
+    out, at = [np.zeros(0, U64)], 0
+    while at < len(data):
+        end = min(at + SPAN, len(data))
+        while end < len(data) and not _WHITE[data[end]]:  # no word is cut
+            end += 1
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        inside = np.concatenate(([False], ~_WHITE[b], [False]))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        out.append(slice_hashes(b.astype(U64), edge[::2], edge[1::2]))
+        at = end
+    return np.concatenate(out)
+
+
+def words_of(texts_: list[bytes]) -> list[np.ndarray]:
+    """The same for many texts at once."""
+    own, at = [], 0
+    while at < len(texts_):
+        size, end = len(texts_[at]), at + 1
+        while end < len(texts_) and size + len(texts_[end]) < SPAN:
+            size, end = size + len(texts_[end]) + 1, end + 1
+        some = texts_[at:end]
+        if len(some) == 1:
+            own.append(word_hashes(some[0]))
+        else:
+            b = np.frombuffer(b" ".join(some), np.uint8)
+            inside = np.concatenate(([False], ~_WHITE[b], [False]))
+            edge = np.flatnonzero(inside[1:] != inside[:-1])
+            ends = np.cumsum([len(t) + 1 for t in some])
+            own += np.split(slice_hashes(b.astype(U64), edge[::2], edge[1::2]), np.searchsorted(edge[::2], ends[:-1]))
+        at = end
+    return own
 
 
-def segments(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(anchor's hash, first window, number of windows, anchor's place) of each segment of a text."""
+def segments(values: list[np.ndarray], length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor's hash, own hash, first window, number of windows, anchor's place) of each segment of texts, lists of 64-bit symbols."""
     out: list[tuple] = []
-    b = np.frombuffer(text, np.uint8)
-    for at in range(0, len(b) - length + 1, SPAN):
-        out.append(_segments(b[at : at + SPAN + length - 1], at, length, anchor))
-    if not out:
-        return tuple(np.zeros(0, t) for t in (U64, np.int64, np.int64, np.int64))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def _segments(b: np.ndarray, at: int, length: int, anchor: int):
-    h = _GEAR[b]
-    unit = 1
-    while unit * 2 <= anchor:  # h[i]: of the `unit` bytes that end at i, each times a power of an odd number: no bit is lost
+    some: list[tuple[int, int, np.ndarray]] = []
+    size = 0
+    for i, v in enumerate(values):
+        for at in range(0, len(v) - length + 1, SPAN):
+            x = v[at : at + SPAN + length - 1]
+            if size + len(x) > SPAN and some:
+                out.append(_segments(some, length, anchor))
+                some, size = [], 0
+            some.append((i, at, x))
+            size += len(x)
+    if some:
+        out.append(_segments(some, length, anchor))
+    kinds = (np.int64, U64, U64, np.int64, np.int64, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, k) for k in kinds)
+
+
+def _segments(some: list[tuple[int, int, np.ndarray]], length: int, anchor: int):
+    v = np.concatenate([x for _, _, x in some])
+    sizes = np.array([len(x) for _, _, x in some], np.int64)
+    ends = np.cumsum(sizes)
+    h, unit = v, 1
+    while unit * 2 <= anchor:  # h[i]: of the `unit` symbols that end at i, each times a power of an odd number: no bit is lost
         g = h.copy()
         g[unit:] += h[:-unit] * U64(pow(_BASE, unit, 1 << 64))
         h, unit = g, unit * 2
-    m = len(b) - anchor + 1
+    m = len(v) - anchor + 1
     hashed = np.zeros(m, U64)
     for x in sorted({*range(unit - 1, anchor, unit), anchor - 1}):
         hashed = mix(hashed + h[x : x + m])
@@ -65,26 +118,35 @@ def _segments(b: np.ndarray, at: int, length: int, anchor: int):
         key, width = np.minimum(key[:-width], key[width:]), width * 2
     if wanted > width:
         key = np.minimum(key[: len(key) - (wanted - width)], key[wanted - width :])
-    place = (key & _LOW).astype(np.int64)
-    first = boundaries(place)
-    count = np.diff(np.append(first, len(place)))
-    place = place[first]
-    return hashed[place], first + at, count, place + at
+    # windows that end in the text they begin in
+    start = np.flatnonzero(np.arange(len(key)) + length <= np.repeat(ends, sizes)[: len(key)])
+    place = (key[start] & _LOW).astype(np.int64)
+    new = boundaries(place)
+    count = np.diff(np.append(new, len(place)))
+    first, place = start[new], place[new]
+    span = np.searchsorted(ends, first, side="right")
+    text, at = np.array([i for i, _, _ in some])[span], np.array([a for _, a, _ in some])[span] - (ends - sizes)[span]
+    return text, hashed[place], slice_hashes(v, first, first + count + length - 1), first + at, count, place + at
+
+
+_SEGMENT = "id long, key long, unit byte, h long, seg long, first long, count int, shift int"
 
 
-def _found(length: int, anchor: int):
+def _found(length: int, anchor: int, passage: int, word_anchor: int):
+    names = [x.split()[0] for x in _SEGMENT.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
     def find(batches):
         for batch in batches:
             for x in range(0, batch.num_rows, 500):
                 b = batch.slice(x, 500)
-                cols: list[list] = [[], [], [], [], [], []]
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    h, first, count, place = segments(t, length, anchor)
-                    own = [xxhash.xxh3_64_intdigest(t[s : s + n + length - 1]) for s, n in zip(first.tolist(), count.tolist(), strict=True)]
-                    for c, v in zip(cols, (np.full(len(h), i if i is not None else 0, np.int64), h.view(np.int64), np.array(own, U64).view(np.int64), first, count, place - first), strict=True):
-                        c.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "h", "seg", "first", "count", "shift"])
+                ids, keys = b.column("id").to_numpy(), b.column("key").to_numpy()
+                own = b.column("text").cast(pa.binary()).to_pylist()
+                for unit, size, part in ((BYTES, length, anchor), (WORDS, passage, word_anchor)):
+                    values = [_GEAR[np.frombuffer(t, np.uint8)] for t in own] if unit == BYTES else words_of(own)
+                    text, h, seg, first, count, place = segments(values, size, part)
+                    cols = (ids[text], keys[text], np.full(len(text), unit, np.int8), h.view(np.int64), seg.view(np.int64), first, count, place - first)
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return find
 
@@ -172,22 +234,28 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
     return entry, block
 
 
-def repeats(strings: list[tuple[np.ndarray, int, int]], depth: int) -> list[np.ndarray]:
-    """strings: (symbols, number of windows at their front, copies). For each, which windows of `depth` symbols start elsewhere too."""
-    shards, part, size, origin = [], [], 0, []
-    for i, (s, _, _) in enumerate(strings):
+def repeats(strings: list[tuple[np.ndarray, int, bool, int]], depth: int, across: bool = False) -> list[np.ndarray]:
+    """strings: (symbols, number of windows at their front, whether others are equal, owner). For each, which windows of `depth` symbols start elsewhere too; across: in a string of another owner."""
+    shards, part, size = [], [], 0
+    for i, (s, *_) in enumerate(strings):
         part.append(s)
         size += len(s)
         if size >= SHARD or i == len(strings) - 1:
             shards.append(Shard(part, depth))
             part, size = [], 0
-    sizes = np.array([len(s) for s, _, _ in strings], np.int64)
+    sizes = np.array([len(s) for s, *_ in strings], np.int64)
     origin = np.repeat(np.arange(len(strings)), sizes)
     inside = np.arange(len(origin)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.concatenate([s.suffixes + o for s, o in zip(shards, np.concatenate(([0], np.cumsum([len(s.text) for s in shards])))[:-1], strict=True)])
-    entry, _ = repeated_intervals(shards, depth)
+    entry, block = repeated_intervals(shards, depth)
     place = at[entry]
-    out = [np.full(n, copies > 1) for _, n, copies in strings]
+    out = [np.full(n, equal) for _, n, equal, _ in strings]
+    if across and len(place):
+        owner = np.array([o for *_, o in strings], np.int64)[origin[place]]
+        equal = np.array([e for _, _, e, _ in strings])[origin[place]]
+        first = boundaries(block)
+        mixed = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.logical_or.reduceat(equal, first)
+        place = place[np.repeat(mixed, np.diff(np.append(first, len(block))))]
     for o, p in zip(origin[place].tolist(), inside[place].tolist(), strict=True):
         if p < len(out[o]):
             out[o][p] = True
@@ -202,109 +270,131 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- the operator
 
 
-def _asked(length: int, anchor: int, crowd: tuple[int, int], split: int):
-    """Documents with the segments in question to strings: (key, h, seg, from, windows, copies, left, right, depth)."""
+def _asked(sizes: dict[int, tuple[int, int]], crowd: tuple[int, int], split: int):
+    """Documents with the segments in question to strings, in the columns of _STRING; a word is eight bytes. sizes: length and anchor of each unit."""
 
     def ask(batches):
         for b in batches:
             rows = []
             for t, asked in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("asked").to_pylist(), strict=True):
+                words = word_hashes(t).tobytes() if any(q["unit"] == WORDS for q in asked or ()) else b""
                 for q in asked or ():
-                    first, count, place, copies = q["first"], q["count"], q["first"] + q["shift"], min(q["copies"], 2)
+                    unit, (length, anchor) = q["unit"], sizes[q["unit"]]
+                    data, w = (t, 1) if unit == BYTES else (words, 8)
+                    cut = lambda x, y: data[x * w : y * w]  # noqa: B023, E731
+                    first, count, place = q["first"], q["count"], q["first"] + q["shift"]
+                    known = (unit, q["h"], q["seg"], q["equal"], q["owner"])
                     size = 0 if q["variants"] < crowd[0] else split if q["variants"] < crowd[1] else 1
                     if not size:
-                        left, right = t[first:place], t[place + anchor : first + count + length - 1]
-                        rows.append((q["h"], q["h"], q["seg"], 0, count, copies, left, right, length - anchor + 1))
+                        rows.append((q["h"], *known, 0, count, cut(first, place), cut(place + anchor, first + count + length - 1), length - anchor + 1))
                         continue
-                    # windows start at place - d, d from 0 on; those of a block share the bytes between its last start and its first end
+                    # windows start at place - d, d from 0 on; those of a block share the symbols between its last start and its first end
                     for blk in range((place - first - count + 1) // size, (place - first) // size + 1):
                         lo, hi = max(first, place - blk * size - size + 1), min(first + count - 1, place - blk * size)
                         core, end = place - blk * size, place - blk * size - size + 1 + length
-                        key = xxhash.xxh3_64_intdigest(t[core:end], q["h"] + blk & (1 << 64) - 1) - (1 << 63)
-                        rows.append((key, q["h"], q["seg"], lo - first, hi - lo + 1, copies, t[lo:core], t[end : hi + length], length - (end - core) + 1))
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 9, kinds, strict=True)], names=_ASKED)
+                        key = xxhash.xxh3_64_intdigest(cut(core, end), q["h"] + blk & (1 << 64) - 1) - (1 << 63)
+                        rows.append((key, *known, lo - first, hi - lo + 1, cut(lo, core), cut(end, hi + length), length - (end - core) + 1))
+            kinds = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=_names(_STRING))
 
     return ask
 
 
-_ASKED = ["key", "h", "seg", "from", "windows", "copies", "left", "right", "depth"]
-_ASKED_TYPES = "key long, h long, seg long, from int, windows int, copies int, left binary, right binary, depth int"
+_STRING = "key long, unit byte, h long, seg long, equal boolean, owner long, from int, windows int, left binary, right binary, depth int"
+_ANSWER = "unit byte, h long, seg long, from int, windows int"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _answered(batches):
-    """Sorted by depth and key: strings to (h, seg, from, windows) of the repeated windows of those with one copy."""
+    """Sorted by unit, depth and key: strings to the repeated windows of those that aren't repeated as a whole."""
 
     def answer(rows):
         out = []
         names: dict[int, int] = {}
         strings = []
-        for key, _, _, _, windows, copies, left, right, _ in rows:
-            s = np.concatenate((np.frombuffer(left, np.uint8).astype(np.int64), [256 + names.setdefault(key, len(names))], np.frombuffer(right, np.uint8).astype(np.int64)))
-            strings.append((s, windows, copies))
-        for r, got in zip(rows, repeats(strings, rows[0][8]), strict=True):
-            if r[5] == 1:
-                out += [(r[1], r[2], r[3] + x, y - x) for x, y in zip(*(v.tolist() for v in _runs(got)), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, [pa.int64()] * 2 + [pa.int32()] * 2, strict=True)], names=["h", "seg", "from", "windows"])
+        unit = rows[0]["unit"]
+        kind = np.uint8 if unit == BYTES else np.int64
+        for r in rows:
+            # an anchor is a symbol of its own: beyond the bytes, or one more word, which no other anchor's strings have
+            mark = 256 + names.setdefault(r["key"], len(names)) if unit == BYTES else r["key"]
+            s = np.concatenate((np.frombuffer(r["left"], kind).astype(np.int64), [mark], np.frombuffer(r["right"], kind).astype(np.int64)))
+            strings.append((s, r["windows"], r["equal"], r["owner"]))
+        for r, got in zip(rows, repeats(strings, rows[0]["depth"], unit == WORDS), strict=True):
+            if not r["equal"]:
+                out += [(unit, r["h"], r["seg"], r["from"] + x, y - x) for x, y in zip(*(v.tolist() for v in _runs(got)), strict=True)]
+        kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names=_names(_ANSWER))
 
     rows, size = [], 0
     for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in _ASKED), strict=True):
-            if rows and (r[8] != rows[0][8] or size >= MERGE and r[0] != rows[-1][0]):
+        for r in b.to_pylist():
+            if rows and ((r["unit"], r["depth"]) != (rows[0]["unit"], rows[0]["depth"]) or size >= MERGE and r["key"] != rows[-1]["key"]):
                 yield answer(rows)
                 rows, size = [], 0
             rows.append(r)
-            size += len(r[6]) + len(r[7]) + 1
+            size += (len(r["left"]) + len(r["right"])) // (1 if r["unit"] == BYTES else 8) + 1
     if rows:
         yield answer(rows)
 
 
-def _removed(length: int):
+def _covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """Maximal runs (start, end) that windows, given as (first, number), cover."""
+    out: list[tuple[int, int]] = []
+    for first, windows in sorted(spans):
+        end = first + windows + length - 1
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((first, end))
+    return out
+
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary"
+
+
+def _removed(length: int, passage: int):
     def remove(batches):
         for b in batches:
-            cols: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for t, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
-                gone = spans_count = 0
-                kept = t
-                if spans:
-                    parts, end, at = [], 0, 0
-                    for first, windows in sorted((s["first"], s["windows"]) for s in spans):
-                        if first > end or not spans_count:
-                            parts.append(t[end:first])
-                            spans_count += 1
-                            end = at = first
-                        new = first + windows + length - 1
-                        gone += max(0, new - max(at, end))
-                        end = at = max(end, new)
-                    kept = b"".join([*parts, t[end:]])
-                for c, v in zip(cols, (len(t), gone, spans_count, hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                    cols[c].append(v)
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True))], names=["doc_id", *cols])
+            rows = []
+            for i, t, spans in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
+                of = lambda unit: [(s["first"], s["windows"]) for s in spans or () if s["unit"] == unit]  # noqa: B023, E731
+                gone = _covered(of(BYTES), length)
+                kept = b"".join(t[x:y] for x, y in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(t)], strict=True))
+                rows.append((i, len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), sum(e - s for s, e in _covered(of(WORDS), passage)), kept))
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names=_names(_RESULT))
 
     return remove
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, crowd: tuple[int, int] = CROWD, split: int = SPLIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) for each row."""
-    rows = texts(docs, id_col, text_col)
-    found = rows.mapInArrow(_found(length, anchor), "doc_id long, h long, seg long, first long, count int, shift int")
-    copies = found.groupBy("h", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "count", "shift")).alias("at"))
-    crowds = copies.groupBy("h").agg(F.count("*").alias("variants"))
-    company = written(copies.join(crowds, "h").where("copies > 1 or variants > 1").select("h", "seg", "copies", "variants", "at.*"), "suffix-company")
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, crowd: tuple[int, int] = CROWD, split: int = SPLIT, passage: int = PASSAGE, word_anchor: int = WORD_ANCHOR) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (words in runs of `passage` words that another document has) and kept (the bytes that stay) for each row."""
+    rows = texts(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("key"), "text")
+    found = written(rows.select("id", "key", "text").mapInArrow(lean(_found(length, anchor, passage, word_anchor)), _SEGMENT), "suffix-found")
+    same = ["unit", "h", "seg"]
+    owner = F.xxhash64("id", "key")
+    copies = found.groupBy(*same).agg(F.count("*").alias("copies"), F.min(owner).alias("owner"), F.max(owner).alias("last"), F.min(F.struct("id", "key", "first", "count", "shift")).alias("at"))
+    equal = F.when(F.col("unit") == BYTES, F.col("copies") > 1).otherwise(F.col("owner") != F.col("last"))
+    copies = written(copies.select(*same, equal.alias("equal"), "owner", "at"), "suffix-copies")
+    crowds = copies.groupBy("unit", "h").agg(F.count("*").alias("variants")).where("variants > 1")
+    company = written(copies.join(crowds, ["unit", "h"], "left").where("equal or variants > 1").select(*same, "equal", "owner", F.coalesce("variants", F.lit(1)).alias("variants"), "at.*"), "suffix-company")
 
-    asked = company.where("variants > 1").groupBy("doc_id").agg(F.collect_list(F.struct("h", "seg", "first", "count", "shift", "copies", "variants")).alias("asked"))
+    asked = company.where("variants > 1").groupBy("id", "key").agg(F.collect_list(F.struct(*same, "first", "count", "shift", "equal", "owner", "variants")).alias("asked"))
     asked = written(asked, "suffix-asked")
-    some = Bloom(asked.select("doc_id"), "doc_id").may_have(rows, "doc_id")
-    strings = some.join(asked, "doc_id").select("text", "asked").mapInArrow(_asked(length, anchor, crowd, split), _ASKED_TYPES)
-    answers = strings.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "depth", "key").sortWithinPartitions("depth", "key").mapInArrow(_answered, "h long, seg long, from int, windows int")
-    verdicts = written(answers.union(company.where("copies > 1").select("h", "seg", F.lit(0).alias("from"), F.col("count").alias("windows"))), "suffix-verdicts")
-
-    spans = found.join(verdicts, ["h", "seg"]).select("doc_id", (F.col("first") + F.col("from")).alias("first"), F.col("windows").cast("long").alias("windows"))
-    spans = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows")).alias("spans")), "suffix-spans")
-    touched = Bloom(spans.select("doc_id"), "doc_id")
+    some = Bloom(asked.select("key"), "key").may_have(rows.select("id", "key", "text"), "key")
+    sizes = {BYTES: (length, anchor), WORDS: (passage, word_anchor)}
+    strings = some.join(asked, ["id", "key"]).select("text", "asked").mapInArrow(lean(_asked(sizes, crowd, split)), _STRING)
+    order = ("unit", "depth", "key")
+    answers = strings.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).mapInArrow(lean(_answered), _ANSWER)
+    verdicts = written(answers.distinct().union(company.where("equal").select(*same, F.lit(0).alias("from"), F.col("count").alias("windows"))), "suffix-verdicts")
+
+    spans = found.join(verdicts, same).select("id", "key", "unit", (F.col("first") + F.col("from")).alias("first"), F.col("windows").cast("long").alias("windows"))
+    spans = written(spans.distinct().groupBy("id", "key").agg(F.collect_list(F.struct("unit", "first", "windows")).alias("spans")), "suffix-spans")
+    touched = Bloom(spans.select("key"), "key")
     none = F.lit(None).cast(spans.schema["spans"].dataType)
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    cut = touched.may_have(rows, "doc_id").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    rest = touched.cannot_have(rows, "doc_id").select("doc_id", "text", none.alias("spans"))
-    return cut.union(rest).mapInArrow(_removed(length), result)
+    cut = touched.may_have(rows, "key").join(spans, ["id", "key"], "left").select("doc_id", "text", "spans")
+    rest = touched.cannot_have(rows, "key").select("doc_id", "text", none.alias("spans"))
+    return cut.union(rest).mapInArrow(lean(_removed(length, passage)), _RESULT)

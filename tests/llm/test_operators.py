@@ -119,6 +119,46 @@ def test_suffix(spark, empty, options):
     assert suffix.without_repeats(empty).count() == 0
 
 
+def brute_repeats(rows, length, passage):
+    """For each row: bytes removed, runs, bytes kept, and words in passages that a row of another id or text has."""
+    texts = [(t or "").encode() for _, t in rows]
+    seen, own = collections.defaultdict(int), collections.defaultdict(set)
+    for (i, _), t in zip(rows, texts, strict=True):
+        for s in range(len(t) - length + 1):
+            seen[t[s : s + length]] += 1
+        w = t.split()
+        for s in range(len(w) - passage + 1):
+            own[tuple(w[s : s + passage])].add((i, t))
+    out = []
+    for (i, _), t in zip(rows, texts, strict=True):
+        gone = [False] * len(t)
+        for s in range(len(t) - length + 1):
+            if seen[t[s : s + length]] > 1:
+                gone[s : s + length] = [True] * length
+        w = t.split()
+        shared = [False] * len(w)
+        for s in range(len(w) - passage + 1):
+            if len(own[tuple(w[s : s + passage])]) > 1:
+                shared[s : s + passage] = [True] * passage
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        out.append((i, len(t), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), sum(shared)))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"crowd": (2, 4), "split": 2}])
+def test_suffix_with_odd_ids_and_passages(spark, options):
+    one = lambda n: sentence(n)
+    x, twice = one(30), "same same " * 12
+    rows = [(None, x + " a"), (1, "b " + x), (0, one(25)), (1, one(40)), (1, x[:60] + "é" + x[61:]), (7, twice), (8, None), (8, ""), (9, "b " + x), (9, "b " + x), (None, one(20)), (10, one(5) + "\n" + x.replace(" ", "\t ") + "  " + one(6))]
+    rows += [(20 + i, one(R.randint(0, 9)) + " " + " ".join(x.split()[i : i + R.randint(3, 20)]) + " " + one(R.randint(0, 9))) for i in range(25)]
+    docs = spark.createDataFrame([(i, t, i, "s", 0) for i, t in rows], "doc_id long, text string, key long, unit string, first int").repartition(3)
+    got = suffix.without_repeats(docs, length=50, anchor=30, passage=9, word_anchor=4, **options).collect()
+    sort = lambda r: sorted(r, key=str)
+    want = brute_repeats(rows, 50, 9)
+    assert sort(tuple(r)[:6] for r in got) == sort(want)
+    assert sum(w[5] > 0 for w in want) > 10 and [w[5] for w in want if w[0] == 7] == [0]
+
+
 def test_merged_transforms():
     text = np.frombuffer(b"banana$bandana#banana", np.uint8).astype(np.int64)
     parts = [text[:7], text[7:15], text[15:]]
