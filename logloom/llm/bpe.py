@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import U64, bucketed, lean, lean_group, packed, ranges, released, texts, unpacked
 from logloom.llm.packing import chunked
-from logloom.llm.pieces import slice_hashes, sliced, starts
+from logloom.llm.pieces import sliced, starts, string_hashes
 
 #: A run of documents ends after so many characters.
 RUN_CHARS = 6 << 20
@@ -135,11 +135,10 @@ def folded(word: Column, ranks: Ranks, places: Column, shifts: Column, bytes_: C
     return F.when(n == 0, none_at_all).otherwise(F.aggregate(F.sequence(F.lit(1), n), first, step, ids_of))
 
 
-def encoded(words: Column, whole: Column, ranks: Ranks) -> Column:
-    """The ids of each of the words, arrays of bytes; whole: the id of each word that is a token itself, -1 for others."""
+def encoded(words: Column, known: Column, ranks: Ranks) -> Column:
+    """The ids of each of the words, arrays of bytes; known: the ids of words that need no fold, null for others."""
     places, shifts, bytes_ = ranks.literals
-    own = lambda w, i: F.when(F.get(whole, i) >= 0, F.array(F.get(whole, i)))
-    return bind(places, lambda p: bind(shifts, lambda s: bind(bytes_, lambda b: F.transform(words, lambda w, i: F.coalesce(own(w, i), folded(w, ranks, p, s, b))))))
+    return bind(places, lambda p: bind(shifts, lambda s: bind(bytes_, lambda b: F.transform(words, lambda w, i: F.coalesce(F.get(known, i), folded(w, ranks, p, s, b))))))
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -179,8 +178,7 @@ def heap_merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 RUNS = "run long, doc_ids array<long>, sizes binary, numbers binary, places binary, words binary, lengths binary, n_words long"
 DEALT = "bucket long, run long, words binary, lengths binary"
-FOUND = "bucket long, words array<array<smallint>>, whole array<int>, long_at array<int>, long_words array<binary>, runs array<long>, members array<binary>"
-ANSWERS = "run long, bucket long, counts binary, ids binary"
+FOUND = "bucket long, words array<array<smallint>>, known array<array<int>>, runs array<struct<run: long, at: array<int>>>"
 
 
 def _names(schema: str) -> list[str]:
@@ -208,11 +206,6 @@ def _taken(data: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> tuple[np.
     return data[ranges(bounds[:-1][order], lengths)], lengths
 
 
-def _places(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each string."""
-    return slice_hashes(data.astype(U64), bounds[:-1], bounds[1:])
-
-
 def _runs(pattern: str):
     """(doc_id, text) to runs: distinct words by hash, and the documents' words as numbers, frequent ones low, with the place of each number."""
 
@@ -225,7 +218,7 @@ def _runs(pattern: str):
             at = words.indices.to_numpy() if len(words) else np.zeros(0, np.int32)
             data, ends = _strings(words.dictionary)
             n = len(ends) - 1
-            by_hash = np.argsort(_places(data, ends))
+            by_hash = np.argsort(string_hashes(data, ends))
             place = np.empty(n, np.int64)
             place[by_hash] = np.arange(n)
             often = np.argsort(-np.bincount(at, minlength=n), kind="stable")
@@ -250,7 +243,7 @@ def _dealt(buckets: int):
             for r in b.to_pylist():
                 data, lengths = _unpressed(r["words"]), unpacked(r["lengths"])
                 bounds = np.concatenate(([0], np.cumsum(lengths)))
-                own = (_places(data, bounds) >> U64(32)).astype(np.int64) * buckets >> 32
+                own = (string_hashes(data, bounds) >> U64(32)).astype(np.int64) * buckets >> 32
                 cut = np.searchsorted(own, np.arange(buckets + 1)).tolist()
                 rows = [(i, r["run"], _pressed(data[bounds[x] : bounds[y]]), packed(lengths[x:y])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
                 if rows:
@@ -269,45 +262,22 @@ def _gathered(ranks):
         every = sliced(np.concatenate(data), np.concatenate(([0], np.cumsum(np.concatenate(lengths))))).dictionary_encode()
         at = np.split(every.indices.to_numpy(), np.cumsum([len(x) for x in lengths])[:-1])
         words = every.dictionary.to_pylist()
-        whole = [ranks.value[0].get(w, -1) for w in words]
-        long = [i for i, w in enumerate(words) if len(w) > LONG_PIECE]
-        far = [words[i] for i in long]
+        known = [[r] if r is not None else None for r in map(ranks.value[0].get, words)]
+        for i, w in enumerate(words):
+            if known[i] is None and len(w) > LONG_PIECE:
+                known[i] = heap_merged(w, ranks.value[0])
         bytes_, bounds = _strings(every.dictionary)
-        short = np.diff(bounds)
-        short[long] = 0
-        flat = pa.array(bytes_[ranges(bounds[:-1], short)].astype(np.int16))
-        arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(short))).astype(np.int32)), flat)
+        sizes = np.where([k is None for k in known], np.diff(bounds), 0)
+        flat = pa.array(bytes_[ranges(bounds[:-1], sizes)].astype(np.int16))
+        arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
         listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), arrays)
-        one = lambda x, kind: pa.array([x], pa.list_(kind))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), listed, one(whole, pa.int32()), one(long, pa.int32()), one(far, pa.binary()), one(runs, pa.int64()), one([packed(x) for x in at], pa.binary())], names=_names(FOUND))
+        members = [{"run": r, "at": x} for r, x in zip(runs, at, strict=True)]
+        kinds = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.struct([("run", pa.int64()), ("at", pa.list_(pa.int32()))]))]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), listed, pa.array([known], kinds[0]), pa.array([members], kinds[1])], names=["bucket", "words", "known", "runs"])
 
     return gather
 
 
-def _answered(ranks):
-    """Buckets whose words are encoded to each run's ids, in the run's order of words."""
-
-    def answer(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                enc = b.column("enc")[k].values
-                flat, bounds = enc.values.to_numpy(zero_copy_only=False), enc.offsets.to_numpy().astype(np.int64)
-                counts = np.diff(bounds)
-                for i, w in zip(b.column("long_at")[k].as_py(), b.column("long_words")[k].as_py(), strict=True):
-                    own = heap_merged(w, ranks.value[0])
-                    bounds[i], counts[i] = len(flat), len(own)
-                    flat = np.concatenate((flat, np.array(own, flat.dtype)))
-                rows = []
-                for run, m in zip(b.column("runs")[k].as_py(), b.column("members")[k].as_py(), strict=True):
-                    at = unpacked(m)
-                    rows.append((run, packed(counts[at]), packed(flat[ranges(bounds[:-1][at], counts[at])])))
-                n = len(rows)
-                run, counted, ids = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array([b.column("bucket")[k].as_py()] * n, pa.int64()), pa.array(counted, pa.binary()), pa.array(ids, pa.binary())], names=_names(ANSWERS))
-
-    return answer
-
-
 def _assembled(ranks, names: list[str], most: int = 1 << 20):
     """A run's documents and its words' ids to the columns of RESULT that are named."""
 
@@ -316,7 +286,7 @@ def _assembled(ranks, names: list[str], most: int = 1 << 20):
         order = np.argsort(t.column("bucket").to_numpy()).tolist()
         numbers = unpacked(top["places"]).astype(np.int32)[unpacked(top["numbers"]).astype(np.int32)]
         sizes = unpacked(top["sizes"])
-        joined = lambda c: np.concatenate([np.zeros(0, np.int32), *(unpacked(t.column(c)[i].as_py()).astype(np.int32) for i in order)])
+        joined = lambda c: np.concatenate([np.zeros(0, np.int32), *(t.column(c)[i].values.to_numpy() for i in order)])
         counts, ids = joined("counts"), joined("ids")
         first = np.cumsum(counts) - counts
         tokens = np.concatenate(([0], np.cumsum(counts[numbers])))
@@ -362,8 +332,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     buckets = max(1, -(-n // MOST_WORDS), min(MANY, -(-n // WORDS)))
     dealt = runs.select("run", "words", "lengths").mapInArrow(lean(_dealt(buckets)), DEALT)
     found = dealt.groupBy("bucket").applyInArrow(lean_group(_gathered(shared)), FOUND)
-    enc = found.withColumn("enc", encoded(F.col("words"), F.col("whole"), Ranks(ranks))).drop("words", "whole")
-    answers = enc.mapInArrow(lean(_answered(shared)), ANSWERS)
+    enc = found.withColumn("enc", encoded(F.col("words"), F.col("known"), Ranks(ranks))).select("bucket", "enc", F.explode("runs").alias("r"))
+    own = F.transform("r.at", lambda i: F.get("enc", i))
+    answers = enc.select("bucket", F.col("r.run").alias("run"), own.alias("own"))
+    answers = answers.select("run", "bucket", F.transform("own", F.size).alias("counts"), F.flatten("own").alias("ids"))
     tops = runs.select("run", "doc_ids", "sizes", "numbers", "places")
     schema = RESULT if contents else RESULT.split(", ids ")[0]
     return tops.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_assembled(shared, _names(schema)), schema)

@@ -135,23 +135,37 @@ def bare_starts(p: Points) -> np.ndarray:
 _ODD = 0xD1342543DE82EF95
 
 
-@functools.lru_cache(maxsize=4)
+_POWERS = [np.ones(1, U64), np.ones(1, U64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2^64."""
-    up, down = np.full(n, _ODD, U64), np.full(n, pow(_ODD, -1, 1 << 64), U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for i, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            _POWERS[i] = np.cumprod(np.concatenate((np.ones(1, U64), np.full(size - 1, base, U64))))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def slice_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each slice of 64-bit values: a polynomial in an odd number, mixed with the length."""
-    size = 1 << max(12, int(len(values) + 1).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(len(values) + 1)
     total = np.zeros(len(values) + 1, U64)
-    np.cumsum(mix(values + U64(seed)) * up[: len(values)], out=total[1:])
+    np.cumsum(mix(values + U64(seed)) * up[:-1], out=total[1:])
     return mix(mix((total[end] - total[start]) * down[start]) + (end - start).astype(U64))
 
 
+def string_hashes(data: np.ndarray, bounds: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """A hash of each of adjacent strings of bytes; at most so many bytes at once, unless one string has more."""
+    out, x = [np.zeros(0, U64)], 0
+    while x < len(bounds) - 1:
+        y = max(x + 1, int(np.searchsorted(bounds, bounds[x] + most, side="right")) - 1)
+        own = bounds[x : y + 1] - bounds[x]
+        out.append(slice_hashes(data[bounds[x] : bounds[y]].astype(U64), own[:-1], own[1:]))
+        x = y
+    return np.concatenate(out)
+
+
 # ---------------------------------------------------------------- merges of byte pairs
 
 

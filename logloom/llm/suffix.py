@@ -31,7 +31,7 @@ PASSAGE = 51
 WORD_ANCHOR = 8
 BYTES, WORDS = 0, 1
 #: Symbols looked at together; positions among them take 22 bits. A longer text is cut into overlapping spans.
-SPAN = 1 << 20
+SPAN = 1 << 18
 #: Symbols in a shard, and in what a task merges at once unless one anchor alone has more.
 SHARD = 1 << 16
 MERGE = 1 << 18
@@ -167,6 +167,14 @@ class Shard:
         # prefix doubling over strings that end differently: a suffix that runs into its end has a rank of its own
         rank = np.unique(self.text, return_inverse=True)[1].astype(np.int64)
         done = 1
+        room = int(rank.max(initial=0)) + 2
+        many = min(depth, int(62 // np.log2(room)))
+        if many > 1 and n:  # the first symbols as one number; nothing beyond a string's end, where each suffix is another
+            key = rank + 1
+            for i in range(1, many):
+                key = key * room + np.where(left > i, np.concatenate((rank[i:], np.zeros(i, np.int64)))[:n] + 1, 0)
+            key = np.unique(key, return_inverse=True)[1] * (n + 1) + np.where(left < many, 1 + np.arange(n), 0)
+            rank, done = np.unique(key, return_inverse=True)[1].astype(np.int64), many
         while done < depth:
             step = min(done, depth - done)
             inside = left > step
@@ -330,12 +338,13 @@ def _answered(batches):
 
     rows, size = [], 0
     for b in batches:
-        for r in b.to_pylist():
-            if rows and ((r["unit"], r["depth"]) != (rows[0]["unit"], rows[0]["depth"]) or size >= MERGE and r["key"] != rows[-1]["key"]):
-                yield answer(rows)
-                rows, size = [], 0
-            rows.append(r)
-            size += (len(r["left"]) + len(r["right"])) // (1 if r["unit"] == BYTES else 8) + 1
+        for x in range(0, b.num_rows, 500):
+            for r in b.slice(x, 500).to_pylist():
+                if rows and ((r["unit"], r["depth"]) != (rows[0]["unit"], rows[0]["depth"]) or size >= MERGE and r["key"] != rows[-1]["key"]):
+                    yield answer(rows)
+                    rows, size = [], 0
+                rows.append(r)
+                size += (len(r["left"]) + len(r["right"])) // (1 if r["unit"] == BYTES else 8) + 1
     if rows:
         yield answer(rows)
 
@@ -376,11 +385,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(rows.select("id", "key", "text").mapInArrow(lean(_found(length, anchor, passage, word_anchor)), _SEGMENT), "suffix-found")
     same = ["unit", "h", "seg"]
     owner = F.xxhash64("id", "key")
-    copies = found.groupBy(*same).agg(F.count("*").alias("copies"), F.min(owner).alias("owner"), F.max(owner).alias("last"), F.min(F.struct("id", "key", "first", "count", "shift")).alias("at"))
+    # one occurrence stands for equal ones, that of the least hash; numbers only, so that they are summed by hash before the shuffle
+    mark = F.xxhash64("id", "key", "first")
+    one = [F.min_by(c, mark).alias(c) for c in ("id", "key", "first")]
+    copies = found.groupBy(*same).agg(F.count("*").alias("copies"), F.min(owner).alias("owner"), F.max(owner).alias("last"), *one, F.min("count").alias("count"), F.min("shift").alias("shift"))
     equal = F.when(F.col("unit") == BYTES, F.col("copies") > 1).otherwise(F.col("owner") != F.col("last"))
-    copies = written(copies.select(*same, equal.alias("equal"), "owner", "at"), "suffix-copies")
-    crowds = copies.groupBy("unit", "h").agg(F.count("*").alias("variants")).where("variants > 1")
-    company = written(copies.join(crowds, ["unit", "h"], "left").where("equal or variants > 1").select(*same, "equal", "owner", F.coalesce("variants", F.lit(1)).alias("variants"), "at.*"), "suffix-company")
+    copies = written(copies.select(*same, equal.alias("equal"), "owner", "last", "id", "key", "first", "count", "shift"), "suffix-copies")
+    crowds = copies.groupBy("unit", "h").agg(F.count("*").alias("variants"), F.min("owner").alias("lo"), F.max("last").alias("hi"))
+    # a passage needs another document
+    crowds = crowds.where((F.col("variants") > 1) & ((F.col("unit") == BYTES) | (F.col("lo") != F.col("hi")))).select("unit", "h", "variants")
+    company = copies.drop("last").join(crowds, ["unit", "h"], "left").where("equal or variants is not null")
+    company = written(company.withColumn("variants", F.coalesce("variants", F.lit(1))), "suffix-company")
 
     asked = company.where("variants > 1").groupBy("id", "key").agg(F.collect_list(F.struct(*same, "first", "count", "shift", "equal", "owner", "variants")).alias("asked"))
     asked = written(asked, "suffix-asked")
