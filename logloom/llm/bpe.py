@@ -24,7 +24,7 @@ from logloom.llm.packing import chunked
 from logloom.llm.pieces import sliced, starts, string_hashes
 
 #: A run of documents ends after so many characters.
-RUN_CHARS = 6 << 20
+RUN_CHARS = 8 << 20
 #: Words of runs in a bucket; MOST_WORDS where that would make more than MANY buckets.
 WORDS, MOST_WORDS, MANY = 20_000, 1_000_000, 4096
 LONG_PIECE = 4096
@@ -79,6 +79,8 @@ class Ranks:
 
     def __init__(self, ranks: dict[bytes, int]):
         pairs = {(ranks[t[:i]] << BITS) + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        #: Ids travel in two bytes, less by `shift`, if all fit.
+        self.kind, self.shift = ("smallint", 1 << 15) if max(ranks.values(), default=0) < 1 << 16 else ("int", 0)
         self.room = _prime(2 * len(pairs) + 64)
         shifts, self.number = shifted_places(list(pairs), self.room)
         places = [0] * self.room
@@ -101,7 +103,7 @@ def bind(x: Column, then) -> Column:
 
 
 def folded(word: Column, ranks: Ranks, places: Column, shifts: Column, bytes_: Column) -> Column:
-    """The ids of one word, an array of its bytes: again and again the leftmost pair of least rank is merged.
+    """The ids, less by ranks.shift, of one word, an array of its bytes: again and again the leftmost pair of least rank is merged.
 
     The fold's state has an element for each token: the rank of its pair with the next one, where it begins, and its id. So the least element is the pair to merge. One element before the first token and two after the last have no pair.
     """
@@ -128,15 +130,15 @@ def folded(word: Column, ranks: Ranks, places: Column, shifts: Column, bytes_: C
         return bind(F.array_min(a), lambda m: F.when(m >= none, a).otherwise(bind(F.array_position(a, m).cast("int"), lambda i: merge_at(a, m, i))))
 
     def ids_of(a: Column) -> Column:
-        return F.transform(F.slice(a, F.lit(2), F.size(a) - 3), lambda x: x.bitwiseAND(F.lit(own)).cast("int"))
+        return F.transform(F.slice(a, F.lit(2), F.size(a) - 3), lambda x: (x.bitwiseAND(F.lit(own)) - ranks.shift).cast(ranks.kind))
 
     first = bind(F.transform(word, lambda b: F.get(bytes_, b.cast("int")).cast("long")), start)
-    none_at_all = F.array().cast("array<int>")
+    none_at_all = F.array().cast(f"array<{ranks.kind}>")
     return F.when(n == 0, none_at_all).otherwise(F.aggregate(F.sequence(F.lit(1), n), first, step, ids_of))
 
 
 def encoded(words: Column, known: Column, ranks: Ranks) -> Column:
-    """The ids of each of the words, arrays of bytes; known: the ids of words that need no fold, null for others."""
+    """The ids, less by ranks.shift, of each of the words, arrays of bytes; known: those of words that need no fold, null for others."""
     places, shifts, bytes_ = ranks.literals
     return bind(places, lambda p: bind(shifts, lambda s: bind(bytes_, lambda b: F.transform(words, lambda w, i: F.coalesce(F.get(known, i), folded(w, ranks, p, s, b))))))
 
@@ -178,7 +180,7 @@ def heap_merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 RUNS = "run long, doc_ids array<long>, sizes binary, numbers binary, places binary, words binary, lengths binary, n_words long"
 DEALT = "bucket long, run long, words binary, lengths binary"
-FOUND = "bucket long, words array<array<smallint>>, known array<array<int>>, runs array<struct<run: long, at: array<int>>>"
+FOUND = "bucket long, words array<array<smallint>>, known array<array<KIND>>, runs array<struct<run: long, at: array<int>>>"
 
 
 def _names(schema: str) -> list[str]:
@@ -252,7 +254,7 @@ def _dealt(buckets: int):
     return deal
 
 
-def _gathered(ranks):
+def _gathered(ranks, kind: str, shift: int):
     """A bucket's words from all runs: one of each, and each run's as numbers of those."""
 
     def gather(key, t):
@@ -262,23 +264,23 @@ def _gathered(ranks):
         every = sliced(np.concatenate(data), np.concatenate(([0], np.cumsum(np.concatenate(lengths))))).dictionary_encode()
         at = np.split(every.indices.to_numpy(), np.cumsum([len(x) for x in lengths])[:-1])
         words = every.dictionary.to_pylist()
-        known = [[r] if r is not None else None for r in map(ranks.value[0].get, words)]
+        known = [[r - shift] if r is not None else None for r in map(ranks.value[0].get, words)]
         for i, w in enumerate(words):
             if known[i] is None and len(w) > LONG_PIECE:
-                known[i] = heap_merged(w, ranks.value[0])
+                known[i] = [r - shift for r in heap_merged(w, ranks.value[0])]
         bytes_, bounds = _strings(every.dictionary)
         sizes = np.where([k is None for k in known], np.diff(bounds), 0)
         flat = pa.array(bytes_[ranges(bounds[:-1], sizes)].astype(np.int16))
         arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
         listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), arrays)
         members = [{"run": r, "at": x} for r, x in zip(runs, at, strict=True)]
-        kinds = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.struct([("run", pa.int64()), ("at", pa.list_(pa.int32()))]))]
+        kinds = [pa.list_(pa.list_(pa.int16() if kind == "smallint" else pa.int32())), pa.list_(pa.struct([("run", pa.int64()), ("at", pa.list_(pa.int32()))]))]
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), listed, pa.array([known], kinds[0]), pa.array([members], kinds[1])], names=["bucket", "words", "known", "runs"])
 
     return gather
 
 
-def _assembled(ranks, names: list[str], most: int = 1 << 20):
+def _assembled(ranks, names: list[str], shift: int, most: int = 1 << 20):
     """A run's documents and its words' ids to the columns of RESULT that are named."""
 
     def put(key, runs, t):
@@ -286,8 +288,8 @@ def _assembled(ranks, names: list[str], most: int = 1 << 20):
         order = np.argsort(t.column("bucket").to_numpy()).tolist()
         numbers = unpacked(top["places"]).astype(np.int32)[unpacked(top["numbers"]).astype(np.int32)]
         sizes = unpacked(top["sizes"])
-        joined = lambda c: np.concatenate([np.zeros(0, np.int32), *(t.column(c)[i].values.to_numpy() for i in order)])
-        counts, ids = joined("counts"), joined("ids")
+        joined = lambda c: np.concatenate([np.zeros(0, np.int32), *(t.column(c)[i].values.to_numpy().astype(np.int32) for i in order)])
+        counts, ids = joined("counts"), joined("ids") + np.int32(shift)
         first = np.cumsum(counts) - counts
         tokens = np.concatenate(([0], np.cumsum(counts[numbers])))
         ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -331,11 +333,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     n = runs.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, -(-n // MOST_WORDS), min(MANY, -(-n // WORDS)))
     dealt = runs.select("run", "words", "lengths").mapInArrow(lean(_dealt(buckets)), DEALT)
-    found = dealt.groupBy("bucket").applyInArrow(lean_group(_gathered(shared)), FOUND)
-    enc = found.withColumn("enc", encoded(F.col("words"), F.col("known"), Ranks(ranks))).select("bucket", "enc", F.explode("runs").alias("r"))
+    constants = Ranks(ranks)
+    found = dealt.groupBy("bucket").applyInArrow(lean_group(_gathered(shared, constants.kind, constants.shift)), FOUND.replace("KIND", constants.kind))
+    enc = found.withColumn("enc", encoded(F.col("words"), F.col("known"), constants)).select("bucket", "enc", F.explode("runs").alias("r"))
     own = F.transform("r.at", lambda i: F.get("enc", i))
     answers = enc.select("bucket", F.col("r.run").alias("run"), own.alias("own"))
-    answers = answers.select("run", "bucket", F.transform("own", F.size).alias("counts"), F.flatten("own").alias("ids"))
+    answers = answers.select("run", "bucket", F.transform("own", lambda x: F.size(x).cast("int" if LONG_PIECE >= 1 << 15 else "smallint")).alias("counts"), F.flatten("own").alias("ids"))
     tops = runs.select("run", "doc_ids", "sizes", "numbers", "places")
     schema = RESULT if contents else RESULT.split(", ids ")[0]
-    return tops.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_assembled(shared, _names(schema)), schema)
+    return tops.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_assembled(shared, _names(schema), constants.shift), schema)
