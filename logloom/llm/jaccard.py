@@ -104,8 +104,8 @@ def _sets(batches, k):
     """(ids, texts' shingle sets) for slices of Arrow batches (doc_id, text)."""
     words = WordHash()
     for batch in batches:
-        for x in range(0, batch.num_rows, 500):
-            b = batch.slice(x, 500)
+        for x in range(0, batch.num_rows, 200):
+            b = batch.slice(x, 200)
             yield b.column(0), shingle_sets(words, b.column(1).cast(pa.binary()).to_pylist(), k)
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from logloom.llm.common import lean, ranges, texts
-from logloom.llm.pieces import SPACE, Points, WordEndBpe, bare_starts, sliced
+from logloom.llm.pieces import SPACE, Points, WordEndBpe, bare_starts, portions, sliced
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces in a block.
@@ -28,8 +28,9 @@ BLOCK = 512
 #: A rest is cut into pieces of at most this share of a window: the finer, the nearer to equal the windows become, and the more documents are cut.
 FINE = 2
 
-#: Characters that are encoded together.
-CHARS = 6 << 20
+#: Characters that are encoded together, and distinct pieces that are merged together.
+CHARS = 3 << 20
+PIECES_AT_ONCE = 1 << 14
 
 #: The characters below U+0250 whose small letter is one character in every library; texts of these and ASCII's white space are plain.
 _PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]*")
@@ -55,33 +56,51 @@ class WordTokenizer:
     def plain(self, text: str, low: str) -> bool:
         return bool(_PLAIN.fullmatch(text)) and unicodedata.is_normalized("NFC", text) and not any(a in low for a in self.added)
 
-    def _joined(self, low: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
-        points = Points(low)
-        if not len(points.cp):
-            return np.zeros(0, np.int32), np.zeros(len(low), np.int64)
-        at = np.flatnonzero(bare_starts(points))
-        text = np.frombuffer("".join(low).encode(), np.uint8)
-        bounds = np.append(np.concatenate(([0], np.cumsum(points.byte_sizes(), dtype=np.int64)))[at], len(text))
-        known = sliced(text, bounds).dictionary_encode()
-        place, distinct = known.indices.to_numpy(), known.dictionary
-        white = np.zeros(len(distinct), bool)
-        white[place] = points.kind[at] == SPACE
-        _, offsets, data = distinct.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+    def _ids(self, low: list[str]):
+        """The ids of each text, in order. What is held at once, beside the texts, is their distinct pieces and eight bytes a piece."""
+        found, white, sizes, done = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], 0
+        for some in portions(low):
+            points = Points(some)
+            at = np.flatnonzero(bare_starts(points)) if len(points.cp) else np.zeros(0, np.int64)
+            ends = np.concatenate(([0], np.cumsum(points.byte_sizes(), dtype=np.int32)))
+            found.append(ends[at] + done)
+            white.append(points.kind[at] == SPACE)
+            sizes.append(np.bincount(np.searchsorted(points.ends, at, side="right"), minlength=len(some)))
+            done += int(ends[-1])
+            del points, at, ends
+        known = sliced("".join(low).encode(), np.append(np.concatenate(found), done)).dictionary_encode()
+        del found
+        place, distinct = known.indices.to_numpy() if len(known) else np.zeros(0, np.int32), known.dictionary
+        blank = np.zeros(len(distinct), bool)
+        blank[place] = np.concatenate(white)
+        offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
+        data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)
         counts = np.zeros(len(distinct), np.int64)
-        ids, counts[~white] = self.words.encode(np.frombuffer(data, np.uint8), offsets[:-1][~white], offsets[1:][~white])
-        own = counts[place]
-        document = np.searchsorted(points.ends, at, side="right")
-        return ids[ranges((np.cumsum(counts) - counts)[place], own)], np.bincount(document, own, len(low)).astype(np.int64)
-
-    def batch(self, texts_: list[str]) -> list[np.ndarray]:
+        own = np.flatnonzero(~blank)
+        parts = [np.zeros(0, np.int32)]
+        for x in range(0, len(own), PIECES_AT_ONCE):
+            some = own[x : x + PIECES_AT_ONCE]
+            ids, counts[some] = self.words.encode(data, offsets[some], offsets[some + 1])
+            parts.append(ids)
+        ids, first = np.concatenate(parts).astype(np.uint32), np.cumsum(counts) - counts
+        ends = np.cumsum(np.concatenate(sizes))
+        x = y = 0
+        while x < len(low):
+            y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + (1 << 18), side="right")))
+            some = place[ends[x - 1] if x else 0 : ends[y - 1]]
+            total = np.concatenate(([0], np.cumsum(counts[some])))
+            flat = ids[ranges(first[some], counts[some])]
+            yield from np.split(flat, total[ends[x : y - 1] - (ends[x - 1] if x else 0)])
+            x = y
+
+    def batch(self, texts_: list[str]):
         """One array for each text."""
         low = [t.lower() for t in texts_]
         plain = [self.plain(t, x) for t, x in zip(texts_, low, strict=True)]
-        ids, counts = self._joined([x for x, ok in zip(low, plain, strict=True) if ok])
-        own = iter(np.split(ids.astype(np.uint32), np.cumsum(counts)))
-        return [next(own) if ok else np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t, ok in zip(texts_, plain, strict=True)]
+        own = self._ids([x for x, ok in zip(low, plain, strict=True) if ok])
+        del low
+        for t, ok in zip(texts_, plain, strict=True):
+            yield next(own) if ok else np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32)
 
 
 def chunked(batches, most: int = CHARS):

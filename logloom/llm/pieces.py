@@ -254,6 +254,7 @@ class WordEndBpe:
             model = json.load(f)["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        del model
         self.results = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.pairs = PairTable(np.array([vocab[a] for a, _ in pairs]), np.array([vocab[b] for _, b in pairs]), np.arange(len(pairs)))
         letters = byte_alphabet()

@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         words, w = WordHash(), np.zeros(SLOTS, np.float32)
         w[sent.value[0]] = sent.value[1]
         for batch in batches:
-            for x in range(0, batch.num_rows, 500):
+            for x in range(0, batch.num_rows, 200):
                 b = batch.slice(x, 500)
                 doc, slot = features(words, b.column("_text").to_pylist())
                 hit = w[slot] != 0

@@ -352,7 +352,8 @@ def test_packing_keeps_added_tokens():
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
     texts = ["a <|endoftext|> b", "x<|startoftext|>y, z.", "<|ENDOFTEXT|> Q", "a < | endoftext |> b", "plain words, twice words.", "", "é <|endoftext|>"]
-    got = packing.WordTokenizer(path).batch(texts)
+    got = list(packing.WordTokenizer(path).batch(texts))
+    assert list(packing.WordTokenizer(path).batch([])) == [] and [len(x) for x in packing.WordTokenizer(path).batch(["", " \n", "a"])] == [0, 0, 1]
     assert [g.tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
     assert got[0].tolist().count(49407) == 1 and len(got[0]) == 3
 
