@@ -174,7 +174,9 @@ def test_toxicity(spark, docs, empty):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     labels = d.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
     model = toxicity.fit(d, labels.where("doc_id % 2 = 0"))
-    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    scored = toxicity.score(d.repartition(1), model).collect()
+    assert sorted(r["doc_id"] for r in scored) == sorted(i for i, _ in rows)
+    got = {r["doc_id"]: r["score"] for r in scored}
     held = [(got[i] >= 0.3) == (i % 5 == 0) for i, _ in rows if i % 2]
     assert sum(held) >= 0.98 * len(held)
     assert toxicity.score(empty, model).count() == 0
