@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
+from logloom.operators.order import placed
 from logloom.sources.scratch import written
 
 #: How configuration texts name things; endpoints that wire everything together aren't equipment.
@@ -43,6 +44,11 @@ def objects(confs: DataFrame) -> DataFrame:
     return kept.select("key", cls.alias("cls"), instance.alias("instance"), name.alias("name"), F.array_distinct(F.transform(F.regexp_extract_all(offers, F.lit(OFFERED)), T.trim)).alias("offers"), _tag(main, "model").alias("model"), ip.alias("ip"), lowered.alias("aliases"), F.array_distinct(targets).alias("raw_refs"))
 
 
+def ordinals(objs: DataFrame) -> DataFrame:
+    """(key, ord): objects in the order of their names."""
+    return placed(objs.select("key"), ["key"], "objects", "ord")
+
+
 def edges(objs: DataFrame) -> DataFrame:
     """(src, dst): references to other known objects, once each, case kept."""
     out = objs.select(F.col("key").alias("src"), F.explode("raw_refs").alias("dst")).where("src <> dst").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators.timeline import SLICE, _sliced
+from logloom.operators.order import ordered, placed
 
 #: Limits of the reads, and the shares and gaps of the player.
 WINDOW, SEARCH, SEMANTIC, LEAST_SCORE = 6000, 500, 60, 0.2
@@ -34,7 +34,7 @@ def centered(df: DataFrame, center: int | None = None, most: int = WINDOW) -> Da
     if center is not None:
         at = df.where(F.col("ts_ms") < center).count()
         skip = max(0, min(at - most // 2, total - most))
-    return df.orderBy("ts_ms", "seq").limit(skip + most).orderBy(F.desc("ts_ms"), F.desc("seq")).limit(most)
+    return placed(df, ["ts_ms", "seq"], "centered", "_at").where(F.col("_at").between(skip, skip + most - 1)).drop("_at")
 
 
 def search(df: DataFrame, query: str, mode: str = "keyword", most: int = SEARCH) -> DataFrame:
@@ -125,26 +125,23 @@ def clusters(chapters: DataFrame, start: int, end: int) -> DataFrame:
     return found.select(F.col("_anchor").alias("pct"), "count", "kind")
 
 
-def as_of(playheads: DataFrame, df: DataFrame, values: list[str], width: int = SLICE, ahead: bool = False, dead_zone: int = 0, order: str = "seq") -> DataFrame:
+def as_of(playheads: DataFrame, df: DataFrame, values: list[str], ahead: bool = False, dead_zone: int = 0, order: str = "seq") -> DataFrame:
     """playheads (id, at) with the values of the last event with ts_ms <= at - dead_zone, or ahead the first with ts_ms > at + dead_zone.
 
-    Both sides are dealt by slices of time; a slice begins with what the slices before it ended with.
+    Both sides are dealt by ranges of time; a range begins with what the ranges before it ended with. Looking ahead is looking back in the reverse order.
     """
     value = F.struct(*values)
     at = F.col("at") + dead_zone if ahead else F.col("at") - dead_zone
     e = df.select(F.col("ts_ms"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("id"), F.col(order).cast("long").alias("_o"), value.alias("_v"))
     p = playheads.select(at.alias("ts_ms"), F.lit(1).alias("_side"), F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("_o"), F.lit(None).cast(e.schema["_v"].dataType).alias("_v"))
-    both = _sliced(e.union(p), width)
     # an event at the very time stands before a playhead: behind it counts, ahead it doesn't
-    place = ["ts_ms", "_side", "_o"]
-    w = Window.partitionBy("_slice").orderBy(*place)
-    w = w.rowsBetween(0, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if ahead else F.last
-    edge = both.groupBy("_slice").agg((F.min_by if ahead else F.max_by)(F.col("_v"), F.when(F.col("_side") == 0, F.struct(*place))).alias("_e"))
-    over = Window.orderBy("_slice")
-    over = over.rowsBetween(1, Window.unboundedFollowing) if ahead else over.rowsBetween(Window.unboundedPreceding, -1)
-    edges = edge.select("_slice", pick("_e", ignorenulls=True).over(over).alias("_edge"))
-    near = both.withColumn("_near", pick("_v", ignorenulls=True).over(w)).where("_side = 1").join(edges, "_slice").withColumn("_near", F.coalesce("_near", "_edge"))
+    own = ordered(e.union(p), ["ts_ms", "_side", "_o"], "as-of")
+    back = F.desc if ahead else F.asc
+    w = Window.partitionBy("_part").orderBy(back("_place")).rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.orderBy(back("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    edge = own.groupBy("_part").agg((F.min_by if ahead else F.max_by)(F.col("_v"), F.when(F.col("_side") == 0, F.col("_place"))).alias("_e"))
+    edges = edge.select("_part", F.last("_e", ignorenulls=True).over(over).alias("_edge"))
+    near = own.withColumn("_near", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").join(F.broadcast(edges), "_part").withColumn("_near", F.coalesce("_near", "_edge"))
     return near.select("id", *(F.col(f"_near.{v}").alias(v) for v in values))
 
 

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
+from logloom.operators.order import placed
+from logloom.sources.scratch import written
+
+
+def ranked(sigs: DataFrame) -> DataFrame:
+    """Signatures with their place by count, equal counts by their first record."""
+    own = sigs.withColumns({"_n": -F.col("count"), "_file": F.col("first_seen.file"), "_ord": F.col("first_seen.ord")})
+    return placed(own, ["_n", "_file", "_ord"], "signatures").drop("_n", "_file", "_ord")
 
 
 def headers(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -52,20 +60,18 @@ def signatures(recs: DataFrame, order: str = "rec_ord", chars: int = 16, storm:
 
     The sets are reduced to one row for each (signature, value) before they meet, so a frequent signature is no hot key.
     """
-    own = recs.where(T.level_class(F.col("level")) < 2).withColumn("signature", T.signature(F.col("level"), F.col("component"), F.col("message")))
-    at = F.struct("file", order)
-    base = own.groupBy("signature").agg(
-        F.count("*").alias("count"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.min(F.struct("file", F.col(order).alias("ord"), "level", "component", T.sample(F.col("message")).alias("sample"))).alias("first"),
-    )
+    own = recs.where(T.level_class(F.col("level")) < 2)
+    parts = {"signature": T.signature(F.col("level"), F.col("component"), F.col("message")), "sample": T.sample(F.col("message")), "entities": T.entities(F.col("address"), F.col("message"), F.col("thread"))}
+    # three aggregates read these rows; the patterns are matched once
+    own = written(own.select("file", F.col(order).alias("ord"), "ts", "level", "component", "address", *(v.alias(k) for k, v in parts.items())), "signature-rows")
+    at = F.struct("file", "ord")
+    base = own.groupBy("signature").agg(F.count("*").alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min(F.struct("file", "ord", "level", "component", "sample")).alias("first"))
 
     def values(kind: str, x):
         return F.transform(x, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), v.alias("v")))
 
     addresses = F.filter(F.array("address"), lambda a: a.isNotNull())
-    every = F.concat(values("files", F.array("file")), values("addresses", addresses), values("entities", T.entities(F.col("address"), F.col("message"), F.col("thread"))))
+    every = F.concat(values("files", F.array("file")), values("addresses", addresses), values("entities", F.col("entities")))
     sets = own.select("signature", at.alias("at"), F.explode(every).alias("e")).groupBy("signature", "e.kind", "e.v").agg(F.min(F.struct("at", "e.i")).alias("o"))
     lists = sets.groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("kind", "o", "v"))).alias("all"))
 

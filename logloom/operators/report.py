@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as T
 from logloom.operators.redact import redacted
+from logloom.operators.rules import severity_rank
 
 #: What the fact files look like, and limits of the report.
 DISK_SHARE, SAMPLES, SAMPLE_CHARS, SOURCES = 0.05, 2, 400, 6
@@ -75,13 +76,13 @@ def sources(found: DataFrame, group: str, order: str, most: int = SOURCES) -> Da
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(group, "s.title", "s.url", F.col("place").cast("long"))
 
 
-def findings(problems: DataFrame, masked: bool = True) -> DataFrame:
-    """Problems of the rules' path as report rows: time range, component, entities and files of the evidence, confidence, masked samples."""
-    own = problems.where("severity <> 'noise'")
+def findings(problems: DataFrame, masked: bool = True, noise: bool = False) -> DataFrame:
+    """Problems of the rules' path as report rows: time range, component, entities and files of the evidence, cause and solution, confidence, masked samples."""
+    own = problems if noise else problems.where("severity <> 'noise'")
     e = F.col("evidence")
     flat = lambda f: F.array_distinct(F.flatten(F.transform(e, lambda x: x[f])))
     first_comp = F.get(F.filter(F.transform(e, lambda x: x["component"]), lambda c: F.coalesce(c, F.lit("")) != ""), F.lit(0))
-    out = own.select("problem_ord", "rule_id", "severity", "subsystem", "title", "count", "storm", F.when(F.col("rule_id").isNotNull(), RULE_CONFIDENCE).otherwise(UNKNOWN_CONFIDENCE).alias("confidence"), first_comp.alias("component"), F.array_min(F.transform(e, lambda x: x["first_ts"])).alias("first_ts"), F.array_max(F.transform(e, lambda x: x["last_ts"])).alias("last_ts"), flat("entities").alias("entities"), flat("files").alias("files"), F.transform(F.slice(e, 1, SAMPLES), lambda x: x["sample"]).alias("samples"))
+    out = own.select("problem_ord", "rule_id", "severity", "subsystem", "title", "count", "storm", F.when(F.col("rule_id").isNotNull(), RULE_CONFIDENCE).otherwise(UNKNOWN_CONFIDENCE).alias("confidence"), first_comp.alias("component"), F.array_min(F.transform(e, lambda x: x["first_ts"])).alias("first_ts"), F.array_max(F.transform(e, lambda x: x["last_ts"])).alias("last_ts"), flat("entities").alias("entities"), flat("files").alias("files"), "retrieval_query", F.col("cause").alias("root_cause"), F.lit(None).cast("string").alias("impact"), F.coalesce("solution", F.array().cast("array<string>")).alias("solution"), F.transform(F.slice(e, 1, SAMPLES), lambda x: x["sample"]).alias("samples"))
     if not masked:
         return out
     lines = out.select("problem_ord", F.posexplode("samples").alias("i", "t")).withColumn("k", F.col("problem_ord").cast("long") * SAMPLES + F.col("i"))
@@ -90,16 +91,43 @@ def findings(problems: DataFrame, masked: bool = True) -> DataFrame:
     return out.drop("samples").join(samples, "problem_ord", "left")
 
 
-def markdown(title: str, rows: list) -> str:
-    """A report's problems as text; rows: collected findings."""
-    parts = [f"# {title}", ""]
-    for r in rows:
-        parts += [f"## [{r['severity']}] {r['title']}", "", f"{r['count']} times, {r['subsystem']}", ""]
-        parts += [f"> {s.splitlines()[0] if s else ''}" for s in (r["samples"] or [])[:1]]
-    return "\n".join(parts) + "\n"
+def dated(findings: DataFrame) -> DataFrame:
+    """Findings that have a time, in its order; equal times in the order of the report."""
+    rank = severity_rank(F.col("severity"))
+    return findings.where("first_ts is not null").orderBy("first_ts", rank, F.desc("count"), "problem_ord").select(F.col("first_ts").alias("ts"), "severity", "subsystem", "title", "count", "storm")
+
+
+def masked_objects(objs: DataFrame) -> DataFrame:
+    """Configuration objects (ord, name, ip, ...) with masked names and addresses, numbered in the order of the objects."""
+    texts = objs.select("ord", F.posexplode(F.array("name", "ip")).alias("_i", "_text")).select((F.col("ord") * 2 + F.col("_i")).alias("_key"), "_text")
+    clean, _ = redacted(texts, "_key", "_text")
+    own = clean.groupBy(F.floor(F.col("_key") / 2).alias("ord")).agg(F.max(F.when(F.col("_key") % 2 == 0, F.col("_text"))).alias("name"), F.max(F.when(F.col("_key") % 2 == 1, F.col("_text"))).alias("ip"))
+    return objs.drop("name", "ip").join(own, "ord").select(objs.columns)
+
+
+def markdown(filename: str, made: dict) -> str:
+    """A report, as `assembled` makes it, as text: profile, statistics, problems with cause, impact, solution, sources and a line of the first sample, and the noise."""
+    p, s = made["profile"], made["stats"]
+    out = [f"# Analysis of {filename}", "", f"- **Product:** {p.get('product')} ({p.get('family')})", f"- **Version:** {p.get('version') or '-'}", f"- **Host:** {p.get('host') or '-'}", f"- **Health:** {made['health']}/100", f"- **Analysed by:** {'model and rules' if made['analysed_by'] == 'model' else 'rules'}", f"- **Date:** {made['created_at']}", "", f"> {made['summary']}", ""]
+    out += [f"**Statistics:** {s['signatures']} signatures, {s['errors']} errors, {s['warnings']} warnings, {s['files']} logs.", "", "## Problems"]
+    if not made["problems"]:
+        out.append("_None found._")
+    for i, x in enumerate(made["problems"], 1):
+        out += ["", f"### {i}. [{x['severity'].upper()}] {x['title']}", f"- Count: {x['count']}" + (" (storm)" if x["storm"] else ""), f"- Subsystem: {x['subsystem']}"]
+        out += [f"- **{name}:** {x[c]}" for name, c in (("Cause", "root_cause"), ("Impact", "impact")) if x.get(c)]
+        if x.get("solution"):
+            out += ["- **Solution:**", *(f"  - {step}" for step in x["solution"])]
+        if x.get("sources"):
+            out += ["- **Sources:**", *(f"  - [{r['kind']}] {r['title']}" + (f" ({r['url']})" if r["url"] else "") for r in x["sources"])]
+        if x.get("samples"):
+            out += ["- Sample:", "  ```", f"  {x['samples'][0].split(chr(10))[0]}", "  ```"]
+    if made["noise"]:
+        out += ["", "## Suppressed noise", *(f"- {n['title']} x{n['count']}" for n in made["noise"])]
+    return "\n".join(out)
 
 
 def restart_allowed(stage: str, available: set[str]) -> bool:
     """Whether a run may begin at a stage, given the stages whose output is stored."""
+    #: The stage whose output each needs.
     needs = {"extract": None, "parse": None, "timeline": None, "rules": "parse", "retrieval": "rules", "llm": "retrieval"}
     return stage in needs and (needs[stage] is None or needs[stage] in available)

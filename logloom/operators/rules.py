@@ -60,12 +60,12 @@ def problems(matched: DataFrame, unknown_count: int = UNKNOWN_COUNT, unknown_mos
     first = F.col("evidence")[0]
     meta = first["rule"]
     known = sums.join(kept, "_key").select(
-        F.col("_key").alias("rule_id"), meta["severity"].alias("severity"), meta["subsystem"].alias("subsystem"), meta["title"].alias("title"), "count", "storm", F.transform("evidence", lambda e: e.dropFields("rule", "_rank")).alias("evidence"), F.coalesce(meta["retrieval_query"], meta["title"]).alias("retrieval_query"), F.lit(0).alias("_group"), meta["rule_ord"].cast("long").alias("_at")
+        F.col("_key").alias("rule_id"), meta["severity"].alias("severity"), meta["subsystem"].alias("subsystem"), meta["title"].alias("title"), "count", "storm", F.transform("evidence", lambda e: e.dropFields("rule", "_rank")).alias("evidence"), F.coalesce(meta["retrieval_query"], meta["title"]).alias("retrieval_query"), meta["cause"].alias("cause"), meta["solution"].alias("solution"), F.lit(0).alias("_group"), meta["rule_ord"].cast("long").alias("_at")
     )
     unknown = unknowns(matched, unknown_count, unknown_most)
     single = F.array(F.struct("signature", "sample", "component", "first_ts", "last_ts", "files", "entities"))
     query = F.substring(F.concat(F.coalesce("component", F.lit("")), F.lit(" "), F.col("sample")), 1, 200)
-    rest = unknown.select(F.lit(None).cast("string").alias("rule_id"), "severity", F.lit("other").alias("subsystem"), "title", "count", "storm", single.alias("evidence"), query.alias("retrieval_query"), F.lit(1).alias("_group"), F.col("unknown_ord").alias("_at"))
+    rest = unknown.select(F.lit(None).cast("string").alias("rule_id"), "severity", F.lit("other").alias("subsystem"), "title", "count", "storm", single.alias("evidence"), query.alias("retrieval_query"), F.lit(None).cast("string").alias("cause"), F.lit(None).cast("array<string>").alias("solution"), F.lit(1).alias("_group"), F.col("unknown_ord").alias("_at"))
     # ties: the order in which groups were met, rules by their first signature
     met = F.struct(F.col("_group"), F.when(F.col("_group") == 1, F.col("_at")).otherwise(0), F.lit(0))
     every = known.unionByName(rest)
@@ -102,5 +102,5 @@ def tiles(found: DataFrame, dongle_found: bool = True) -> DataFrame:
 
 
 def as_rule(found: DataFrame) -> DataFrame:
-    """Problems as drafts of rules."""
-    return found.select(F.col("title"), "severity", "subsystem", F.array("title").alias("any_of"), F.when(F.col("storm"), 30).alias("min_per_minute"), F.lit("captured").alias("source"))
+    """Findings as drafts of rules: the title is the first phrase to look for."""
+    return found.select("title", "severity", "subsystem", "component", F.array("title").alias("any_of"), F.when(F.col("storm"), 30).alias("min_per_minute"), F.col("root_cause").alias("cause"), "solution", F.col("title").alias("retrieval_query"), F.lit("captured").alias("source"))

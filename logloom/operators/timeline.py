@@ -1,19 +1,23 @@
 """The merged timeline: global order, histograms, chapters, and neighbours in time.
 
-Whatever needs a global order is dealt out by slices of time: rows are ordered within a slice, and what crosses slices (counts before, the last row before) comes from one small row for each slice.
+Whatever needs a global order is dealt by ranges of (time, order), see order.py: no slice of time is a single task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
+from logloom.operators.order import neighbours, ordered, placed
 
-#: Buckets of the overview, gaps in milliseconds, and what makes a storm of errors.
-BUCKETS, RESTART_GAP, CHAPTER_GAP, CHAPTERS, PEAKS, STORM_FACTOR, STORM_LEAST, SIGNIFICANT = 240, 30_000, 1000, 10, 4, 4, 20, 300
+#: Buckets of the overview, gaps in milliseconds, what makes a storm of errors, the largest timeline, and what a service says when it starts.
+BUCKETS, RESTART_GAP, CHAPTER_GAP, CHAPTERS, PEAKS, STORM_FACTOR, STORM_LEAST, SIGNIFICANT, MOST_EVENTS = 240, 30_000, 1000, 10, 4, 4, 20, 300, 500_000
 RESTART = r"(?iu)Abort handler is set up|This is AppHost|New run at|Server started"
-SLICE = 3_600_000
 
 
 def events(recs: DataFrame, order: list[str]) -> DataFrame:
@@ -22,29 +26,21 @@ def events(recs: DataFrame, order: list[str]) -> DataFrame:
     return recs.select(*order, ts.alias("ts_ms"), T.time_text(F.col("ts")).alias("ts_text"), T.service(F.col("file")).alias("service"), "thread", F.coalesce("level", F.lit("INFO")).alias("level"), "component", T.timeline_message(F.col("message")).alias("message")).where("ts_ms is not null")
 
 
-def _sliced(df: DataFrame, width: int) -> DataFrame:
-    return df.withColumn("_slice", F.floor(F.col("ts_ms") / width))
+def capped(df: DataFrame, order: list[str], most: int = MOST_EVENTS) -> tuple[DataFrame, bool]:
+    """The first events in the order of files and lines, and whether there are as many as the cap. Without this step a timeline has all events."""
+    own = placed(df, order, "capped", "_at").where(F.col("_at") < most)
+    return own.drop("_at"), own.limit(most).count() >= most
 
 
-def numbered(df: DataFrame, order: list[str], width: int = SLICE) -> DataFrame:
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """df with seq, the place in the global order (ts_ms, *order)."""
-    own = _sliced(df, width)
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = own.groupBy("_slice").agg(F.count("*").alias("_n")).select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_slice").orderBy("ts_ms", *order))
-    return own.withColumn("_place", place).join(sizes, "_slice").withColumn("seq", F.col("_before") + F.col("_place") - 1).drop("_slice", "_place", "_before")
+    return placed(df, ["ts_ms", *order], "timeline", "seq")
 
 
-def with_previous(df: DataFrame, order: list[str], values: list[str], width: int = SLICE, ahead: bool = False) -> DataFrame:
+def with_previous(df: DataFrame, order: list[str], values: list[str], ahead: bool = False) -> DataFrame:
     """df with prev_<value> of the row before in the global order (or next_<value> of the one after)."""
-    own = _sliced(df, width)
-    value, place = F.struct(*values), F.struct("ts_ms", *order)
-    w = Window.partitionBy("_slice").orderBy("ts_ms", *order)
-    edge = own.groupBy("_slice").agg((F.min_by if ahead else F.max_by)(value, place).alias("_e"))
-    over = Window.orderBy("_slice")
-    edges = edge.select("_slice", (F.lead if ahead else F.lag)("_e").over(over).alias("_edge"))
+    near = neighbours(ordered(df, ["ts_ms", *order], "neighbours"), F.struct(*values), ahead)
     name = "next" if ahead else "prev"
-    near = own.withColumn("_near", (F.lead if ahead else F.lag)(value).over(w)).join(edges, "_slice").withColumn("_near", F.coalesce("_near", "_edge"))
     return near.select(*df.columns, *(F.col(f"_near.{v}").alias(f"{name}_{v}") for v in values))
 
 
@@ -74,24 +70,60 @@ def lanes(df: DataFrame) -> DataFrame:
     return n.select("service", "events", (F.row_number().over(Window.orderBy(F.desc("events"), "first")) - 1).cast("long").alias("lane"))
 
 
-def debounced(df: DataFrame, gap: int = RESTART_GAP, order: tuple[str, ...] = ("seq",), width: int = SLICE) -> DataFrame:
-    """Rows more than gap after the last row kept. A row more than gap after the row before is kept whatever came earlier, so each run between such rows is folded by itself."""
-    own = with_previous(df, list(order), ["ts_ms"], width).withColumn("_new", (F.col("prev_ts_ms").isNull() | (F.col("ts_ms") - F.col("prev_ts_ms") > gap)).cast("long"))
-    sliced = _sliced(own, width)
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    runs = sliced.groupBy("_slice").agg(F.sum("_new").alias("_n")).select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.sum("_new").over(Window.partitionBy("_slice").orderBy("ts_ms", *order))
-    run = sliced.withColumn("_in", inside).join(runs, "_slice").withColumn("_run", F.col("_in") + F.col("_before"))
-    rows = F.array_sort(F.collect_list(F.struct("ts_ms", *order)))
-
-    def keep(acc: Column, x: Column) -> Column:
-        fresh = F.struct(x["ts_ms"].alias("last"), F.concat(acc["out"], F.array(x)).alias("out"))
-        return F.when(acc["last"].isNull() | (x["ts_ms"] - acc["last"] > gap), fresh).otherwise(acc)
-
-    kinds = ",".join(f"{c}:{t}" for c, t in df.select("ts_ms", *order).dtypes)
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<{kinds}>>").alias("out"))
-    kept = run.groupBy("_run").agg(rows.alias("r")).select(F.explode(F.aggregate("r", start, keep, lambda a: a["out"])).alias("k")).select("k.*")
-    return df.join(kept, ["ts_ms", *order])
+def _kept(ts: np.ndarray, last: int | None, gap: int) -> tuple[np.ndarray, int | None]:
+    """Places of sorted times that are more than gap after the one kept last, and the last time kept."""
+    out, i = [], 0 if last is None else int(np.searchsorted(ts, last + gap, "right"))
+    while i < len(ts):
+        out.append(i)
+        last = int(ts[i])
+        i = int(np.searchsorted(ts, last + gap, "right"))
+    return np.array(out, np.int64), last
+
+
+def _folded(entries: dict[int, int | None], gap: int, rows: bool, names: list[str]):
+    """Parts, each in order, to their last time kept, or to their rows kept; entries: the last time kept before each part."""
+
+    def fold(batches) -> Iterator[pa.RecordBatch]:
+        part, last = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = b.column("_part").to_numpy()
+            for x, y in zip(*(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))[s] for s in (slice(None, -1), slice(1, None))), strict=True):
+                if of[x] != part:
+                    if part is not None and not rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([last], pa.int64())], names=["_part", "last"])
+                    part = int(of[x])
+                    last = entries.get(part)
+                own = b.slice(x, y - x)
+                at, last = _kept(own.column("ts_ms").to_numpy(), last, gap)
+                if rows and len(at):
+                    yield own.take(pa.array(at)).select(names)
+        if part is not None and not rows:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([last], pa.int64())], names=["_part", "last"])
+
+    return fold
+
+
+def debounced(df: DataFrame, gap: int = RESTART_GAP, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Rows more than gap after the last row kept.
+
+    What a range keeps depends on the last row kept before it. Every round folds all ranges with what the round before said of that; two folds soon keep the same rows whatever they began with, so a few rounds settle all ranges. The driver sees one number a range.
+    """
+    own = ordered(df, ["ts_ms", *order], "debounce")
+    dealt = own.repartition("_part").sortWithinPartitions("_part", "_place")
+    narrow = own.select("_part", "_place", "ts_ms").repartition("_part").sortWithinPartitions("_part", "_place")
+    entries: dict[int, int | None] = {}
+    while True:
+        ends = sorted((r["_part"], r["last"]) for r in narrow.mapInArrow(_folded(entries, gap, False, []), "_part int, last long").collect())
+        new, last = {}, None
+        for part, end in ends:
+            new[part] = last
+            last = end if end is not None else last
+        if new == entries or all(v == entries.get(k) for k, v in new.items()):
+            break
+        entries = new
+    return dealt.mapInArrow(_folded(entries, gap, True, df.columns), df.schema)
 
 
 def storm_chapters(hist: DataFrame, start: int, end: int, buckets: int = BUCKETS) -> DataFrame:
@@ -103,12 +135,24 @@ def storm_chapters(hist: DataFrame, start: int, end: int, buckets: int = BUCKETS
     return by_bucket.where(F.col("errors") >= threshold).orderBy(F.desc("errors"), "bucket").limit(PEAKS).withColumn("ts_ms", middle)
 
 
-def thinned(chapters: DataFrame, order: list[str], gap: int = CHAPTER_GAP, most: int = CHAPTERS, width: int = SLICE) -> DataFrame:
+def restarts(df: DataFrame, banner: str = RESTART, gap: int = RESTART_GAP) -> DataFrame:
+    """Events whose message announces a start, one in a while."""
+    return debounced(df.where(F.col("message").rlike(banner)), gap)
+
+
+def thinned(chapters: DataFrame, order: list[str], gap: int = CHAPTER_GAP, most: int = CHAPTERS) -> DataFrame:
     """Chapters more than gap after the one before in the whole list, the first few."""
-    near = with_previous(chapters, order, ["ts_ms"], width)
+    near = with_previous(chapters, order, ["ts_ms"])
     return near.where(F.col("prev_ts_ms").isNull() | (F.col("ts_ms") - F.col("prev_ts_ms") > gap)).drop("prev_ts_ms").orderBy("ts_ms", *order).limit(most)
 
 
+def chapters(df: DataFrame, hist: DataFrame, start: int, end: int, banner: str = RESTART, buckets: int = BUCKETS) -> DataFrame:
+    """(ts_ms, kind, service): restarts, then storms of errors, in order of time and thinned. df: numbered events."""
+    found = restarts(df, banner).select("ts_ms", F.lit("restart").alias("kind"), "service", F.lit(0).alias("_kind"), F.col("seq").alias("_ord"))
+    peaks = storm_chapters(hist, start, end, buckets).select("ts_ms", F.lit("storm"), F.lit(None).cast("string"), F.lit(1), F.col("bucket").cast("long") - F.col("errors") * buckets)
+    return thinned(found.union(peaks), ["_kind", "_ord"]).select("ts_ms", "kind", "service")
+
+
 def significant(df: DataFrame, most: int = SIGNIFICANT) -> DataFrame:
     """The first error or warning of each service and coarse signature, the earliest few."""
     own = df.where(T.level_class(F.col("level")) < 2).withColumn("coarse", T.coarse_signature(F.col("message")))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators import correlate, inventory, player, records, redact, report, rules, timeline
-from logloom.plans.views import CLASS, COARSE, LOG, ORDERED, PEAK, RULES, SIG, SIGS, events, parsed, signatures, table
-from logloom.sources import bundle
+from logloom.operators import correlate, evidence, inventory, lifecycle, player, records, redact, report, rules, timeline, view
+from logloom.plans.views import CLASS, COARSE, LOG, ORDERED, PEAK, RULES, SIG, SIGS, events, parsed, signatures, table, unnumbered
+from logloom.sources import bundle, scratch, sinks
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -202,7 +202,8 @@ def problem_correlations(spark, d):
     items = e.select(F.concat("event_type", F.lit("-"), own.cast("string")).alias("id"), F.col("event_type").alias("subsystem"), severity.alias("severity"), "ts", entities.alias("e"))
     by_id = items.groupBy("id", "subsystem", "severity").agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_ts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("e")))).alias("entities"))
     # the ids stand for an order of problems
-    return correlate.correlations(by_id.withColumns({"ord": F.col("id"), "title": F.col("id")}))
+    found = correlate.correlations(by_id.withColumns({"ord": F.col("id"), "title": F.col("id")}))
+    return found.select("entity", "kind", "severity", "first_ts", "last_ts", "n_steps", "chain")
 
 
 def _graph(spark, d):
@@ -267,13 +268,13 @@ _SPAN = f"(SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM ({LOG}))"
 
 @query(f"SELECT CAST(least(239, floor((ts_ms - lo) / CAST(greatest(1, hi - lo) AS DOUBLE) * 240)) AS INTEGER) AS bucket, service, count(*) FILTER (WHERE cls = 0) AS err, count(*) FILTER (WHERE cls = 1) AS warn, count(*) FILTER (WHERE cls = 2) AS other FROM ({ORDERED}), {_SPAN} GROUP BY 1, 2")
 def overview_histogram(spark, d):
-    e = events(spark, d)
+    e = unnumbered(spark, d)
     return timeline.histogram(e, *timeline.bounds(e))
 
 
 @query(f"SELECT CAST(least(59, floor((ts_ms - a) / CAST(b - a AS DOUBLE) * 60)) AS INTEGER) AS bucket, service, count(*) FILTER (WHERE cls = 0) AS err, count(*) FILTER (WHERE cls = 1) AS warn, count(*) FILTER (WHERE cls = 2) AS other FROM ({ORDERED}), (SELECT lo + (hi - lo) // 4 AS a, lo + (hi - lo) // 2 AS b FROM {_SPAN}) WHERE ts_ms BETWEEN a AND b GROUP BY 1, 2")
 def overview_zoom(spark, d):
-    e = events(spark, d)
+    e = unnumbered(spark, d)
     lo, hi = timeline.bounds(e)
     return timeline.histogram(e, lo + (hi - lo) // 4, lo + (hi - lo) // 2, timeline.zoom_buckets(60))
 
@@ -288,7 +289,7 @@ _HIST = f"SELECT CAST(least(239, floor((ts_ms - lo) / CAST(greatest(1, hi - lo)
 
 def _daily(spark, d):
     """Events whose errors are moved to the start of their day, so that some buckets are storms."""
-    e = events(spark, d)
+    e = unnumbered(spark, d)
     return e.withColumn("ts_ms", F.when(T.level_class(F.col("level")) == 0, F.col("ts_ms") - F.col("ts_ms") % 86400000).otherwise(F.col("ts_ms")))
 
 
@@ -312,10 +313,10 @@ w AS (SELECT i, seq, ts_ms, ts_ms AS last, true AS kept FROM c WHERE i = 1
 SELECT seq, ts_ms FROM w WHERE kept""")
 def restart_debounce(spark, d):
     banners = events(spark, d).where("level = 'FATAL'")
-    return timeline.debounced(banners, gap=3_600_000, width=86_400_000).select("seq", "ts_ms")
+    return timeline.debounced(banners, gap=3_600_000).select("seq", "ts_ms")
 
 
-_MARKS = f"SELECT seq, ts_ms, lo, hi, CASE WHEN seq % 2 = 0 THEN 'restart' ELSE 'storm' END AS kind, (ts_ms - lo) / CAST(hi - lo AS DOUBLE) * 100 AS pct FROM ({ORDERED}), {_SPAN} WHERE level = 'FATAL' AND component = 'Svc.3'"
+_MARKS = f"SELECT seq, ts_ms, lo, hi, CASE WHEN seq % 2 = 0 THEN 'restart' ELSE 'storm' END AS kind, (ts_ms - lo) / CAST(hi - lo AS DOUBLE) * 100 AS pct FROM ({ORDERED}), {_SPAN} WHERE level = 'FATAL'"
 
 
 @query(f"""
@@ -324,22 +325,6 @@ w AS (SELECT i, pct, pct AS anchor, 1 AS k FROM c WHERE i = 1
   UNION ALL SELECT c.i, c.pct, CASE WHEN c.pct - w.anchor < 2.5 THEN w.anchor ELSE c.pct END, CASE WHEN c.pct - w.anchor < 2.5 THEN w.k ELSE w.k + 1 END FROM w JOIN c ON c.i = w.i + 1)
 SELECT round(w.anchor, 6) AS pct, count(*) AS count, CASE WHEN bool_or(kind = 'storm') THEN 'storm' ELSE 'restart' END AS kind FROM w JOIN c ON c.i = w.i GROUP BY w.anchor""")
 def chapter_clusters(spark, d):
-    e = events(spark, d)
-    lo, hi = timeline.bounds(e)
-    marks = e.where("level = 'FATAL' and component = 'Svc.3'").select("ts_ms", F.when(F.col("seq") % 2 == 0, "restart").otherwise("storm").alias("kind"), F.col("seq").alias("ord"))
-    return player.clusters(marks, lo, hi).withColumn("pct", F.round("pct", 6))
-
-
-_ALL_MARKS = _MARKS.removesuffix(" AND component = 'Svc.3'")
-
-
-@query(f"""
-WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY pct, seq) AS i FROM ({_ALL_MARKS})),
-w AS (SELECT i, pct, pct AS anchor, 1 AS k FROM c WHERE i = 1
-  UNION ALL SELECT c.i, c.pct, CASE WHEN c.pct - w.anchor < 2.5 THEN w.anchor ELSE c.pct END, CASE WHEN c.pct - w.anchor < 2.5 THEN w.k ELSE w.k + 1 END FROM w JOIN c ON c.i = w.i + 1)
-SELECT round(w.anchor, 6) AS pct, count(*) AS count, CASE WHEN bool_or(kind = 'storm') THEN 'storm' ELSE 'restart' END AS kind FROM w JOIN c ON c.i = w.i GROUP BY w.anchor""")
-def chapter_clusters_all(spark, d):
-    """chapter_clusters over the events of all components."""
     e = events(spark, d)
     lo, hi = timeline.bounds(e)
     marks = e.where("level = 'FATAL'").select("ts_ms", F.when(F.col("seq") % 2 == 0, "restart").otherwise("storm").alias("kind"), F.col("seq").alias("ord"))
@@ -354,7 +339,7 @@ p AS (SELECT i.b AS i, j.b AS j FROM c i JOIN c j ON i.b <= j.b WHERE j.upto - i
 s AS (SELECT i, j FROM p ORDER BY j - i, j LIMIT 1), x AS (SELECT i, j, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM s, {_SPAN})
 SELECT CAST(i AS INTEGER) AS first_bucket, CAST(j AS INTEGER) AS last_bucket, round(greatest(lo, lo + i / 240.0 * (hi - lo) - (j - i + 1) * (hi - lo) / 240.0 * 0.15), 1) AS start_ms, round(least(hi, lo + (j + 1) / 240.0 * (hi - lo) + (j - i + 1) * (hi - lo) / 240.0 * 0.15), 1) AS end_ms FROM x""")
 def focus_window(spark, d):
-    e = events(spark, d)
+    e = unnumbered(spark, d)
     lo, hi = timeline.bounds(e)
     out = player.focus(timeline.histogram(e, lo, hi), lo, hi)
     return out.withColumns({"start_ms": F.round("start_ms", 1), "end_ms": F.round("end_ms", 1)})
@@ -402,7 +387,7 @@ def significant_dedup(spark, d):
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (WHERE cls = 0) AS errors, count(*) FILTER (WHERE cls = 1) AS warns FROM ({ORDERED})")
 def explain_stats(spark, d):
-    return player.stats(events(spark, d))
+    return player.stats(unnumbered(spark, d))
 
 
 @query(f"SELECT text, count(*) AS count FROM (SELECT seq, substr(regexp_replace(message, '\\d+', '#', 'g'), 1, 100) AS text FROM ({ORDERED}) WHERE cls = 0) GROUP BY 1 ORDER BY count(*) DESC, min(seq) LIMIT 4")
@@ -440,7 +425,7 @@ def silence_gaps(spark, d):
 
 @query(f"SELECT bucket, service, n, round(CASE WHEN n > 0 THEN greatest(14.0, ln(1 + n) / ln(1 + m) * 100) ELSE 0 END, 6) AS height FROM (SELECT *, max(n) OVER (PARTITION BY service) AS m FROM (SELECT CAST(least(239, floor((ts_ms - lo) / CAST(greatest(1, hi - lo) AS DOUBLE) * 240)) AS INTEGER) AS bucket, service, count(*) AS n FROM ({ORDERED}), {_SPAN} GROUP BY 1, 2))")
 def lane_heights(spark, d):
-    e = events(spark, d)
+    e = unnumbered(spark, d)
     h = timeline.histogram(e, *timeline.bounds(e)).select("bucket", "service", (F.col("err") + F.col("warn") + F.col("other")).alias("n"))
     most = h.groupBy("service").agg(F.max("n").alias("m"))
     return h.join(most, "service").select("bucket", "service", "n", F.round(T.lane_height(F.col("n"), F.col("m")), 6).alias("height"))
@@ -517,6 +502,230 @@ def source_dedup(spark, d):
     return report.sources(p, "grp", "ord")
 
 
+# ---------------------------------------------------------------- signatures, rules and reports in full
+
+
+@query(f"SELECT signature, count, row_number() OVER (ORDER BY count DESC, first_seen) - 1 AS place FROM ({SIGS})")
+def signature_order(spark, d):
+    return records.ranked(signatures(spark, d)).select("signature", "count", "place")
+
+
+@query(f"SELECT minute, count(*) AS n FROM (SELECT substr(ts, 1, 16) AS minute FROM ({LOG})) GROUP BY 1")
+def minute_counts(spark, d):
+    return parsed(spark, d).groupBy(T.minute(F.col("ts")).alias("minute")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id, unnest(['Address ' || address, 'Object DeviceIpint.' || (user_id % 20), 'Thread ' || thread]) AS label FROM ({LOG})")
+def entity_labels(spark, d):
+    e = parsed(spark, d).select("event_id", F.explode(T.entities(F.col("address"), F.col("message"), F.col("thread"))).alias("entity"))
+    return e.select("event_id", T.entity_label(F.col("entity"), correlate.NAMES).alias("label"))
+
+
+_EVIDENCE = f"""
+  SELECT rule_id, severity, component, first_ts, last_ts, signature, count, r FROM (
+    SELECT rule_id, arg_min(sev, (-count, first_seen)) OVER (PARTITION BY rule_id) AS severity, component, first_ts, last_ts, signature, count, row_number() OVER (PARTITION BY rule_id ORDER BY count DESC, first_seen) AS r FROM ({_META}) WHERE rule_id IS NOT NULL)
+  WHERE r <= 5 AND severity <> 'noise'
+  UNION ALL SELECT NULL, CASE level WHEN 'ERROR' THEN 'warning' ELSE 'info' END, component, first_ts, last_ts, signature, count, 1 FROM (SELECT * FROM ({_RULE}) WHERE rule_ord IS NULL AND level IN ('ERROR', 'WARN') AND count >= 20 ORDER BY count DESC, first_seen LIMIT 8)"""
+
+
+@query(f"""
+WITH x AS (SELECT *, level || '|' || component || '|' || {SIG.format(x="message")} AS signature FROM ({LOG}) WHERE {CLASS} < 2), l AS ({_LISTS.replace("(k = ", "(WHERE k = ")}),
+e AS (SELECT v.*, coalesce(rule_id, v.signature) AS grp, l.files, l.entities FROM ({_EVIDENCE}) v JOIN l USING (signature)),
+f AS (SELECT grp, v, min((r, i)) AS o FROM (SELECT grp, r, unnest(string_split(files, ';')) AS v, generate_subscripts(string_split(files, ';'), 1) AS i FROM e) GROUP BY 1, 2),
+n AS (SELECT grp, v, min((r, i)) AS o FROM (SELECT grp, r, unnest(string_split(entities, ';')) AS v, generate_subscripts(string_split(entities, ';'), 1) AS i FROM e) GROUP BY 1, 2)
+SELECT any_value(rule_id) AS rule_id, any_value(severity) AS severity, arg_min(component, r) AS component, min(first_ts) AS first_ts, max(last_ts) AS last_ts,
+  (SELECT string_agg(v, ';' ORDER BY o) FROM f WHERE f.grp = e.grp) AS files, (SELECT string_agg(v, ';' ORDER BY o) FROM n WHERE n.grp = e.grp) AS entities
+FROM e GROUP BY grp""")
+def report_evidence(spark, d):
+    f = report.findings(_problems(spark, d), masked=False)
+    return f.select("rule_id", "severity", "component", "first_ts", "last_ts", F.array_join("files", ";").alias("files"), F.array_join("entities", ";").alias("entities"))
+
+
+@query(f"SELECT min(first_ts) AS ts, any_value(severity) AS severity FROM (SELECT *, coalesce(rule_id, signature) AS grp FROM ({_EVIDENCE})) GROUP BY grp")
+def report_timeline(spark, d):
+    return report.dated(report.findings(_problems(spark, d), masked=False)).select("ts", "severity")
+
+
+@query(f"SELECT count(*) AS problems, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM ({_PROBLEMS}) WHERE severity <> 'noise'")
+def rule_summary(spark, d):
+    return evidence.summary(_problems(spark, d), 100).drop("summary")
+
+
+@query(f"SELECT severity, subsystem, CASE WHEN storm THEN 30 END AS min_per_minute, 'captured' AS source FROM ({_PROBLEMS}) WHERE severity <> 'noise'")
+def rule_drafts(spark, d):
+    return rules.as_rule(report.findings(_problems(spark, d), masked=False)).select("severity", "subsystem", "min_per_minute", "source")
+
+
+# ---------------------------------------------------------------- equipment trees, references, sources
+
+
+@query("SELECT p_type AS cls, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS place FROM part GROUP BY 1")
+def class_list(spark, d):
+    objs = table(spark, d, "part").withColumn("cls", F.col("p_type"))
+    ordered = view.class_list(objs).collect()  # as many rows as there are classes
+    return spark.createDataFrame([(r["cls"], r["count"], i) for i, r in enumerate(ordered)], "cls string, count long, place long")
+
+
+_TOPS = "t AS (SELECT component_id, count(*) AS size FROM k GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 5), deg AS (SELECT dst AS key, count(*) AS degree FROM l GROUP BY 1), hub AS (SELECT component_id, arg_min(key, (-coalesce(degree, 0), -n_offers, ord)) AS hub FROM k LEFT JOIN deg USING (key) GROUP BY 1)"
+
+
+@query(f"{_GRAPH}, {_TOPS} SELECT component_id, hub, key, k.cls, CASE WHEN k.cls = 'Cust' THEN 'name of ' || key END AS name FROM t JOIN hub USING (component_id) JOIN k USING (component_id) WHERE key <> hub")
+def equipment_trees(spark, d):
+    nodes, links = _graph(spark, d)
+    members = scratch.written(inventory.components(nodes, links), "members")
+    tops = view.trees(inventory.hubs(members.join(nodes.select("key", "n_offers"), "key"), links))
+    objs = nodes.select("key", "cls", F.when(F.col("cls") == "Cust", F.concat(F.lit("name of "), "key")).alias("name"))
+    return view.tree_members(tops, members, objs).drop("ord")
+
+
+@query("SELECT DISTINCT 'S.' || s_suppkey AS src, 'S.' || t AS dst FROM (SELECT s_suppkey, unnest([s_suppkey, s_suppkey + 1, s_suppkey // 2, s_suppkey + 1, -1]) AS t FROM supplier) WHERE t <> s_suppkey AND t IN (SELECT s_suppkey FROM supplier)")
+def config_refs(spark, d):
+    key = lambda x: F.concat(F.lit("S."), x.cast("string"))
+    k = F.col("s_suppkey")
+    objs = table(spark, d, "supplier").select(key(k).alias("key"), F.array(key(k), key(k + 1), key(F.floor(k / 2)), key(k + 1), F.lit("S.-1")).alias("raw_refs"))
+    return inventory.edges(objs)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 7 < 5 THEN least(p_size % 7 + 2, 6) ELSE 0 END AS n_sources, CASE WHEN p_size % 7 < 5 THEN 'u0' END AS ticket FROM part")
+def problem_sources(spark, d):
+    problems = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("q"), (F.col("p_size") % 7).cast("string")).alias("retrieval_query"))
+    kind = F.when(F.col("id") % 3 == 0, "jira").otherwise("doc")
+    one = lambda j: F.struct(F.lit("jira" if j % 3 == 0 else "doc").alias("kind"), F.lit(f"t{j}").alias("title"), F.concat(F.lit("u"), (F.lit(j) % (F.col("id") + 2)).cast("string")).alias("url"))
+    found = spark.range(5).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("query"), F.array(*map(one, range(8))).alias("sources"))
+    out = evidence.with_sources(problems, found)
+    return out.select("id", F.size("sources").alias("n_sources"), view.first_ticket(F.col("sources"))["url"].alias("ticket"))
+
+
+@query("""
+SELECT s_suppkey AS id, CAST(sum(p_size) AS BIGINT) AS count, bool_or(p_size > 40) AS storm, arg_min(p_brand, i) AS rule_id, min(p_name) AS first_ts, max(p_name) AS last_ts, count(DISTINCT p_type) AS n_entities, arg_min(p_brand, i) AS sample
+FROM (SELECT s_suppkey, unnest([s_suppkey * 3, s_suppkey, 1000000000]) AS k, generate_subscripts([1, 2, 3], 1) AS i FROM supplier) JOIN part ON p_partkey = k GROUP BY 1""")
+def finding_links(spark, d):
+    p = table(spark, d, "part")
+    problems = p.select(F.col("p_partkey").cast("int").alias("problem_ord"), F.col("p_brand").alias("rule_id"), F.col("p_size").cast("long").alias("count"), (F.col("p_size") > 40).alias("storm"), F.lit(None).cast("string").alias("component"), F.col("p_name").alias("first_ts"), F.col("p_name").alias("last_ts"), F.array("p_type").alias("entities"), F.array("p_name").alias("files"), F.array("p_brand").alias("samples"), F.array().cast("array<struct<kind:string,title:string,url:string>>").alias("sources"))
+    k = F.col("s_suppkey").cast("int")
+    findings = table(spark, d, "supplier").select(k.alias("finding_ord"), F.array(k * 3, k, F.lit(1_000_000_000)).alias("evidence_refs"))
+    out = evidence.linked(findings, problems).where("rule_id is not null")
+    return out.select(F.col("finding_ord").cast("long").alias("id"), "count", "storm", "rule_id", "first_ts", "last_ts", F.size("entities").cast("long").alias("n_entities"), F.get("samples", F.lit(0)).alias("sample"))
+
+
+# ---------------------------------------------------------------- chapters, ranges and what a player derives
+
+_STORMS = f"SELECT bucket, sum(n) AS errors, any_value(lo) AS lo, any_value(hi) AS hi FROM (SELECT CAST(least(239, floor((ts_ms - lo) / CAST(greatest(1, hi - lo) AS DOUBLE) * 240)) AS INTEGER) AS bucket, 1 AS n, lo, hi FROM ({ORDERED}), {_SPAN} WHERE cls = 0) GROUP BY 1"
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY seq) AS i, seq, ts_ms, service FROM ({ORDERED}) WHERE contains(message, 'signup amount')),
+w AS (SELECT i, seq, ts_ms, ts_ms AS last, true AS kept FROM c WHERE i = 1
+  UNION ALL SELECT c.i, c.seq, c.ts_ms, CASE WHEN c.ts_ms - w.last > 30000 THEN c.ts_ms ELSE w.last END, c.ts_ms - w.last > 30000 FROM w JOIN c ON c.i = w.i + 1),
+s AS ({_STORMS}),
+a AS (SELECT w.ts_ms, 'restart' AS kind, service, 0 AS k, w.seq AS o FROM w JOIN c ON c.i = w.i WHERE kept
+  UNION ALL SELECT lo + CAST(floor((bucket + 0.5) / 240 * (hi - lo) + 0.5) AS BIGINT), 'storm', NULL, 1, bucket - errors * 240 FROM (SELECT * FROM s WHERE errors >= greatest((SELECT sum(errors) FROM s) / 240.0 * 4, 20) ORDER BY errors DESC, bucket LIMIT 4))
+SELECT ts_ms, kind, service FROM (SELECT *, lag(ts_ms) OVER (ORDER BY ts_ms, k, o) AS p FROM a) WHERE p IS NULL OR ts_ms - p > 1000 ORDER BY ts_ms, k, o LIMIT 10""")
+def timeline_chapters(spark, d):
+    e = events(spark, d)
+    lo, hi = timeline.bounds(e)
+    return timeline.chapters(e, timeline.histogram(e, lo, hi), lo, hi, banner="signup amount")
+
+
+@query(f"SELECT seq, ts_ms FROM ({ORDERED}), {_SPAN} WHERE ts_ms BETWEEN lo + (hi - lo) // 4 AND lo + (hi - lo) // 2")
+def timeline_range(spark, d):
+    """Events of a range from a stored timeline, whose files prune by their statistics."""
+    e = events(spark, d)
+    path = sinks.timeline(e, scratch.shared_dir(spark), scratch.unique("range"))
+    lo, hi = timeline.bounds(e)
+    return sinks.read_range(spark, path, lo + (hi - lo) // 4, lo + (hi - lo) // 2).select("seq", "ts_ms")
+
+
+@query(f"SELECT CAST(ceil(count(*) / 500.0) AS BIGINT) AS least_shards, count(*) AS events, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms FROM ({ORDERED})")
+def timeline_shards(spark, d):
+    e = events(spark, d)
+    path = sinks.timeline(e, scratch.shared_dir(spark), scratch.unique("shards"), shard_rows=500, parts=1)
+    zones = sinks.overlapping(sinks.zone_map(spark, path), *timeline.bounds(e))
+    return zones.agg(F.count("*").alias("least_shards"), F.sum("events").alias("events"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+
+
+@query(f"SELECT service, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY file, event_id) AS r FROM ({ORDERED})) WHERE r <= 300 GROUP BY 1")
+def timeline_cap(spark, d):
+    e = timeline.events(parsed(spark, d), ["file", "event_id"])
+    own, _ = timeline.capped(e, ["file", "event_id"], 300)
+    return own.groupBy("service").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT service, events, lane FROM (SELECT service, count(*) AS events, row_number() OVER (ORDER BY count(*) DESC, min(seq)) - 1 AS lane FROM ({ORDERED}) GROUP BY service) WHERE lane < 3")
+def shown_lanes(spark, d):
+    return view.shown_lanes(timeline.lanes(events(spark, d)), 3)
+
+
+@query(f"SELECT seq, ts_ms FROM ({ORDERED}) WHERE cls < 2 ORDER BY seq LIMIT 120")
+def explain_sample(spark, d):
+    return evidence.explain_sample(events(spark, d)).select("seq", "ts_ms")
+
+
+@query(f"SELECT seq, round((ts_ms - a) / CAST(greatest(1, b - a) AS DOUBLE) * 100, 6) AS left_pct FROM ({ORDERED}), (SELECT lo + (hi - lo) // 4 AS a, lo + (hi - lo) // 2 AS b FROM {_SPAN}) WHERE cls = 0 AND ts_ms BETWEEN a AND b")
+def search_ticks(spark, d):
+    e = events(spark, d)
+    lo, hi = timeline.bounds(e)
+    marks = view.ticks(e.where(T.level_class(F.col("level")) == 0), lo + (hi - lo) // 4, lo + (hi - lo) // 2)
+    return marks.select("seq", F.round("left_pct", 6).alias("left_pct"))
+
+
+@query(f"SELECT seq, least(CASE WHEN n - (ts_ms + 500) > 1500 THEN n ELSE ts_ms + 500 END, hi) AS to_ms FROM (SELECT seq, ts_ms, lead(ts_ms) OVER (ORDER BY seq) AS n FROM (SELECT min(seq) AS seq, ts_ms FROM ({ORDERED}) GROUP BY ts_ms)), {_SPAN}")
+def skipped_silence(spark, d):
+    """Where playback goes on, half a second after each moment that has an event."""
+    e = unnumbered(spark, d).groupBy("ts_ms").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
+    own = timeline.with_previous(events(spark, d).groupBy("ts_ms").agg(F.min("seq").alias("seq")), ["seq"], ["ts_ms"], ahead=True)
+    _, hi = timeline.bounds(e)
+    return view.advanced(own.withColumnsRenamed({"next_ts_ms": "next_ms"}).withColumn("moved", F.col("ts_ms") + 500), player.SILENCE, hi).select("seq", "to_ms")
+
+
+@query("SELECT p_partkey AS id, unnest([p_size, p_size + 25.0, p_size + 50.0, p_size + 75.0, p_size + 100.0]) AS tick FROM part")
+def axis_ticks(spark, d):
+    start = F.col("p_size").cast("double")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(view.axis_ticks(start, start + 100)).alias("tick"))
+
+
+# ---------------------------------------------------------------- texts of a report, settings, history
+
+
+@query(r"""
+SELECT p_partkey AS id, substr(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand || '!'), '[^a-z0-9а-яё]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug,
+  CASE WHEN p_size * 2 >= 80 THEN 'good' WHEN p_size * 2 >= 50 THEN 'fair' ELSE 'poor' END AS band, CASE WHEN lower(p_type) LIKE 'standard%' THEN 'jira' ELSE 'doc' END AS kind,
+  CAST(floor(p_size / 50.0 * 100 + 0.5) AS BIGINT) AS share, p_name || chr(10) || chr(10) || '1. ' || p_brand || chr(10) || '2. ' || p_type AS solution FROM part""")
+def report_texts(spark, d):
+    p = table(spark, d, "part")
+    kind = T.source_kind(F.when(F.lower("p_type").startswith("standard"), F.concat(F.lit("Jira: "), "p_type")).otherwise(F.col("p_type")))
+    return p.select(F.col("p_partkey").alias("id"), T.slug(F.concat_ws(" / ", "p_name", F.concat("p_brand", F.lit("!")))).alias("slug"), T.health_band(F.col("p_size") * 2).alias("band"), kind.alias("kind"), view.percent(F.col("p_size").cast("double"), F.lit(50.0)).alias("share"), T.solution_text(F.col("p_name"), F.array("p_brand", "p_type")).alias("solution"))
+
+
+@query(f"SELECT event_id, strftime(make_timestamp(ts_ms * 1000), '%H:%M:%S.%g') AS clock FROM ({LOG})")
+def clock_texts(spark, d):
+    return unnumbered(spark, d).select("event_id", T.clock(F.col("ts_ms"), millis=True).alias("clock"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN format('{:.1f} B', CAST(n_chars AS DOUBLE)) WHEN n_chars < 1048576 THEN format('{:.1f} KB', n_chars / 1024.0::DOUBLE) ELSE format('{:.1f} MB', n_chars / 1048576.0::DOUBLE) END AS size FROM documents")
+def size_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.bytes_text(F.col("n_chars").cast("double")).alias("size"))
+
+
+@query(r"SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda v: trim(v, ' ' || chr(9) || chr(13) || chr(160))), lambda v: v <> '')) AS n FROM documents")
+def line_lists(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.text_list(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'fallback' ELSE c_mktsegment END AS model, c_custkey % 5 <> 0 AND c_custkey % 2 = 0 AS api_key_set FROM customer")
+def settings_overlay(spark, d):
+    k = F.col("c_custkey")
+    stored = table(spark, d, "customer").select(k.alias("id"), F.when(k % 3 == 0, F.when(k % 2 == 0, " ")).otherwise(F.col("c_mktsegment")).alias("model"), F.when(k % 5 == 0, F.lit(None)).when(k % 2 == 0, "secret").otherwise("").alias("api_key"))
+    return lifecycle.masked_columns(lifecycle.overlaid_columns(stored, {"model": "fallback"}), ("api_key",))
+
+
+@query("SELECT o_orderkey AS id FROM orders ORDER BY (o_orderstatus = 'F') DESC, o_orderdate DESC, o_orderkey LIMIT 1")
+def default_bundle(spark, d):
+    stages = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("parse"), F.lit("timeline"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("parse")))
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), stages.alias("available_stages"), F.col("o_orderdate").alias("created_at"))
+    return lifecycle.default_bundle(jobs).select("id")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

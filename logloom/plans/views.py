@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators import records, timeline
+from logloom.sources.scratch import written
 
 LEVELS = {"error": "ERROR", "purchase": "WARN", "signup": "FATAL", "click": "INFO", "view": "DEBUG"}
 #: Rules over the derived lines: each feature of the rule language occurs.
@@ -40,13 +41,18 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.headers(log_lines(spark, sf_dir)).withColumn("rec_ord", F.col("event_id"))
 
 
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timeline events, parsed once and stored."""
+    return written(timeline.events(parsed(spark, sf_dir), ["event_id"]), "events")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.numbered(timeline.events(parsed(spark, sf_dir), ["event_id"]), ["event_id"])
+    return timeline.numbered(unnumbered(spark, sf_dir), ["event_id"])
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures by hours, with a low storm threshold, since the test events are sparse."""
-    return records.signatures(parsed(spark, sf_dir), chars=13, storm=3)
+    """Signatures by hours, with a low storm threshold, since the test events are sparse; stored, as rules read them several times."""
+    return written(records.signatures(parsed(spark, sf_dir), chars=13, storm=3), "signatures")
 
 
 #: The same views in SQL.

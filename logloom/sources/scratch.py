@@ -5,15 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, one is made if everything runs in one process, as in tests; on a cluster it is an error, since no executor could see it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
         at = spark.sparkContext.getCheckpointDir()
-    path = f"{at}/logloom-{name}-{uuid.uuid4().hex}"
+    return at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/logloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unique(name: str) -> str:
+    return f"logloom-{name}-{uuid.uuid4().hex}"

@@ -1,13 +1,12 @@
-"""Writing results: stage outputs, the timeline in time order, exports, metadata tables."""
+"""Writing results: stage outputs, the timeline with its manifest, metadata tables."""
 
 from __future__ import annotations
 
-import shutil
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.sources.store import Store
+
 
 def stage(df: DataFrame, root: str, run: str, name: str) -> DataFrame:
     """A stage's output as its checkpoint; the next stage reads it back."""
@@ -16,9 +15,14 @@ def stage(df: DataFrame, root: str, run: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, root: str, run: str, name: str) -> DataFrame:
+    """A stage's checkpoint, for a run that begins after it."""
+    return spark.read.parquet(f"{root}/checkpoints/{run}/{name}")
+
+
 def timeline(df: DataFrame, root: str, run: str, shard_rows: int = 4000, parts: int | None = None) -> str:
     """Events range-partitioned by time, so that files and row groups prune by their statistics."""
-    path = f"{root}/timeline/{run}"
+    path = f"{root}/timeline/{run}/events"
     keys = ("ts_ms", "seq")
     dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
     dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("maxRecordsPerFile", shard_rows).parquet(path)
@@ -30,34 +34,80 @@ def zone_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("shard")).agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("events"))
 
 
-def as_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def overlapping(zones: DataFrame, start: int, end: int) -> DataFrame:
+    """The shards that can hold events of [start, end]."""
+    return zones.where((F.col("end_ms") >= start) & (F.col("start_ms") <= end))
+
+
+def read_range(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """Events of [start, end]; the files' statistics do what the zone map does, so nothing is joined."""
+    return spark.read.parquet(path).where(F.col("ts_ms").between(start, end))
+
+
+def manifest(store: Store, run: str, zones: DataFrame, lanes: DataFrame, histogram: DataFrame, chapters: DataFrame, buckets: int, truncated: bool = False, has_embeddings: bool = False) -> dict:
+    """What a player needs to open a timeline: tables of lanes, activity, chapters and shards beside the events, and a small object with totals, lane order and chapters."""
+    for name, df in (("lanes", lanes), ("activity", histogram), ("chapters", chapters), ("shards", zones)):
+        df.write.mode("overwrite").parquet(store.at(f"timeline/{run}/{name}"))
+    read = lambda name: store.spark.read.parquet(store.at(f"timeline/{run}/{name}"))
+    total = read("shards").agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"), F.coalesce(F.sum("events"), F.lit(0)).alias("n"), F.count("*").alias("shards")).first()
+    found = {
+        "start_ms": total["lo"],
+        "end_ms": total["hi"],
+        "events": total["n"],
+        "shards": total["shards"],
+        "truncated": truncated,
+        "buckets": buckets,
+        "has_embeddings": has_embeddings,
+        "services": [r["service"] for r in read("lanes").orderBy("lane").select("service").collect()],
+        "chapters": [r.asDict() for r in read("chapters").orderBy("ts_ms").collect()],
+    }
+    store.put_json(f"timeline/{run}/manifest.json", found)
+    return found
 
 
 class Table:
-    """A metadata table of Parquet files, each version in a folder of its own: append, replace by key, delete."""
+    """A metadata table of Parquet files. Each version has a folder of its own, and the last one that was finished is current, for every session; older ones stay for readers until `keep` newer ones are there.
+
+    Two writers of one version can't both finish: the second one's folder exists already.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: str, key: str = "id", keep: int = 2):
+        self.spark, self.name, self.schema, self.key, self.keep = spark, name, schema, key, keep
+        self.store = Store(spark, root)
+        self.columns = spark.createDataFrame([], schema).columns
 
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: str, key: str = "id"):
-        self.spark, self.root, self.schema, self.key = spark, f"{root}/{name}", schema, key
-        self.version: str | None = None
+    def _versions(self) -> list[str]:
+        return [v for v in self.store.names(self.name) if v.startswith("v-") and self.store.exists(f"{self.name}/{v}/_SUCCESS")]
 
     def read(self) -> DataFrame:
-        if self.version is None:
+        there = self._versions()
+        if not there:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.version)
+        return self.spark.read.schema(self.schema).parquet(self.store.at(f"{self.name}/{there[-1]}"))
 
     def _put(self, df: DataFrame) -> None:
-        old, self.version = self.version, f"{self.root}/{uuid.uuid4().hex}"
-        columns = self.spark.createDataFrame([], self.schema).columns
-        df.select(columns).write.parquet(self.version)
-        if old:
-            shutil.rmtree(old, ignore_errors=True)
+        there = self._versions()
+        number = int(there[-1][2:]) + 1 if there else 0
+        df.select(self.columns).write.parquet(self.store.at(f"{self.name}/v-{number:012d}"))
+        for old in there[: -self.keep]:
+            self.store.delete_prefix(f"{self.name}/{old}")
+
+    def get(self, key) -> dict | None:
+        """The row of a key."""
+        rows = self.read().where(F.col(self.key) == F.lit(key)).limit(1).collect()
+        return rows[0].asDict(True) if rows else None
+
+    def insert(self, row: dict) -> dict:
+        whole = {c: row.get(c) for c in self.columns}
+        self.upsert(self.spark.createDataFrame([tuple(whole.values())], self.schema))
+        return whole
 
     def upsert(self, rows: DataFrame) -> None:
         self._put(self.read().join(rows.select(self.key), self.key, "left_anti").unionByName(rows))
 
     def update(self, condition, **values) -> None:
-        self._put(self.read().withColumns({c: F.when(condition, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}))
+        kinds = dict(self.spark.createDataFrame([], self.schema).dtypes)
+        self._put(self.read().withColumns({c: F.when(condition, F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in values.items()}))
 
     def delete(self, condition) -> None:
         self._put(self.read().where(~condition))

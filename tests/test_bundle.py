@@ -54,10 +54,18 @@ def test_analysis_and_restart(spark, folder, tmp_path):
     assert got["timeline"].count() == 4
     assert got["findings"].where("rule_id = 'sink'").first()["samples"] == ["lost <ip-1>:554 on DeviceIpint.5"]
     assert got["objects"].first()["aliases"] == ["deviceipint.5", "10.1.2.3", "10.1.2.3:554"]
-    path = sinks.timeline(got["timeline"], str(tmp_path / "out"), "run", shard_rows=2, parts=2)
+    path = sinks.timeline(got["timeline"], str(tmp_path / "out"), "small", shard_rows=2, parts=2)
     assert sinks.zone_map(spark, path).agg(F.sum("events")).first()[0] == 4
+    assert got["manifest"]["events"] == 4 and got["manifest"]["services"] == ["Alpha"] and got["manifest"]["chapters"] == []
     assert report.restart_allowed("rules", {"parse"}) and not report.restart_allowed("llm", {"parse"})
-    assert "## [critical] Lost" in report.markdown("R", got["findings"].collect())
+    made = got["report"]
+    assert made["stats"] == {"signatures": 2, "errors": 2, "warnings": 1, "files": 1, "noise_lines": 0}
+    assert [p["entities"] for p in made["problems"]] == [["equipment:DeviceIpint.5"], []]
+    assert made["timeline"][0]["ts"] == "2026-01-02 03:04:05.100" and made["inventory"]["objects"][0]["ip"] == "<ip-1>"
+    assert "### 1. [CRITICAL] Lost" in report.markdown("R", made) and "Statistics:** 2 signatures" in report.markdown("R", made)
+    lines = []
+    analysis.printed(made, lines.append)
+    assert any("[CRITICAL] Lost x2" in x for x in lines)
 
 
 def test_normalisers(spark):
@@ -78,7 +86,7 @@ def test_redaction(spark):
 
 def test_debounce_and_edges(spark):
     rows = spark.createDataFrame([(0, 0), (10000, 1), (30001, 2), (50000, 3), (60002, 4)], "ts_ms long, seq long")
-    assert sorted(r["ts_ms"] for r in timeline.debounced(rows, width=7000).collect()) == [0, 30001, 60002]
+    assert sorted(r["ts_ms"] for r in timeline.debounced(rows).collect()) == [0, 30001, 60002]
     empty = rows.where("seq < 0")
     assert timeline.debounced(empty).count() == 0
     assert timeline.numbered(empty.drop("seq").withColumn("k", F.lit(1)), ["k"]).count() == 0
