@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The patterns, token names and lengths that the log format and its signatures use.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 HEADER = rf"\A~#?\[{SPACE}*(\d+)\];{SPACE}*(\d{{4}}-\d{{2}}-\d{{2}});{SPACE}*([\d:.]+);{SPACE}*([A-Z]+);{SPACE}?([^\n\r\x{{2028}}\x{{2029}}]*)\z"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d+)?"
 GUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -27,7 +28,7 @@ COMPONENT_WITHIN, SIGNATURE_LENGTH, SAMPLE_LENGTH, COARSE_LENGTH, ERROR_KEY_LENG
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def replaced(x: Column, tokens) -> Column:

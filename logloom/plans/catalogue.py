@@ -702,7 +702,7 @@ def clock_texts(spark, d):
     return unnumbered(spark, d).select("event_id", T.clock(F.col("ts_ms"), millis=True).alias("clock"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN format('{:.1f} B', CAST(n_chars AS DOUBLE)) WHEN n_chars < 1048576 THEN format('{:.1f} KB', n_chars / 1024.0::DOUBLE) ELSE format('{:.1f} MB', n_chars / 1048576.0::DOUBLE) END AS size FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN format('{:.1f} B', CAST(n_chars AS DOUBLE)) WHEN n_chars < 1048576 THEN format('{:.1f} KB', floor(n_chars / CAST(1024 AS DOUBLE) * 10 + 0.5) / 10) ELSE format('{:.1f} MB', floor(n_chars / CAST(1048576 AS DOUBLE) * 10 + 0.5) / 10) END AS size FROM documents")
 def size_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.bytes_text(F.col("n_chars").cast("double")).alias("size"))
 

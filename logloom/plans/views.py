@@ -42,8 +42,8 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timeline events, parsed once and stored."""
-    return written(timeline.events(parsed(spark, sf_dir), ["event_id"]), "events")
+    """Timeline events. The parsed lines are stored first: columns that are computed from them would each repeat the parse."""
+    return written(timeline.events(written(parsed(spark, sf_dir), "parsed"), ["event_id"]), "events")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures by hours, with a low storm threshold, since the test events are sparse; stored, as rules read them several times."""
-    return written(records.signatures(parsed(spark, sf_dir), chars=13, storm=3), "signatures")
+    return written(records.signatures(written(parsed(spark, sf_dir), "parsed"), chars=13, storm=3), "signatures")
 
 
 #: The same views in SQL.
