@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,6 +13,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.sources.scratch import shared_dir
+
 U64 = np.uint64
 
 
@@ -68,16 +69,6 @@ def released() -> None:
 # ---------------------------------------------------------------- scratch tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one is made only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="logloom-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/logloom-{name}-{uuid.uuid4().hex}"
 

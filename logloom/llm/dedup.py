@@ -1,13 +1,15 @@
 """Exact dedup as a stateful stream with disk-backed state.
 
-The documents' digests land as a table, which a stream reads in micro-batches. The stream's state, in RocksDB with its checkpoint in the shared folder, keeps for each digest, for ever, the least id, where that document's content lies and how many rows had the digest; partial sums are made before the shuffle, so a text that a third of all rows share is no hot key. Each hit is then checked: the bytes of the document and of the one that stays are compared, and texts that only share a digest are told apart.
+The documents land, normalised and with their digests, as files of a state's folder, which a stream reads in micro-batches. The stream's state, in RocksDB with its checkpoint in the same folder, keeps for each digest, for ever, the least id, a locator of that document's content (file and row) and how many rows had the digest; partial sums are made before the shuffle, so a text that a third of all rows share is no hot key. A later call goes on with the state. Each hit is then checked: the bytes at its locator and at the one that stays are compared, and texts that only share a digest are told apart.
 
-Results for odd rows: a null text counts as empty, and all empty texts are equal. Of equal texts the row of the least id stays; a null id comes last. Rows that repeat an id count one by one, and all rows with the id that stays are kept; nothing else is read, so extra columns can have any name. An empty table gives no rows.
+Results for odd rows: a null text counts as empty, and all empty texts are equal. Of equal texts the row of the least id stays; a null id comes last. Rows that repeat an id count one by one, and all rows with the id that stays are kept; rows with a null id are checked by their bytes as well; nothing else is read, so extra columns can have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import by_ids, new_path, texts, written
@@ -26,59 +28,75 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")
 
 
-def keyed_state(rows: DataFrame, batch_bytes: int = 2 << 30) -> DataFrame:
-    """(digest, keep_id, locator, n) of a landed table (digest, doc_id, locator), by a stream over its files."""
-    spark = rows.sparkSession
-    out, checkpoint = new_path(spark, "dedup-state"), new_path(spark, "dedup-stream")
-    at = {f.rsplit("/", 1)[0] for f in rows.inputFiles()}
-    if not at:
-        return spark.createDataFrame([], "digest binary, keep_id long, locator string, n long")
+_ROWS = "doc_id long, digest binary, sha binary, text string"
+_STATE = "digest binary, keep_id long, file string, row long, n long"
+#: Where a landed text lies: its file and the row in it.
+_LOCATOR = ("_metadata.file_path AS file", "_metadata.row_index AS row")
+
+
+def landed(spark: SparkSession, root: str, call: str | None = None) -> DataFrame:
+    """The landed rows of a state, or of one call, with their locators."""
+    reader = spark.read.schema(_ROWS).option("recursiveFileLookup", True)
+    return reader.parquet(f"{root}/rows/{call}" if call else f"{root}/rows").selectExpr("doc_id", "digest", "sha", "text", *_LOCATOR)
+
+
+def keyed_state(spark: SparkSession, root: str, batch_bytes: int = 2 << 30) -> DataFrame:
+    """(digest, keep_id, file, row, n) of all rows that have landed in a state's folder. A stream takes the files that it hasn't seen; its checkpoint lies in the folder, so a later call, or one after a failure, goes on where the last one stopped."""
+    out = f"{root}/changes"
     before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     for k, v in _SETTINGS.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes).parquet(*at)
-        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator"))
+        stream = spark.readStream.schema(_ROWS).option("maxBytesPerTrigger", batch_bytes).option("recursiveFileLookup", True).parquet(f"{root}/rows").selectExpr("doc_id", "digest", *_LOCATOR)
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row"))
         state = stream.groupBy("digest").agg(least.alias("least"), F.count("*").alias("n"))
 
         def put(batch: DataFrame, number: int) -> None:
-            batch.select("digest", F.col("least.doc_id").alias("keep_id"), "least.locator", "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
+            batch.select("digest", F.col("least.doc_id").alias("keep_id"), "least.file", "least.row", "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-        query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/stream").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    changes = spark.read.schema("digest binary, keep_id long, locator string, n long, batch long").parquet(out)
-    last = F.max_by(F.struct("keep_id", "locator", "n"), F.col("batch")).alias("last")  # a later state of a digest replaces an earlier one
+    changes = spark.read.schema(f"{_STATE}, batch long").parquet(out)
+    last = F.max_by(F.struct("keep_id", "file", "row", "n"), F.col("batch")).alias("last")  # a later state of a digest replaces an earlier one
     return changes.groupBy("digest").agg(last).select("digest", "last.*")
 
 
-def exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, batch_bytes: int = 2 << 30) -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256. digest_chars: hexadecimal digits of the state's keys; fewer make false hits, which the check of the bytes finds."""
+def exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, batch_bytes: int = 2 << 30, state: str | None = None) -> DataFrame:
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    state: a folder that all executors share. Documents of later calls with the same folder are compared with those of all earlier ones; the rows are those of this call's documents, with keep_id and group_size over all calls so far. Without one the state is of this call alone.
+    digest_chars: hexadecimal digits of the state's keys; fewer make false hits, which the check of the bytes finds.
+    """
+    spark = docs.sparkSession
+    root, call = state or new_path(spark, "dedup"), f"call-{uuid.uuid4().hex}"
     rows = texts(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("text"))
     hexed = F.sha2("text", 256)
     digest = F.unhex(hexed if digest_chars == 64 else F.substring(hexed, 1, digest_chars))
-    landed = written(rows.select("doc_id", digest.alias("digest"), F.unhex(hexed).alias("sha"), F.input_file_name().alias("locator")), "dedup-rows")
-    state = keyed_state(landed.select("digest", "doc_id", "locator", "sha"), batch_bytes)
+    rows.select("doc_id", digest.alias("digest"), F.unhex(hexed).alias("sha"), "text").write.option("compression", "zstd").parquet(f"{root}/rows/{call}")
+    own = landed(spark, root, call)
     # only digests of several rows are joined; as a table of their own, so that a skewed join can be split
-    several = written(state.where("n > 1").drop("locator"), "dedup-several")
-    joined = landed.select("doc_id", "digest", "sha").join(several, "digest", "left")
-    found = written(joined.select("doc_id", "digest", "sha", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n")), "dedup-found")
-
-    hits = found.where("n > 1 and not doc_id <=> keep_id").select("doc_id", "digest", "keep_id").where("doc_id is not null").distinct()
-    wanted = hits.select("doc_id").union(hits.select("keep_id")).distinct()
-    bytes_of = by_ids(rows, "doc_id", wanted, "left_semi").select("doc_id", digest.alias("digest"), "text").dropDuplicates(["doc_id", "digest", "text"])
-    kept = bytes_of.select(F.col("doc_id").alias("keep_id"), F.col("digest"), F.col("text").alias("keep_text"))
-    pairs = hits.join(bytes_of, ["doc_id", "digest"]).join(kept, ["keep_id", "digest"])
+    several = written(keyed_state(spark, root, batch_bytes).where("n > 1").withColumnsRenamed({"file": "keep_file", "row": "keep_row"}), "dedup-several")
+    found = written(own.drop("text").join(several, "digest", "left"), "dedup-found")
+
+    # a hit's text and the one that stays are fetched by their locators
+    hits = found.where("n > 1 and not (file = keep_file and row = keep_row)").select("digest", "file", "row", "keep_file", "keep_row")
+    wanted = hits.select("file", "row").union(hits.select("keep_file", "keep_row")).distinct()
+    fetched = landed(spark, root).select("file", "row", "text").join(wanted, ["file", "row"], "left_semi")
+    kept = fetched.select(F.col("file").alias("keep_file"), F.col("row").alias("keep_row"), F.col("text").alias("keep_text"))
+    pairs = hits.join(fetched, ["file", "row"]).join(kept, ["keep_file", "keep_row"])
     false_hits = written(pairs.where("text <> keep_text").select("digest").distinct(), "dedup-false")
     if false_hits.limit(1).count():
-        own = rows.select("doc_id", digest.alias("digest"), "text").join(false_hits, "digest")
+        every = landed(spark, root).join(false_hits, "digest")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-        groups = own.groupBy("digest", "text").agg(least.alias("least"), F.count("*").alias("n")).select("digest", F.unhex(F.sha2("text", 256)).alias("sha"), F.col("least.doc_id").alias("keep_id"), "n")
+        groups = every.groupBy("digest", "text").agg(least.alias("least"), F.count("*").alias("n")).select("digest", F.unhex(F.sha2("text", 256)).alias("sha"), F.col("least.doc_id").alias("keep_id"), "n")
         apart = found.drop("keep_id", "n").join(false_hits, "digest", "left_semi").join(groups, ["digest", "sha"])
         found = found.join(false_hits, "digest", "left_anti").unionByName(apart)
-    return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    alone = F.col("n").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,17 +2,18 @@
 
 Every line of a message has a quote level, the number of its leading `>` marks. A quoted passage is a run of lines of one level. Passages are normalised (lower case, runs of white space as one space) and hashed; a message offers the hashes of its whole own text, of its paragraphs and of its lines, and of the runs of two or more consecutive lines or paragraphs that are as long as a passage of the conversation; blank lines don't count. A passage is linked to the latest earlier message of the conversation that offers it as a whole, as its lines or as its paragraphs; a part of a line isn't offered. A message replies to the message that its shallowest linked passage comes from, without one to the message before it (turn - 1), if there is one. Replies give a tree; its roots and depths come from pointer doubling, so a long chain takes a logarithmic number of rounds. The order key (root, depth, turn) sorts each conversation so that a reply follows what it replies to; the texts are those without quotes.
 
-Joins are on conversation and hash, or conversation and turn, so one huge conversation is spread over all tasks.
+Passages look back at the latest offer of their hash in one order of all of them, and joins are on conversation and turn, so one huge conversation, or one line that all its messages quote, is spread over all tasks.
 
 A null text counts as empty. Rows that repeat (conv_id, turn) are messages of their own: they share the turn's place in the tree, and a link to the turn holds for each. A null conv_id or turn makes a message a root of its own. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.common import quoted, written
+from logloom.operators.order import ordered
 
 _MARKS = r"\A(?:[\x20\t]*>)+"
 
@@ -71,6 +72,25 @@ def _runs(units: Column, by: str, lengths: Column) -> Column:
     return F.flatten(F.transform(lengths, of))
 
 
+def _latest(asked: DataFrame, offers: DataFrame) -> DataFrame:
+    """(conv_id, turn, i, level, source): the latest earlier offer of each passage that has one.
+
+    Passages and offers lie in one order of (conversation, hash, turn), dealt by ranges, so a line that every message quotes is spread too, and each passage looks back at one row. A range's first key may go on from the ranges before, whose last key it is then: these hand on their latest offer.
+    """
+    key = ["conv_id", "hash"]
+    none = F.lit(None).cast("long")
+    questions = asked.select(*key, "turn", F.lit(0).alias("side"), F.col("i").cast("long").alias("i"), F.col("level").cast("long").alias("level"), none.alias("source"))
+    own = ordered(questions.union(offers.select(*key, "source", F.lit(1), none, none, "source")), [*key, "turn", "side"], "quotes-order")
+    inside = F.last("source", ignorenulls=True).over(Window.partitionBy("_part", *key).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
+    last = own.groupBy("_part").agg(F.max_by(F.struct(*key), "_place").alias("k")).select("_part", "k.*")  # a row for each range, like what follows
+    tails = own.join(F.broadcast(last), ["_part", *key]).groupBy("_part", *key).agg(F.max("source").alias("_tail"))
+    present = own.join(F.broadcast(last.select(*key).distinct()), key, "left_semi").select("_part", *key).distinct()
+    before = F.max("_tail").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = present.join(tails, ["_part", *key], "left").withColumn("_carried", before).where("_carried is not null").select("_part", *key, "_carried")
+    found = own.withColumn("_own", inside).where("side = 0").join(F.broadcast(carried), ["_part", *key], "left")
+    return found.select("conv_id", "turn", "i", "level", F.coalesce("_own", "_carried").alias("source")).where("source is not null")
+
+
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """For each message: conv_id, turn, role, reply_to (a turn), root (a turn), depth, n_quoted (passages), n_linked, clean_text."""
     text = F.coalesce(quoted(text_col), F.lit(""))
@@ -95,7 +115,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
         runs = F.concat(*(_runs(u, by, F.col(f"n{len(by)}")) for by, u in units))
         offers = offers.union(own.join(lengths, "conv_id").select("conv_id", "source", F.explode(F.array_distinct(runs)).alias("u")))
         offers = offers.select("conv_id", "source", F.sha2("u", 256).alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi").distinct()
-        linked = asked.join(offers, ["conv_id", "hash"]).where("source < turn").groupBy("conv_id", "turn", "i", "level").agg(F.max("source").alias("source"))
+        linked = _latest(asked, offers).groupBy("conv_id", "turn", "i", "level").agg(F.max("source").alias("source"))
     else:  # nothing is quoted: no message needs to be taken apart
         linked = asked.select("conv_id", "turn", "i", "level", F.col("turn").alias("source"))
     replies = linked.groupBy("conv_id", "turn").agg(F.min_by("source", F.struct("level", -F.col("source"))).alias("quoted_turn"), F.count("*").alias("n_linked"))

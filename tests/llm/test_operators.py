@@ -52,6 +52,22 @@ def test_exact_dedup(docs, empty, options):
     assert dedup.distinct_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("options", [{}, {"digest_chars": 1}])
+def test_exact_dedup_goes_on(spark, tmp_path, options):
+    state = str(tmp_path / "state")
+    calls = [[(5, "a"), (7, "b"), (None, "c")], [(6, "a "), (3, "b"), (9, "d")], [(4, "b"), (None, "c"), (8, None)], []]
+    seen: list = []
+    for rows in calls:
+        norm = [(i, re.sub("[\x20\x09-\x0d]+", " ", t or "")) for i, t in rows]
+        seen += norm
+        got = dedup.exact(spark.createDataFrame(rows, "doc_id long, text string"), state=state, **options).collect()
+        of = lambda t: [i for i, x in seen if x == t]  # noqa: B023, E731
+        least = lambda t: min((i for i in of(t) if i is not None), default=None)
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == sorted((str(i), str(least(t)), len(of(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm)
+    where = dedup.landed(spark, state).where("doc_id = 3").first()
+    assert where["file"].endswith(".parquet") and where["row"] is not None and where["text"] == "b"
+
+
 @pytest.mark.parametrize("options", [{}, {"block": 4, "often": 2, "buckets": 3}])
 def test_jaccard(docs, empty, options):
     sets = {}
@@ -219,6 +235,55 @@ def test_quotes_of_several_lines(spark):
     assert found[3, 3] == (1, 0, 2, 2, 2)
 
 
+def brute_links(rows):
+    """reply_to of each message: by the shallowest linked passage, the latest earlier message that has it as a run of lines; else the message before."""
+    out = {}
+    for c, t, text in rows:
+        passages, lines = [], text.split("\n")
+        for line in lines:
+            level = len(line) - len(line.lstrip(">"))
+            if level and passages and passages[-1][0] == level and passages[-1][2]:
+                passages[-1][1].append(line.lstrip(">").strip().lower())
+            elif level:
+                passages.append([level, [line.lstrip(">").strip().lower()], True])
+            elif passages:
+                passages[-1][2] = False
+        best = []
+        for level, own, _ in passages:
+            sources = []
+            for d, u, other in rows:
+                if d == c and u < t:
+                    theirs = [x.strip().lower() for x in other.split("\n") if not x.startswith(">")]
+                    if any(theirs[k : k + len(own)] == own for k in range(len(theirs))):
+                        sources.append(u)
+            if sources:
+                best.append((level, -max(sources)))
+        before = [u for d, u, _ in rows if d == c and u == t - 1]
+        out[c, t] = -min(best)[1] if best else (t - 1 if before else None)
+    return out
+
+
+def test_quotes_brute_force(spark):
+    rows = []
+    for c in range(6):
+        said = []
+        for t in range(25):
+            lines = [f"w{R.randint(0, 9)} x" for _ in range(R.randint(1, 3))]
+            if said and R.random() < 0.7:
+                old = R.choice(said)
+                k = R.randint(0, len(old) - 1)
+                lines = ["> " + x for x in old[k : k + R.randint(1, 2)]] + lines
+            said.append([x for x in lines if not x.startswith(">")])
+            rows.append((c, t, "\n".join(lines)))
+    # one line that all messages of a conversation have and quote
+    rows += [(90, t, "> same\nsame" if t else "same") for t in range(300)]
+    got = quotes.conversations(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(4))
+    assert {(r["conv_id"], r["turn"]): r["reply_to"] for r in got.collect()} == brute_links(rows)
+    clash = spark.createDataFrame([(1, 0, "u", "a", 1, 2, "h"), (1, 0, "u", "a", 1, 2, "h"), (1, 1, "u", "> a", 3, 4, "x")], "conv_id long, turn long, role string, text string, source long, level long, hash string")
+    assert sorted((r["turn"], r["reply_to"], r["n_linked"]) for r in quotes.conversations(clash).collect()) == [(0, None, 0), (0, None, 0), (1, 0, 1)]
+    assert quotes.conversations(clash.where("turn < 0")).count() == 0
+
+
 def test_media(docs, empty):
     got = media.media(docs).collect()
     assert len(got) == len(ROWS)
