@@ -81,13 +81,11 @@ def exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     several = written(keyed_state(spark, root, batch_bytes).where("n > 1").withColumnsRenamed({"file": "keep_file", "row": "keep_row"}), "dedup-several")
     found = written(own.drop("text").join(several, "digest", "left"), "dedup-found")
 
-    # a hit's text and the one that stays are fetched by their locators
-    hits = found.where("n > 1 and not (file = keep_file and row = keep_row)").select("digest", "file", "row", "keep_file", "keep_row")
-    wanted = hits.select("file", "row").union(hits.select("keep_file", "keep_row")).distinct()
-    fetched = landed(spark, root).select("file", "row", "text").join(wanted, ["file", "row"], "left_semi")
-    kept = fetched.select(F.col("file").alias("keep_file"), F.col("row").alias("keep_row"), F.col("text").alias("keep_text"))
-    pairs = hits.join(fetched, ["file", "row"]).join(kept, ["keep_file", "keep_row"])
-    false_hits = written(pairs.where("text <> keep_text").select("digest").distinct(), "dedup-false")
+    # a hit's text and the one that stays are fetched by their locators; equal bytes collapse before the shuffle, however many rows have them
+    hits = found.where("n > 1 and not (file = keep_file and row = keep_row)").select("file", "row", "keep_file", "keep_row")
+    wanted = hits.select("file", "row").union(hits.select("keep_file", "keep_row").distinct()).distinct()
+    bytes_of = landed(spark, root).join(wanted, ["file", "row"], "left_semi").select("digest", "text").distinct()
+    false_hits = written(bytes_of.groupBy("digest").count().where("count > 1").select("digest"), "dedup-false")
     if false_hits.limit(1).count():
         every = landed(spark, root).join(false_hits, "digest")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))

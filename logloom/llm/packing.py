@@ -31,6 +31,8 @@ FINE = 2
 #: Characters that are encoded together, and distinct pieces that are merged together.
 CHARS = 3 << 20
 PIECES_AT_ONCE = 1 << 14
+#: Longer pieces are merged by the library, since a round here merges one pair of a piece.
+LONG = 512
 
 #: The characters below U+0250 whose small letter is one character in every library; texts of these and ASCII's white space are plain.
 _PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]*")
@@ -75,14 +77,20 @@ class WordTokenizer:
         blank[place] = np.concatenate(white)
         offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
         data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)
-        counts = np.zeros(len(distinct), np.int64)
-        own = np.flatnonzero(~blank)
-        parts = [np.zeros(0, np.int32)]
+        counts, first = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        long = ~blank & (np.diff(offsets) > LONG)
+        own, parts, total = np.flatnonzero(~blank & ~long), [np.zeros(0, np.uint32)], 0
         for x in range(0, len(own), PIECES_AT_ONCE):
             some = own[x : x + PIECES_AT_ONCE]
             ids, counts[some] = self.words.encode(data, offsets[some], offsets[some + 1])
-            parts.append(ids)
-        ids, first = np.concatenate(parts).astype(np.uint32), np.cumsum(counts) - counts
+            first[some] = total + np.cumsum(counts[some]) - counts[some]
+            parts.append(ids.astype(np.uint32))
+            total += len(ids)
+        for i in np.flatnonzero(long).tolist():
+            parts.append(self._whole(distinct[i].as_py().decode()))
+            first[i], counts[i] = total, len(parts[-1])
+            total += counts[i]
+        ids = np.concatenate(parts)
         ends = np.cumsum(np.concatenate(sizes))
         x = y = 0
         while x < len(low):
@@ -100,7 +108,10 @@ class WordTokenizer:
         own = self._ids([x for x, ok in zip(low, plain, strict=True) if ok])
         del low
         for t, ok in zip(texts_, plain, strict=True):
-            yield next(own) if ok else np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32)
+            yield next(own) if ok else self._whole(t)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
 
 def chunked(batches, most: int = CHARS):

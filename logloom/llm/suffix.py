@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import U64, Bloom, boundaries, lean, mix, ranges, texts, written
+from logloom.llm.common import U64, Bloom, boundaries, dropped, lean, mix, ranges, texts, written
 from logloom.llm.pieces import slice_hashes
 
 LENGTH = 400
@@ -257,17 +257,19 @@ def repeats(strings: list[tuple[np.ndarray, int, bool, int]], depth: int, across
     at = np.concatenate([s.suffixes + o for s, o in zip(shards, np.concatenate(([0], np.cumsum([len(s.text) for s in shards])))[:-1], strict=True)])
     entry, block = repeated_intervals(shards, depth)
     place = at[entry]
-    out = [np.full(n, equal) for _, n, equal, _ in strings]
+    windows = np.array([n for _, n, _, _ in strings], np.int64)
+    ends = np.cumsum(windows)
+    out = np.repeat(np.array([equal for _, _, equal, _ in strings], bool), windows)
     if across and len(place):
         owner = np.array([o for *_, o in strings], np.int64)[origin[place]]
         equal = np.array([e for _, _, e, _ in strings])[origin[place]]
         first = boundaries(block)
         mixed = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.logical_or.reduceat(equal, first)
         place = place[np.repeat(mixed, np.diff(np.append(first, len(block))))]
-    for o, p in zip(origin[place].tolist(), inside[place].tolist(), strict=True):
-        if p < len(out[o]):
-            out[o][p] = True
-    return out
+    own, at = origin[place], inside[place]
+    front = at < windows[own]
+    out[(ends - windows)[own[front]] + at[front]] = True
+    return np.split(out, ends[:-1])
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -397,6 +399,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     company = copies.drop("last").join(crowds, ["unit", "h"], "left").where("equal or variants is not null")
     company = written(company.withColumn("variants", F.coalesce("variants", F.lit(1))), "suffix-company")
 
+    dropped(copies)  # the largest table beside found
     asked = company.where("variants > 1").groupBy("id", "key").agg(F.collect_list(F.struct(*same, "first", "count", "shift", "equal", "owner", "variants")).alias("asked"))
     asked = written(asked, "suffix-asked")
     some = Bloom(asked.select("key"), "key").may_have(rows.select("id", "key", "text"), "key")

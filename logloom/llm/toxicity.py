@@ -33,6 +33,7 @@ class Model:
     bias: float
     slots: np.ndarray  # int64, sorted
     weights: np.ndarray  # float32
+    learnt: bool = True  # whether there was a labelled row
 
 
 def features(words: WordHash, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +119,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.mapInArrow(lean(featured), "doc_id long, y int, slots binary").repartition(1).mapInArrow(lean(trained), "slot long, weight double").collect()
     weights = sorted((r["slot"], r["weight"]) for r in got)
     if not weights:
-        return Model(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32))
+        return Model(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32), False)
     return Model(weights[-1][1], np.array([s for s, _ in weights[:-1]], np.int64), np.array([w for _, w in weights[:-1]], np.float32))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score) of every row: the probability of label 1; the columns named in keep stay as they are."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every row: the probability of label 1."""
+    return _scored(docs, model, id_col, text_col, ()).select(F.col("_id").alias("doc_id"), F.col("_score").alias("score"))
+
+
+def below(docs: DataFrame, model: Model, limit: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose score is under a limit, with all their columns, whatever these are called."""
+    kept = _scored(docs, model, id_col, text_col, tuple(docs.columns)).where(F.col("_score") < limit)
+    return kept.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """_id, _score, and the columns named in keep as _k0, _k1, ..."""
     bias = model.bias
     sent = docs.sparkSession.sparkContext.broadcast((model.slots, model.weights))
 
@@ -144,4 +156,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kept = [f"_k{i}" for i in range(len(keep))]
     given = docs.select(quoted(id_col).cast("long").alias("_id"), F.coalesce(quoted(text_col), F.lit("")).alias("_text"), *(quoted(c).alias(k) for c, k in zip(keep, kept, strict=True)))
     schema = given.drop("_text").schema.add("_score", "double")
-    return given.mapInArrow(lean(scored), schema).select(F.col("_id").alias("doc_id"), *(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True) if c != "doc_id"), F.col("_score").alias("score"))
+    return given.mapInArrow(lean(scored), schema)
