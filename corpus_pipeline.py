@@ -1,6 +1,8 @@
 """The corpus pipeline: documents that are not toxic, without copies and near copies, with personal data masked, packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again for the next one. All but the last keep the columns of documents.
+
+Odd rows: a null text counts as empty and stays null; empty texts are equal to each other, so one of them stays. Rows with a null id are never dropped as copies, since nothing says which row a drop would mean. Rows that repeat an id and a text stay or go together. Extra columns, whatever their names, stay as they are until the last stage. An empty table gives no rows in any stage; without labelled documents nothing is known to be toxic, and all stay.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ TOXIC = 0.3
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score is under TOXIC, by a model of the labelled documents at hand."""
+    """The documents whose score is under TOXIC, by a model of the labelled documents at hand; without any, all documents."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where(F.col("score") < TOXIC).select(docs.columns)
+    return toxicity.below(docs, model, TOXIC) if model.learnt else docs
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars is that of the new text."""
-    return pii.masked(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Personal data replaced by its kind; n_chars, where there is such a column, is that of the new text."""
+    clean = pii.masked(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
