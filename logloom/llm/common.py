@@ -32,7 +32,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Texts are long rows: the session's Arrow batches are made smaller, so that a worker holds few megabytes at once.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
 
 
@@ -108,6 +108,10 @@ class WordHash(dict):
 
     MOST = 1 << 18
 
+    def __init__(self, most: int = MOST):
+        super().__init__()
+        self.MOST = most
+
     def __missing__(self, word):
         if len(self) >= self.MOST:
             self.clear()

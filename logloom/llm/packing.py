@@ -38,22 +38,20 @@ LONG = 512
 _PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u024f]*")
 
 
-@functools.lru_cache(maxsize=2)
-def _loaded(path: str):
-    """A tokenizers file: the library's object and its merges as arrays, some megabytes, the same for every text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-    import tokenizers
-
-    return tokenizers.Tokenizer.from_file(path), WordEndBpe(path)
-
-
 class WordTokenizer:
-    """ids of texts by a tokenizers file that lowers letters and drops white space. Plain texts are cut and merged together, each distinct piece of a call once; others go through the library. Nothing is kept between calls."""
+    """ids of texts by a tokenizers file that lowers letters and drops white space. Plain texts are cut and merged together, each distinct piece of a call once; others go through the library, which is loaded when it is needed. Nothing is kept between calls."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.words = _loaded(path)
+        self.path, self.words = path, WordEndBpe(path)
         #: Texts that contain one of these, in any case, are encoded by the library.
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.lower() for t in self.words.added]
+
+    @functools.cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
 
     def plain(self, text: str, low: str) -> bool:
         return bool(_PLAIN.fullmatch(text)) and unicodedata.is_normalized("NFC", text) and not any(a in low for a in self.added)

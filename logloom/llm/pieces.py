@@ -251,10 +251,12 @@ class WordEndBpe:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        self.added = [t["content"] for t in whole["added_tokens"]]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        del model
+        del model, whole
         self.results = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.pairs = PairTable(np.array([vocab[a] for a, _ in pairs]), np.array([vocab[b] for _, b in pairs]), np.arange(len(pairs)))
         letters = byte_alphabet()

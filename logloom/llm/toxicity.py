@@ -24,6 +24,8 @@ SLOTS = 1 << 20
 SAMPLE = 8000
 SAMPLE_CHARS = 1 << 15
 STEMS = (5, 7)
+#: Words and stems whose hashes a worker remembers.
+KNOWN = 1 << 16
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -95,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = own.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "y", "text")  # of bounded size
 
     def featured(batches):
-        words = WordHash()
+        words = WordHash(KNOWN)
         for b in batches:
             doc, slot = features(words, b.column("text").to_pylist())
             key = np.unique(doc * np.int64(SLOTS) + slot)
@@ -140,7 +142,7 @@ def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: tup
     sent = docs.sparkSession.sparkContext.broadcast((model.slots, model.weights))
 
     def scored(batches):
-        words, w = WordHash(), np.zeros(SLOTS, np.float32)
+        words, w = WordHash(KNOWN), np.zeros(SLOTS, np.float32)
         w[sent.value[0]] = sent.value[1]
         for batch in batches:
             for x in range(0, batch.num_rows, 200):
