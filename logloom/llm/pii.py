@@ -1,6 +1,8 @@
 """Personal data: fixed patterns, and further identifiers by bootstrapped contextual extraction. DataFrame functions only.
 
-Fixed patterns give e-mail addresses, IPv4 addresses, card and phone numbers; these spans are the seeds. Every other token that looks like an identifier is a candidate. Each seed or candidate is an instance, known by its text; the words around it are its lexical patterns: the word before, the two words before, the word after. Rounds score the graph of patterns and instances: a pattern's confidence is the mean score of its instances, with one added bad one, and nil below MIN_SEEDS seeds; an instance that isn't a seed gets the noisy-or of its confident patterns. Candidates that end above the threshold become spans of kind `id`.
+Fixed patterns give e-mail addresses, IPv4 addresses, card and phone numbers; these spans are the seeds. Every other run of up to nine tokens that each have a digit, one space apart, is a candidate if it has at least 8 characters and 4 digits in all and no base span in it; a longer run is several candidates, and what stands before the `=` or `:` of `key=value` isn't part of it. Each seed or candidate is an instance, known by its text; the words around it are its lexical patterns: the word before, the two words before, the word after, each if it lies whole within AROUND characters.
+
+Rounds score the graph of patterns and instances. A pattern with at least MIN_SEEDS different seeds has as confidence good / (good + bad + UNSEEN * unseen + 1): good is its occurrences weighted by the scores of their instances, unseen the rest of its seeds and candidates, and bad its occurrences in the whole corpus beside other words. An instance that isn't a seed gets the noisy-or of its confident patterns. Candidates that end at FOUND or above become spans of kind `id`.
 
 Places are code points, ends exclusive. Matches are leftmost and don't overlap within a kind; failing matches are dropped and not tried again. A null text counts as empty. Rows are known by id and text, so repeated rows get equal results, each its own; a null id is allowed. Extra columns are ignored; an empty table gives no rows. Without seeds no pattern is confident and nothing is added.
 """
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import BROADCAST_IDS, dropped, quoted, texts, written
+from logloom.llm.common import dropped, quoted, texts, written
 
 #: Each starts where a run of its characters does, or where the last match ended, so that a long run is read once; possessive repeats don't give back.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -18,14 +20,19 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]++"
+_NUMBER = r"(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]++"
+CANDIDATE = rf"(?<![^\x20\x09-\x0D]){_NUMBER}(?:\x20{_NUMBER}){{0,8}}+"
 
 ROUNDS = 3
 MIN_SEEDS = 3
 CONFIDENT = 0.8
-FOUND = 0.9
+FOUND = 0.8
+#: What an unseen instance counts against a pattern, where an ordinary word counts 1.
+UNSEEN = 0.1
 #: Characters around a span in which its neighbouring words are sought.
 AROUND = 80
+#: Rows, and spans in them, of a table that is broadcast; more are joined by a shuffle.
+FEW = 100_000
 
 _SPAN = "array<struct<s:int,e:int,t:string>>"
 
@@ -72,11 +79,12 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def _context(text: Column, x: Column, kind: Column) -> Column:
     """An occurrence with its lexical patterns."""
-    before = F.lower(F.substring(text, F.greatest(x["s"] - AROUND, F.lit(0)) + 1, F.least(x["s"], F.lit(AROUND))))
-    after = F.lower(F.substring(text, x["e"] + 1, F.lit(AROUND)))
-    one = F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\z", 1)
-    two = F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\z", 1)
-    right = F.regexp_extract(after, r"\A[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)
+    near, last = x["s"] <= AROUND, F.length(text) - x["e"] <= AROUND
+    before = F.lower(F.when(near, F.concat(F.lit(" "), F.substring(text, F.lit(1), x["s"]))).otherwise(F.substring(text, x["s"] - AROUND + 1, F.lit(AROUND))))
+    after = F.lower(F.concat(F.substring(text, x["e"] + 1, F.lit(AROUND)), F.when(last, F.lit(" ")).otherwise(F.lit(""))))
+    one = F.regexp_extract(before, r"[\x20\x09-\x0D]([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\z", 1)
+    two = F.regexp_replace(F.regexp_extract(before, r"[\x20\x09-\x0D]([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\z", 1), r"[\x20\x09-\x0D]+", " ")
+    right = F.regexp_extract(after, r"\A[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]", 1)
     marked = [F.when(F.length(w) > 0, F.concat(F.lit(mark), F.regexp_replace(w, "[0-9]", "0"))) for mark, w in (("<", one), ("<<", two), (">", right))]
     return F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["t"]).alias("x"), F.filter(F.array(*marked), lambda p: p.isNotNull()).alias("patterns"))
 
@@ -101,8 +109,9 @@ def _scanned(rows: DataFrame) -> DataFrame:
     every = F.concat(*(F.col(f"_{k}") for k in KINDS))
 
     def trimmed(x: Column) -> Column:
-        core = F.regexp_replace(x["t"], r"\A[^A-Za-z0-9]+|[^A-Za-z0-9]+\z", "")
-        s = x["s"] + F.length(F.regexp_extract(x["t"], r"\A[^A-Za-z0-9]*", 0))
+        lead = F.length(F.regexp_extract(x["t"], r"\A(?:[^0-9]*[=:])?[^A-Za-z0-9]*", 0))
+        core = F.regexp_replace(F.substring(x["t"], lead + 1, F.length(x["t"])), r"[^A-Za-z0-9]+\z", "")
+        s = x["s"] + lead
         return F.struct(s.alias("s"), (s + F.length(core)).alias("e"), core.alias("t"))
 
     candidates = F.filter(F.transform("_tokens", trimmed), lambda x: (F.length(x["t"]) >= 8) & (F.length(_digits(x["t"])) >= 4) & ~F.exists(every, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
@@ -111,15 +120,32 @@ def _scanned(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", spans.alias("spans"), seen.alias("seen"))
 
 
-def discovered(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT, found: float = FOUND) -> DataFrame:
-    """(doc_id, key, s, e) of the candidates that the patterns vouch for."""
+def _totals(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(p, total): how often the words of each pattern stand in the texts."""
+    patterns = patterns.withColumn("w", F.regexp_replace("p", r"\A(?:<<|<|>)", ""))
+    sought = patterns.select("w").distinct()
+    words = F.filter(F.split(F.translate(F.lower("text"), "123456789", "0" * 9), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = rows.select(words.alias("words"))
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda u, v: F.concat(u, F.lit(" "), v))
+    grams = rows.select(F.explode(F.concat("words", pairs)).alias("w"))
+    if sought.limit(FEW + 1).count() <= FEW:  # each of at most AROUND characters
+        grams = grams.join(F.broadcast(sought), "w", "left_semi")
+    return patterns.join(grams.groupBy("w").agg(F.count("*").alias("total")), "w", "left").select("p", F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def discovered(scanned: DataFrame, rows: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT, found: float = FOUND) -> DataFrame:
+    """(doc_id, key, s, e) of the candidates that the patterns vouch for; rows: the texts that were scanned."""
     seen = scanned.select("doc_id", "key", F.explode("seen").alias("o")).select("doc_id", "key", "o.*")
-    edges = written(seen.select(F.explode("patterns").alias("p"), "x", (F.col("kind") != "id").alias("seed")).groupBy("p", "x").agg(F.max("seed").alias("seed")), "pii-edges")
+    every = seen.select(F.explode("patterns").alias("p"), "x", (F.col("kind") != "id").alias("seed")).groupBy("p", "x").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
+    edges = written(every, "pii-edges")
+    usual = edges.groupBy("p").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= min_seeds).select("p")
+    totals = written(_totals(rows, written(usual, "pii-usual")), "pii-totals")
     scores = written(edges.groupBy("x").agg(F.max(F.col("seed").cast("double")).alias("score")), "pii-scores")
     for _ in range(rounds):
-        seeds, total = F.sum(F.col("seed").cast("int")), F.sum("score")
-        patterns = edges.join(scores, "x").groupBy("p").agg(seeds.alias("seeds"), (total / (F.count("*") + 1)).alias("confidence"))
-        sure = patterns.where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= confident)).select("p", "confidence")
+        good, all_ = F.sum(F.col("n") * F.col("score")).alias("good"), F.sum("n").alias("all")
+        patterns = edges.join(scores, "x").groupBy("p").agg(good, all_).join(totals, "p")
+        bad = F.greatest(F.col("total") - F.col("all"), F.lit(0)) + F.lit(UNSEEN) * (F.col("all") - F.col("good"))
+        sure = patterns.select("p", (F.col("good") / (F.col("good") + bad + 1)).alias("confidence")).where(F.col("confidence") >= confident)
         noisy_or = 1 - F.exp(F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))))
         new = written(edges.join(sure, "p", "left").groupBy("x").agg(F.when(F.max("seed"), 1.0).otherwise(noisy_or).alias("score")), "pii-scores")
         dropped(scores)
@@ -128,15 +154,16 @@ def discovered(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     return seen.where("kind = 'id'").join(good, "x", "left_semi").select("doc_id", "key", "s", "e")
 
 
-def _extra(scanned: DataFrame) -> DataFrame:
+def _extra(scanned: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, doc_id, extra): the added spans of each document that has any, as a small table in the shared folder."""
     spans = F.array_sort(F.collect_set(F.struct("s", "e")))
-    return written(discovered(scanned).groupBy("doc_id", "key").agg(F.transform(spans, _kinded("id")).alias("extra")), "pii-extra")
+    return written(discovered(scanned, rows).groupBy("doc_id", "key").agg(F.transform(spans, _kinded("id")).alias("extra")), "pii-extra")
 
 
 def _with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
     extra = extra.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    few = extra.limit(BROADCAST_IDS // 10 + 1).count() <= BROADCAST_IDS // 10
+    size = extra.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("extra")), F.lit(0)).alias("spans")).first()
+    few = size["rows"] <= FEW and size["spans"] <= FEW
     return rows.join(F.broadcast(extra) if few else extra, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.key == F.col("_key")), "left").drop("_id", "_key")
 
 
@@ -146,8 +173,9 @@ def listed(spans: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the number of base spans of each kind, the base spans' digest, and all spans, for every row."""
-    scanned = written(_scanned(texts(docs, id_col, text_col)), "pii-scan")
-    rows = _with_extra(scanned.drop("seen"), _extra(scanned))
+    known = texts(docs, id_col, text_col)
+    scanned = written(_scanned(known), "pii-scan")
+    rows = _with_extra(scanned.drop("seen"), _extra(scanned, known))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), listed(F.concat("spans", F.coalesce("extra", none))).alias("spans"))
@@ -155,8 +183,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all columns; each span of the text is replaced by its kind in angle brackets, overlapping spans by the first one's."""
-    scanned = written(_scanned(texts(docs, id_col, text_col)), "pii-scan")
-    extra = _extra(scanned)
+    plain = texts(docs, id_col, text_col)
+    extra = _extra(written(_scanned(plain), "pii-scan"), plain)
     text = F.coalesce(quoted(text_col), F.lit(""))
     known = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"), F.struct(*(quoted(c) for c in docs.columns)).alias("_row"))
     kinds = base_spans(F.col("text"))
