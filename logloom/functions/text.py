@@ -155,7 +155,7 @@ def rounded(x: Column) -> Column:
 
 
 def slug(title: Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9а-яё]+", "-"), r"\A-+|-+\z", ""), 1, 40)
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9а-я]+", "-"), r"\A-+|-+\z", ""), 1, 40)
 
 
 def text_list(x: Column) -> Column:
@@ -168,9 +168,17 @@ def clock(ms: Column, millis: bool = False) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    power = F.when(n >= 1, F.least(F.floor(F.log(n.cast("double")) / F.log(F.lit(1024.0)) + 1e-9), F.lit(4))).otherwise(0)
+    """Whole bytes below 1024, one decimal above; nothing is 0 bytes."""
+    power = F.when(n >= 1024, F.least(F.floor(F.log(n.cast("double")) / F.log(F.lit(1024.0)) + 1e-9), F.lit(4))).otherwise(0)
     unit = F.get(F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB", "TB"))), power.cast("int"))
-    return F.concat_ws(" ", F.format_string("%.1f", n / F.pow(F.lit(1024.0), power)), unit)
+    large = F.concat_ws(" ", F.format_string("%.1f", n / F.pow(F.lit(1024.0), power)), unit)
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "0 B").when(n < 1024, F.format_string("%.0f B", n.cast("double"))).otherwise(large)
+
+
+def short_time(ts: Column, date: bool = False) -> Column:
+    """Hours and minutes of a log time, with day and month if asked; a dash for none, and the text itself if it isn't a time."""
+    at = F.try_to_timestamp(ts)
+    return F.when(F.coalesce(ts, F.lit("")) == "", "\u2014").otherwise(F.coalesce(F.date_format(at, "dd.MM HH:mm" if date else "HH:mm"), ts))
 
 
 def health_band(score: Column) -> Column:
@@ -189,3 +197,13 @@ def solution_text(title: Column, steps: Column) -> Column:
 def lane_height(n: Column, most: Column, floor: float = 14.0) -> Column:
     """Percent of a lane, by logarithms."""
     return F.when(n > 0, F.greatest(F.lit(floor), F.log1p(n.cast("double")) / F.log1p(most.cast("double")) * 100)).otherwise(0.0)
+
+
+def grams(x: Column, n: int = 3) -> Column:
+    """The distinct runs of n characters of a text, in one pass over it."""
+    chars = F.split(x, "", -1)
+    chars = F.filter(chars, lambda c: c != "")
+    runs = chars
+    for k in range(1, n):
+        runs = F.zip_with(F.slice(runs, F.lit(1), F.greatest(F.length(x) - k, F.lit(0))), F.slice(chars, F.lit(k + 1), F.length(x)), lambda a, b: F.concat(a, b))
+    return F.array_distinct(runs)

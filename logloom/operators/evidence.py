@@ -168,54 +168,71 @@ def model_findings(spark, pack: str, analyse: Callable[[str], dict | None] | Non
 # ---------------------------------------------------------------- texts
 
 
-def chains_text(groups: list[dict]) -> str:
-    """Correlated problems for a prompt; groups have label, severity and steps (ts, subsystem, title, id)."""
-    if not groups:
-        return ""
-    lines = ["=== Linked events (by shared entities) ==="]
-    for i, g in enumerate(groups, 1):
-        lines.append(f"Chain #{i}: {g['label']} [{g['severity']}]")
-        lines += [f"  {s['ts'] or '?'} [{s['subsystem']}] {s['title']} ({s['id']})" for s in g["steps"]]
-    return "\n".join([*lines, ""])
-
-
-def pack(profile: dict, facts: dict, problems: list[dict], answers: dict[str, dict], chains: list[dict] = (), classes: list[dict] = (), trees: list[dict] = (), most: int = PROMPT_CHARS) -> tuple[str, list[dict]]:
-    """(text, index of problems) for a model. problems have masked samples; their place in the list is what a finding refers to."""
-    lines = ["=== System ===", f"Product: {profile.get('product')} ({profile.get('family')})", f"Version: {profile.get('version') or 'unknown'}", f"Locale: {profile.get('locale')}", ""]
-    lines += ["=== Facts ===", f"Licence key found: {'yes' if facts.get('dongle_found') else 'NO'}", f"Modules: {_or(facts.get('modules'))}, open ports: {_or(facts.get('open_ports'))}"]
-    for d in facts.get("disks") or []:
-        share = int(d["free_mb"] / d["total_mb"] * 100 + 0.5) if d["total_mb"] else 0
-        lines.append(f"Disk {d['name']}: {share}% free ({d['free_mb']:.0f}/{d['total_mb']:.0f} MB)")
-    lines += [f"! {n}" for n in facts.get("notes") or []] + [""]
-    if classes:
-        lines += ["=== Equipment ===", ", ".join(f"{c['cls']} x{c['count']}" for c in classes)]
-        for t in list(trees)[:COMPONENTS]:
-            lines.append(f"  * {t['label']} [{t['hub']}]")
-            for m in t["members"]:
-                lines.append("      - " + m["cls"] + (f" «{m['name']}»" if m["name"] else "") + f" [{m['key']}]")
-        lines.append("")
-    lines.append("=== Problems (by signatures) ===")
-    index = []
-    for i, p in enumerate(problems):
-        index.append({"idx": i, "rule_id": p["rule_id"], "title": p["title"]})
-        lines.append(f"#{i} [{p['severity']}/{p['subsystem']}] {p['title']}, {p['count']} times" + (" (storm)" if p["storm"] else ""))
-        if p["rule_id"]:
-            lines.append(f"  rule: {p['rule_id']}")
-        if p.get("samples"):
-            lines += [f"  component: {p.get('component') or '-'}", f"  sample: {p['samples'][0][:SAMPLE_CHARS]}"]
-        got = answers.get(p.get("retrieval_query"))
-        if got:
-            lines.append(f"  known ({got['confidence']:.2f}): {got['answer'][:ANSWER_CHARS]}")
-            lines += [f"    - [{s['kind']}] {s['title']}" + (f" ({s['url']})" if s["url"] else "") for s in got["sources"][:SHOWN_SOURCES]]
-        lines.append("")
-    if chains:
-        lines += [chains_text(list(chains)), "Events of one chain concern one entity: the earlier may cause the later.", ""]
-    text = "\n".join(lines)
-    return (text[:most] + "\n(cut)" if len(text) > most else text), index
-
-
-def _or(x) -> str:
-    return "?" if x is None else str(x)
+#: What a pack tells of the system and of its facts, in this order.
+SYSTEM, FACTS = ("product", "family", "version", "locale"), ("dongle_found", "modules", "open_ports")
+
+
+def _told(*parts) -> Column:
+    """`a=1 b=x` of the (name, column) that aren't null."""
+    return F.concat_ws(" ", *(F.concat(F.lit(f"{n}="), c.cast("string")) for n, c in parts))
+
+
+def _each(df: DataFrame, part: int, at: list, lines: Column) -> DataFrame:
+    """Lines of every row: part, place (of the row, then within it) and line; null lines are left out."""
+    return df.select(F.array(*(F.col(a).cast("long") if isinstance(a, str) else a.cast("long") for a in at)).alias("at"), F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("i", "line")).select(F.lit(part).alias("part"), F.concat("at", F.array(F.col("i").cast("long"))).alias("place"), "line")
+
+
+def chain_lines(chains: DataFrame, part: int = 4) -> DataFrame:
+    """Linked problems: a line for each chain (numbered by `ord`), and one for each of its steps."""
+    head = F.concat(F.lit("chain "), F.col("ord").cast("string"), F.lit(": "), _told(("by", F.col("label")), ("severity", F.col("severity"))))
+    steps = F.transform("steps", lambda x: F.concat(F.lit("- "), F.coalesce(x["ts"], F.lit("no time")), F.lit(" "), x["id"], F.lit(" "), _told(("subsystem", x["subsystem"])), F.lit(": "), x["title"]))
+    return _each(chains, part, ["ord"], F.concat(F.array(head), steps))
+
+
+def problem_lines(problems: DataFrame, answers: DataFrame | None = None, part: int = 3) -> DataFrame:
+    """What is known of each problem (problem_ord, severity, subsystem, title, count, storm, rule_id, component, samples, retrieval_query), with the answer to its query."""
+    if answers is None:
+        own = problems.withColumns({"answer": F.lit(None).cast("string"), "_sources": F.array().cast("array<string>"), "confidence": F.lit(None).cast("double")})
+    else:
+        shown = F.transform(F.slice("sources", 1, SHOWN_SOURCES), lambda x: F.concat_ws(" ", x["kind"], x["title"], x["url"]))
+        known = answers.select(F.col("query").alias("retrieval_query"), "answer", "confidence", shown.alias("_sources")).dropDuplicates(["retrieval_query"])
+        own = problems.drop("answer", "confidence").join(known, "retrieval_query", "left")
+    sample = F.get("samples", F.lit(0))
+    lines = [
+        F.concat(F.lit("problem "), F.col("problem_ord").cast("string"), F.lit(": "), _told(("severity", F.col("severity")), ("subsystem", F.col("subsystem")), ("count", F.col("count")), ("storm", F.when(F.col("storm"), "yes")), ("rule", F.col("rule_id"))), F.lit(" | "), F.col("title")),
+        F.concat(F.lit("- component "), F.when(F.size("samples") > 0, F.col("component"))),
+        F.concat(F.lit("- says "), F.substring(sample, 1, SAMPLE_CHARS)),
+        F.concat(F.lit("- known "), _told(("confidence", F.format_string("%.2f", F.col("confidence")))), F.lit(" | "), F.substring("answer", 1, ANSWER_CHARS)),
+    ]
+    return _each(own, part, ["problem_ord"], F.concat(F.array(*lines), F.transform(F.coalesce("_sources", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- source "), x))))
+
+
+def gear_lines(classes: DataFrame, hubs: DataFrame, members: DataFrame, part: int = 2) -> DataFrame:
+    """Classes by number, and the largest components with their members. hubs: component_id, hub, label, size; members: component_id, key, ord, cls, name."""
+    kinds = _each(classes, part, [F.lit(0), -F.col("count")], F.array(F.concat(F.lit("class "), _told(("name", F.col("cls")), ("count", F.col("count"))))))
+    tops = _each(hubs, part, [F.lit(1), -F.col("size"), F.col("component_id"), F.lit(-1)], F.array(F.concat(F.lit("component "), F.col("component_id").cast("string"), F.lit(": "), _told(("hub", F.col("hub"))), F.lit(" | "), F.col("label"))))
+    named = F.concat(F.lit("- of "), F.col("component_id").cast("string"), F.lit(": "), _told(("class", F.col("cls")), ("name", F.nullif("name", F.lit(""))), ("key", F.col("key"))))
+    below = members.join(hubs.select("component_id", "size"), "component_id")
+    return kinds.union(tops).union(_each(below, part, [F.lit(1), -F.col("size"), F.col("component_id"), "ord"], F.array(named)))
+
+
+def system_lines(spark, profile: dict, facts: dict) -> DataFrame:
+    """The system and its facts, which are a few values."""
+    rows = [(0, [i, 0], f"{k}={profile[k]}") for i, k in enumerate(SYSTEM) if profile.get(k) is not None]
+    rows += [(1, [i, 0], f"{k}={facts[k]}") for i, k in enumerate(FACTS) if facts.get(k) is not None]
+    disks = [(d["name"], d["free_mb"], d["total_mb"]) for d in facts.get("disks") or []]
+    rows += [(1, [10, i], f"disk={n} free_mb={free:.0f} of_mb={total:.0f}") for i, (n, free, total) in enumerate(disks)]
+    rows += [(1, [20, i], f"note={x}") for i, x in enumerate(facts.get("notes") or [])]
+    return spark.createDataFrame(rows, "part int, place array<long>, line string")
+
+
+def pack(*parts: DataFrame, most: int = PROMPT_CHARS) -> str:
+    """Lines in order of part and place as one text for a model, cut at `most` characters. As a line has one character at least with its break, so many lines are enough."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    text = "\n".join(r["line"] for r in every.orderBy("part", "place", "line").limit(most).collect())
+    return text[:most] + "\n[cut]" if len(text) > most else text
 
 
 def explain_sample(events: DataFrame, most: int = EXPLAIN_ROWS) -> DataFrame:

@@ -275,7 +275,7 @@ class RuleBook:
         row = {c: kind(body[c]) if c in body else kind(None) if kind in (_clean, text_list, _positive) else None for c, kind in self._KINDS.items()}
         if not (row["component"] or row["any_of"] or row["all_of"]):
             raise ValueError("a rule needs a component or a phrase")
-        stem = re.sub(r"\A-+|-+\Z", "", re.sub(r"[^a-z0-9а-яё]+", "-", row["title"].lower()))[:40]
+        stem = re.sub(r"\A-+|-+\Z", "", re.sub(r"[^a-z0-9а-я]+", "-", row["title"].lower()))[:40]
         row |= {"id": str(uuid.uuid4()), "key": row["key"] or f"{stem or 'rule'}-{uuid.uuid4().hex[:5]}", "severity": row["severity"] if row["severity"] in SEVERITIES else "warning", "subsystem": row["subsystem"] if row["subsystem"] in SUBSYSTEMS else "other", "enabled": body.get("enabled") is not False, "source": "captured" if body.get("source") == "captured" else "manual", "created_at": _now(), "updated_at": _now()}
         return self.table.insert(row)
 

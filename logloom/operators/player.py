@@ -70,20 +70,19 @@ def busiest(df: DataFrame, most: int = 5) -> DataFrame:
     return df.groupBy("service").agg(F.count_if(c == 0).alias("errors"), F.count("*").alias("total"), F.min("seq").alias("_first")).orderBy(F.desc("errors"), F.desc("total"), "_first").limit(most).drop("_first")
 
 
-def top_errors(df: DataFrame, most: int = 4) -> DataFrame:
+def top_errors(df: DataFrame, most: int = 4, first: bool = False) -> DataFrame:
     own = df.where(T.level_class(F.col("level")) == 0)
-    return own.groupBy(T.error_key(F.col("message")).alias("text")).agg(F.count("*").alias("count"), F.min("seq").alias("_first")).orderBy(F.desc("count"), "_first").limit(most).drop("_first")
-
-
-def explained(df: DataFrame) -> str:
-    """A sentence or two on a window: its counts, the busiest service, frequent errors."""
-    s = stats(df).first()
-    if not s["total"]:
-        return "No events in this window."
-    parts = [f"{s['total']} events: {s['errors']} errors, {s['warns']} warnings."]
-    parts += [f"Most active: {r['service']} ({r['total']} lines, {r['errors']} errors)." for r in busiest(df, 1).collect()]
-    errors = [f"{r['text']} (x{r['count']})" for r in top_errors(df).collect()]
-    return " ".join(parts + ([f"Frequent errors: {'; '.join(errors)}."] if errors else []))
+    return own.groupBy(T.error_key(F.col("message")).alias("text")).agg(F.count("*").alias("count"), F.min("seq").alias("_first")).orderBy(F.desc("count"), "_first").limit(most).drop(*([] if first else ["_first"]))
+
+
+def explained(df: DataFrame) -> DataFrame:
+    """A window in one row: total, errors, warns, the busiest service with its errors, frequent errors with their counts, and all that as a text."""
+    busy = busiest(df, 1).select(F.lit(1).alias("_one"), F.col("service").alias("busiest"), F.col("errors").alias("busiest_errors"))
+    in_order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "_first", "text")))
+    often = top_errors(df, first=True).agg(F.transform(in_order, lambda x: F.concat(x["text"], F.lit(": "), (-x["n"]).cast("string"))).alias("frequent")).withColumn("_one", F.lit(1))
+    row = stats(df).withColumn("_one", F.lit(1)).join(busy, "_one", "left").join(often, "_one", "left").drop("_one")  # one row each
+    told = F.concat_ws(" | ", F.concat_ws(" ", F.lit("events"), F.col("total").cast("string"), F.lit("errors"), F.col("errors").cast("string"), F.lit("warnings"), F.col("warns").cast("string")), F.concat(F.lit("busiest "), F.col("busiest")), F.when(F.size("frequent") > 0, F.concat(F.lit("often "), F.array_join("frequent", "; "))))
+    return row.withColumn("text", F.when(F.col("total") == 0, "no events").otherwise(told))
 
 
 def focus(hist: DataFrame, start: int, end: int, buckets: int = 240) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators.order import placed
+from logloom.operators.order import ordered, placed
 from logloom.sources.scratch import written
 
 
@@ -28,12 +28,29 @@ def headers(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def stitched(lines: DataFrame, is_header, keys: list[str], order: str, line: str = "line") -> DataFrame:
-    """Records of a header line and the lines after it that aren't blank: keys, rec_ord, head, text and n_lines. Lines before the first header are dropped."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("_head", is_header).withColumn("rec_ord", F.sum(F.col("_head").cast("long")).over(w))
-    own = marked.where((F.col("rec_ord") > 0) & (F.col("_head") | (T.trim(F.col(line)) != "")))
-    in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t"))))
-    return own.groupBy(*keys, "rec_ord").agg(in_order.alias("l")).select(*keys, "rec_ord", F.col("l")[0]["t"].alias("head"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"), F.size("l").cast("long").alias("n_lines"))
+    """Records of a header line and the lines after it that aren't blank: keys, rec_ord, head, text and n_lines. Lines before the first header are dropped.
+
+    Lines are dealt by ranges of (keys, order), so a file lies in as many parts as its size asks for. Within a part headers are counted; a part's first key goes on from the parts before, which hand on how many headers of that key they have, so the record that is open at a cut is continued. Only the lines of one record meet in one place.
+    """
+    own = ordered(lines.withColumn("_head", F.coalesce(is_header, F.lit(False))), [*keys, order], "stitched")
+    at = Window.partitionBy("_part", *keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    counted = own.withColumn("_n", F.sum(F.col("_head").cast("long")).over(at))
+    marked = counted.join(F.broadcast(_headers_before(own, keys)), (F.col("_part") == F.col("_of")) & F.struct(*keys).eqNullSafe(F.col("_key")), "left")
+    marked = marked.withColumn("rec_ord", F.col("_n") + F.coalesce("_before", F.lit(0)))
+    kept = marked.where((F.col("rec_ord") > 0) & (F.col("_head") | (T.trim(F.col(line)) != "")))
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("_part").alias("p"), F.col("_place").alias("o"), F.col(line).alias("t"))))
+    return kept.groupBy(*keys, "rec_ord").agg(in_order.alias("l")).select(*keys, "rec_ord", F.col("l")[0]["t"].alias("head"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"), F.size("l").cast("long").alias("n_lines"))
+
+
+def _headers_before(own: DataFrame, keys: list[str]) -> DataFrame:
+    """(_of, _key, _before): for the first key of each part the headers that it has in the parts before. In each of those it is the last key. A row for each part."""
+    key = F.struct(*keys)
+    edges = own.groupBy("_part").agg(F.min_by(key, "_place").alias("_first"), F.max_by(key, "_place").alias("_last"))
+    tails = own.join(F.broadcast(edges.select("_part", "_last")), "_part").groupBy("_part").agg(F.first("_last").alias("_key"), F.count_if(F.col("_head") & key.eqNullSafe(F.col("_last"))).alias("_h"))
+    asked = edges.select("_part", F.col("_first").alias("_key"), F.lit(0).cast("long").alias("_h"), F.lit(0).alias("_side"))
+    before = Window.partitionBy("_key").orderBy("_part", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    every = asked.union(tails.select("_part", "_key", "_h", F.lit(1))).withColumn("_before", F.coalesce(F.sum("_h").over(before), F.lit(0)))
+    return every.where("_side = 0").select(F.col("_part").alias("_of"), "_key", "_before")
 
 
 def records(lines: DataFrame, keys: tuple[str, ...] = ("file",), order: str = "pos", line: str = "line") -> DataFrame:

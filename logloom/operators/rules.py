@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logloom.functions import text as T
+from logloom.sources.scratch import written
+
 #: Ranks of severities, the least count of an unknown signature and how many of these are kept, evidence kept by problem, and what problems cost.
 SEVERITIES = ("critical", "warning", "info", "noise")
 UNKNOWN_COUNT, UNKNOWN_MOST, EVIDENCE = 20, 8, 5
@@ -28,7 +31,7 @@ def rule_base(*sets: list[dict]) -> Column:
 
 def matches(rule: Column, comp: Column, sample: Column, peak: Column, family: str) -> Column:
     own = F.lower(F.coalesce(comp, F.lit("")))
-    hay = F.concat(own, F.lit(" "), F.lower(sample))
+    hay = _hay(comp, sample)
 
     def none(x: str) -> Column:
         return rule[x].isNull()
@@ -49,6 +52,86 @@ def first_match(sigs: DataFrame, rules: Column, family: str = "unknown") -> Data
     return sigs.withColumn("rule", F.get(found, F.lit(0)))
 
 
+#: Rows of the index and of the rules up to which they are sent to all tasks; more are joined by a shuffle.
+BROADCAST = 200_000
+_GRAM = 3
+
+
+def rule_rows(spark: SparkSession, *sets: list[dict]) -> DataFrame:
+    """rule_base as a table, a row for each rule."""
+    return spark.range(1).select(F.inline(rule_base(*sets)))
+
+
+def _hay(component: Column, sample: Column) -> Column:
+    return F.concat(F.lower(F.coalesce(component, F.lit(""))), F.lit(" "), F.lower(sample))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
+class RuleIndex:
+    """A rule base of any size, joined instead of being looped over.
+
+    What a rule demands is one of its conditions: each phrase of all_of, the phrases of any_of together, or the component. A phrase is known by one of its trigrams, the one that the fewest texts have (a shorter phrase by itself), and a rule by the condition whose trigrams the fewest texts have. A text that has none of a rule's trigrams cannot match it; texts and rules are joined by trigram, and what meets is tested in full. An empty phrase is in every text, so a condition with one demands nothing; a rule without any other is tested on all texts, and there must be at most MOST_LOOSE of them.
+
+    texts have component, sample, and `key`, which names a row; rules have the columns of RULE. Null samples match nothing. A rule with a rule_ord that another one has is an error of the caller.
+    """
+
+    MOST_LOOSE = 100
+
+    def __init__(self, texts: DataFrame, rules: DataFrame, key: str = "signature", peak: str = "peak"):
+        self.key, self.texts = key, written(texts.select(key, "component", "sample", F.col(peak).alias("peak")), "rule-texts")
+        self.rules = written(rules, "rules")
+        phrases = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), F.lower)
+        one = F.when(F.col("component").isNotNull(), F.array(F.array(F.lower("component"))))
+        some = F.when(F.col("any_of").isNotNull(), F.array(phrases(F.col("any_of"))))
+        none = F.array().cast("array<array<string>>")
+        demands = F.concat(F.transform(phrases(F.col("all_of")), lambda p: F.array(p)), F.coalesce(some, none), F.coalesce(one, none))
+        usable = F.filter(demands, lambda d: (F.size(d) > 0) & ~F.exists(d, lambda p: p == ""))
+        held = self.rules.select("rule_ord", demands.alias("demands"), usable.alias("usable")).where("size(demands) > 0")
+        self.loose = [r["rule_ord"] for r in held.where("size(usable) = 0").select("rule_ord").limit(self.MOST_LOOSE + 1).collect()]
+        if len(self.loose) > self.MOST_LOOSE:
+            raise ValueError(f"over {self.MOST_LOOSE} rules demand nothing but the empty text")
+        each = held.select("rule_ord", F.posexplode("usable").alias("d", "p")).select("rule_ord", "d", F.posexplode("p").alias("i", "phrase"))
+        p = F.col("phrase")
+        own = F.when(F.length(p) >= _GRAM, T.grams(p, _GRAM)).otherwise(F.array(p))
+        parts = written(each.select("rule_ord", "d", "i", F.explode(own).alias("gram")), "rule-grams")
+        self.sizes = [r[0] for r in parts.select(F.length("gram")).distinct().collect()]  # 1 to 3
+        sought = parts.select("gram").distinct()
+        often = self._grams().join(_few(sought), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+        counted = parts.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        phrase = counted.groupBy("rule_ord", "d", "i").agg(F.min(F.struct("n", "gram")).alias("g"))
+        demand = phrase.groupBy("rule_ord", "d").agg(F.sum("g.n").alias("n"), F.collect_set("g.gram").alias("grams"))
+        best = demand.groupBy("rule_ord").agg(F.min_by("grams", F.struct("n", "d")).alias("grams"))
+        self.postings = written(best.select("rule_ord", F.explode("grams").alias("gram")), "rule-postings")
+
+    def _grams(self) -> DataFrame:
+        """(key, gram) of the texts, of the sizes that the rules need."""
+        hay = _hay(F.col("component"), F.col("sample"))
+        every = F.concat(*(T.grams(F.col("_hay"), n) for n in self.sizes)) if self.sizes else F.array().cast("array<string>")
+        return self.texts.withColumn("_hay", hay).where("_hay is not null").select(*self.texts.columns, F.explode(every).alias("gram"))
+
+    def candidates(self) -> DataFrame:
+        """Texts with the rules that they may match."""
+        met = self._grams().join(_few(self.postings), "gram").select(*self.texts.columns, "rule_ord")
+        for o in self.loose:
+            met = met.union(self.texts.where("sample is not null").withColumn("rule_ord", F.lit(o)))
+        return met
+
+    def first_match(self, family: str = "unknown") -> DataFrame:
+        """(key, rule): the first rule that matches, for the texts that have one."""
+        rule = self.rules.select(F.col("rule_ord").alias("_o"), F.struct(*self.rules.columns).alias("rule"))
+        met = self.candidates().join(_few(rule), F.col("rule_ord") == F.col("_o")).where(matches(F.col("rule"), F.col("component"), F.col("sample"), F.col("peak"), family))
+        return met.groupBy(self.key).agg(F.min_by("rule", "rule_ord").alias("rule"))
+
+
+def first_match_indexed(sigs: DataFrame, rules: DataFrame, family: str = "unknown", key: str = "signature", peak: str = "peak") -> DataFrame:
+    """first_match for rule bases of thousands of rules; rules: a table (see rule_rows), key: a column that names the rows of sigs."""
+    found = RuleIndex(sigs, rules, key, peak).first_match(family).withColumnRenamed(key, "_key")
+    return sigs.join(found, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
 def problems(matched: DataFrame, unknown_count: int = UNKNOWN_COUNT, unknown_most: int = UNKNOWN_MOST, evidence: int = EVIDENCE) -> DataFrame:
     """Problems by rule, then the most frequent unknown signatures, ranked by severity and count (problem_ord)."""
     order = [F.desc("count"), F.col("first_seen")]

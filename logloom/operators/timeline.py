@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators.order import neighbours, ordered, placed
+from logloom.operators.order import SLICE, neighbours, ordered, placed, sliced
 
 #: Buckets of the overview, gaps in milliseconds, what makes a storm of errors, the largest timeline, and what a service says when it starts.
 BUCKETS, RESTART_GAP, CHAPTER_GAP, CHAPTERS, PEAKS, STORM_FACTOR, STORM_LEAST, SIGNIFICANT, MOST_EVENTS = 240, 30_000, 1000, 10, 4, 4, 20, 300, 500_000
@@ -70,60 +70,109 @@ def lanes(df: DataFrame) -> DataFrame:
     return n.select("service", "events", (F.row_number().over(Window.orderBy(F.desc("events"), "first")) - 1).cast("long").alias("lane"))
 
 
-def _kept(ts: np.ndarray, last: int | None, gap: int) -> tuple[np.ndarray, int | None]:
-    """Places of sorted times that are more than gap after the one kept last, and the last time kept."""
-    out, i = [], 0 if last is None else int(np.searchsorted(ts, last + gap, "right"))
-    while i < len(ts):
-        out.append(i)
-        last = int(ts[i])
-        i = int(np.searchsorted(ts, last + gap, "right"))
-    return np.array(out, np.int64), last
+def _runs(batches, *names: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Pieces of one slice each, with the values that name the slice; a slice can come in several pieces."""
+    for b in batches:
+        if b.num_rows:
+            of = np.stack([b.column(n).to_numpy() for n in names])
+            at = np.flatnonzero(np.concatenate(([True], (of[:, 1:] != of[:, :-1]).any(0), [True]))).tolist()
+            for x, y in zip(at[:-1], at[1:], strict=True):
+                yield tuple(of[:, x].tolist()), b.slice(x, y - x)
 
 
-def _folded(entries: dict[int, int | None], gap: int, rows: bool, names: list[str]):
-    """Parts, each in order, to their last time kept, or to their rows kept; entries: the last time kept before each part."""
+SAME = np.iinfo(np.int64).min
 
-    def fold(batches) -> Iterator[pa.RecordBatch]:
-        part, last = None, None
+
+def _phases(ts: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's transfer function as steps: (from, exit). Whoever was kept at e before the slice, the last one kept after it is the exit of the last step with from <= e + gap; before the first step nothing of the slice is in reach of e, and it is as if none was kept before. An exit of SAME is e itself: the whole slice lies within its gap.
+
+    Only rows within a gap of the slice's first can be the first one kept, so there are at most gap + 2 steps however long the slice is.
+    """
+    n = len(ts)
+    after = np.searchsorted(ts, ts + gap, "right")
+    last = np.where(after < n, after, np.arange(n))  # the next one kept, by doubling the last
+    while (last[last] != last).any():
+        last = last[last]
+    first = np.arange(min(n, int(np.searchsorted(ts, ts[0] + gap, "right")) + 1))
+    froms = np.where(first > 0, ts[np.maximum(first - 1, 0)], SAME)
+    exits = ts[last[first]]
+    if len(first) == n:  # all of the slice can lie within the gap
+        froms, exits = np.append(froms, ts[-1]), np.append(exits, SAME)
+    own = np.append(froms[1:] != froms[:-1], True)  # of equal times the last decides
+    froms, exits = froms[own], exits[own]
+    new = np.concatenate(([True], exits[1:] != exits[:-1]))
+    return froms[new], exits[new]
+
+
+_STEPS = "_part int, _slice long, froms array<long>, exits array<long>"
+
+
+def _transfers(gap: int):
+    def run(batches):
+        of, held = None, []
+
+        def put():
+            froms, exits = _phases(np.concatenate(held), gap)
+            longs = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([of[0]], pa.int32()), pa.array([of[1]], pa.int64()), pa.array([froms], longs), pa.array([exits], longs)], names=["_part", "_slice", "froms", "exits"])
+
+        for key, own in _runs(batches, "_part", "_slice"):
+            if held and key != of:
+                yield put()
+                held = []
+            of = key
+            held.append(own.column("ts_ms").to_numpy())
+        if held:
+            yield put()
+
+    return run
+
+
+def _entries(gap: int):
+    """Slices' functions in order to the last time kept before each slice, null before the first."""
+
+    def run(batches):
+        last = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            of = b.column("_part").to_numpy()
-            for x, y in zip(*(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))[s] for s in (slice(None, -1), slice(1, None))), strict=True):
-                if of[x] != part:
-                    if part is not None and not rows:
-                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([last], pa.int64())], names=["_part", "last"])
-                    part = int(of[x])
-                    last = entries.get(part)
-                own = b.slice(x, y - x)
-                at, last = _kept(own.column("ts_ms").to_numpy(), last, gap)
-                if rows and len(at):
-                    yield own.take(pa.array(at)).select(names)
-        if part is not None and not rows:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([last], pa.int64())], names=["_part", "last"])
-
-    return fold
-
-
-def debounced(df: DataFrame, gap: int = RESTART_GAP, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+            entries = []
+            for froms, exits in zip(b.column("froms"), b.column("exits"), strict=True):
+                entries.append(last)
+                froms, exits = froms.values.to_numpy(), exits.values.to_numpy()
+                exit_ = int(exits[0 if last is None else max(0, int(np.searchsorted(froms, last + gap, "right")) - 1)])
+                last = last if exit_ == SAME else exit_
+            yield pa.RecordBatch.from_arrays([b.column("_part"), b.column("_slice"), pa.array(entries, pa.int64())], names=["_part", "_slice", "entry"])
+
+    return run
+
+
+def _keeping(entries: dict[tuple[int, int], int | None], gap: int, names: list[str]):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        of, last = None, None
+        for key, own in _runs(batches, "_part", "_slice"):
+            if key != of:
+                of, last = key, entries[key]
+            ts, kept = own.column("ts_ms").to_numpy(), []
+            i = 0 if last is None else int(np.searchsorted(ts, last + gap, "right"))
+            while i < len(ts):
+                kept.append(i)
+                last = int(ts[i])
+                i = int(np.searchsorted(ts, last + gap, "right"))
+            if kept:
+                yield own.take(pa.array(kept)).select(names)
+
+    return run
+
+
+def debounced(df: DataFrame, gap: int = RESTART_GAP, order: tuple[str, ...] = ("seq",), rows: int = SLICE) -> DataFrame:
     """Rows more than gap after the last row kept.
 
-    What a range keeps depends on the last row kept before it. Every round folds all ranges with what the round before said of that; two folds soon keep the same rows whatever they began with, so a few rounds settle all ranges. The driver sees one number a range.
+    What a slice of the order keeps depends on the last row kept before it, and on nothing else; so each slice is reduced to a function from that time to the last time that it keeps. One scan makes the functions, they are applied one after the other (a row a slice, of at most gap + 2 steps), and one more scan keeps the rows: two scans however the events lie. The driver sees one number a slice.
     """
-    own = ordered(df, ["ts_ms", *order], "debounce")
-    dealt = own.repartition("_part").sortWithinPartitions("_part", "_place")
-    narrow = own.select("_part", "_place", "ts_ms").repartition("_part").sortWithinPartitions("_part", "_place")
-    entries: dict[int, int | None] = {}
-    while True:
-        ends = sorted((r["_part"], r["last"]) for r in narrow.mapInArrow(_folded(entries, gap, False, []), "_part int, last long").collect())
-        new, last = {}, None
-        for part, end in ends:
-            new[part] = last
-            last = end if end is not None else last
-        if new == entries or all(v == entries.get(k) for k, v in new.items()):
-            break
-        entries = new
-    return dealt.mapInArrow(_folded(entries, gap, True, df.columns), df.schema)
+    own = sliced(df.where("ts_ms is not null"), ["ts_ms", *order], "debounce", rows)
+    steps = own.select("_part", "_slice", "ts_ms").mapInArrow(_transfers(gap), _STEPS)
+    entered = steps.repartition(1).sortWithinPartitions("_part", "_slice").mapInArrow(_entries(gap), "_part int, _slice long, entry long")
+    entries = {(r["_part"], r["_slice"]): r["entry"] for r in entered.collect()}
+    return own.mapInArrow(_keeping(entries, gap, df.columns), df.schema)
 
 
 def storm_chapters(hist: DataFrame, start: int, end: int, buckets: int = BUCKETS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What a viewer of a report or a timeline derives: windows around a playhead, zoom, ticks, lanes, previews, percentages."""
+"""What a viewer of a report or a timeline derives: windows around a playhead, ticks, lanes, previews, percentages."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as T
 
-#: Half a window and its step, the least span of a view, shown lanes, trees, noise items and files, ticks of the axis, levels shown at first.
-HALF_WINDOW, WINDOW_STEP, LEAST_SPAN = 300_000, 60_000, 1000
+#: Half a window and its step, shown lanes, trees, noise items and files, ticks of the axis, levels shown at first.
+HALF_WINDOW, WINDOW_STEP = 300_000, 60_000
 LANES, TREES, NOISE, FILES = 8, 5, 4, 8
 TICKS = (0.0, 0.25, 0.5, 0.75, 1.0)
 LEVELS = ("ERROR", "WARN")
@@ -25,30 +25,6 @@ def fetch_window(playhead: int, half: int = HALF_WINDOW, step: int = WINDOW_STEP
     return center - half, center + half, center
 
 
-def clamped(start: float, end: float, first: float, last: float, least: float = LEAST_SPAN) -> tuple[float, float]:
-    """A view moved into [first, last], no shorter than the least span if there is room."""
-    if end - start < least:
-        end = start + least
-    if start < first:
-        start, end = first, end + first - start
-    if end > last:
-        start, end = start - (end - last), last
-    return max(first, start), min(last, end)
-
-
-def zoomed(view: tuple[float, float], center: float, factor: float, first: float, last: float, least: float = LEAST_SPAN) -> tuple[float, float]:
-    """A view made wider or narrower around a point that keeps its place on the screen."""
-    span = view[1] - view[0]
-    new = min(last - first, max(least, span * factor))
-    start = center - ((center - view[0]) / span if span > 0 else 0.5) * new
-    return clamped(start, start + new, first, last, least)
-
-
-def panned(view: tuple[float, float], share: float, first: float, last: float) -> tuple[float, float]:
-    d = (view[1] - view[0]) * share
-    return clamped(view[0] + d, view[1] + d, first, last)
-
-
 def axis_ticks(start: Column, end: Column) -> Column:
     """Times at even shares of a range."""
     return F.array(*(start + F.lit(f) * (end - start) for f in TICKS))
@@ -73,6 +49,11 @@ def visible_lanes(services: list[str], muted=(), solo=()) -> list[str]:
     return [s for s in services if s in set(solo)] if solo else [s for s in services if s not in set(muted)]
 
 
+def default_levels(df: DataFrame) -> DataFrame:
+    """Events of the levels that are shown before anyone chooses."""
+    return df.where(T.level_name(F.col("level")).isin(*LEVELS))
+
+
 def shown_lanes(lanes: DataFrame, most: int = LANES, every: bool = False) -> DataFrame:
     """The busiest lanes."""
     return lanes if every else lanes.where(F.col("lane") < most)
@@ -117,4 +98,5 @@ def component_label(cls: Column, name: Column, key: Column, members: Column) ->
 
 
 def preview(items: Column, most: int) -> Column:
-    return F.slice(items, 1, most)
+    """The first few of a list, and how many more there are."""
+    return F.struct(F.slice(items, 1, most).alias("shown"), F.greatest(F.size(items) - most, F.lit(0)).cast("long").alias("more"))

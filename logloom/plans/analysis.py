@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
@@ -94,7 +94,12 @@ def analyse(
     by, words, score = "rules", told["summary"], health.first()["health"]
     if model is not None:
         every = evidence.with_sources(correlate.equipped(report.findings(found, True, noise=True), gear["aliases"] if gear else None), answers)
-        text, _ = evidence.pack(profile, facts, [r.asDict(True) for r in every.orderBy("problem_ord").collect()], {r["query"]: r.asDict(True) for r in answers.collect()}, [r.asDict(True) for r in chains.collect()], *([[r.asDict() for r in gear["classes"].collect()], tree_rows(gear)] if gear else ()))
+        numbered = chains.withColumn("ord", F.row_number().over(Window.orderBy(rules.severity_rank(F.col("severity")), F.desc("n_steps"), "chain")))  # a few rows
+        parts = [evidence.system_lines(spark, profile, facts), evidence.problem_lines(every, answers), evidence.chain_lines(numbered)]
+        if gear:
+            tops = view.trees(gear["hubs"], evidence.COMPONENTS)
+            parts.append(evidence.gear_lines(gear["classes"], tops, view.tree_members(tops, gear["members"], gear["objects"])))
+        text = evidence.pack(*parts)
         got = evidence.model_findings(spark, text, model)
         if got:
             own, words, score = got
@@ -127,14 +132,6 @@ def _masked_texts(rows: DataFrame) -> DataFrame:
     return redact.redacted(rows, "seq", "text")[0]
 
 
-def tree_rows(gear: dict[str, DataFrame], most: int = evidence.COMPONENTS) -> list[dict]:
-    tops = view.trees(gear["hubs"], most)
-    below: dict[int, list] = {}
-    for r in view.tree_members(tops, gear["members"], gear["objects"]).orderBy("ord").collect():
-        below.setdefault(r["component_id"], []).append(r.asDict())
-    return [{"label": r["label"], "hub": r["hub"], "members": below.get(r["component_id"], [])} for r in tops.collect()]
-
-
 def assembled(result: dict, by: str, words: str, score: int, gear: dict | None, mask: bool) -> dict:
     """The report as one object. Its lists are bounded: a problem for each rule, and a few more."""
     rank = rules.severity_rank(F.col("severity"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators import correlate, evidence, inventory, lifecycle, player, records, redact, report, rules, timeline, view
+from logloom.operators import correlate, evidence, inventory, lifecycle, lookup, player, records, redact, report, rules, timeline, view
 from logloom.plans.views import CLASS, COARSE, LOG, ORDERED, PEAK, RULES, SIG, SIGS, events, parsed, signatures, table, unnumbered
 from logloom.sources import bundle, scratch, sinks
 
@@ -152,6 +152,26 @@ def rule_first_match(spark, d):
     return _matched(spark, d).select("signature", F.col("rule.rule_ord").alias("rule_ord"), F.col("rule.id").alias("rule_id"))
 
 
+@query(f"""
+WITH r AS (SELECT p_partkey AS rule_ord, CASE WHEN p_partkey % 3 = 0 THEN ['DEVICEIPINT.' || p_size % 20 || '', 'amount ' || p_partkey % 100] END AS all_of,
+  CASE WHEN p_partkey % 3 > 0 THEN ['Amount ' || p_partkey % 5000 || ' from', '10.0.' || p_partkey % 4 || '.' || p_size * 5 || ':80 d'] END AS any_of, CASE WHEN p_partkey % 5 = 0 THEN 'SVC.' || p_size % 7 END AS component, CASE WHEN p_partkey % 11 = 0 THEN 2 END AS least FROM part),
+x AS (SELECT event_id, lower(component) AS own, lower(component) || ' ' || lower(message) AS hay FROM ({LOG}))
+SELECT event_id, min(rule_ord) AS rule_ord FROM x LEFT JOIN r ON (r.component IS NULL OR contains(own, lower(r.component))) AND r.least IS NULL
+  AND (all_of IS NULL OR (contains(hay, lower(all_of[1])) AND contains(hay, lower(all_of[2])))) AND (any_of IS NULL OR contains(hay, lower(any_of[1])) OR contains(hay, lower(any_of[2]))) GROUP BY 1""")
+def rule_index(spark, d):
+    """The first of as many rules as there are parts, for every log line: joined by trigrams."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    all_of = F.when(p % 3 == 0, F.array(text("DEVICEIPINT.", size % 20), text("amount ", p % 100)))
+    any_of = F.when(p % 3 > 0, F.array(text("Amount ", p % 5000, " from"), text("10.0.", p % 4, ".", size * 5, ":80 d")))
+    known = {"rule_ord": p.cast("int"), "id": text("r", p), "component": F.when(p % 5 == 0, text("SVC.", size % 7)), "any_of": any_of, "all_of": all_of, "min_per_minute": F.when(p % 11 == 0, 2)}
+    schema = F.from_json(F.lit("[]"), f"array<{rules.RULE}>")
+    fields = spark.range(1).select(schema.alias("r")).schema["r"].dataType.elementType.fields
+    base = table(spark, d, "part").select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    lines = parsed(spark, d).select("event_id", "component", F.col("message").alias("sample"), F.lit(1).alias("peak"))
+    return rules.first_match_indexed(lines, base, key="event_id").select("event_id", F.col("rule.rule_ord").cast("long").alias("rule_ord"))
+
+
 @query(f"SELECT rule_id, severity, subsystem, count, storm, n_evidence FROM ({_PROBLEMS})")
 def rule_problems(spark, d):
     return _problems(spark, d).select("rule_id", "severity", "subsystem", "count", "storm", F.size("evidence").cast("long").alias("n_evidence"))
@@ -370,6 +390,22 @@ def search_regex(spark, d):
     return player.search(docs, r"token\s*=|license", "regex").select("doc_id")
 
 
+def _indexed(spark, d):
+    path = sinks.timeline(events(spark, d), scratch.shared_dir(spark), scratch.unique("search"), shard_rows=500)
+    lookup.index(spark, path)
+    return path
+
+
+@query(f"SELECT seq, event_id FROM ({ORDERED}) WHERE contains(lower(message), 'amount 777') OR contains(lower(service), 'amount 777') ORDER BY seq LIMIT 500")
+def search_indexed_keyword(spark, d):
+    return lookup.search(spark, _indexed(spark, d), "Amount 777")[0].select("seq", "event_id")
+
+
+@query(f"SELECT seq, event_id FROM ({ORDERED}) WHERE regexp_matches(message, '(?i)purchase amount 12\\d+ from.*IPINT[.]1[37]$') ORDER BY seq LIMIT 500")
+def search_indexed_regex(spark, d):
+    return lookup.search(spark, _indexed(spark, d), r"purchase amount 12\d+ from.*IPINT[.]1[37]$", "regex")[0].select("seq", "event_id")
+
+
 _QUERY_VECTOR = "list_transform((SELECT embedding FROM embeddings WHERE vec_id = 0), lambda x: CAST(x AS DOUBLE))"
 
 
@@ -390,6 +426,35 @@ def explain_stats(spark, d):
     return player.stats(unnumbered(spark, d))
 
 
+@query(f"""
+WITH e AS (SELECT seq, service, cls, substr(regexp_replace(message, '\\d+', '#', 'g'), 1, 100) AS key FROM ({ORDERED})),
+t AS (SELECT count(*) AS total, count(*) FILTER (WHERE cls = 0) AS errors, count(*) FILTER (WHERE cls = 1) AS warns FROM e),
+b AS (SELECT service AS busiest, count(*) FILTER (WHERE cls = 0) AS busiest_errors FROM e GROUP BY 1 ORDER BY 2 DESC, count(*) DESC, min(seq) LIMIT 1),
+f AS (SELECT string_agg(key || ': ' || n, '; ' ORDER BY n DESC, s) AS often FROM (SELECT key, count(*) AS n, min(seq) AS s FROM e WHERE cls = 0 GROUP BY 1 ORDER BY n DESC, s LIMIT 4))
+SELECT total, errors, warns, busiest, busiest_errors, 'events ' || total || ' errors ' || errors || ' warnings ' || warns || ' | busiest ' || busiest || ' | often ' || often AS text FROM t, b, f""")
+def explain_row(spark, d):
+    return player.explained(events(spark, d)).drop("frequent")
+
+
+@query(f"SELECT seq, level FROM ({ORDERED}) WHERE cls < 2")
+def default_levels(spark, d):
+    return view.default_levels(events(spark, d)).select("seq", "level")
+
+
+@query(f"SELECT signature, array_to_string(list_slice(string_split(files, ';'), 1, 2), ';') AS shown, greatest(len(string_split(files, ';')) - 2, 0) AS more FROM (WITH x AS (SELECT *, level || '|' || component || '|' || {SIG.format(x='message')} AS signature FROM ({LOG}) WHERE {CLASS} < 2) {_LISTS.replace('(k = ', '(WHERE k = ')})")
+def file_previews(spark, d):
+    p = view.preview(F.col("files"), 2)
+    return signatures(spark, d).select("signature", F.array_join(p["shown"], ";").alias("shown"), p["more"].alias("more"))
+
+
+@query(f"SELECT 'problem ' || (row_number() OVER (ORDER BY list_position(['critical', 'warning', 'info', 'noise'], severity), count DESC, rule_id IS NULL) - 1) || ': severity=' || severity || ' subsystem=' || subsystem || ' count=' || count || CASE WHEN storm THEN ' storm=yes' ELSE '' END || coalesce(' rule=' || rule_id, '') AS line FROM ({_PROBLEMS})")
+def evidence_problems(spark, d):
+    """First lines of the problems in a pack, without their titles, in the order of the problems."""
+    found = _problems(spark, d).withColumns({"component": F.lit(None).cast("string"), "samples": F.array().cast("array<string>")})
+    lines = evidence.problem_lines(found).where(F.startswith("line", F.lit("problem ")))
+    return lines.select(F.substring_index("line", " | ", 1).alias("line"))
+
+
 @query(f"SELECT text, count(*) AS count FROM (SELECT seq, substr(regexp_replace(message, '\\d+', '#', 'g'), 1, 100) AS text FROM ({ORDERED}) WHERE cls = 0) GROUP BY 1 ORDER BY count(*) DESC, min(seq) LIMIT 4")
 def top_error_texts(spark, d):
     return player.top_errors(events(spark, d))
@@ -688,7 +753,7 @@ def axis_ticks(spark, d):
 
 
 @query(r"""
-SELECT p_partkey AS id, substr(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand || '!'), '[^a-z0-9а-яё]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug,
+SELECT p_partkey AS id, substr(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand || '!'), '[^a-z0-9а-я]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug,
   CASE WHEN p_size * 2 >= 80 THEN 'good' WHEN p_size * 2 >= 50 THEN 'fair' ELSE 'poor' END AS band, CASE WHEN lower(p_type) LIKE 'standard%' THEN 'jira' ELSE 'doc' END AS kind,
   CAST(floor(p_size / 50.0 * 100 + 0.5) AS BIGINT) AS share, p_name || chr(10) || chr(10) || '1. ' || p_brand || chr(10) || '2. ' || p_type AS solution FROM part""")
 def report_texts(spark, d):
@@ -702,11 +767,17 @@ def clock_texts(spark, d):
     return unnumbered(spark, d).select("event_id", T.clock(F.col("ts_ms"), millis=True).alias("clock"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN format('{:.1f} B', CAST(n_chars AS DOUBLE)) WHEN n_chars < 1048576 THEN format('{:.1f} KB', floor(n_chars / CAST(1024 AS DOUBLE) * 10 + 0.5) / 10) ELSE format('{:.1f} MB', floor(n_chars / CAST(1048576 AS DOUBLE) * 10 + 0.5) / 10) END AS size FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{:.1f} KB', floor(n_chars / CAST(1024 AS DOUBLE) * 10 + 0.5) / 10) ELSE format('{:.1f} MB', floor(n_chars / CAST(1048576 AS DOUBLE) * 10 + 0.5) / 10) END AS size FROM documents")
 def size_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.bytes_text(F.col("n_chars").cast("double")).alias("size"))
 
 
+@query("SELECT event_id, strftime(ts, '%H:%M') AS clock, strftime(ts, '%d.%m %H:%M') AS day FROM events")
+def short_times(spark, d):
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS")
+    return table(spark, d, "events").select("event_id", T.short_time(text).alias("clock"), T.short_time(text, True).alias("day"))
+
+
 @query(r"SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda v: trim(v, ' ' || chr(9) || chr(13) || chr(160))), lambda v: v <> '')) AS n FROM documents")
 def line_lists(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.text_list(F.col("text"))).cast("long").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def manifest(store: Store, run: str, zones: DataFrame, lanes: DataFrame, histogr
 class Table:
     """A metadata table of Parquet files. Each version has a folder of its own, and the last one that was finished is current, for every session; older ones stay for readers until `keep` newer ones are there.
 
-    Two writers of one version can't both finish: the second one's folder exists already.
+    A version is written under a name of its own and gets its number when it is whole, so a write that crashes leaves nothing that stands in the way. Two writers of one version can't both finish: the second one finds the number taken, and fails.
     """
 
     def __init__(self, spark: SparkSession, root: str, name: str, schema: str, key: str = "id", keep: int = 2):
@@ -87,8 +89,12 @@ class Table:
 
     def _put(self, df: DataFrame) -> None:
         there = self._versions()
-        number = int(there[-1][2:]) + 1 if there else 0
-        df.select(self.columns).write.parquet(self.store.at(f"{self.name}/v-{number:012d}"))
+        number = max((int(v[2:]) + 1 for v in self.store.names(self.name) if v.startswith("v-")), default=0)  # also after a folder that nobody finished
+        draft, final = f"new-{uuid.uuid4().hex}", f"{self.name}/v-{number:012d}"
+        df.select(self.columns).write.parquet(self.store.at(f"{self.name}/{draft}"))
+        if not self.store.move(f"{self.name}/{draft}", final):
+            self.store.delete_prefix(f"{self.name}/{draft}")
+            raise FileExistsError(f"another writer has made version {number} of {self.name}")
         for old in there[: -self.keep]:
             self.store.delete_prefix(f"{self.name}/{old}")
 

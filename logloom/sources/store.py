@@ -66,6 +66,16 @@ class Store:
         at = self._path(self.at(prefix))
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
+    def move(self, key: str, to: str) -> bool:
+        """Whether a folder got a new name that was free. Where somebody else took that name meanwhile, file systems put the folder inside; then it is taken out again."""
+        if self.exists(to) or not self._fs.rename(self._path(self._there(key)), self._path(self.at(to))):
+            return False
+        inside = f"{to}/{key.rsplit('/', 1)[-1]}"
+        if self.exists(inside):
+            self._fs.rename(self._path(self.at(inside)), self._path(self.at(key)))
+            return False
+        return True
+
     def delete(self, key: str) -> bool:
         """Whether there was such an object."""
         return self._fs.delete(self._path(self.at(key)), False)

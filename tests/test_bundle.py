@@ -1,13 +1,14 @@
 """A small bundle with results derived by hand, and the parts that need files."""
 
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators import inventory, player, records, redact, report, rules, timeline
+from logloom.operators import inventory, order, player, records, redact, report, rules, timeline
 from logloom.plans import analysis
 from logloom.sources import bundle, sinks
 from logloom.streaming import storms
@@ -151,3 +152,78 @@ def test_rules(spark):
     sigs = spark.createDataFrame([("s", "ERROR", None, "Lost Link", 5, True, 31)], "signature string, level string, component string, sample string, count long, storm boolean, peak long")
     base = rules.rule_base([{"id": "a", "severity": "info", "subsystem": "x", "title": "t", "component": "lost"}, {"id": "off", "enabled": False, "severity": "info", "subsystem": "x", "title": "t", "any_of": ["lost"]}], [{"id": "b", "severity": "noise", "subsystem": "x", "title": "t", "all_of": ["LOST", "link"], "min_per_minute": 31, "any_of": []}])
     assert rules.first_match(sigs, base).first()["rule"]["id"] == "b"
+
+
+def joined_lines(lines, is_header):
+    out = []
+    for x in lines:
+        if is_header(x):
+            out.append([x])
+        elif out and x.strip(" \t\r"):
+            out[-1].append(x)
+    return [(i + 1, "\n".join(r), len(r)) for i, r in enumerate(out)]
+
+
+def test_one_file_is_stitched_in_many_parts(spark, tmp_path):
+    r = random.Random(4)
+    line = lambda i: r.choice([f"~[{i}]; 2024-01-01; 10:00:00.000; ERROR; c: m{i}", f"  at {i}", "", "\t", f"more {i}"])
+    files = {"a.log": [line(i) for i in range(6000)], "b.log": ["no header"] * 700 + [line(i) for i in range(30)], "c.log": ["~[1]; 2024-01-01; 10:00:00.000; WARN; x"] + [f" {i}" for i in range(3000)], "d.log": ["never"] * 50}
+    (tmp_path / "Logs").mkdir()
+    for name, lines in files.items():
+        (tmp_path / "Logs" / name).write_text("\n".join(lines))
+    want = sorted((name, *x) for name, lines in files.items() for x in joined_lines(lines, lambda t: t.startswith("~[")))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that small ranges stay apart
+    for split in ("128m", "10k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            lines = bundle.log_lines(spark, str(tmp_path))
+            assert lines.select(F.spark_partition_id()).distinct().count() >= 8 or split == "128m"
+            got = records.stitched(lines, F.col("line").startswith("~["), ["file"], "pos").select("file", "rec_ord", "text", "n_lines")
+            assert sorted(map(tuple, got.collect())) == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    # no part has more than a few eighths of the lines, though one file has most of them
+    dealt = order.ordered(lines, ["file", "pos"], "parts").groupBy("_part", "file").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({x["_part"] for x in dealt if x["file"] == "a.log"}) > 2 and max(x["count"] for x in dealt) < 6000
+
+
+def test_stitching_with_null_keys(spark):
+    lines = spark.createDataFrame([(None, 1, "H a"), (None, 2, "b"), ("x", 1, "c"), ("x", 2, "H d"), ("x", 3, " "), ("x", 4, "e"), ("x", 5, None)], "file string, pos long, line string")
+    got = records.stitched(lines, F.col("line").startswith("H"), ["file"], "pos").collect()
+    assert sorted((str(x["file"]), x["rec_ord"], x["text"]) for x in got) == [("None", 1, "H a\nb"), ("x", 1, "H d\ne")]
+    assert records.stitched(lines.where("pos > 9"), F.col("line").startswith("H"), ["file"], "pos").count() == 0
+
+
+def test_thousands_of_rules(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6)))
+    base = []
+    for i in range(5000):
+        x = {"id": f"r{i}", "severity": "info", "subsystem": "other", "title": f"t{i}"}
+        if r.random() < 0.4:
+            x["all_of"] = [" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 3))]
+        if r.random() < 0.6:
+            x["any_of"] = [word().upper() + " " + word() for _ in range(r.randint(1, 3))]
+        if r.random() < 0.2:
+            x["component"] = word()
+        if r.random() < 0.1:
+            x["min_per_minute"] = r.randint(1, 5)
+        if r.random() < 0.1:
+            x["applies_to"] = [r.choice(["current", "legacy"])]
+        base.append(x)
+    base += [{"id": "two", "severity": "info", "subsystem": "other", "title": "t", "any_of": ["Ж"]}, {"id": "all", "severity": "info", "subsystem": "other", "title": "t", "any_of": [""], "component": "zz"}, {"id": "loose", "severity": "info", "subsystem": "other", "title": "t", "any_of": [""], "min_per_minute": 5}]
+    sigs = [(f"s{i}", r.choice([word(), None, "ZZ top"]), " ".join(word() for _ in range(r.randint(0, 40))) + r.choice(["", " ж"]), r.randint(0, 5)) for i in range(300)] + [("none", "zz", None, 5)]
+    df = spark.createDataFrame(sigs, "signature string, component string, sample string, peak int")
+    want = rules.first_match(df, rules.rule_base(base), "current").select("signature", "rule.rule_ord").collect()
+    table = rules.rule_rows(spark, base)
+    got = rules.first_match_indexed(df, table, "current")
+    assert got.columns == [*df.columns, "rule"]
+    assert sorted(map(str, map(tuple, got.select("signature", "rule.rule_ord").collect()))) == sorted(map(str, map(tuple, want)))
+    assert sum(x["rule_ord"] is not None for x in want) > 50
+    index = rules.RuleIndex(df, table)
+    assert index.candidates().count() < len(sigs) * len(base) / 10  # eight letters give few trigrams
+    assert "CartesianProduct" not in str(got._jdf.queryExecution().executedPlan()) and "NestedLoop" not in str(got._jdf.queryExecution().executedPlan())
+    assert rules.first_match_indexed(df.where("peak > 9"), table).count() == 0
+    assert rules.first_match_indexed(df, table.where("rule_ord < 0")).where("rule is not null").count() == 0

@@ -1,11 +1,13 @@
 """Metadata, storage, what a viewer derives, and the pluggable helpers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import evidence, lifecycle, redact, timeline, view
+from logloom.functions import text as T
+from logloom.operators import evidence, lifecycle, lookup, player, redact, timeline, view
 from logloom.sources import sinks
 from logloom.sources.store import Store
 
@@ -104,22 +106,50 @@ def test_rules_brands_settings(spark, tmp_path):
 
 def test_views():
     assert view.fetch_window(90_000) == (-180_000, 420_000, 120_000) and view.fetch_window(29_999)[2] == 0 and view.fetch_window(-30_000)[2] == 0
-    assert view.clamped(-500, 100, 0, 10_000) == (0, 1000) and view.clamped(9_900, 12_000, 0, 10_000) == (7_900, 10_000)
-    assert view.zoomed((0, 10_000), 2_500, 0.5, 0, 10_000) == (1_250, 6_250) and view.panned((0, 2_000), 0.5, 0, 10_000) == (1_000, 3_000)
     assert view.visible_lanes(["a", "b", "c"], {"a"}) == ["b", "c"] and view.visible_lanes(["a", "b"], {"a"}, {"a"}) == ["a"]
     assert [lifecycle.current_step(p) for p in (0, 18, 99)] == [0, 1, 4] and lifecycle.current_step(0, "done") == 5
     assert [lifecycle.page_count(n) for n in (0, 10, 11)] == [1, 1, 2]
 
 
-def test_debounce_in_one_dense_run(spark):
-    rows = [(i * 700 + (i % 7) * 50, i) for i in range(4000)]
-    df = spark.createDataFrame(rows, "ts_ms long, seq long").repartition(5)
+def kept_in_turn(rows, gap):
     want, last = [], None
     for t, i in sorted(rows):
-        if last is None or t - last > 30_000:
+        if last is None or t - last > gap:
             want.append(i)
             last = t
-    assert sorted(r["seq"] for r in timeline.debounced(df).collect()) == want
+    return want
+
+
+@pytest.mark.parametrize("slice_rows", [7, 65_536])
+def test_debounce(spark, slice_rows):
+    r = random.Random(2)
+    every = {
+        "dense": [(i * 700 + (i % 7) * 50, i) for i in range(1200)],
+        "periodic": [(i * 20_000, i) for i in range(700)],  # two starts never keep the same rows
+        "ties": [(i // 9 * 30_000, i) for i in range(900)],
+        "negative": [(i * 9_999 - 5_000_000, i) for i in range(1000)],
+        "random": [(r.randint(0, 40_000_000), i) for i in range(1500)],
+        "one": [(-1, 0)],
+        "bursts": [(k * 200_000 + r.randint(0, 29_000), 40 * k + j) for k in range(30) for j in range(40)],
+    }
+    for name, rows in every.items():
+        df = spark.createDataFrame(rows, "ts_ms long, seq long").repartition(5)
+        assert sorted(x["seq"] for x in timeline.debounced(df, rows=slice_rows).collect()) == sorted(kept_in_turn(rows, 30_000)), name
+
+
+def test_debounce_takes_the_same_scans_however_many_slices(spark):
+    df = spark.createDataFrame([(i * 20_000, i) for i in range(4000)], "ts_ms long, seq long")
+
+    def jobs(rows):
+        group = f"debounce-{rows}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            timeline.debounced(df, rows=rows).collect()
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+
+    assert jobs(10) == jobs(1000)
 
 
 def test_all_events_at_one_time(spark):
@@ -152,9 +182,6 @@ def test_helpers(spark):
     assert len(r.one("q", "5", "network", "current")["sources"]) == 6 and r.one("q", "5", "network")["answer"] == "do" and len(calls) == 1
     assert calls[0]["product_hint"] == "P" and calls[0]["topic_hints"] == ["n"] and r.one("other") is None
     assert evidence.Retrieval(lambda **k: 1 / 0).one("q") is None
-    text, index = evidence.pack({"product": "P", "version": None}, {"dongle_found": False, "disks": [{"name": "C", "total_mb": 200.0, "free_mb": 5.0}], "notes": ["n"]}, [{"rule_id": "r", "title": "T", "severity": "info", "subsystem": "other", "count": 2, "storm": True, "samples": ["s" * 400], "component": None, "retrieval_query": "q"}], {"q": r.known["q", "5", "network"]}, [{"label": "L", "severity": "info", "steps": [{"ts": None, "subsystem": "other", "title": "T", "id": "p0"}]}], [{"cls": "D", "count": 1}], [{"label": "L", "hub": "D.1", "members": [{"cls": "A", "name": "n", "key": "A.1"}]}])
-    assert "Disk C: 3% free" in text and "#0 [info/other] T, 2 times (storm)" in text and "s" * 300 in text and "s" * 301 not in text and "- A «n» [A.1]" in text and "  ? [other] T (p0)" in text
-    assert index == [{"idx": 0, "rule_id": "r", "title": "T"}] and evidence.pack({}, {}, [], {}, most=20)[0].endswith("\n(cut)")
     good = {"summary": "s", "health": 50, "problems": [{"severity": "info", "subsystem": "other", "title": "t", "confidence": 0.5, "evidence_refs": [0, 9]}]}
     found, words, health = evidence.model_findings(spark, "p", lambda _: good)
     assert (words, health, found.first()["evidence_refs"]) == ("s", 50, [0, 9])
@@ -175,3 +202,71 @@ def test_explain_without_errors(spark):
     assert evidence.explain_sample(df, 3).count() == 3
     assert evidence.explain_sample(df.union(spark.createDataFrame([(9, 9, "WARN")], df.schema)), 3).collect()[0]["seq"] == 9
     assert timeline.capped(df.withColumn("f", F.lit(1)), ["f", "seq"], 5)[1] and not timeline.capped(df, ["seq"], 6)[1]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [("lost lunch", ["t lunch"]), (r"err\.code=\d+x", ["err.code="]), ("abc?def", ["ab", "def"]), ("abcd*", ["abc"]), ("abc{0,2}def", ["ab", "def"]), ("[abc]defg", ["defg"]), ("[^]x]defg", ["defg"]), ("(abcd)efg", ["efg"]), ("(abcd)?efg(hij(klm)nop)qr", ["efg", "qr"]), ("abc|def", []), ("(?i)abc", []), (r"\p{Lu}bcd", []), (r"\x41bcde", []), ("жabc", ["abc"]), ("abc+d", ["abc", "d"]), (r"\Qabc\E", []), (r"\b word", [" word"]), ("[a[bc]defg]hjl", [])],
+)
+def test_literals(pattern, want):
+    assert lookup.literals(pattern) == [w for w in want if len(w) >= 3]
+
+
+def test_search_by_index(spark, tmp_path):
+    rows = [(i * 1000, i, f"svc{i // 400}", f"Message {i} of {'Ünit' if i % 97 == 0 else 'unit'} {i // 200} \u212aelvin" if i % 50 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "ts_ms long, seq long, service string, message string")
+    path = sinks.timeline(df, str(tmp_path), "r", shard_rows=50)
+    lookup.index(spark, path)
+    shards = spark.read.parquet(path).select(F.col("_metadata.file_name")).distinct().count()
+    for query, mode, fewer in (("message 19", "keyword", True), ("ÜNIT 4", "keyword", True), ("SVC3", "keyword", True), ("nowhere", "keyword", True), ("e", "keyword", False), (r"unit 7\b", "regex", True), (r"unit \d", "regex", False), ("kelvin", "regex", False), ("e 3|e 4", "regex", False)):
+        want = [x["seq"] for x in player.search(df, query, mode, 5000).collect()]
+        found, read = lookup.search(spark, path, query, mode, 5000)
+        assert [x["seq"] for x in found.collect()] == want, query
+        assert (read is not None and read < shards / 2) == fewer, (query, read, shards)
+
+
+def test_pack(spark):
+    problems = spark.createDataFrame([(0, "r", "T", "info", "other", 2, True, ["s" * 400], None, "q"), (1, None, "U", "warning", "network", 30, False, [], "c", "z")], "problem_ord int, rule_id string, title string, severity string, subsystem string, count long, storm boolean, samples array<string>, component string, retrieval_query string")
+    answers = spark.createDataFrame([("q", "do " * 200, 0.5, [("jira", "t", "u"), ("doc", "w", None)] * 3)], "query string, answer string, confidence double, sources array<struct<kind: string, title: string, url: string>>")
+    chains = spark.createDataFrame([(1, "L", "info", [(None, "other", "T", "p0"), ("2026", "network", "U", "p1")])], "ord int, label string, severity string, steps array<struct<ts: string, subsystem: string, title: string, id: string>>")
+    hubs = spark.createDataFrame([(7, "D.1", "Disk", 2)], "component_id long, hub string, label string, size long")
+    members = spark.createDataFrame([(7, "A.1", 0, "A", "n")], "component_id long, key string, ord long, cls string, name string")
+    gear = evidence.gear_lines(spark.createDataFrame([("D", 1), ("A", 3)], "cls string, count long"), hubs, members)
+    system = evidence.system_lines(spark, {"product": "P", "version": None}, {"dongle_found": False, "disks": [{"name": "C", "total_mb": 200.0, "free_mb": 5.0}], "notes": ["n"]})
+    parts = [evidence.problem_lines(problems, answers), system, evidence.chain_lines(chains), gear]
+    lines = evidence.pack(*parts).split("\n")
+    assert lines == [
+        "product=P", "dongle_found=False", "disk=C free_mb=5 of_mb=200", "note=n",
+        "class name=A count=3", "class name=D count=1", "component 7: hub=D.1 | Disk", "- of 7: class=A name=n key=A.1",
+        "problem 0: severity=info subsystem=other count=2 storm=yes rule=r | T", "- says " + "s" * 300, "- known confidence=0.50 | " + ("do " * 200)[:400], "- source jira t u", "- source doc w", "- source jira t u",
+        "problem 1: severity=warning subsystem=network count=30 | U",
+        "chain 1: by=L severity=info", "- no time p0 subsystem=other: T", "- 2026 p1 subsystem=network: U",
+    ]
+    assert evidence.pack(system, most=20) == "product=P\ndongle_fou\n[cut]"
+    assert evidence.pack(evidence.problem_lines(problems.where("problem_ord > 5"))) == ""
+
+
+def test_texts(spark):
+    df = spark.createDataFrame([(0.0,), (512.0,), (1023.0,), (1024.0,), (1536.0,), (5.0 * 2**30,), (None,)], "n double")
+    assert [r[0] for r in df.select(T.bytes_text(F.col("n"))).collect()] == ["0 B", "512 B", "1023 B", "1.0 KB", "1.5 KB", "5.0 GB", "0 B"]
+    assert spark.range(1).select(T.slug(F.lit("Ёж и Ель!"))).first()[0] == "ж-и-ель"
+    times = spark.createDataFrame([("2026-05-07 15:48:27.155",), ("odd",), ("",), (None,)], "t string")
+    assert [tuple(r) for r in times.select(T.short_time(F.col("t")), T.short_time(F.col("t"), True)).collect()] == [("15:48", "07.05 15:48"), ("odd", "odd"), ("\u2014", "\u2014"), ("\u2014", "\u2014")]
+
+
+def test_explained(spark):
+    df = spark.createDataFrame([(0, "a", "ERROR", "x 1"), (1, "a", "ERROR", "x 2"), (2, "b", "WARN", "y"), (3, "b", "ERROR", "z")], "seq long, service string, level string, message string")
+    assert player.explained(df).first()["text"] == "events 4 errors 3 warnings 1 | busiest a | often x #: 2; z: 1"
+    assert player.explained(df.where("seq > 9")).first()["text"] == "no events"
+
+
+def test_a_crashed_write_blocks_nothing(spark, tmp_path):
+    t = sinks.Table(spark, str(tmp_path), "t", "id string, n int")
+    t.insert({"id": "a", "n": 1})
+    (tmp_path / "t" / "new-dead").mkdir()  # a draft, and a version, that were never finished
+    (tmp_path / "t" / "v-000000000001" / "_temporary").mkdir(parents=True)
+    t.insert({"id": "b", "n": 2})
+    t.insert({"id": "c", "n": 3})
+    assert t.get("b") == {"id": "b", "n": 2} and t.read().count() == 3
+    # a number that another writer has taken stays theirs
+    assert not t.store.move("t/new-dead", "t/v-000000000002") and t.store.exists("t/new-dead") and t.read().count() == 3
