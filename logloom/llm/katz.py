@@ -4,7 +4,7 @@ A pair that training texts have gets its Good-Turing discounted relative frequen
 
 Tokens travel as packed blobs: a run of documents is a row (its tokens as numbers of its own sorted vocabulary), a vocabulary goes to buckets of words and comes back with counts and numbers that hold for the whole corpus, and the pairs go to buckets of contexts, the model's partitions. These are read twice, first for the counts of counts, then to score: each bucket has all counts of its contexts, and gives back sums for documents. A context with a large share of all tokens is spread over buckets by its next word, with its totals kept apart; there are at most as many such contexts as the share allows.
 
-A null text counts as empty: its only token is the end. A null training flag counts as false. Rows that repeat an id are scored one by one, and each counts if it is a training row. Extra columns are ignored; an empty table gives no rows. Without any training row all words are unknown and share the one place.
+A null text counts as empty: its only token is the end. A null id stays null; a null training flag counts as false. Long texts are read whole, in a run that ends after them. Rows that repeat an id are scored one by one, and each counts if it is a training row. Extra columns are ignored; an empty table gives no rows. Without any training row all words are unknown and share the one place.
 """
 
 from __future__ import annotations
@@ -34,13 +34,23 @@ _RUN = ["run", "ids", "held", "sizes", "tokens", "words", "trained"]
 _RUN_TYPES = "run long, ids binary, held binary, sizes binary, tokens binary, words binary, trained long"
 
 
+def _with_nulls(ids: list[int | None]) -> bytes:
+    """Ids, then a byte for each that says whether it is null."""
+    return np.array([i or 0 for i in ids], np.int64).tobytes() + np.array([i is None for i in ids], bool).tobytes()
+
+
+def _ids(blob: bytes) -> pa.Array:
+    n = len(blob) // 9
+    return pa.array(np.frombuffer(blob[: 8 * n], np.int64), mask=np.frombuffer(blob[8 * n :], bool))
+
+
 def _runs(batches):
     """(doc_id, text, train) to runs: the sorted hashes of a run's words, and its tokens as places in that order."""
     part, number = TaskContext.get().partitionId(), 0
 
     def put(ids, held, sizes, hashes):
         words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-        return _row(_RUN, part << 32 | number, np.array(ids, np.int64).tobytes(), np.array(held, np.uint8).tobytes(), packed(np.array(sizes)), packed(tokens), words.tobytes(), len(held) - sum(held))
+        return _row(_RUN, part << 32 | number, _with_nulls(ids), np.array(held, np.uint8).tobytes(), packed(np.array(sizes)), packed(tokens), words.tobytes(), len(held) - sum(held))
 
     words = WordHash()
     end = words[END]
@@ -277,13 +287,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def joined(key, t):
         rows_ = t.to_pylist()
         top = next(r for r in rows_ if r["ids"] is not None)
-        ids, sizes, base = np.frombuffer(top["ids"], np.int64), np.frombuffer(top["sizes"], "<i8"), np.frombuffer(top["docs"], np.float64)
+        ids, sizes, base = _ids(top["ids"]), np.frombuffer(top["sizes"], "<i8"), np.frombuffer(top["docs"], np.float64)
         held, known = np.frombuffer(top["known"][: len(ids)], np.uint8), np.frombuffer(top["known"][len(ids) :], "<i8")
         total = np.zeros(len(ids))
         for r in rows_:
             if r["ids"] is None:
                 total[unpacked(r["docs"])] += np.frombuffer(r["logs"], np.float64)
-        return pa.table({"doc_id": pa.array(ids), "held_out": pa.array(held == 1), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), n, np.int64)), "base_score": pa.array(base), "score": pa.array(total)})
+        return pa.table({"doc_id": ids, "held_out": pa.array(held == 1), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), n, np.int64)), "base_score": pa.array(base), "score": pa.array(total)})
 
     return sent.groupBy("run").applyInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -349,6 +349,15 @@ def test_katz(docs, empty, options):
     assert katz.score(empty, train).count() == 0
 
 
+def test_katz_with_null_ids(spark):
+    rows = [(None, "a b a b c"), (1, "a b a b c"), (None, None), (0, "a b"), (None, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = katz.score(df, F.col("doc_id") % 5 != 1).collect()  # null: not a training row
+    assert sorted(str((r["doc_id"], r["n_tokens"], r["held_out"])) for r in got) == sorted(str((i, len((t or "").split()) + 1, i != 0)) for i, t in rows)
+    same = [r["score"] for r in got if r["n_tokens"] == 6]
+    assert len(same) == 2 and same[0] == pytest.approx(same[1]) and {r["train_tokens"] for r in got} == {3}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
