@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators import correlate, evidence, inventory, lifecycle, lookup, player, records, redact, report, rules, timeline, view
+from logloom.operators import correlate, evidence, inventory, lifecycle, lookup, player, pyramid, records, redact, report, rules, timeline, view
 from logloom.plans.views import CLASS, COARSE, LOG, ORDERED, PEAK, RULES, SIG, SIGS, events, parsed, signatures, table, unnumbered
 from logloom.sources import bundle, scratch, sinks
 
@@ -292,13 +292,25 @@ def overview_histogram(spark, d):
     return timeline.histogram(e, *timeline.bounds(e))
 
 
-@query(f"SELECT CAST(least(59, floor((ts_ms - a) / CAST(b - a AS DOUBLE) * 60)) AS INTEGER) AS bucket, service, count(*) FILTER (WHERE cls = 0) AS err, count(*) FILTER (WHERE cls = 1) AS warn, count(*) FILTER (WHERE cls = 2) AS other FROM ({ORDERED}), (SELECT lo + (hi - lo) // 4 AS a, lo + (hi - lo) // 2 AS b FROM {_SPAN}) WHERE ts_ms BETWEEN a AND b GROUP BY 1, 2")
+_ZOOM = f"SELECT CAST(least(59, floor((ts_ms - a) / CAST(b - a AS DOUBLE) * 60)) AS INTEGER) AS bucket, service, count(*) FILTER (WHERE cls = 0) AS err, count(*) FILTER (WHERE cls = 1) AS warn, count(*) FILTER (WHERE cls = 2) AS other FROM ({ORDERED}), (SELECT lo + (hi - lo) // 4 AS a, lo + (hi - lo) // 2 AS b FROM {_SPAN}) WHERE ts_ms BETWEEN a AND b GROUP BY 1, 2"
+
+
+@query(_ZOOM)
 def overview_zoom(spark, d):
     e = unnumbered(spark, d)
     lo, hi = timeline.bounds(e)
     return timeline.histogram(e, lo + (hi - lo) // 4, lo + (hi - lo) // 2, timeline.zoom_buckets(60))
 
 
+@query(_ZOOM)
+def zoom_pyramid(spark, d):
+    """overview_zoom from stored counts: no event is read for it."""
+    e = unnumbered(spark, d)
+    path = pyramid.build(e, f"{scratch.shared_dir(spark)}/{scratch.unique('pyramid')}")
+    lo, hi = timeline.bounds(e)
+    return pyramid.histogram(spark, path, lo + (hi - lo) // 4, lo + (hi - lo) // 2, timeline.zoom_buckets(60))
+
+
 @query(f"SELECT service, count(*) AS events, row_number() OVER (ORDER BY count(*) DESC, min(seq)) - 1 AS lane FROM ({ORDERED}) GROUP BY service")
 def service_lanes(spark, d):
     return timeline.lanes(events(spark, d))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators import evidence, lifecycle, lookup, player, redact, timeline, view
+from logloom.operators import evidence, lifecycle, lookup, player, pyramid, redact, timeline, view
 from logloom.sources import sinks
 from logloom.sources.store import Store
 
@@ -270,3 +270,29 @@ def test_a_crashed_write_blocks_nothing(spark, tmp_path):
     assert t.get("b") == {"id": "b", "n": 2} and t.read().count() == 3
     # a number that another writer has taken stays theirs
     assert not t.store.move("t/new-dead", "t/v-000000000002") and t.store.exists("t/new-dead") and t.read().count() == 3
+
+
+def test_slots_and_edges():
+    r = random.Random(1)
+    for _ in range(500):
+        lo, top = r.randint(-5000, 5000), r.randint(0, 6)
+        hi = lo + r.randint(0, 3000)
+        covered = [t for k, s in pyramid.slots(lo, hi, top) for t in range(s << 3 * k, (s + 1) << 3 * k)]
+        assert sorted(covered) == list(range(lo, hi))
+    # whatever the range holds, a bucket asks for some tens of slots
+    assert max(len(pyramid.slots(r.randint(0, 10**12), 10**12 + r.randint(1, 10**12), 14)) for _ in range(200)) <= 14 * 14
+
+
+def test_pyramid(spark, tmp_path):
+    r = random.Random(8)
+    base = 1_700_000_000_000
+    rows = [(base + (r.randint(0, 5_000_000) if i % 3 else 777_777), f"s{i % 3}", r.choice(["ERROR", "WARN", "INFO"]), i) for i in range(4000)] + [(-5, "s0", "INFO", 4000)]
+    df = spark.createDataFrame(rows, "ts_ms long, service string, level string, seq long").cache()
+    path = pyramid.build(df, str(tmp_path / "p"))
+    for start, end, buckets in ((base, base + 5_000_000, 240), (base + 777_000, base + 778_123, 60), (base + 777_777, base + 777_777, 40), (base - 10**7, base + 10**8, 97), (-5, base + 5_000_000, 10), (0, 10, 40), (base + 4_999_000, base + 9_000_000, 480)):
+        want = sorted(map(tuple, timeline.histogram(df, start, end, buckets).collect()))
+        assert sorted(map(tuple, pyramid.histogram(spark, path, start, end, buckets).collect())) == want, (start, end)
+        used, asked = pyramid.needed(spark, path, start, end, buckets)
+        assert used.count() <= 3 * len(asked) and len(asked) <= buckets * 2 * 14 * 14
+    none = pyramid.build(df.where("seq < 0"), str(tmp_path / "none"))
+    assert pyramid.histogram(spark, none, 0, 10, 5).count() == 0
