@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
@@ -55,25 +55,78 @@ def edges(objs: DataFrame) -> DataFrame:
     return out.join(objs.select(F.col("key").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def components(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord") -> DataFrame:
-    """(key, ord, component_id): components of an undirected graph, numbered by their first member.
+#: Rows of one key that a task may get in a join, and the number of keys with more that are sent to all tasks at most.
+HEAVY, MANY = 10_000, 100_000
 
-    Every round each node takes the least order next to it, then that one's; tables in the shared folder cut the lineage.
+
+def spread_join(rows: DataFrame, key: str, table: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """rows (a written table) joined with a table that has each key once. Keys of over `heavy` rows, or of so many that there are MANY of them at most, are sent to all tasks with their part of the table; the rest is shuffled, so no task gets more of one key."""
+    n = rows.count()
+    if n <= heavy:  # no key can be heavier
+        return rows.join(table, key)
+    often = written(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(heavy, n // MANY)).select(key), "heavy-keys")
+    if not often.limit(1).count():
+        return rows.join(table, key)
+    own = F.broadcast(table.join(F.broadcast(often), key, "left_semi"))
+    return rows.join(own, key).unionByName(rows.join(F.broadcast(often), key, "left_anti").join(table, key))
+
+
+def stars(links: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(a, root) for every node of links (a, b: longs) but the roots: root is the least node of a's component.
+
+    Large stars and small stars in turn: each node tells its greater neighbours, then its lesser ones and itself, the least node that it knows; what is told are the links of the next round, until every node knows its root only. Heavy nodes are split (spread_join). Tables in the shared folder cut the lineage.
     """
-    both = written(links.select("src", "dst").union(links.select("dst", "src")).toDF("a", "b").distinct(), "edges")
-    labels = written(nodes.select(F.col(key).alias("node"), F.col(order).alias("own"), F.col(order).alias("label")), "labels")
+    hi, lo = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    own = written(links.where("a <> b").select(hi, lo).distinct(), "links")
+    state = None
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels.node == near.a, "left").select("node", "own", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = labels.select(F.col("own").alias("low"), F.col("label").alias("next"))
-        new = written(low.join(jump, "low").select("node", "own", F.col("label").alias("old"), F.least("low", "next").alias("label")), "labels")
-        moved = new.where("old <> label").limit(1).count()
-        labels = new.drop("old")
-        if not moved:
-            break
-    # numbers of components: as many rows as there are components
-    ids = labels.where("own = label").select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("component_id"))
-    return labels.join(ids, "label").select(F.col("node").alias(key), F.col("own").alias(order), "component_id")
+        both = written(own.union(own.select("b", "a")), "links-both")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = spread_join(both, "a", least, heavy).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.distinct(), "links-large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        told = spread_join(large, "a", least, heavy).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+        own = written(told.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "links")
+        new = own.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+        if new == state:
+            return own.select("a", F.col("b").alias("root"))
+        state = new
+
+
+def labelled(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY) -> DataFrame:
+    """(node, own, label): label is the least order in the node's component."""
+    known = written(nodes.select(F.col(key).alias("node"), F.col(order).cast("long").alias("own")), "nodes")
+    named = written(links.select("src", "dst").where("src <> dst").distinct(), "named-links")
+    first = written(spread_join(named, "src", known.select(F.col("node").alias("src"), F.col("own").alias("a")), heavy).select("dst", "a"), "half-links")
+    found = stars(spread_join(first, "dst", known.select(F.col("node").alias("dst"), F.col("own").alias("b")), heavy).select("a", "b"), heavy)
+    return written(known.join(found, F.col("own") == F.col("a"), "left").select("node", "own", F.coalesce("root", "own").alias("label")), "labels")
+
+
+def grown(labels: DataFrame, nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY) -> DataFrame:
+    """labels after more nodes and links: only what the new links touch is searched, as a graph of whole components, and only labels that change are joined. Links may lead to old and new nodes; an old node keeps its order."""
+    fresh = nodes.select(F.col(key).alias("node"), F.col(order).cast("long").alias("own"), F.col(order).cast("long").alias("label"))
+    every = written(labels.select("node", "own", "label").union(fresh.join(labels.select("node"), "node", "left_anti").select("node", "own", "label")), "labels")
+    named = written(links.select("src", "dst").where("src <> dst").distinct(), "named-links")
+    at = lambda side, to: every.select(F.col("node").alias(side), F.col("label").alias(to))
+    first = written(spread_join(named, "src", at("src", "a"), heavy).select("dst", "a"), "half-links")
+    moved = written(stars(spread_join(first, "dst", at("dst", "b"), heavy).select("a", "b"), heavy), "moved")
+    gone = moved.select(F.col("a").alias("label"))
+    gone = F.broadcast(gone) if moved.count() <= MANY else gone
+    lost = written(every.join(gone, "label", "left_semi").select("node", "own", "label"), "moving")
+    now = spread_join(lost, "label", moved.select(F.col("a").alias("label"), "root"), heavy).select("node", "own", F.col("root").alias("label"))
+    stay = every.join(gone, "label", "left_anti").select("node", "own", "label")
+    return written(stay.unionByName(now), "labels")
+
+
+def numbered(labels: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY) -> DataFrame:
+    """(key, ord, component_id): components by number, in the order of their first members."""
+    ids = placed(labels.where("own = label").select("label"), ["label"], "components", "component_id")
+    return spread_join(labels, "label", ids, heavy).select(F.col("node").alias(key), F.col("own").alias(order), F.col("component_id").cast("long").alias("component_id"))
+
+
+def components(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY) -> DataFrame:
+    """(key, ord, component_id): components of an undirected graph, numbered by their first member."""
+    return numbered(labelled(nodes, links, key, order, heavy), key, order, heavy)
 
 
 def hubs(members: DataFrame, links: DataFrame, key: str = "key", order: str = "ord") -> DataFrame:

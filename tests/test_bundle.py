@@ -227,3 +227,86 @@ def test_thousands_of_rules(spark):
     assert "CartesianProduct" not in str(got._jdf.queryExecution().executedPlan()) and "NestedLoop" not in str(got._jdf.queryExecution().executedPlan())
     assert rules.first_match_indexed(df.where("peak > 9"), table).count() == 0
     assert rules.first_match_indexed(df, table.where("rule_ord < 0")).where("rule is not null").count() == 0
+
+
+def least_members(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("heavy", [5, 10_000])
+def test_components_grow(spark, heavy):
+    r = random.Random(9)
+    n = 700
+    star = [(0, i) for i in range(300, 500)] + [(i, 299) for i in range(260, 299)]
+    chain = [(i, i + 1) for i in range(500, 560)]
+    some = [(r.randint(100, 250), r.randint(100, 250)) for _ in range(90)] + [(3, 3), (560, 500)]
+    links = star + chain + some
+    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(n)], "key string, ord long")
+    as_df = lambda x: spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in x], "src string, dst string")
+    want = least_members(range(n), links)
+    labels = inventory.labelled(nodes, as_df(links), heavy=heavy)
+    assert {x["own"]: x["label"] for x in labels.collect()} == want
+    number = {x: i for i, x in enumerate(sorted(set(want.values())))}
+    assert {x["ord"]: x["component_id"] for x in inventory.numbered(labels, heavy=heavy).collect()} == {k: number[v] for k, v in want.items()}
+    # new nodes and links join what is there without a search from the start
+    more = [(450, 530), (100, 701), (702, 703), (699, 698), (250, 450)]
+    fresh = spark.createDataFrame([(f"n{i}", i) for i in range(695, 710)], "key string, ord long")
+    got = inventory.grown(labels, fresh, as_df(more), heavy=heavy)
+    assert {x["own"]: x["label"] for x in got.collect()} == least_members(range(710), links + more)
+    none = inventory.grown(labels, nodes.where("ord < 0"), as_df(more).where("src = ''"), heavy=heavy)
+    assert {x["own"]: x["label"] for x in none.collect()} == want
+
+
+def test_a_star_has_no_hot_task(spark):
+    nodes = spark.range(60_001).select(F.concat(F.lit("n"), "id").alias("key"), F.col("id").alias("ord"))
+    links = spark.range(1, 60_001).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("n0").alias("dst"))
+    named = inventory.written(links, "star")
+    joined = inventory.spread_join(named, "dst", nodes.select(F.col("key").alias("dst"), "ord"), 1000)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 60_000 and "BroadcastHashJoin" in plan  # the hub goes to the leaves, not they to it
+    got = inventory.components(nodes, links, heavy=1000).agg(F.count("*").alias("n"), F.max("component_id").alias("last")).first()
+    assert (got["n"], got["last"]) == (60_001, 0)
+
+
+def test_running_peaks(spark, tmp_path):
+    pytest.importorskip("google.protobuf")  # what Spark's own client of the state uses
+    r = random.Random(11)
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    lines = []
+    for i in range(900):
+        minute = i // 60  # later lines are up to four minutes late
+        at = max(0, minute * 60 + r.randint(0, 59) - (r.randint(0, 240) if r.random() < 0.3 else 0))
+        lines.append((f"2026-01-02 03:{at // 60:02d}:{at % 60:02d}.000", r.choice(["ERROR", "WARN", "INFO"]), "c", r.choice(["lost", "slow", "lost link"])))
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("ts string, level string, component string, message string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    for k in range(3):
+        rows = [dict(zip(("ts", "level", "component", "message"), x, strict=True)) for x in lines[k * 300 : k * 300 + 300]]
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+    seen = []
+    query = storms.peak_stream(stream, storm=8).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).start()
+    try:
+        query.awaitTermination(240)
+        assert query.exception() is None
+    finally:
+        query.stop()
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    df = spark.createDataFrame(lines, "ts string, level string, component string, message string")
+    keyed = df.where("level <> 'INFO'").select(T.signature(F.col("level"), F.col("component"), F.col("message")).alias("signature"), "ts")
+    want = {x["signature"]: (x["peak"], x["storm"]) for x in records.peaks(keyed, "signature", storm=8).collect()}
+    last = {}
+    for s, peak, storm in seen:
+        assert peak > last.get(s, (0,))[0]
+        last[s] = (peak, storm)
+    assert last == want
