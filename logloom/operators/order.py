@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.sources.scratch import shared_dir, unique, written
@@ -48,3 +48,19 @@ def neighbours(own: DataFrame, value, ahead: bool = False, name: str = "_near")
     step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
     edges = own.groupBy("_part").agg(edge(value, "_place").alias("_e")).select("_part", step("_e").over(over).alias("_edge"))
     return own.withColumn(name, step(value).over(w)).join(F.broadcast(edges), "_part").withColumn(name, F.coalesce(name, "_edge")).drop("_edge")
+
+
+def running_count(own: DataFrame, keys: list[str], flag: Column, name: str) -> DataFrame:
+    """An ordered table (its first sort keys are `keys`) with the number of flagged rows of the row's keys up to it.
+
+    Within a part rows are counted. A part's first key goes on from the parts before, where it is the last key, so these hand on how many flagged rows of it they have: a row for each part.
+    """
+    key = F.struct(*keys)
+    counted = own.withColumn("_flag", flag).withColumn("_n", F.sum(F.col("_flag").cast("long")).over(Window.partitionBy("_part", *keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)))
+    edges = own.groupBy("_part").agg(F.min_by(key, "_place").alias("_first"), F.max_by(key, "_place").alias("_last"))
+    tails = own.withColumn("_flag", flag).join(F.broadcast(edges.select("_part", "_last")), "_part").groupBy("_part").agg(F.first("_last").alias("_key"), F.count_if(F.col("_flag") & key.eqNullSafe(F.col("_last"))).alias("_h"))
+    asked = edges.select("_part", F.col("_first").alias("_key"), F.lit(0).cast("long").alias("_h"), F.lit(0).alias("_side"))
+    earlier = Window.partitionBy("_key").orderBy("_part", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    handed = asked.union(tails.select("_part", "_key", "_h", F.lit(1))).withColumn("_before", F.coalesce(F.sum("_h").over(earlier), F.lit(0))).where("_side = 0").select(F.col("_part").alias("_of"), "_key", "_before")
+    joined = counted.join(F.broadcast(handed), (F.col("_part") == F.col("_of")) & key.eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn(name, F.col("_n") + F.coalesce("_before", F.lit(0))).drop("_flag", "_n", "_of", "_key", "_before")

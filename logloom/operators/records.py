@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators.order import ordered, placed
+from logloom.operators.order import ordered, placed, running_count
 from logloom.sources.scratch import written
 
 
@@ -33,26 +33,12 @@ def stitched(lines: DataFrame, is_header, keys: list[str], order: str, line: str
     Lines are dealt by ranges of (keys, order), so a file lies in as many parts as its size asks for. Within a part headers are counted; a part's first key goes on from the parts before, which hand on how many headers of that key they have, so the record that is open at a cut is continued. Only the lines of one record meet in one place.
     """
     own = ordered(lines.withColumn("_head", F.coalesce(is_header, F.lit(False))), [*keys, order], "stitched")
-    at = Window.partitionBy("_part", *keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    counted = own.withColumn("_n", F.sum(F.col("_head").cast("long")).over(at))
-    marked = counted.join(F.broadcast(_headers_before(own, keys)), (F.col("_part") == F.col("_of")) & F.struct(*keys).eqNullSafe(F.col("_key")), "left")
-    marked = marked.withColumn("rec_ord", F.col("_n") + F.coalesce("_before", F.lit(0)))
+    marked = running_count(own, keys, F.col("_head"), "rec_ord")
     kept = marked.where((F.col("rec_ord") > 0) & (F.col("_head") | (T.trim(F.col(line)) != "")))
     in_order = F.array_sort(F.collect_list(F.struct(F.col("_part").alias("p"), F.col("_place").alias("o"), F.col(line).alias("t"))))
     return kept.groupBy(*keys, "rec_ord").agg(in_order.alias("l")).select(*keys, "rec_ord", F.col("l")[0]["t"].alias("head"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"), F.size("l").cast("long").alias("n_lines"))
 
 
-def _headers_before(own: DataFrame, keys: list[str]) -> DataFrame:
-    """(_of, _key, _before): for the first key of each part the headers that it has in the parts before. In each of those it is the last key. A row for each part."""
-    key = F.struct(*keys)
-    edges = own.groupBy("_part").agg(F.min_by(key, "_place").alias("_first"), F.max_by(key, "_place").alias("_last"))
-    tails = own.join(F.broadcast(edges.select("_part", "_last")), "_part").groupBy("_part").agg(F.first("_last").alias("_key"), F.count_if(F.col("_head") & key.eqNullSafe(F.col("_last"))).alias("_h"))
-    asked = edges.select("_part", F.col("_first").alias("_key"), F.lit(0).cast("long").alias("_h"), F.lit(0).alias("_side"))
-    before = Window.partitionBy("_key").orderBy("_part", "_side").rowsBetween(Window.unboundedPreceding, -1)
-    every = asked.union(tails.select("_part", "_key", "_h", F.lit(1))).withColumn("_before", F.coalesce(F.sum("_h").over(before), F.lit(0)))
-    return every.where("_side = 0").select(F.col("_part").alias("_of"), "_key", "_before")
-
-
 def records(lines: DataFrame, keys: tuple[str, ...] = ("file",), order: str = "pos", line: str = "line") -> DataFrame:
     """Normalised records: keys, rec_ord, thread, ts, level, component, address, message (with continuation lines), raw."""
     joined = stitched(lines, F.col(line).rlike(T.HEADER), list(keys), order, line)
@@ -72,29 +58,50 @@ def peaks(keyed: DataFrame, key: str, ts: str = "ts", chars: int = 16, storm: in
     return n.groupBy(key).agg(F.max("_n").alias("peak")).withColumn("storm", F.col("peak") >= storm)
 
 
-def signatures(recs: DataFrame, order: str = "rec_ord", chars: int = 16, storm: int = 30) -> DataFrame:
-    """Errors and warnings by signature, with the first record's sample and ordered sets of files, addresses and entities.
+#: Values of one kind that a signature's row lists; all of them are in the table of values.
+VALUES = 10_000
 
-    The sets are reduced to one row for each (signature, value) before they meet, so a frequent signature is no hot key.
-    """
+
+def _signature_rows(recs: DataFrame, order: str) -> DataFrame:
     own = recs.where(T.level_class(F.col("level")) < 2)
     parts = {"signature": T.signature(F.col("level"), F.col("component"), F.col("message")), "sample": T.sample(F.col("message")), "entities": T.entities(F.col("address"), F.col("message"), F.col("thread"))}
-    # three aggregates read these rows; the patterns are matched once
-    own = written(own.select("file", F.col(order).alias("ord"), "ts", "level", "component", "address", *(v.alias(k) for k, v in parts.items())), "signature-rows")
-    at = F.struct("file", "ord")
-    base = own.groupBy("signature").agg(F.count("*").alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min(F.struct("file", "ord", "level", "component", "sample")).alias("first"))
+    # several aggregates read these rows; the patterns are matched once
+    return written(own.select("file", F.col(order).alias("ord"), "ts", "level", "component", "address", *(v.alias(k) for k, v in parts.items())), "signature-rows")
+
+
+def _values(own: DataFrame) -> DataFrame:
+    """(signature, kind, value, first, place): every distinct file, address and entity of each signature, where it is first seen, and its place, from 1, in the order of that. A frequent value is a row for each task, and a signature of many values is spread over ranges."""
 
-    def values(kind: str, x):
+    def listed(kind: str, x):
         return F.transform(x, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), v.alias("v")))
 
     addresses = F.filter(F.array("address"), lambda a: a.isNotNull())
-    every = F.concat(values("files", F.array("file")), values("addresses", addresses), values("entities", F.col("entities")))
-    sets = own.select("signature", at.alias("at"), F.explode(every).alias("e")).groupBy("signature", "e.kind", "e.v").agg(F.min(F.struct("at", "e.i")).alias("o"))
-    lists = sets.groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("kind", "o", "v"))).alias("all"))
+    every = F.concat(listed("files", F.array("file")), listed("addresses", addresses), listed("entities", F.col("entities")))
+    sets = own.select("signature", F.struct("file", "ord").alias("at"), F.explode(every).alias("e")).groupBy("signature", F.col("e.kind").alias("kind"), F.col("e.v").alias("value")).agg(F.min(F.struct("at", "e.i")).alias("first"))
+    dealt = ordered(sets, ["signature", "kind", "first"], "signature-values")
+    return running_count(dealt, ["signature", "kind"], F.lit(True), "place").select("signature", "kind", "value", "first.at", "place")
+
+
+def signature_values(recs: DataFrame, order: str = "rec_ord") -> DataFrame:
+    """(signature, kind, value, at, place) of all errors and warnings: the sets of `signatures` in full."""
+    return _values(_signature_rows(recs, order))
+
+
+def signatures(recs: DataFrame, order: str = "rec_ord", chars: int = 16, storm: int = 30, most: int = VALUES) -> DataFrame:
+    """Errors and warnings by signature, with the first record's sample and ordered sets of files, addresses and entities.
+
+    A row lists the first `most` values of each kind and counts them all (n_files, n_addresses, n_entities), so that no row grows with the log; signature_values has every value.
+    """
+    own = _signature_rows(recs, order)
+    base = own.groupBy("signature").agg(F.count("*").alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min(F.struct("file", "ord", "level", "component", "sample")).alias("first"))
+    values = written(_values(own), "signature-sets")
+    kinds = ("files", "addresses", "entities")
+    counts = values.groupBy("signature").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+    lists = values.where(F.col("place") <= most).groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("kind", "place", "value"))).alias("all"))  # at most 3 * most
 
     def of(kind: str):
-        return F.transform(F.filter("all", lambda x: x["kind"] == kind), lambda x: x["v"]).alias(kind)
+        return F.transform(F.filter("all", lambda x: x["kind"] == kind), lambda x: x["value"]).alias(kind)
 
-    lists = lists.select("signature", of("files"), of("addresses"), of("entities"))
-    out = base.join(peaks(own, "signature", chars=chars, storm=storm), "signature", "left").join(lists, "signature")
-    return out.select("signature", "first.level", "first.component", F.col("first.sample").alias("sample"), "count", "first_ts", "last_ts", F.coalesce("peak", F.lit(0).cast("long")).alias("peak"), F.coalesce("storm", F.lit(False)).alias("storm"), "files", "addresses", "entities", F.struct("first.file", "first.ord").alias("first_seen"))
+    lists = lists.select("signature", *map(of, kinds))
+    out = base.join(peaks(own, "signature", chars=chars, storm=storm), "signature", "left").join(lists, "signature").join(counts, "signature")
+    return out.select("signature", "first.level", "first.component", F.col("first.sample").alias("sample"), "count", "first_ts", "last_ts", F.coalesce("peak", F.lit(0).cast("long")).alias("peak"), F.coalesce("storm", F.lit(False)).alias("storm"), *kinds, *(f"n_{k}" for k in kinds), F.struct("first.file", "first.ord").alias("first_seen"))

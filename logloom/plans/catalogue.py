@@ -98,6 +98,15 @@ def signature_reduce(spark, d):
     return s.select("signature", "level", "component", "sample", "count", "first_ts", "last_ts", "peak", "storm", F.array_join("files", ";").alias("files"), F.array_join("entities", ";").alias("entities"))
 
 
+@query(f"""
+WITH x AS (SELECT *, level || '|' || component || '|' || {SIG.format(x="message")} AS signature FROM ({LOG}) WHERE {CLASS} < 2),
+v AS (SELECT signature, 'files' AS kind, file AS value, file, event_id, 0 AS i FROM x UNION ALL SELECT signature, 'addresses', address, file, event_id, 0 FROM x
+  UNION ALL SELECT signature, 'entities', unnest(e), file, event_id, generate_subscripts(e, 1) FROM (SELECT *, ['address:' || address, 'object:DeviceIpint.' || (user_id % 20), 'thread:' || thread] AS e FROM x))
+SELECT signature, kind, value, row_number() OVER (PARTITION BY signature, kind ORDER BY o) AS place FROM (SELECT signature, kind, value, min((file, event_id, i)) AS o FROM v GROUP BY ALL)""")
+def signature_values(spark, d):
+    return records.signature_values(parsed(spark, d)).select("signature", "kind", "value", "place")
+
+
 @query("""SELECT event_type, max(n) AS peak, max(n) >= 8 AS storm FROM (SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
 def storm_peaks(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
@@ -716,7 +725,7 @@ def timeline_range(spark, d):
 @query(f"SELECT CAST(ceil(count(*) / 500.0) AS BIGINT) AS least_shards, count(*) AS events, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms FROM ({ORDERED})")
 def timeline_shards(spark, d):
     e = events(spark, d)
-    path = sinks.timeline(e, scratch.shared_dir(spark), scratch.unique("shards"), shard_rows=500, parts=1)
+    path = sinks.timeline(e, scratch.shared_dir(spark), scratch.unique("shards"), shard_rows=500)
     zones = sinks.overlapping(sinks.zone_map(spark, path), *timeline.bounds(e))
     return zones.agg(F.count("*").alias("least_shards"), F.sum("events").alias("events"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 

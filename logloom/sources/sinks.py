@@ -22,12 +22,11 @@ def stored(spark: SparkSession, root: str, run: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/checkpoints/{run}/{name}")
 
 
-def timeline(df: DataFrame, root: str, run: str, shard_rows: int = 4000, parts: int | None = None) -> str:
-    """Events range-partitioned by time, so that files and row groups prune by their statistics."""
+def timeline(df: DataFrame, root: str, run: str, shard_rows: int = 4000) -> str:
+    """Events in shards of shard_rows each by seq (dense, in order of time), so that files and row groups prune by their statistics. Tasks get whole shards, as many as there are tasks for."""
     path = f"{root}/timeline/{run}/events"
-    keys = ("ts_ms", "seq")
-    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
-    dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("maxRecordsPerFile", shard_rows).parquet(path)
+    dealt = df.withColumn("_shard", F.floor(F.col("seq") / shard_rows)).repartitionByRange("_shard").sortWithinPartitions("_shard", "ts_ms", "seq")
+    dealt.drop("_shard").write.mode("overwrite").option("maxRecordsPerFile", shard_rows).parquet(path)
     return path
 
 

@@ -61,11 +61,16 @@ class _Peak(StatefulProcessor):
         pass
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.groupby(["signature", "slice"], sort=False).agg(at=("at", "max"), n=("at", "size")).reset_index()
+
+
 def peak_stream(recs: DataFrame, storm: int = 30, slice_ms: int = MINUTE, late: str = "10 minutes") -> DataFrame:
     """recs: a stream of (ts, level, component, message). (signature, peak, storm) whenever a signature's most lines in one slice of time grow; the last row of a signature is what records.peaks gives for the same lines, but for those later than the watermark allows.
 
-    Lines are counted by signature and slice within each batch before they meet, so a frequent signature sends a row a task and slice. The state store must be RocksDB (spark.sql.streaming.stateStore.providerClass).
+    Lines are counted by signature and slice within each Arrow batch before they meet, so a frequent signature sends few rows; lines that are counted together are as late as the latest of them. The state store must be RocksDB (spark.sql.streaming.stateStore.providerClass).
     """
-    own = _signed(recs).withWatermark("at", late)
-    rows = own.select("signature", "at", F.floor(F.unix_millis("at") / slice_ms).alias("slice"), F.lit(1).cast("long").alias("n"))
-    return rows.groupBy("signature").transformWithStateInPandas(_Peak(storm, slice_ms), "signature string, peak long, storm boolean", "Update", "EventTime")
+    rows = _signed(recs).select("signature", "at", F.floor(F.unix_millis("at") / slice_ms).alias("slice"))
+    counted = rows.mapInPandas(_counted, "signature string, slice long, at timestamp, n long").withWatermark("at", late)
+    return counted.groupBy("signature").transformWithStateInPandas(_Peak(storm, slice_ms), "signature string, peak long, storm boolean", "Update", "EventTime")

@@ -55,7 +55,7 @@ def test_analysis_and_restart(spark, folder, tmp_path):
     assert got["timeline"].count() == 4
     assert got["findings"].where("rule_id = 'sink'").first()["samples"] == ["lost <ip-1>:554 on DeviceIpint.5"]
     assert got["objects"].first()["aliases"] == ["deviceipint.5", "10.1.2.3", "10.1.2.3:554"]
-    path = sinks.timeline(got["timeline"], str(tmp_path / "out"), "small", shard_rows=2, parts=2)
+    path = sinks.timeline(got["timeline"], str(tmp_path / "out"), "small", shard_rows=2)
     assert sinks.zone_map(spark, path).agg(F.sum("events")).first()[0] == 4
     assert got["manifest"]["events"] == 4 and got["manifest"]["services"] == ["Alpha"] and got["manifest"]["chapters"] == []
     assert report.restart_allowed("rules", {"parse"}) and not report.restart_allowed("llm", {"parse"})
@@ -295,10 +295,11 @@ def test_running_peaks(spark, tmp_path):
         rows = [dict(zip(("ts", "level", "component", "message"), x, strict=True)) for x in lines[k * 300 : k * 300 + 300]]
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
     seen = []
-    query = storms.peak_stream(stream, storm=8).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).start()
+    query = storms.peak_stream(stream, storm=8, late="5 minutes").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).start()
     try:
         query.awaitTermination(240)
         assert query.exception() is None
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     finally:
         query.stop()
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
@@ -310,3 +311,20 @@ def test_running_peaks(spark, tmp_path):
         assert peak > last.get(s, (0,))[0]
         last[s] = (peak, storm)
     assert last == want
+    assert kept[-1] < max(kept) < 90  # slices that can't grow any more have gone
+
+
+def test_a_signature_of_many_values(spark):
+    n = 30_000
+    at = F.col("id")
+    recs = spark.range(n).select(F.lit("a.log").alias("file"), at.alias("rec_ord"), F.lit("2026-01-02 03:04:05.000").alias("ts"), F.lit("ERROR").alias("level"), F.lit("c").alias("component"), F.concat(F.lit("10."), (at / 65536).cast("int"), F.lit("."), ((at / 256).cast("int") % 256).cast("string"), F.lit("."), (at % 256).cast("string")).alias("address"), F.lit("lost").alias("message"), F.lit("7").alias("thread"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = records.signatures(recs, most=100).collect()
+        assert len(got) == 1 and len(got[0]["addresses"]) == 100 and got[0]["n_addresses"] == n and got[0]["n_files"] == 1 and got[0]["files"] == ["a.log"]
+        assert got[0]["addresses"][:2] == ["10.0.0.0", "10.0.0.1"] and got[0]["addresses"][99] == "10.0.0.99"
+        values = records.signature_values(recs).where("kind = 'addresses'")
+        places = values.agg(F.count("*"), F.countDistinct("place"), F.min("place"), F.max("place"), F.count_if(F.col("place") == F.col("at.ord") + 1)).first()
+        assert tuple(places) == (n, n, 1, n, n)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
