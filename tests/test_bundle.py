@@ -2,6 +2,7 @@
 
 import json
 import random
+import tarfile
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from logloom.functions import text as T
 from logloom.operators import inventory, order, player, records, redact, report, rules, timeline
 from logloom.plans import analysis
-from logloom.sources import bundle, sinks
+from logloom.sources import archive, bundle, sinks
 from logloom.streaming import storms
 
 LOG = """orphan line before any header
@@ -328,3 +329,33 @@ def test_a_signature_of_many_values(spark):
         assert tuple(places) == (n, n, 1, n, n)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("kind", ["zip", "tar", "tgz"])
+def test_logs_of_an_archive(spark, tmp_path, kind):
+    root = tmp_path / "plain"
+    logs = root / "x" / "Report" / "Logs"
+    logs.mkdir(parents=True)
+    (logs / "a.log").write_bytes(("~[1]; 2026-01-02; 03:04:05.100; ERROR; c: é 1\r\n  more\n\n" * 4000).encode() + b"\xff last")
+    (logs / "b.log").write_text("~[2]; 2026-01-02; 03:04:05.100; WARN; c: two")
+    (logs / "empty.log").write_text("")
+    (logs / "c.txt").write_text("not a log")
+    at = tmp_path / f"all.{kind}"
+    if kind == "zip":
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*")):
+                z.write(f, f.relative_to(root))
+            z.writestr("../../evil/Logs/a2.log", "outside")
+    else:
+        with tarfile.open(at, "w:gz" if kind == "tgz" else "w") as t:
+            t.add(root, ".")
+    before = sorted(p.name for p in tmp_path.iterdir())
+    got = archive.log_lines(spark, str(at), r"(?:\./)?x/Report/Logs/[^/]+\.log")
+    assert got.rdd.getNumPartitions() == (1 if kind == "tgz" else 3)
+    want = bundle.log_lines(spark, str(root / "x" / "Report"))
+    lines = lambda df: sorted(map(tuple, df.select("file", "line").collect()))
+    assert lines(got) == lines(want)
+    parsed = lambda df: sorted(map(tuple, records.records(df).select("file", "rec_ord", "level", "message").collect()))
+    assert parsed(got) == parsed(want)
+    assert sorted(p.name for p in tmp_path.iterdir()) == before  # nothing was unpacked
+    assert archive.log_lines(spark, str(at), "nothing").count() == 0
