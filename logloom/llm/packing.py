@@ -2,7 +2,7 @@
 
 Each task walks its own documents once: it encodes them, cuts off whole sequences, and gathers what is left of the documents into blocks. A block is packed by differencing: at first each piece is a partition of its own, with one full window and k-1 empty ones; the two partitions of largest spread are merged, the fullest window of one with the emptiest of the other, until one partition is left. If a window exceeds the capacity, k rises by one and the block is packed anew. Nothing is shuffled and no group grows with the data; a block is bounded by a number of pieces.
 
-Null texts count as empty; an empty document is the end id alone. Rows that repeat an id or a text are packed row by row. Other columns are ignored. Windows of a block have near-equal lengths, and k starts at the least number that can hold them; a rest of more than half a window is cut in two, so that differencing has enough pieces.
+Null texts count as empty; an empty document is the end id alone. A null id stays null on its pieces. A long text is encoded in portions and cut like any other; an empty table gives no rows. Rows that repeat an id or a text are packed row by row. Other columns are ignored. Windows of a block have near-equal lengths, and k starts at the least number that can hold them; a rest of more than half a window is cut in two, so that differencing has enough pieces.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 A bounded sample of the labelled rows is fitted by one task, with a learning rate for each coordinate and an L1 penalty that leaves few weights; the weights are sent to all tasks, which score every whole text in one pass without a shuffle.
 
-Null and empty texts have no words and get the model's bias as their score. Repeated rows are scored one by one; only rows of the sample are fitted. Rows without a label, and labels without a row, take no part. Without any labelled row the bias is 0 and every score 0.5. Columns other than the id and the text are never read for a score.
+Null and empty texts have no words and get the model's bias as their score. Repeated rows are scored one by one; only rows of the sample are fitted. Rows without a label, and labels without a row, take no part. Without any labelled row the bias is 0 and every score 0.5. A null id gets a score, but no label. Long texts are scored whole; beyond SAMPLE_CHARS they aren't fitted. An empty table gives no rows. Columns other than the id and the text are never read for a score.
 """
 
 from __future__ import annotations

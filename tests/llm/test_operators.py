@@ -349,6 +349,15 @@ def test_katz(docs, empty, options):
     assert katz.score(empty, train).count() == 0
 
 
+def test_decoding_concatenates_pieces(spark):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", "one two", "é😀 'll don't\n", "\x00 日本語"]
+    ids = spark.createDataFrame([(i, own.encode_ordinary(t)) for i, t in enumerate(texts)], "i int, ids array<int>")
+    got = {r["i"]: bytes(r["b"]).decode() for r in ids.select("i", bpe.decoded(F.col("ids"), ranks).alias("b")).collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_katz_with_null_ids(spark):
     rows = [(None, "a b a b c"), (1, "a b a b c"), (None, None), (0, "a b"), (None, "zz")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
