@@ -2,7 +2,7 @@
 
 Three machines are composed: an input acceptor (a conversation's rows in order), an edit transducer (Keep, Rerole, Delete a row; Insert a message without text) and an acceptor of the role grammar `(s?(ua)+)?`. The composition is built lazily, and its topological order is that of the rows: between two rows at most two Inserts stand, as a third would come back to a grammar state at a higher cost, so there is no cycle. The shortest path is taken over the lexicographic weights (cost, label string). Labels of one row, Inserts before it and then its edit, are prefix-free, so paths into the states after a row are ordered by the rank of the path before and then by the label; a step from one vector of (cost, rank) to the next depends on little and is remembered.
 
-Rows are dealt by ranges of (conversation, turn, role, start of the text, hash of the text). A conversation that lies within a range and is not long is repaired where it lies. The others are cut into blocks of rows: each block gives the shortest path from every grammar state to every other, and these few rows are folded in the order of the blocks. So one huge conversation is spread over all tasks; only its audit and its digest, one cell each, are put together in one task, row by row.
+Rows are dealt by ranges of (conversation, turn, role, start of the text, hash of the text). A conversation that lies within a range and is not long is repaired where it lies. The others are cut into blocks of rows: each block gives the shortest path from every grammar state to every other, and these few rows are folded in the order of the blocks. So one huge conversation is spread over all tasks, and so are its messages; only its audit and its digest, one cell each, are put together in one task, block by block and row by row.
 
 Rows of equal turn stand in the order of role, then of the first 64 characters of the text, then of a hash of it. Null turns come first; a null conv_id is a conversation of its own; null roles and texts are one space. Repeated rows are duplicates and deleted. Empty texts are blank. Long texts are read whole. Extra columns are ignored; an empty table gives no rows.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -307,7 +308,7 @@ def _local(texts_too: bool, long: int, block: int):
 
 _COUNTS = "n long, blank long, duplicate long, truncated long, illegal long, n_turns long, first_turn long, last_turn long, first_role string, last_role string"
 PATHS = "conv_id long, part long, block long, begin int, end int, cost long, labels string, " + _COUNTS
-CHOSEN = "conv_id long, part long, block long, labels string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
+CHOSEN = "conv_id long, part long, block long, begin int, nth long, labels string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
 
 def _block_paths(key, t):
@@ -321,7 +322,7 @@ def _block_paths(key, t):
 
 
 def _folded(batches):
-    """Paths in order of conversation and block to the labels of each block; the last block's row has the conversation's result."""
+    """Paths in order of conversation and block to the labels of each block, with the state and the number of messages before it; the last block's row has the conversation's result."""
     names = _columns(PATHS)[0]
     conv, begun, blocks, v, total, back, faults = None, False, [], start(EMPTY), 0, [], Faults()
     paths: list[tuple[int, str, int, int]] = []
@@ -338,16 +339,18 @@ def _folded(batches):
     def result():
         closed()
         s = min((c + INSERT * FINAL[s], v.ranks[s], s) for s, c in enumerate(v.costs) if c is not None)[2]
-        cost, labels, at = total + v.costs[s] + INSERT * FINAL[s], [], s
+        cost, labels, begins, at = total + v.costs[s] + INSERT * FINAL[s], [], [], s
         for steps in reversed(back):
             at, own = steps[at]
             labels.append(own)
-        labels = labels[::-1]
+            begins.append(at)
+        labels, begins = labels[::-1], begins[::-1]
         last = max((i for i, x in enumerate(labels) if x), default=None)
         if last is not None:
             labels[last] += "I" * FINAL[s]
-        rows = [(conv, *b, own, *[None] * 7) for b, own in zip(blocks, labels, strict=True)]
-        rows[-1] = (*rows[-1][:4], *faults.counts(), cost, "".join(labels))
+        nth = itertools.accumulate((len(x) - x.count("D") for x in labels), initial=0)
+        rows = [(conv, *b, begin, n, own, *[None] * 7) for b, begin, n, own in zip(blocks, begins, nth, labels, strict=False)]
+        rows[-1] = (*rows[-1][:6], *faults.counts(), cost, "".join(labels))
         return _batch(rows, CHOSEN)
 
     for b in batches:
@@ -376,23 +379,23 @@ def _long_rows(later: DataFrame) -> tuple[DataFrame, DataFrame]:
     light = light.join(firsts, ["part", "block", "at"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
     paths = light.groupBy("conv_id", "part", "block").applyInArrow(lean_group(_block_paths), PATHS)
     chosen = written(paths.repartition("conv_id").sortWithinPartitions("conv_id", "part", "block").mapInArrow(lean(_folded), CHOSEN), "repair-chosen")
-    each = chosen.select("part", "block", F.posexplode(F.regexp_extract_all("labels", F.lit(r"I*[KRD](?:I+\z)?"), F.lit(0))).alias("at", "labels"))
-    marked = kept.join(each.withColumn("at", F.col("at").cast("long")), ["part", "block", "at"])
-    return chosen.where("audit is not null"), marked.repartition("conv_id").sortWithinPartitions("conv_id", "part", "block", "at")
+    each = chosen.select("part", "block", "begin", "nth", F.posexplode(F.regexp_extract_all("labels", F.lit(r"I*[KRD](?:I+\z)?"), F.lit(0))).alias("at", "labels"))
+    return chosen.where("audit is not null"), kept.join(each.withColumn("at", F.col("at").cast("long")), ["part", "block", "at"])
 
 
-def _put_together(texts_too: bool):
-    """Rows with labels in order to messages, or to each conversation's digest."""
+def _put_together(rows: DataFrame, texts_too: bool) -> DataFrame:
+    """Rows with labels to messages, block by block, or to each conversation's digest, for which one task gets all its rows in order."""
     schema = MESSAGE if texts_too else "conv_id long, repaired_sha256 string"
 
     def run(batches):
-        conv, begun, state, digest, n, out = None, False, EMPTY, hashlib.sha256(), 0, []
+        of, state, digest, n, out = None, EMPTY, hashlib.sha256(), 0, []
         for b in batches:
-            for c, part, blk, at, role, text, labels in zip(*(b.column(k).to_pylist() for k in ("conv_id", "part", "block", "at", "role", "text", "labels")), strict=True):
-                if not begun or c != conv:
-                    if begun and not texts_too:
-                        out.append((conv, digest.hexdigest()))
-                    conv, begun, state, digest, n = c, True, EMPTY, hashlib.sha256(), 0
+            for c, part, blk, at, role, text, begin, nth, labels in zip(*(b.column(k).to_pylist() for k in ("conv_id", "part", "block", "at", "role", "text", "begin", "nth", "labels")), strict=True):
+                unit = (c, part, blk) if texts_too else (c,)
+                if unit != of:
+                    if of is not None and not texts_too:
+                        out.append((of[0], digest.hexdigest()))
+                    of, state, digest, n = unit, begin, hashlib.sha256(), nth
                 state, found = edited(state, role, text, labels)
                 for e, r, t in found:
                     if texts_too:
@@ -403,11 +406,12 @@ def _put_together(texts_too: bool):
             if len(out) >= 256:
                 yield _batch(out, schema)
                 out = []
-        if begun and not texts_too:
-            out.append((conv, digest.hexdigest()))
+        if of is not None and not texts_too:
+            out.append((of[0], digest.hexdigest()))
         yield _batch(out, schema)
 
-    return run, schema
+    dealt = rows.repartition("part", "block") if texts_too else rows.repartition("conv_id")
+    return dealt.sortWithinPartitions("conv_id", "part", "block", "at").mapInArrow(lean(run), schema)
 
 
 def _split(conversations: DataFrame, texts_too: bool, long: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -424,8 +428,7 @@ def audited(conversations: DataFrame, long: int = LONG, block: int = BLOCK) -> D
     """
     whole, later = _split(conversations, False, long, block)
     results, rows = _long_rows(later)
-    run, schema = _put_together(False)
-    digests = rows.mapInArrow(lean(run), schema).withColumnRenamed("conv_id", "_conv")
+    digests = _put_together(rows, False).withColumnRenamed("conv_id", "_conv")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     ended = results.join(digests, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").withColumn("repaired_sha256", F.coalesce("repaired_sha256", nothing))
     return whole.union(ended.select(*whole.columns))
@@ -434,5 +437,4 @@ def audited(conversations: DataFrame, long: int = LONG, block: int = BLOCK) -> D
 def repaired(conversations: DataFrame, long: int = LONG, block: int = BLOCK) -> DataFrame:
     """The messages of the repaired conversations: conv_id, nth (from 0), edit (K, R or I), role and text."""
     whole, later = _split(conversations, True, long, block)
-    run, schema = _put_together(True)
-    return whole.union(_long_rows(later)[1].mapInArrow(lean(run), schema)).select("conv_id", "nth", "edit", "role", "text")
+    return whole.union(_put_together(_long_rows(later)[1], True)).select("conv_id", "nth", "edit", "role", "text")
