@@ -730,6 +730,17 @@ def timeline_shards(spark, d):
     return zones.agg(F.count("*").alias("least_shards"), F.sum("events").alias("events"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 
 
+@query(f"SELECT seq, ts_ms, service FROM ({ORDERED}), {_SPAN} WHERE ts_ms BETWEEN lo + (hi - lo) // 8 AND lo + (hi - lo) // 4 AND service = (SELECT min(service) FROM ({ORDERED}))")
+def service_range(spark, d):
+    """A range of one service from a timeline that is clustered by time and service."""
+    e = events(spark, d)
+    path = sinks.timeline_by_service(e, scratch.shared_dir(spark), scratch.unique("by-service"), shard_rows=500)
+    lo, hi = timeline.bounds(e)
+    first = e.agg(F.min("service").alias("s")).first()["s"]
+    found = player.window(spark.read.parquet(path), lo + (hi - lo) // 8, lo + (hi - lo) // 4, [first])
+    return found.select("seq", "ts_ms", "service")
+
+
 @query(f"SELECT service, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY file, event_id) AS r FROM ({ORDERED})) WHERE r <= 300 GROUP BY 1")
 def timeline_cap(spark, d):
     e = timeline.events(parsed(spark, d), ["file", "event_id"])

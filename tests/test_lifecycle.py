@@ -296,3 +296,18 @@ def test_pyramid(spark, tmp_path):
         assert used.count() <= 3 * len(asked) and len(asked) <= buckets * 2 * 14 * 14
     none = pyramid.build(df.where("seq < 0"), str(tmp_path / "none"))
     assert pyramid.histogram(spark, none, 0, 10, 5).count() == 0
+
+
+def test_a_range_of_one_service_reads_few_shards(spark, tmp_path):
+    r = random.Random(13)
+    rows = [(1_700_000_000_000 + i * 1000, i, f"svc{r.randint(0, 31):02d}", f"message {i}") for i in range(16_000)]
+    df = spark.createDataFrame(rows, "ts_ms long, seq long, service string, message string").cache()
+    plain, by = sinks.timeline(df, str(tmp_path), "a", shard_rows=250), sinks.timeline_by_service(df, str(tmp_path), "b", shard_rows=250)
+    lo, hi = rows[2000][0], rows[10_000][0]
+    want = sorted(map(tuple, player.window(df, lo, hi, ["svc07"]).collect()))
+    cost = {}
+    for path in (plain, by):
+        assert sorted(map(tuple, player.window(spark.read.parquet(path), lo, hi, ["svc07"]).select(df.columns).collect())) == want
+        cost[path] = sinks.overlapping_service(sinks.service_zones(spark, path), lo, hi, "svc07").agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
+    assert cost[by]["n"] * 3 < cost[plain]["n"] and cost[by]["b"] * 3 < cost[plain]["b"]
+    assert sinks.timeline_by_service(df.where("seq < 0"), str(tmp_path), "c")
