@@ -46,21 +46,29 @@ def first_line(x: Column) -> Column:
     return F.substring_index(x, "\n", 1)
 
 
+def _bracketed(rest: Column) -> tuple[Column, Column]:
+    """Whether a text begins with a name in brackets, and where these end. Plain searches: every line is asked."""
+    end = F.instr(rest, "]")
+    return F.startswith(rest, F.lit("[")) & (end > 2), end
+
+
 def component(rest: Column) -> Column:
     """`[X] message` gives X; else what stands before the first `: `, if that is near enough; an empty one is null."""
     at = F.instr(rest, ": ")
     before = F.nullif(trim(F.substring(rest, F.lit(1), at - 1)), F.lit(""))
-    return F.when(rest.rlike(r"\A\[[^\]]+\]"), F.regexp_extract(rest, r"\A\[([^\]]+)\]", 1)).when((at > 0) & (at <= COMPONENT_WITHIN + 1), before)
+    bracketed, end = _bracketed(rest)
+    return F.when(bracketed, F.substring(rest, F.lit(2), end - 2)).when((at > 0) & (at <= COMPONENT_WITHIN + 1), before)
 
 
 def message(rest: Column) -> Column:
     at = F.instr(rest, ": ")
-    bracket = F.regexp_replace(rest, rf"\A\[[^\]]+\]{SPACE}*", "")
-    return F.when(rest.rlike(r"\A\[[^\]]+\]"), bracket).when((at > 0) & (at <= COMPONENT_WITHIN + 1), F.substring(rest, at + 2, F.length(rest))).otherwise(rest)
+    bracketed, end = _bracketed(rest)
+    after = F.ltrim(F.substring(rest, end + 1, F.length(rest)), F.lit(SPACES))
+    return F.when(bracketed, after).when((at > 0) & (at <= COMPONENT_WITHIN + 1), F.substring(rest, at + 2, F.length(rest))).otherwise(rest)
 
 
 def address(msg: Column) -> Column:
-    return group(msg, f"({ADDRESS})", 1)
+    return F.nullif(F.regexp_extract(msg, f"({ADDRESS})", 1), F.lit(""))
 
 
 def signature(level: Column, comp: Column, msg: Column) -> Column:

@@ -230,6 +230,28 @@ def test_thousands_of_rules(spark):
     assert rules.first_match_indexed(df, table.where("rule_ord < 0")).where("rule is not null").count() == 0
 
 
+def test_rules_that_say_the_same(spark):
+    base = [{"id": f"r{i}", "severity": "info", "subsystem": "other", "title": "t", "all_of": [f"Amount {i % 7}", f"device {i % 5}"], "any_of": ["from", f"to {i % 3}"], "component": f"c{i % 2}"} for i in range(2100)]
+    df = spark.createDataFrame([(f"s{i}", f"C{i % 2}", f"amount {i % 10} from device {i % 6}", 1) for i in range(60)], "signature string, component string, sample string, peak int")
+    table = rules.rule_rows(spark, base)
+    once, often = (rules.RuleIndex(df, t).candidates().count() for t in (table.where("rule_ord < 210"), table))
+    assert 0 < once == often < 200  # ten times the rules, but the same conditions
+    want = rules.first_match(df, rules.rule_base(base)).select("signature", "rule.rule_ord").collect()
+    got = rules.first_match_indexed(df, table).select("signature", "rule.rule_ord").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and any(x["rule_ord"] for x in want)
+
+
+def test_brackets_of_lines(spark):
+    rest = ["[a] b", "[]] b", "[] b", "[a b", "[a\nb]\u00a0\u3000 c]", "[a]", "x: y", "[x: y", " : y", "", None, "]a[", "[\U0001f600a] \U0001f600"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rest)], "i int, r string")
+    r = F.col("r")
+    old = F.when(r.rlike(r"\A\[[^\]]+\]"), F.regexp_replace(r, rf"\A\[[^\]]+\]{T.SPACE}*", ""))
+    name = F.when(r.rlike(r"\A\[[^\]]+\]"), F.regexp_extract(r, r"\A\[([^\]]+)\]", 1))
+    for x in df.select("i", T.component(r).alias("c"), T.message(r).alias("m"), old.alias("old"), name.alias("name")).collect():
+        assert x["old"] is None or (x["m"], x["c"]) == (x["old"], x["name"]), x["i"]
+    assert [x["c"] for x in df.orderBy("i").select(T.component(r).alias("c")).collect()][:4] == ["a", None, None, None]
+
+
 def least_members(nodes, links):
     root = {n: n for n in nodes}
 
