@@ -72,7 +72,11 @@ def address(msg: Column) -> Column:
 
 
 def signature(level: Column, comp: Column, msg: Column) -> Column:
-    short = F.substring(trim(replaced(first_line(msg), SIGNATURE_TOKENS)), 1, SIGNATURE_LENGTH)
+    line = first_line(msg)
+    # most lines have neither `0x` nor `-`, which three of the patterns need; no token has them
+    plain = ~(F.contains(line, F.lit("0x")) | F.contains(line, F.lit("-")))
+    tokens = F.when(plain, replaced(line, [t for t in SIGNATURE_TOKENS if t[1] in ("<hex>", "<addr>", "<n>")])).otherwise(replaced(line, SIGNATURE_TOKENS))
+    short = F.substring(trim(tokens), 1, SIGNATURE_LENGTH)
     return F.concat(F.coalesce(level, F.lit("null")), F.lit("|"), F.coalesce(comp, F.lit("")), F.lit("|"), short)
 
 
@@ -96,10 +100,10 @@ def entities(addr: Column, msg: Column, thread: Column) -> Column:
     """`kind:value` in the order address, GUIDs, objects, cameras, thread; distinct, the first few."""
 
     def marked(kind: str, values: Column) -> Column:
-        return F.transform(F.filter(F.transform(values, trim), lambda v: v != ""), lambda v: F.concat(F.lit(kind + ":"), v))
+        return F.transform(values, lambda v: F.concat(F.lit(kind + ":"), v))  # what the patterns find has no white space around it
 
     def one(kind: str, value: Column) -> Column:
-        return marked(kind, F.filter(F.array(value), lambda v: v.isNotNull()))
+        return F.array_compact(F.array(F.when(trim(value) != "", F.concat(F.lit(kind + ":"), trim(value)))))
 
     guids = F.transform(F.regexp_extract_all(msg, F.lit(f"{_L}({GUID}){_R}")), F.lower)
     found = [one("address", addr), marked("object", guids), marked("object", F.regexp_extract_all(msg, F.lit(OBJECT))), marked("camera", F.regexp_extract_all(msg, F.lit(CAMERA))), one("thread", thread)]
@@ -135,7 +139,11 @@ def time_text(ts: Column) -> Column:
 
 
 def timeline_message(msg: Column) -> Column:
-    return F.substring(trim(F.regexp_replace(msg, f"{SPACE}+", " ")), 1, MESSAGE_LENGTH)
+    # most lines are ASCII with single blanks, and nothing is to be replaced in them
+    odd = F.octet_length(msg) != F.length(msg)
+    for c in ("  ", "\t", "\n", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(msg, F.lit(c))
+    return F.substring(trim(F.when(odd, F.regexp_replace(msg, f"{SPACE}+", " ")).otherwise(msg)), 1, MESSAGE_LENGTH)
 
 
 def level_class(level: Column) -> Column:

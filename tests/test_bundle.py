@@ -252,6 +252,18 @@ def test_brackets_of_lines(spark):
     assert [x["c"] for x in df.orderBy("i").select(T.component(r).alias("c")).collect()][:4] == ["a", None, None, None]
 
 
+def test_white_space_of_messages(spark):
+    texts = ["a b", " a  b ", "a\tb", "a\u00a0b", "\u3000a \u2028b", "a\nb", "", None, "x" * 700, "a" + chr(11) + "b" + chr(12) + "c\rd", "é ü"]
+    df = spark.createDataFrame([(x,) for x in texts], "m string")
+    m = F.col("m")
+    old = F.substring(T.trim(F.regexp_replace(m, f"{T.SPACE}+", " ")), 1, T.MESSAGE_LENGTH)
+    assert df.where(~T.timeline_message(m).eqNullSafe(old)).count() == 0
+    lines = spark.createDataFrame([(x,) for x in ("0x1f - 0xAB 12", "12 ABCDEF01 1.2.3.4:5", "on 2026-01-02 7", "01234567-89ab-cdef-0123-456789abcdef 9", "x0x 0x", "-5 a", None)], "m string")
+    whole = F.substring(T.trim(T.replaced(T.first_line(m), T.SIGNATURE_TOKENS)), 1, T.SIGNATURE_LENGTH)
+    got = T.signature(F.lit("E"), F.lit("c"), m)
+    assert lines.where(~got.eqNullSafe(F.concat(F.lit("E|c|"), whole))).count() == 0
+
+
 def least_members(nodes, links):
     root = {n: n for n in nodes}
 
@@ -346,6 +358,8 @@ def test_a_signature_of_many_values(spark):
         got = records.signatures(recs, most=100).collect()
         assert len(got) == 1 and len(got[0]["addresses"]) == 100 and got[0]["n_addresses"] == n and got[0]["n_files"] == 1 and got[0]["files"] == ["a.log"]
         assert got[0]["addresses"][:2] == ["10.0.0.0", "10.0.0.1"] and got[0]["addresses"][99] == "10.0.0.99"
+        every = records.signatures(recs).collect()[0]["addresses"]  # without a cap that nobody asked for
+        assert len(every) == n and every[12_345] == "10.0.48.57" and every[-1] == "10.0.117.47"
         values = records.signature_values(recs).where("kind = 'addresses'")
         places = values.agg(F.count("*"), F.countDistinct("place"), F.min("place"), F.max("place"), F.count_if(F.col("place") == F.col("at.ord") + 1)).first()
         assert tuple(places) == (n, n, 1, n, n)
