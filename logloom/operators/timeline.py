@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as T
 from logloom.operators.order import SLICE, neighbours, ordered, placed, sliced
+from logloom.sources.scratch import written
 
 #: Buckets of the overview, gaps in milliseconds, what makes a storm of errors, the largest timeline, and what a service says when it starts.
 BUCKETS, RESTART_GAP, CHAPTER_GAP, CHAPTERS, PEAKS, STORM_FACTOR, STORM_LEAST, SIGNIFICANT, MOST_EVENTS = 240, 30_000, 1000, 10, 4, 4, 20, 300, 500_000
@@ -26,9 +27,16 @@ def events(recs: DataFrame, order: list[str]) -> DataFrame:
     return recs.select(*order, ts.alias("ts_ms"), T.time_text(F.col("ts")).alias("ts_text"), T.service(F.col("file")).alias("service"), "thread", F.coalesce("level", F.lit("INFO")).alias("level"), "component", T.timeline_message(F.col("message")).alias("message")).where("ts_ms is not null")
 
 
+#: Rows up to which the first of an order are kept by each task and meet in one.
+TOP = 10_000
+
+
 def capped(df: DataFrame, order: list[str], most: int = MOST_EVENTS) -> tuple[DataFrame, bool]:
     """The first events in the order of files and lines, and whether there are as many as the cap. Without this step a timeline has all events."""
-    own = placed(df, order, "capped", "_at").where(F.col("_at") < most)
+    if most <= TOP:  # each task keeps its first ones; nothing else is sorted or moved
+        own = written(df.orderBy(*order).limit(most), "capped")
+        return own, own.count() >= most
+    own = placed(written(df, "uncapped"), order, "capped", "_at").where(F.col("_at") < most)
     return own.drop("_at"), own.limit(most).count() >= most
 
 

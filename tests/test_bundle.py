@@ -264,6 +264,31 @@ def test_white_space_of_messages(spark):
     assert lines.where(~got.eqNullSafe(F.concat(F.lit("E|c|"), whole))).count() == 0
 
 
+def test_findings_of_many_values(spark):
+    n = 12_000
+    at = F.col("id")
+    recs = spark.range(n).select(F.lit("a.log").alias("file"), at.alias("rec_ord"), F.lit("2026-01-02 03:04:05.000").alias("ts"), F.lit("ERROR").alias("level"), F.lit("c").alias("component"), F.lit(None).cast("string").alias("address"), F.lit("lost").alias("message"), at.cast("string").alias("thread"))
+    base = rules.rule_base([{"id": "r", "severity": "info", "subsystem": "other", "title": "t", "any_of": ["lost"]}])
+    got = report.findings(rules.problems(rules.first_match(records.signatures(recs), base)), masked=False).collect()
+    assert len(got) == 1 and got[0]["entities"] == [f"thread:{i}" for i in range(n)]
+
+
+def test_capped_without_a_sort_of_all(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 7).alias("f"), F.col("id").alias("seq"))
+    want = sorted((i % 7, i) for i in range(1000))
+    few, full = timeline.capped(df, ["f", "seq"], 300)
+    assert full and sorted(map(tuple, few.collect())) == want[:300]
+
+    def unasked(*_):
+        raise AssertionError("all rows are put in order")
+
+    monkeypatch.setattr(timeline, "placed", unasked)
+    assert timeline.capped(df, ["f", "seq"], 300)[0].count() == 300
+    monkeypatch.undo()
+    monkeypatch.setattr(timeline, "TOP", 100)  # as for large caps
+    assert sorted(map(tuple, timeline.capped(df, ["f", "seq"], 300)[0].collect())) == want[:300]
+
+
 def least_members(nodes, links):
     root = {n: n for n in nodes}
 
