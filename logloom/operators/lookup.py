@@ -8,17 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions import text as T
 from logloom.operators import player
+from logloom.sources.scratch import written
 
 SIZE = 3
 
 
 def index(spark: SparkSession, path: str) -> str:
     """Writes the index of the timeline at path beside it: (gram, file)."""
-    events = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.concat(T.grams(F.lower("message"), SIZE), T.grams(F.lower("service"), SIZE)).alias("g"))
-    # a gram that every event of a file has is one row for each task that reads the file
-    rows = events.select("file", F.explode("g").alias("gram")).distinct()
+    events = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), "message", "service")
+    # a file has few services, each of many events
+    texts = events.select("file", F.lower("message").alias("x")).unionByName(events.select("file", F.lower("service").alias("x")).distinct())
+    each = texts.where(F.length("x") >= SIZE).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("x") - (SIZE - 1))))
+    # a gram that every event of a file has is one row for each task that reads the file; stored, as dealing by ranges reads them twice
+    rows = written(each.select("file", F.substring(F.col("x"), F.col("i"), F.lit(SIZE)).alias("gram")).distinct(), "grams")
     to = f"{path.rstrip('/')}-grams"
     rows.repartitionByRange("gram", "file").sortWithinPartitions("gram", "file").write.mode("overwrite").parquet(to)
     return to
