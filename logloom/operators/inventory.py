@@ -57,46 +57,97 @@ def edges(objs: DataFrame) -> DataFrame:
 
 #: Rows of one key that a task may get in a join, and the number of keys with more that are sent to all tasks at most.
 HEAVY, MANY = 10_000, 100_000
+#: Slots of hashes in which rows are counted before any key is: where no slot has many rows, no key has.
+SLOTS = 1 << 16
+
+
+def heavy_keys(rows: DataFrame, key: str, heavy: int = HEAVY) -> DataFrame | None:
+    """The keys of over `heavy` rows, or of so many that there are MANY of them at most; None without any. Keys are counted only in the slots that have as many rows."""
+    own = rows.select(key, F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int").alias("_slot"))
+    slots = own.groupBy("_slot").agg(F.count("*").alias("_n"))
+    n, most = slots.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    least = max(heavy, n // MANY)
+    if most <= least:
+        return None
+    full = F.broadcast(slots.where(F.col("_n") > least).select("_slot"))
+    often = written(own.join(full, "_slot", "left_semi").groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(key), "heavy-keys")
+    return often if often.limit(1).count() else None
+
+
+def _joined(rows: DataFrame, key: str, table: DataFrame, often: DataFrame | None, how: str = "inner") -> DataFrame:
+    if often is None:
+        return rows.join(table, key, how)
+    own = F.broadcast(table.join(F.broadcast(often), key, "left_semi"))
+    rest = rows.join(F.broadcast(often), key, "left_anti").join(table, key, how)
+    return rows.join(F.broadcast(often), key, "left_semi").join(own, key, how).unionByName(rest)
 
 
-def spread_join(rows: DataFrame, key: str, table: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """rows (a written table) joined with a table that has each key once. Keys of over `heavy` rows, or of so many that there are MANY of them at most, are sent to all tasks with their part of the table; the rest is shuffled, so no task gets more of one key."""
-    n = rows.count()
-    if n <= heavy:  # no key can be heavier
-        return rows.join(table, key)
-    often = written(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(heavy, n // MANY)).select(key), "heavy-keys")
-    if not often.limit(1).count():
-        return rows.join(table, key)
-    own = F.broadcast(table.join(F.broadcast(often), key, "left_semi"))
-    return rows.join(own, key).unionByName(rows.join(F.broadcast(often), key, "left_anti").join(table, key))
+def spread_join(rows: DataFrame, key: str, table: DataFrame, heavy: int = HEAVY, how: str = "inner") -> DataFrame:
+    """rows (a written table) joined (inner or left) with a table that has each key once. Heavy keys are sent to all tasks with their part of the table; the rest is shuffled, so no task gets more of one key."""
+    return _joined(rows, key, table, heavy_keys(rows, key, heavy), how)
+
+
+#: Leaves are taken off a graph while there are at least as many as this part of its links.
+LEAFY = 4
+
+
+def _star_round(own: DataFrame, both: DataFrame, known: DataFrame, n: int, heavy: int) -> DataFrame:
+    """A large star and a small one: each node tells its greater neighbours, then its lesser ones and itself, the least node that it knows. known: (a, n, m), the number of neighbours and the least one."""
+
+    def often(counted: DataFrame, rows: int) -> DataFrame | None:
+        found = counted.where(F.col("n") > max(heavy, rows // MANY)).select("a")
+        return found if found.limit(1).count() else None
+
+    least = known.select("a", F.least("m", "a").alias("m"))
+    large = _joined(both, "a", least, often(known, 2 * n)).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = written(large, "links-large")
+    told = written(large.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")), "links-least")
+    lesser = _joined(large, "a", told.select("a", "m"), often(told, n)).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return written(lesser.union(told.select("a", "m")).where("a <> b").distinct(), "links")
 
 
 def stars(links: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(a, root) for every node of links (a, b: longs) but the roots: root is the least node of a's component.
 
-    Large stars and small stars in turn: each node tells its greater neighbours, then its lesser ones and itself, the least node that it knows; what is told are the links of the next round, until every node knows its root only. Heavy nodes are split (spread_join). Tables in the shared folder cut the lineage.
+    Nodes with one neighbour are leaves. Where there are many, they are taken off, and the node that has them goes on by the least number among it and them; else large and small stars in turn (_star_round) bring each node nearer to its root, until there are many leaves again. When no link is left, the leaves get the root of their node, the last ones first. Heavy nodes are split (spread_join). Tables in the shared folder cut the lineage.
     """
     hi, lo = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    own = written(links.where("a <> b").select(hi, lo).distinct(), "links")
-    state = None
+    own, taken = written(links.where("a <> b").select(hi, lo).distinct(), "links"), []
     while True:
-        both = written(own.union(own.select("b", "a")), "links-both")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = spread_join(both, "a", least, heavy).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.distinct(), "links-large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        told = spread_join(large, "a", least, heavy).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        own = written(told.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "links")
-        new = own.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        if new == state:
-            return own.select("a", F.col("b").alias("root"))
-        state = new
+        both = own.union(own.select("b", "a"))
+        known = written(both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")), "links-known")
+        n, lone = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
+        n //= 2
+        if not n:
+            break
+        if lone * LEAFY < n:
+            own = _star_round(own, both, known, n, heavy)
+            continue
+        # of two nodes that have only each other the greater is the leaf
+        ends = known.where("n = 1").select(F.greatest("a", "m"), F.least("a", "m"), F.col("a").alias("leaf"))
+        split = written(own.withColumn("leaf", F.lit(None).cast("long")).union(ends).groupBy("a", "b").agg(F.max("leaf").alias("leaf")), "links-split")
+        leaves = split.where("leaf is not null").select(F.col("leaf").alias("a"), F.when(F.col("leaf") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("m"))
+        of = written(leaves.groupBy("m").agg(F.min("a").alias("e")).select("m", F.least("e", "m").alias("e")), "links-of")
+        taken.append((leaves, of))
+        own = split.where("leaf is null").select("a", "b")
+        renamed = of.where("e < m")
+        if renamed.limit(1).count():
+            for side, other in (("a", "b"), ("b", "a")):
+                to = renamed.select(F.col("m").alias(side), "e")
+                own = written(spread_join(own, side, to, heavy, "left").select(F.coalesce("e", side).alias(side), other), "links-renamed")
+            own = own.select(hi, lo)
+    found = own.select("a", F.col("b").alias("root"))  # no rows
+    for leaves, of in reversed(taken):
+        at = written(of.join(found.withColumnRenamed("a", "e"), "e", "left").select("m", "e", F.coalesce("root", "e").alias("root")), "leaf-roots")
+        told = spread_join(leaves, "m", at, heavy).where("a <> e").select("a", "root")
+        found = written(found.union(at.where("e < m").select("m", "root")).union(told.where("a <> root")), "roots")
+    return found
 
 
 def labelled(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY) -> DataFrame:
     """(node, own, label): label is the least order in the node's component."""
     known = written(nodes.select(F.col(key).alias("node"), F.col(order).cast("long").alias("own")), "nodes")
-    named = written(links.select("src", "dst").where("src <> dst").distinct(), "named-links")
+    named = written(links.select("src", "dst").where("src <> dst"), "named-links")  # stars() leaves each link once
     first = written(spread_join(named, "src", known.select(F.col("node").alias("src"), F.col("own").alias("a")), heavy).select("dst", "a"), "half-links")
     found = stars(spread_join(first, "dst", known.select(F.col("node").alias("dst"), F.col("own").alias("b")), heavy).select("a", "b"), heavy)
     return written(known.join(found, F.col("own") == F.col("a"), "left").select("node", "own", F.coalesce("root", "own").alias("label")), "labels")

@@ -339,6 +339,29 @@ def test_a_star_has_no_hot_task(spark):
     assert (got["n"], got["last"]) == (60_001, 0)
 
 
+def test_leaves_leave_a_graph_before_stars_are_made(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(inventory, "written", lambda df, name, real=inventory.written: made.append(name) or real(df, name))
+    homes = [(i, i - i % 3) for i in range(300) if i % 3] + [(1000 + i, i % 300) for i in range(3000)]
+    found = inventory.stars(spark.createDataFrame(homes, "a long, b long"))
+    assert {x["a"]: x["root"] for x in found.collect()} == {k: v for k, v in least_members({n for e in homes for n in e}, homes).items() if k != v}
+    assert "links-large" not in made  # all are leaves, then leaves of what is left
+
+
+@pytest.mark.parametrize("heavy", [3, 10_000])
+def test_components_of_many_shapes(spark, heavy):
+    r = random.Random(17)
+    pairs = [(2 * i, 2 * i + 1) for i in range(1000, 1020)]
+    low_leaves = [(500 + i % 7, i) for i in range(60, 140)] + [(500, 501), (502, 503), (503, 504)]  # leaves before their node
+    ring = [(200 + i, 200 + (i + 1) % 40) for i in range(40)] + [(200 + i, 300 + i) for i in range(40)]
+    dense = [(r.randint(600, 640), r.randint(600, 640)) for _ in range(300)] + [(600 + r.randint(0, 40), 700 + i) for i in range(30)]
+    links = pairs + low_leaves + ring + dense + [(7, 7), (201, 200), (200, 201)]
+    nodes = sorted({n for e in links for n in e})
+    found = inventory.stars(spark.createDataFrame(links, "a long, b long"), heavy=heavy).collect()
+    assert len(found) == len({x["a"] for x in found})
+    assert {x["a"]: x["root"] for x in found} == {k: v for k, v in least_members(nodes, links).items() if k != v}
+
+
 def test_running_peaks(spark, tmp_path):
     pytest.importorskip("google.protobuf")  # what Spark's own client of the state uses
     r = random.Random(11)
