@@ -27,7 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, event_id, line): each event as one line in the log format."""
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    # a file of few row groups is few tasks, and lines are much larger and dearer than the rows they are made of
+    tasks = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").repartition(tasks, "event_id")
     level = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in LEVELS.items()))
     c = lambda x: F.col(x).cast("string") if isinstance(x, str) else x.cast("string")
     rest = F.concat(F.lit("[Svc."), c(F.col("user_id") % 7), F.lit("] "), "event_type", F.lit(" amount "), c(F.round(F.col("value") * 100).cast("long")), F.lit(" from 10.0."), c(F.col("user_id") % 4), F.lit("."), c(F.col("event_id") % 250), F.lit(":80 DeviceIpint."), c(F.col("user_id") % 20))
@@ -50,9 +52,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.numbered(unnumbered(spark, sf_dir), ["event_id"])
 
 
-def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signatures(spark: SparkSession, sf_dir: str, sets: bool = True) -> DataFrame:
     """Signatures by hours, with a low storm threshold, since the test events are sparse; stored, as rules read them several times."""
-    return written(records.signatures(written(parsed(spark, sf_dir), "parsed"), chars=13, storm=3), "signatures")
+    return written(records.signatures(parsed(spark, sf_dir), chars=13, storm=3, sets=sets), "signatures")
 
 
 #: The same views in SQL.

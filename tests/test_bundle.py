@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as T
 from logloom.operators import inventory, order, player, records, redact, report, rules, timeline
-from logloom.plans import analysis
+from logloom.plans import analysis, views
 from logloom.sources import archive, bundle, sinks
 from logloom.streaming import storms
 
@@ -362,6 +362,31 @@ def test_components_of_many_shapes(spark, heavy):
     assert {x["a"]: x["root"] for x in found} == {k: v for k, v in least_members(nodes, links).items() if k != v}
 
 
+def test_a_filter_on_headers_matches_each_line_once(spark):
+    lines = spark.createDataFrame([("~[7]; 2026-01-02; 03:04:05.000; ERROR; [c] lost",), ("~[7]; 2026-01-02; 03:04:05.000; INFO; [c] well",), ("none",), (None,)], "line string")
+    own = records.headers(lines)
+    assert own.count() == 4
+    kept = own.where(T.level_class(F.col("level")) < 2)
+    assert [(x["thread"], x["component"], x["message"]) for x in kept.where("level is not null").collect()] == [("7", "c", "lost")]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
+
+
+def test_signatures_without_sets(spark):
+    lines = [(f"f{i % 3}.log", i, f"~[{i % 4}]; 2026-01-02; 03:04:0{i % 10}.000; {['ERROR', 'WARN', 'INFO'][i % 3]}; [c{i % 2}] lost 10.0.0.{i % 5}:80 Device.{i % 6}") for i in range(90)]
+    recs = records.headers(spark.createDataFrame(lines, "file string, rec_ord long, line string"))
+    whole, bare = records.signatures(recs), records.signatures(recs, sets=False)
+    assert whole.columns == bare.columns
+    lists = ["files", "addresses", "entities", "n_files", "n_addresses", "n_entities"]
+    assert sorted(map(str, whole.drop(*lists).collect())) == sorted(map(str, bare.drop(*lists).collect()))
+    assert whole.count() == 4 and bare.where(" or ".join(f"{c} is not null" for c in lists)).count() == 0
+
+
+def test_lines_are_made_by_many_tasks(spark):
+    own = views.log_lines(spark, "/root/testdata/sf0.001")
+    assert own.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_running_peaks(spark, tmp_path):
     pytest.importorskip("google.protobuf")  # what Spark's own client of the state uses
     r = random.Random(11)
