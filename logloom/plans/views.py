@@ -44,8 +44,8 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timeline events. The parsed lines are stored first: columns that are computed from them would each repeat the parse."""
-    return written(timeline.events(written(parsed(spark, sf_dir), "parsed"), ["event_id"]), "events")
+    """Timeline events, stored, as they are read several times."""
+    return written(timeline.events(parsed(spark, sf_dir), ["event_id"]), "events")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -387,6 +387,13 @@ def test_lines_are_made_by_many_tasks(spark):
     assert own.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_events_are_stored_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(views, "written", lambda df, name, real=views.written: made.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name))
+    assert views.unnumbered(spark, "/root/testdata/sf0.001").count() > 0
+    assert [name for name, _ in made] == ["events"] and made[0][1].count(r"regexp_replace(concat(~[") <= 1
+
+
 def test_running_peaks(spark, tmp_path):
     pytest.importorskip("google.protobuf")  # what Spark's own client of the state uses
     r = random.Random(11)
