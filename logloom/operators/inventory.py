@@ -83,7 +83,7 @@ def _joined(rows: DataFrame, key: str, table: DataFrame, often: DataFrame | None
 
 
 def spread_join(rows: DataFrame, key: str, table: DataFrame, heavy: int = HEAVY, how: str = "inner") -> DataFrame:
-    """rows (a written table) joined (inner or left) with a table that has each key once. Heavy keys are sent to all tasks with their part of the table; the rest is shuffled, so no task gets more of one key."""
+    """rows (read twice) joined (inner or left) with a table that has each key once. Heavy keys are sent to all tasks with their part of the table; the rest is shuffled, so no task gets more of one key."""
     return _joined(rows, key, table, heavy_keys(rows, key, heavy), how)
 
 
@@ -107,16 +107,16 @@ def _star_round(own: DataFrame, both: DataFrame, known: DataFrame, n: int, heavy
 
 
 def stars(links: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(a, root) for every node of links (a, b: longs) but the roots: root is the least node of a's component.
+    """(a, root) for every node of links (a, b: longs; a table, since it is read twice) but the roots: root is the least node of a's component. Links can be given more than once.
 
     Nodes with one neighbour are leaves. Where there are many, they are taken off, and the node that has them goes on by the least number among it and them; else large and small stars in turn (_star_round) bring each node nearer to its root, until there are many leaves again. When no link is left, the leaves get the root of their node, the last ones first. Heavy nodes are split (spread_join). Tables in the shared folder cut the lineage.
     """
     hi, lo = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    own, taken = written(links.where("a <> b").select(hi, lo).distinct(), "links"), []
+    own, taken = links.where("a <> b").select(hi, lo), []
     while True:
         both = own.union(own.select("b", "a"))
-        known = written(both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")), "links-known")
-        n, lone = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
+        known = written(both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"), (F.min("b") == F.max("b")).alias("lone")), "links-known")
+        n, lone = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("lone"), F.col("n"))), F.lit(0))).first()
         n //= 2
         if not n:
             break
@@ -124,7 +124,7 @@ def stars(links: DataFrame, heavy: int = HEAVY) -> DataFrame:
             own = _star_round(own, both, known, n, heavy)
             continue
         # of two nodes that have only each other the greater is the leaf
-        ends = known.where("n = 1").select(F.greatest("a", "m"), F.least("a", "m"), F.col("a").alias("leaf"))
+        ends = known.where("lone").select(F.greatest("a", "m"), F.least("a", "m"), F.col("a").alias("leaf"))
         split = written(own.withColumn("leaf", F.lit(None).cast("long")).union(ends).groupBy("a", "b").agg(F.max("leaf").alias("leaf")), "links-split")
         leaves = split.where("leaf is not null").select(F.col("leaf").alias("a"), F.when(F.col("leaf") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("m"))
         of = written(leaves.groupBy("m").agg(F.min("a").alias("e")).select("m", F.least("e", "m").alias("e")), "links-of")
@@ -144,12 +144,18 @@ def stars(links: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return found
 
 
-def labelled(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY) -> DataFrame:
-    """(node, own, label): label is the least order in the node's component."""
-    known = written(nodes.select(F.col(key).alias("node"), F.col(order).cast("long").alias("own")), "nodes")
-    named = written(links.select("src", "dst").where("src <> dst"), "named-links")  # stars() leaves each link once
-    first = written(spread_join(named, "src", known.select(F.col("node").alias("src"), F.col("own").alias("a")), heavy).select("dst", "a"), "half-links")
-    found = stars(spread_join(first, "dst", known.select(F.col("node").alias("dst"), F.col("own").alias("b")), heavy).select("a", "b"), heavy)
+def linked(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY) -> DataFrame:
+    """(src, dst) by the orders of nodes, a table, of links (src, dst) by their keys: those between two known nodes, as often as they are given. Nodes and links are read twice, so costly ones should be tables."""
+    at = lambda side, to: nodes.select(F.col(key).alias(side), F.col(order).cast("long").alias(to))
+    first = written(spread_join(links.select("src", "dst").where("src <> dst"), "src", at("src", "a"), heavy).select("dst", "a"), "half-links")
+    return written(spread_join(first, "dst", at("dst", "b"), heavy).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+
+
+def labelled(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY, ends: str | None = None) -> DataFrame:
+    """(node, own, label): label is the least order in the node's component. ends: the column that links name nodes by, key or order (as linked() makes them)."""
+    pairs = links if ends == order else linked(nodes, links, key, order, heavy)
+    found = stars(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")), heavy)
+    known = nodes.select(F.col(key).alias("node"), F.col(order).cast("long").alias("own"))
     return written(known.join(found, F.col("own") == F.col("a"), "left").select("node", "own", F.coalesce("root", "own").alias("label")), "labels")
 
 
@@ -158,9 +164,8 @@ def grown(labels: DataFrame, nodes: DataFrame, links: DataFrame, key: str = "key
     fresh = nodes.select(F.col(key).alias("node"), F.col(order).cast("long").alias("own"), F.col(order).cast("long").alias("label"))
     every = written(labels.select("node", "own", "label").union(fresh.join(labels.select("node"), "node", "left_anti").select("node", "own", "label")), "labels")
     named = written(links.select("src", "dst").where("src <> dst").distinct(), "named-links")
-    at = lambda side, to: every.select(F.col("node").alias(side), F.col("label").alias(to))
-    first = written(spread_join(named, "src", at("src", "a"), heavy).select("dst", "a"), "half-links")
-    moved = written(stars(spread_join(first, "dst", at("dst", "b"), heavy).select("a", "b"), heavy), "moved")
+    met = linked(every, named, "node", "label", heavy).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    moved = written(stars(met, heavy), "moved")
     gone = moved.select(F.col("a").alias("label"))
     gone = F.broadcast(gone) if moved.count() <= MANY else gone
     lost = written(every.join(gone, "label", "left_semi").select("node", "own", "label"), "moving")
@@ -175,15 +180,15 @@ def numbered(labels: DataFrame, key: str = "key", order: str = "ord", heavy: int
     return spread_join(labels, "label", ids, heavy).select(F.col("node").alias(key), F.col("own").alias(order), F.col("component_id").cast("long").alias("component_id"))
 
 
-def components(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY) -> DataFrame:
-    """(key, ord, component_id): components of an undirected graph, numbered by their first member."""
-    return numbered(labelled(nodes, links, key, order, heavy), key, order, heavy)
+def components(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY, ends: str | None = None) -> DataFrame:
+    """(key, ord, component_id): components of an undirected graph, numbered by their first member. ends: as for labelled()."""
+    return numbered(labelled(nodes, links, key, order, heavy, ends), key, order, heavy)
 
 
-def hubs(members: DataFrame, links: DataFrame, key: str = "key", order: str = "ord") -> DataFrame:
-    """members: (key, ord, component_id, n_offers). Of each component the most referenced object, then the richest, then the first."""
-    degree = links.groupBy(F.col("dst").alias(key)).agg(F.count("*").alias("degree"))
-    own = members.join(degree, key, "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+def hubs(members: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", ends: str | None = None) -> DataFrame:
+    """members: (key, ord, component_id, n_offers). Of each component the most referenced object, then the richest, then the first. links: each once. ends: the column that they name nodes by, key if not given."""
+    degree = links.groupBy(F.col("dst").alias(ends or key)).agg(F.count("*").alias("degree"))
+    own = members.join(degree, ends or key, "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
     best = F.min_by(F.struct(key, "degree"), F.struct(-F.col("degree"), -F.col("n_offers"), order))
     return own.groupBy("component_id").agg(best.alias("h"), F.count("*").alias("size")).select("component_id", F.col(f"h.{key}").alias("hub"), F.col("h.degree").alias("degree"), "size")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions import text as T
 from logloom.operators import correlate, evidence, inventory, records, redact, report, rules, timeline, view
 from logloom.sources import bundle, sinks
+from logloom.sources.scratch import written
 from logloom.sources.store import Store
 
 #: Where the small files of a bundle are.
@@ -39,8 +40,8 @@ def system(spark: SparkSession, at: str, brands: DataFrame | None = None) -> tup
 def equipment(confs: DataFrame) -> dict[str, DataFrame]:
     """Objects, their classes, components with hub and label, members and the aliases that log entities are resolved by."""
     objs = inventory.objects(confs)
-    numbered = objs.join(inventory.ordinals(objs), "key").withColumn("n_offers", F.size("offers").cast("long"))
-    links = inventory.edges(numbered)
+    numbered = written(objs.join(inventory.ordinals(objs), "key").withColumn("n_offers", F.size("offers").cast("long")), "objects")
+    links = written(inventory.edges(numbered), "edges")
     members = inventory.components(numbered.select("key", "ord"), links)
     hubs = inventory.hubs(members.join(numbered.select("key", "n_offers"), "key"), links)
     named = numbered.select(F.col("key").alias("hub"), "cls", "name")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as T
 from logloom.operators import inventory, order, player, records, redact, report, rules, timeline
-from logloom.plans import analysis, views
-from logloom.sources import archive, bundle, sinks
+from logloom.plans import analysis, catalogue, views
+from logloom.sources import archive, bundle, scratch, sinks
 from logloom.streaming import storms
 
 LOG = """orphan line before any header
@@ -348,6 +348,14 @@ def test_leaves_leave_a_graph_before_stars_are_made(spark, monkeypatch):
     assert "links-large" not in made  # all are leaves, then leaves of what is left
 
 
+def test_trees_seek_hubs_of_the_largest_components(spark, monkeypatch):
+    asked = []
+    spy = lambda members, *x, real=inventory.hubs, **y: asked.append(members.select("component_id").distinct().count()) or real(members, *x, **y)
+    monkeypatch.setattr(inventory, "hubs", spy)
+    got = catalogue.queries()["equipment_trees"](spark, "/root/testdata/sf0.001")
+    assert got.select("component_id").distinct().count() == 5 and asked == [5]
+
+
 @pytest.mark.parametrize("heavy", [3, 10_000])
 def test_components_of_many_shapes(spark, heavy):
     r = random.Random(17)
