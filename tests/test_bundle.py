@@ -356,6 +356,29 @@ def test_trees_seek_hubs_of_the_largest_components(spark, monkeypatch):
     assert got.select("component_id").distinct().count() == 5 and asked == [5]
 
 
+def test_named_links_are_stored_once(spark, monkeypatch):
+    stored = []
+    spy = lambda df, name, real=scratch.written: stored.append((name, dict(df.dtypes))) or real(df, name)
+    for module in (inventory, scratch):
+        monkeypatch.setattr(module, "written", spy)
+    catalogue.queries()["equipment_components"](spark, "/root/testdata/sf0.001")
+    assert [name for name, types in stored if "string" in types.values()] == ["half-links", "labels"]  # all else is numbers
+
+
+@pytest.mark.parametrize("heavy", [3, 10_000])
+def test_links_are_given_more_than_once(spark, heavy):
+    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(60)], "key string, ord long")
+    links = [(i, i - i % 10) for i in range(40)] * 4 + [(i - i % 10, i) for i in range(40)] + [(40, 41), (41, 40), (42, 99), (98, 43)]
+    named = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links] + [("n44", None), (None, "n45")], "src string, dst string")
+    want = least_members(range(60), [e for e in links if max(e) < 60])
+    number = {x: i for i, x in enumerate(sorted(set(want.values())))}
+    pairs = inventory.linked(nodes, named, heavy=heavy)
+    for got in (inventory.components(nodes, named, heavy=heavy), inventory.components(nodes, pairs, heavy=heavy, ends="ord")):
+        assert {x["ord"]: x["component_id"] for x in got.collect()} == {k: number[v] for k, v in want.items()}
+        hubs = inventory.hubs(got.withColumn("n_offers", F.lit(0)), pairs.distinct(), ends="ord").where("size > 2")
+        assert sorted((x["hub"], x["degree"], x["size"]) for x in hubs.collect()) == [(f"n{i}", 9, 10) for i in (0, 10, 20, 30)]
+
+
 @pytest.mark.parametrize("heavy", [3, 10_000])
 def test_components_of_many_shapes(spark, heavy):
     r = random.Random(17)
