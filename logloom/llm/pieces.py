@@ -138,7 +138,7 @@ _ODD = 0xD1342543DE82EF95
 _POWERS = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2^64."""
     if len(_POWERS[0]) < n:
         size = 1 << (n - 1).bit_length()
@@ -149,7 +149,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def slice_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each slice of 64-bit values: a polynomial in an odd number, mixed with the length."""
-    up, down = _powers(len(values) + 1)
+    up, down = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, U64)
     np.cumsum(mix(values + U64(seed)) * up[:-1], out=total[1:])
     return mix(mix((total[end] - total[start]) * down[start]) + (end - start).astype(U64))

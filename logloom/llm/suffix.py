@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import U64, Bloom, boundaries, dropped, lean, mix, ranges, texts, written
-from logloom.llm.pieces import slice_hashes
+from logloom.llm.pieces import powers, slice_hashes
 
 LENGTH = 400
 ANCHOR = 256
@@ -38,9 +38,10 @@ MERGE = 1 << 18
 #: From so many different segments on, an anchor is split by blocks of SPLIT windows, then by single windows.
 CROWD = (256, 1 << 16)
 SPLIT = 16
+#: Blocks that the windows of a string are compared in before it is merged.
+PARTS = 8
 
 _GEAR = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
 _LOW = U64((1 << 22) - 1)
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -103,15 +104,11 @@ def _segments(some: list[tuple[int, int, np.ndarray]], length: int, anchor: int)
     v = np.concatenate([x for _, _, x in some])
     sizes = np.array([len(x) for _, _, x in some], np.int64)
     ends = np.cumsum(sizes)
-    h, unit = v, 1
-    while unit * 2 <= anchor:  # h[i]: of the `unit` symbols that end at i, each times a power of an odd number: no bit is lost
-        g = h.copy()
-        g[unit:] += h[:-unit] * U64(pow(_BASE, unit, 1 << 64))
-        h, unit = g, unit * 2
     m = len(v) - anchor + 1
-    hashed = np.zeros(m, U64)
-    for x in sorted({*range(unit - 1, anchor, unit), anchor - 1}):
-        hashed = mix(hashed + h[x : x + m])
+    up, down = powers(len(v) + 1)
+    total = np.zeros(len(v) + 1, U64)  # sums of symbols times powers of an odd number: a slice's hash is a difference, turned back to its start
+    np.cumsum(v * up[:-1], out=total[1:])
+    hashed = mix((total[anchor:] - total[:m]) * down[:m])
     key = hashed & ~_LOW | np.arange(m, dtype=U64)
     width, wanted = 1, length - anchor + 1
     while width * 2 <= wanted:
@@ -126,7 +123,9 @@ def _segments(some: list[tuple[int, int, np.ndarray]], length: int, anchor: int)
     first, place = start[new], place[new]
     span = np.searchsorted(ends, first, side="right")
     text, at = np.array([i for i, _, _ in some])[span], np.array([a for _, a, _ in some])[span] - (ends - sizes)[span]
-    return text, hashed[place], slice_hashes(v, first, first + count + length - 1), first + at, count, place + at
+    end = first + count + length - 1
+    own = mix(mix((total[end] - total[first]) * down[first]) + (end - first).astype(U64))
+    return text, hashed[place], own, first + at, count, place + at
 
 
 _SEGMENT = "id long, key long, unit byte, h long, seg long, first long, count int, shift int"
@@ -154,6 +153,16 @@ def _found(length: int, anchor: int, passage: int, word_anchor: int):
 # ---------------------------------------------------------------- shards, transforms, their merge
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Places of numbers among the different ones."""
+    low, room = (int(x.min()), int(x.max()) - int(x.min()) + 1) if len(x) else (0, 0)
+    if room > 8 * len(x) + 256:
+        return np.unique(x, return_inverse=True)[1].astype(np.int64)
+    there = np.zeros(room, bool)
+    there[x - low] = True
+    return (np.cumsum(there) - 1)[x - low]
+
+
 class Shard:
     """Strings of symbols (int64 arrays) with their suffixes sorted, to `depth` symbols, and the transform of that order."""
 
@@ -162,39 +171,41 @@ class Shard:
         self.text = np.concatenate(strings) if strings else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
         self.first = ends - sizes
+        self.inside = np.arange(len(self.text)) - np.repeat(self.first, sizes)  # symbols from the string's start
         n = len(self.text)
         left = np.repeat(ends, sizes) - np.arange(n)  # symbols up to the string's end
         # prefix doubling over strings that end differently: a suffix that runs into its end has a rank of its own
-        rank = np.unique(self.text, return_inverse=True)[1].astype(np.int64)
-        done = 1
+        rank = _ranks(self.text)
+        done, order = 1, None
+
+        def ranked(key: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+            order = np.argsort(key)
+            at = key[order]
+            new = alone[order]
+            new[:1], new[1:] = True, new[1:] | (at[1:] != at[:-1])
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new) - 1
+            return order, rank, bool(new.all())
+
+        settled = False
         room = int(rank.max(initial=0)) + 2
         many = min(depth, int(62 // np.log2(room)))
         if many > 1 and n:  # the first symbols as one number; nothing beyond a string's end, where each suffix is another
             key = rank + 1
             for i in range(1, many):
                 key = key * room + np.where(left > i, np.concatenate((rank[i:], np.zeros(i, np.int64)))[:n] + 1, 0)
-            key = np.unique(key, return_inverse=True)[1] * (n + 1) + np.where(left < many, 1 + np.arange(n), 0)
-            rank, done = np.unique(key, return_inverse=True)[1].astype(np.int64), many
-        while done < depth:
+            (order, rank, settled), done = ranked(key, left < many), many
+        while done < depth and not settled:
             step = min(done, depth - done)
             inside = left > step
             second = np.where(inside, np.concatenate((rank[step:], np.zeros(step, np.int64)))[:n], -1 - np.arange(n))
-            key = rank * (2 * n + 1) + second + n
-            order = np.argsort(key)
-            new = np.ones(n, bool)
-            new[1:] = key[order][1:] != key[order][:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
+            order, rank, settled = ranked(rank * (2 * n + 1) + second + n, np.zeros(n, bool))
             done += step
-            if new.all():
-                break
-        self.suffixes = np.argsort(rank, kind="stable")
+        self.suffixes = np.argsort(rank) if order is None else order
         row = np.empty(n, np.int64)
         row[self.suffixes] = np.arange(n)
         before = self.suffixes - 1
-        starts = np.zeros(n, bool)
-        starts[self.first[sizes > 0]] = True
-        at_start = starts[self.suffixes]
+        at_start = self.inside[self.suffixes] == 0
         self.bwt = np.where(at_start, -1, self.text[before])  # the symbol before each suffix; -1 at a string's start
         self.last_to_first = np.where(at_start, -1, row[before])
 
@@ -203,11 +214,11 @@ def _strides(shards: list[Shard], depth: int) -> tuple[int, np.ndarray, np.ndarr
     """(k, the k symbols before each entry as one number below 2^16, the entry k symbols before it or -1): several refinements in one."""
     offset = np.cumsum([0, *(len(s.text) for s in shards)])
     one = np.concatenate([np.where(s.last_to_first < 0, -1, s.last_to_first + o) for s, o in zip(shards, offset[:-1], strict=True)])
-    single = np.unique(np.concatenate([s.bwt for s in shards]), return_inverse=True)[1].astype(np.int64)
+    single = _ranks(np.concatenate([s.bwt for s in shards]))
     k, symbol, before = 1, single, one
     while k < min(8, depth - 1):
         far = np.where(before < 0, -1, one[before])
-        wider = np.unique(symbol * (single.max() + 1) + np.where(before < 0, 0, single[before]), return_inverse=True)[1]
+        wider = _ranks(symbol * (single.max() + 1) + np.where(before < 0, 0, single[before]))
         if wider.max(initial=0) >= 1 << 16:
             break
         k, symbol, before = k + 1, wider, far
@@ -217,16 +228,16 @@ def _strides(shards: list[Shard], depth: int) -> tuple[int, np.ndarray, np.ndarr
 def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Entries (numbered through the shards) and their blocks: the suffixes that share their first `depth` symbols with another one.
 
-    The entries start in the shards' order, dealt by their first symbol. A round deals them by the k symbols before each.
+    The entries start in the shards' order, dealt by their first symbol. A round deals them by the k symbols before each. Only those that end a window of `depth` symbols begin, since the others would run over their string's start; each gets to the window's start in the last round.
     """
     k, symbols, lf = _strides(shards, depth)
-    head = np.concatenate([s.text[s.suffixes] for s in shards])
-    done, entry, block = 0, np.arange(len(head)), np.zeros(len(head), np.int64)
+    entry = np.flatnonzero(np.concatenate([s.inside[s.suffixes] >= depth - 1 for s in shards]))
+    head = _ranks(np.concatenate([s.text[s.suffixes] for s in shards])[entry])
+    head = head.astype(np.uint16 if head.max(initial=0) < 1 << 16 else np.int64)
+    block = np.zeros(len(head), np.int64)
     for symbol, step in [(head, 1)] + [(None, 1)] * ((depth - 1) % k) + [(None, k)] * ((depth - 1) // k):
         if symbol is None:
             key, before = (symbols, lf) if step == k else _strides(shards, 2)[1:]
-            inside = before[entry] >= 0
-            entry, block = entry[inside], block[inside]
             symbol, to = key[entry], before[entry]
         else:
             to = entry
@@ -238,12 +249,11 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
         lone[:-1] &= new[1:]
         block = np.cumsum(new)[~lone]
         entry = entry[~lone]
-        done += step
     return entry, block
 
 
-def repeats(strings: list[tuple[np.ndarray, int, bool, int]], depth: int, across: bool = False) -> list[np.ndarray]:
-    """strings: (symbols, number of windows at their front, whether others are equal, owner). For each, which windows of `depth` symbols start elsewhere too; across: in a string of another owner."""
+def repeats(strings: list[tuple[np.ndarray, int, bool, int]], depth: int, across: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """strings: (symbols, number of windows of `depth` symbols, whether others are equal, owner). Runs of windows that start elsewhere too, as (string, first window, number); across: in a string of another owner."""
     shards, part, size = [], [], 0
     for i, (s, *_) in enumerate(strings):
         part.append(s)
@@ -266,15 +276,16 @@ def repeats(strings: list[tuple[np.ndarray, int, bool, int]], depth: int, across
         first = boundaries(block)
         mixed = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.logical_or.reduceat(equal, first)
         place = place[np.repeat(mixed, np.diff(np.append(first, len(block))))]
-    own, at = origin[place], inside[place]
-    front = at < windows[own]
-    out[(ends - windows)[own[front]] + at[front]] = True
-    return np.split(out, ends[:-1])
-
-
-def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    own = origin[place]
+    out[(ends - windows)[own] + inside[place]] = True
+    # a gap after each string ends its runs
+    first = ends - windows + np.arange(len(strings))
+    marks = np.zeros(len(out) + len(strings) + 1, np.int8)
+    marks[np.arange(len(out)) + np.repeat(np.arange(len(strings)), windows) + 1] = out
+    edge = np.diff(marks)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    of = np.searchsorted(first, begin, side="right") - 1
+    return of, begin - first[of], end - begin
 
 
 # ---------------------------------------------------------------- the operator
@@ -318,25 +329,52 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+def _thinned(rows: list[dict]) -> list[dict]:
+    """Strings of one unit and depth, cut to the windows that another one of the same key can have, without loss.
+
+    Equal windows have their anchor at the same place. Neighbouring windows make a block, by places that are the same for all strings; what the windows of a block share must be in another string too, else the block goes (by a hash: a collision only leaves more). A string keeps what lies between its first and last block that is left.
+    """
+    w, depth = 1 if rows[0]["unit"] == BYTES else 8, rows[0]["depth"]
+    size = -(-depth // PARTS)
+    met: dict[int, int] = {}
+    known = []
+    for r in rows:
+        key, left, right = r["key"], r["left"], r["right"]
+        n = len(left) // w  # a window starts so many symbols before the anchor, or fewer
+        own = [(at, hash((key, at, left[len(left) - at * w :], right[: max(depth - size - at, 0) * w]))) for at in range((n - r["windows"] + 1) // size * size, n + 1, size)]
+        known.append(own)
+        for _, h in own:
+            met[h] = met.get(h, 0) + 1
+    out = []
+    for r, own in zip(rows, known, strict=True):
+        kept = [at for at, h in own if met[h] > 1]
+        if kept:
+            n = len(r["left"]) // w
+            least, most = max(n - r["windows"] + 1, kept[0]), min(n, kept[-1] + size - 1)
+            out.append({**r, "left": r["left"][(n - most) * w :], "right": r["right"][: (depth - 1 - least) * w], "from": r["from"] + n - most, "windows": most - least + 1})
+    return out
+
+
 def _answered(batches):
     """Sorted by unit, depth and key: strings to the repeated windows of those that aren't repeated as a whole."""
 
     def answer(rows):
-        out = []
         names: dict[int, int] = {}
         strings = []
-        unit = rows[0]["unit"]
+        unit, depth = rows[0]["unit"], rows[0]["depth"]
         kind = np.uint8 if unit == BYTES else np.int64
+        rows = _thinned(rows)
         for r in rows:
             # an anchor is a symbol of its own: beyond the bytes, or one more word, which no other anchor's strings have
             mark = 256 + names.setdefault(r["key"], len(names)) if unit == BYTES else r["key"]
             s = np.concatenate((np.frombuffer(r["left"], kind).astype(np.int64), [mark], np.frombuffer(r["right"], kind).astype(np.int64)))
             strings.append((s, r["windows"], r["equal"], r["owner"]))
-        for r, got in zip(rows, repeats(strings, rows[0]["depth"], unit == WORDS), strict=True):
-            if not r["equal"]:
-                out += [(unit, r["h"], r["seg"], r["from"] + x, y - x) for x, y in zip(*(v.tolist() for v in _runs(got)), strict=True)]
+        of, first, windows = repeats(strings, depth, unit == WORDS) if strings else [np.zeros(0, np.int64)] * 3
+        part = ~np.array([r["equal"] for r in rows], bool)[of]
+        of, first, windows = of[part], first[part], windows[part]
+        h, seg, start = (np.array([r[c] for r in rows], np.int64)[of] for c in ("h", "seg", "from"))
         kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names=_names(_ANSWER))
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip((np.full(len(of), unit), h, seg, start + first, windows), kinds, strict=True)], names=_names(_ANSWER))
 
     rows, size = [], 0
     for b in batches:

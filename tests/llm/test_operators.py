@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -185,6 +186,30 @@ def test_merged_transforms():
     assert found == {b"ban", b"ana", b"nan"} and len(set(block.tolist())) == 3 and len(at) == 3 + 5 + 2
 
 
+def test_merge_gets_only_strings_with_company(monkeypatch):
+    """Strings around one anchor: those that share no window with another one don't get to the shards, the rest is cut to what can be shared, and every shared window is found."""
+    depth, r, merged = 9, random.Random(3), []
+    real = suffix.Shard
+    monkeypatch.setattr(suffix, "Shard", lambda strings, depth: merged.append(sum(map(len, strings))) or real(strings, depth))
+    some = lambda n: bytes(r.choice(b"ab") for _ in range(n))
+    rows = [(k, some(r.randint(0, 20)), some(r.randint(8, 30))) for k in (1, 1, 2, 2, 3) for _ in range(12)]
+    lone = [(9, bytes([i]) * 40, bytes([i]) * 40) for i in range(30)]
+
+    def answers(rows):
+        cols = [[k for k, *_ in rows], [0] * len(rows), [k for k, *_ in rows], list(range(len(rows))), [False] * len(rows), list(range(len(rows))), [0] * len(rows), [max(0, len(x) + 1 + len(y) - depth + 1) for _, x, y in rows], [x for _, x, _ in rows], [y for *_, y in rows], [depth] * len(rows)]
+        kinds = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in suffix._STRING.split(", ")])
+        return {(q["seg"], x) for b in suffix._answered([batch]) for q in b.to_pylist() for x in range(q["from"], q["from"] + q["windows"])}
+
+    rows = [(k, x[-8:], y[:8]) for k, x, y in rows]  # every window has the anchor
+    seen = collections.Counter((k, len(x) - s, x[s:], y[: depth - 1 - len(x) + s]) for k, x, y in rows for s in range(len(x) + 1 + len(y) - depth + 1))
+    want = {(i, s) for i, (k, x, y) in enumerate(rows) for s in range(len(x) + 1 + len(y) - depth + 1) if seen[k, len(x) - s, x[s:], y[: depth - 1 - len(x) + s]] > 1}
+    assert answers(rows) == want and len(want) > 20
+    merged.clear()
+    assert not answers([(k, x[-8:], y[:8]) for k, x, y in lone]) and not sum(merged)
+    assert {i for i, _ in answers([*((k, x[-8:], y[:8]) for k, x, y in lone), (9, b"ccccdddd", b"dddd"), (9, b"cdddd", b"dddddddd")])} == {30, 31} and 0 < sum(merged) <= 32
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, sentence(40) + (" vile" if i % 5 == 0 else "")) for i in range(400)] + [(900, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
