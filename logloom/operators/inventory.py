@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,11 @@ def heavy_keys(rows: DataFrame, key: str, heavy: int = HEAVY) -> DataFrame | Non
     return often if often.limit(1).count() else None
 
 
+def hashed(table: DataFrame) -> DataFrame:
+    """A table about as large as what it is joined with, each key once: tasks hash their part of it, so neither side is sorted."""
+    return table.hint("shuffle_hash")
+
+
 def _joined(rows: DataFrame, key: str, table: DataFrame, often: DataFrame | None, how: str = "inner") -> DataFrame:
     if often is None:
         return rows.join(table, key, how)
@@ -106,49 +113,72 @@ def _star_round(own: DataFrame, both: DataFrame, known: DataFrame, n: int, heavy
     return written(lesser.union(told.select("a", "m")).where("a <> b").distinct(), "links")
 
 
-def stars(links: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(a, root) for every node of links (a, b: longs; a table, since it is read twice) but the roots: root is the least node of a's component. Links can be given more than once.
+def _peeled(links: DataFrame, heavy: int) -> tuple[list[tuple[DataFrame, DataFrame, DataFrame | None]], DataFrame, DataFrame]:
+    """Takes leaves off links (a, b) until no link is left: the rounds, as (leaves (a, m), the new names (m, e) of their nodes, nodes that may be heavy or None); the roots (a); and all nodes that have links (a).
 
-    Nodes with one neighbour are leaves. Where there are many, they are taken off, and the node that has them goes on by the least number among it and them; else large and small stars in turn (_star_round) bring each node nearer to its root, until there are many leaves again. When no link is left, the leaves get the root of their node, the last ones first. Heavy nodes are split (spread_join). Tables in the shared folder cut the lineage.
+    Nodes with one neighbour are leaves. Where there are many, they are taken off, and the node m that has them goes on as e, the least number among it and them; else large and small stars in turn (_star_round) bring each node nearer to its root, until there are many leaves again. An e without links that are left is a root. Tables in the shared folder cut the lineage.
     """
     hi, lo = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    own, taken = links.where("a <> b").select(hi, lo), []
+    own, taken, roots, met, last = links.where("a <> b").select(hi, lo), [], [], None, None
     while True:
         both = own.union(own.select("b", "a"))
         known = written(both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"), (F.min("b") == F.max("b")).alias("lone")), "links-known")
-        n, lone = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("lone"), F.col("n"))), F.lit(0))).first()
+        met = known.select("a") if met is None else met
+        if last is not None:
+            roots.append(last.select(F.col("e").alias("a")).join(known.select("a"), "a", "left_anti"))
+        n, lone, most = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("lone"), F.col("n"))), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
         n //= 2
         if not n:
             break
         if lone * LEAFY < n:
-            own = _star_round(own, both, known, n, heavy)
+            own, last = _star_round(own, both, known, n, heavy), None
             continue
+        # a node has no more leaves than links
+        least = max(heavy, n // MANY)
+        often = known.where(F.col("n") > least).select("a") if most > least else None
+        leaves, inner = known.where("lone").select("a", "m"), known.where("not lone").select("a")
         # of two nodes that have only each other the greater is the leaf
-        ends = known.where("lone").select(F.greatest("a", "m"), F.least("a", "m"), F.col("a").alias("leaf"))
-        split = written(own.withColumn("leaf", F.lit(None).cast("long")).union(ends).groupBy("a", "b").agg(F.max("leaf").alias("leaf")), "links-split")
-        leaves = split.where("leaf is not null").select(F.col("leaf").alias("a"), F.when(F.col("leaf") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("m"))
-        of = written(leaves.groupBy("m").agg(F.min("a").alias("e")).select("m", F.least("e", "m").alias("e")), "links-of")
-        taken.append((leaves, of))
-        own = split.where("leaf is null").select("a", "b")
-        renamed = of.where("e < m")
+        firsts = leaves.groupBy("m").agg(F.min("a").alias("e")).join(inner.select(F.col("a").alias("m"), F.lit(True).alias("inner")), "m", "left")
+        last = written(firsts.where("inner or m < e").select("m", F.least("e", "m").alias("e")), "links-of")
+        taken.append((leaves, last, often and often.withColumnRenamed("a", "m")))
+        kept = _joined(own, "a", hashed(inner), often, "left_semi")
+        kept = _joined(kept, "b", inner.withColumnRenamed("a", "b"), often and often.withColumnRenamed("a", "b"), "left_semi")
+        own = written(kept.select("a", "b"), "links-left")
+        renamed = last.where("e < m")
         if renamed.limit(1).count():
             for side, other in (("a", "b"), ("b", "a")):
                 to = renamed.select(F.col("m").alias(side), "e")
                 own = written(spread_join(own, side, to, heavy, "left").select(F.coalesce("e", side).alias(side), other), "links-renamed")
             own = own.select(hi, lo)
-    found = own.select("a", F.col("b").alias("root"))  # no rows
-    for leaves, of in reversed(taken):
-        at = written(of.join(found.withColumnRenamed("a", "e"), "e", "left").select("m", "e", F.coalesce("root", "e").alias("root")), "leaf-roots")
-        told = spread_join(leaves, "m", at, heavy).where("a <> e").select("a", "root")
-        found = written(found.union(at.where("e < m").select("m", "root")).union(told.where("a <> root")), "roots")
+    return taken, functools.reduce(DataFrame.union, roots) if roots else met.limit(0), met
+
+
+def _told(taken: list[tuple[DataFrame, DataFrame, DataFrame | None]], found: DataFrame) -> DataFrame:
+    """(a, v) of all nodes that have links, from found, those of the roots: each leaf gets what its node has, the last ones first."""
+    for i, (leaves, of, often) in enumerate(reversed(taken)):
+        at = written(of.join(found.select(F.col("a").alias("e"), "v"), "e").select("m", "e", "v"), "leaf-values")
+        told = _joined(leaves, "m", hashed(at), often).where("a <> e").select("a", "v")
+        found = found.union(at.where("e < m").select("m", "v")).union(told)
+        if i < len(taken) - 1:
+            found = written(found, "values")
     return found
 
 
-def linked(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY) -> DataFrame:
-    """(src, dst) by the orders of nodes, a table, of links (src, dst) by their keys: those between two known nodes, as often as they are given. Nodes and links are read twice, so costly ones should be tables."""
-    at = lambda side, to: nodes.select(F.col(key).alias(side), F.col(order).cast("long").alias(to))
-    first = written(spread_join(links.select("src", "dst").where("src <> dst"), "src", at("src", "a"), heavy).select("dst", "a"), "half-links")
-    return written(spread_join(first, "dst", at("dst", "b"), heavy).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+def stars(links: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(a, root) for every node of links (a, b: longs; a table, since it is read twice) but the roots: root is the least node of a's component. Links can be given more than once. Heavy nodes are split (spread_join)."""
+    taken, roots, _ = _peeled(links, heavy)
+    return _told(taken, written(roots.select("a", F.col("a").alias("v")), "roots")).where("a <> v").select("a", F.col("v").alias("root"))
+
+
+def linked(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY, own: str | None = None) -> DataFrame:
+    """(src, dst) by the orders of nodes, a table, of links (src, dst) by their keys: those between two known nodes, as often as they are given. own: the column of links that has the order of src, a known node, already: then only dst is looked up. Nodes and links are read twice, so costly ones should be tables."""
+    at = lambda side, to: hashed(nodes.select(F.col(key).alias(side), F.col(order).cast("long").alias(to)))
+    some = links.where("src <> dst")
+    if own:
+        half = some.select("dst", F.col(own).cast("long").alias("a"))
+    else:
+        half = spread_join(some.select("src", "dst"), "src", at("src", "a"), heavy).select("dst", "a")
+    return written(spread_join(written(half, "half-links"), "dst", at("dst", "b"), heavy).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
 
 def labelled(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY, ends: str | None = None) -> DataFrame:
@@ -180,9 +210,21 @@ def numbered(labels: DataFrame, key: str = "key", order: str = "ord", heavy: int
     return spread_join(labels, "label", ids, heavy).select(F.col("node").alias(key), F.col("own").alias(order), F.col("component_id").cast("long").alias("component_id"))
 
 
-def components(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY, ends: str | None = None) -> DataFrame:
-    """(key, ord, component_id): components of an undirected graph, numbered by their first member. ends: as for labelled()."""
-    return numbered(labelled(nodes, links, key, order, heavy, ends), key, order, heavy)
+def components(nodes: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", heavy: int = HEAVY, ends: str | None = None, own: str | None = None) -> DataFrame:
+    """(key, ord, component_id), a table: components of an undirected graph, numbered by their first member. ends: as for labelled(); own: as for linked().
+
+    Roots and nodes without links are numbered first, and the others are told the number of their component, so keys are shuffled once, at the end.
+    """
+    pairs = links if ends == order else linked(nodes, links, key, order, heavy, own)
+    taken, roots, met = _peeled(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")), heavy)
+    known = nodes.select(F.col(key).alias("node"), F.col(order).cast("long").alias("a"))
+    roots = roots.select("a", F.lit(False).alias("alone"))
+    if known.count() > met.count():  # nodes without links; all nodes of links are known
+        roots = roots.union(known.select("a").join(hashed(met), "a", "left_anti").select("a", F.lit(True)))
+    ids = placed(roots, ["a"], "components", "v")
+    ids = written(ids.select("a", "alone", F.col("v").cast("long").alias("v")), "component-ids")
+    told = _told(taken, ids.where("not alone").select("a", "v")).union(ids.where("alone").select("a", "v"))
+    return written(known.join(hashed(told), "a").select(F.col("node").alias(key), F.col("a").alias(order), F.col("v").alias("component_id")), "labels")
 
 
 def hubs(members: DataFrame, links: DataFrame, key: str = "key", order: str = "ord", ends: str | None = None) -> DataFrame:

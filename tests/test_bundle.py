@@ -379,6 +379,24 @@ def test_links_are_given_more_than_once(spark, heavy):
         assert sorted((x["hub"], x["degree"], x["size"]) for x in hubs.collect()) == [(f"n{i}", 9, 10) for i in (0, 10, 20, 30)]
 
 
+@pytest.mark.parametrize("heavy", [3, 10_000])
+def test_only_unknown_ends_of_links_are_looked_up(spark, monkeypatch, heavy):
+    asked = []
+    spy = lambda rows, key, *x, real=inventory.spread_join, **y: asked.append(key) or real(rows, key, *x, **y)
+    monkeypatch.setattr(inventory, "spread_join", spy)
+    catalogue.queries()["equipment_components"](spark, "/root/testdata/sf0.001")
+    assert "dst" in asked and not {"src", "label"} & set(asked)  # orders know themselves, members are told their number
+    r = random.Random(5)
+    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(90)], "key string, ord long")  # the last twenty have no links
+    links = [(i, i - i % 10) for i in range(40)] * 3 + [(40, 41), (41, 40), (42, 99), (43, 98)] + [(r.randint(44, 69), r.randint(44, 69)) for _ in range(25)]
+    named = spark.createDataFrame([(f"n{a}", f"n{b}", a) for a, b in links] + [("n44", None, 44)], "src string, dst string, own long")
+    want = least_members(range(90), [e for e in links if max(e) < 90])
+    number = {x: i for i, x in enumerate(sorted(set(want.values())))}
+    got = inventory.components(nodes, named, heavy=heavy, own="own").collect()
+    assert len(got) == 90 and {x["key"]: x["component_id"] for x in got} == {f"n{k}": number[v] for k, v in want.items()}
+    assert inventory.linked(nodes, named, heavy=heavy, own="own").exceptAll(inventory.linked(nodes, named, heavy=heavy)).count() == 0
+
+
 @pytest.mark.parametrize("heavy", [3, 10_000])
 def test_components_of_many_shapes(spark, heavy):
     r = random.Random(17)
