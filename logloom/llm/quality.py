@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade. DataFrame functions only.
 
-Each rule is a condition on numbers of a text that rejects it. On a sample of at most SAMPLE rows every rule's cost is measured, the time that it and its numbers add to a scan of the sample, and all verdicts are counted together. The order is greedy: next comes the rule that rejects most of what the rules before it leave, for its cost. In the cascade a rule's numbers are computed only for texts that no rule before it rejects. Which texts are kept depends neither on the order nor on the sample; only the name of the rule that rejects a text first does.
+Each rule is a condition on numbers of a text that rejects it. On a sample of at most SAMPLE rows every rule's cost is measured, the time that it and its numbers add to a scan of the sample, and all verdicts are counted together. The order is greedy: next comes the rule that rejects most of what the rules before it leave, for its cost; among those that reject none of it in the sample, the one that rejects most by itself. In the cascade a rule's numbers are computed only for texts that no rule before it rejects. Which texts are kept depends neither on the order nor on the sample; only the name of the rule that rejects a text first does.
 
 `measured` gives the numbers of the first two rules and their like for every row. Words are the runs between white space. Windows of eight words found twice are first sought by a 64-bit hash made by doubling (no text with equal windows is missed); only where that has equal values are windows compared, by two 64-bit hashes, and sorted.
 
@@ -155,11 +155,12 @@ def ordered(rows: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE
     costs = [max(took(r) - scan, 1e-4) for r in rules]
     patterns = flags(rules).groupBy(*(f"r{i}" for i in range(len(rules)))).count().collect()  # at most a row for each row of the sample
     dropped(own)
+    alone = [sum(p["count"] for p in patterns if p[i]) for i in range(len(rules))]
     order: list[int] = []
     while len(order) < len(rules):
         left = [p for p in patterns if not any(p[i] for i in order)]
         rest = [i for i in range(len(rules)) if i not in order]
-        order.append(max(rest, key=lambda i: (sum(p["count"] for p in left if p[i]) / costs[i], -i)))
+        order.append(max(rest, key=lambda i: (sum(p["count"] for p in left if p[i]) / costs[i], alone[i] / costs[i], -i)))
     return [rules[i] for i in order]
 
 

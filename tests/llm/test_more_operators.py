@@ -153,6 +153,16 @@ def test_quality_order(spark, texts):
             assert name == next((r.name for r in order if r.name in rejected(t)), None)
 
 
+def test_quality_order_of_rules_that_reject_nothing_more(spark, monkeypatch):
+    """A rule that others cover in the sample comes before one that never rejects, whatever was measured."""
+    docs = spark.createDataFrame([("w " * n,) for n in (5, 60) * 10], "text string")
+    idle = quality.Rule("idle", ("n_words",), lambda n: F.lit(False))
+    cheap, covered = quality.Rule("cheap", ("n_words",), lambda n: n < 40), quality.Rule("covered", ("n_words",), lambda n: n < 39)
+    marks = iter([t for seconds in (0.1, 0.2, 0.3, 0.5) for _ in range(2) for t in (0.0, seconds)])  # the scan, then each rule
+    monkeypatch.setattr(quality.time, "perf_counter", lambda: next(marks))
+    assert [r.name for r in quality.ordered(docs, [idle, covered, cheap])] == ["covered", "cheap", "idle"]
+
+
 def test_quality_is_native(spark, texts):
     docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
     assert not re.search("Python|Arrow|Pandas", quality.measured(docs)._jdf.queryExecution().executedPlan().toString())
